@@ -3,7 +3,7 @@
 Tokens are maximal runs of one class of bytes (letters and non-ASCII, digits,
 other printable signs); white space parts them. Features are the hashed distinct
 1- and 2-grams of a text's tokens, plus the shape of each letter run (all upper
-case, capitalised, other), each of weight 1/sqrt(number of features), and a bias.
+case, capitalised, other) and the pattern of a token said three times running, each of weight 1/sqrt(number of features), and a bias.
 Scores are sparse dot products through the logistic function.
 """
 
@@ -21,8 +21,9 @@ from boxquery.llm._text import BASES, mix, prefix_hash, span_hash
 
 BITS = 18
 #: Rows that the model is fitted on at most: those whose doc_id has the smallest crc32.
-TRAIN_ROWS = 12_000
-EPOCHS = 4
+TRAIN_ROWS = 8_000
+#: Passes over the sample: more over a small one, so that about this many steps are made.
+STEPS = 60_000
 THRESHOLD = 0.3
 
 _KIND = np.full(256, 3, np.uint8)
@@ -55,25 +56,30 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     n_caps = caps[ends] - caps[starts]
     shape = np.where(kind[starts] != 1, kind[starts] + 2, np.where((n_caps > 1) & (n_caps * 2 > ends - starts), 1, (n_caps > 0) * 2)).astype(np.uint64)
     same = np.flatnonzero(owner[1:] == owner[:-1])
+    thrice = np.flatnonzero((owner[2:] == owner[:-2]) & (hashes[2:] == hashes[1:-1]) & (hashes[1:-1] == hashes[:-2]))
     mask = np.uint64((1 << bits) - 1)
     grams = np.concatenate([
         hashes,
         mix(hashes[same] * np.uint64(3) + hashes[same + 1]),
         mix(shape + np.uint64(1_000_003)),
         mix(shape[same] * np.uint64(64) + shape[same + 1] + np.uint64(2_000_003)),
+        mix(np.full(len(thrice), 3_000_003, np.uint64)),
     ]) & mask
-    of = np.concatenate([owner, owner[same], owner, owner[same]]).astype(np.uint64)
+    of = np.concatenate([owner, owner[same], owner, owner[same], owner[thrice]]).astype(np.uint64)
     both = np.unique((of << np.uint64(bits)) | grams)
     at = np.searchsorted(both >> np.uint64(bits), np.arange(texts + 1, dtype=np.uint64))
     return (both & mask).astype(np.int32), at.astype(np.int64)
 
 
-def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1) -> np.ndarray:
+def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, steps: int = STEPS, alpha: float = 5.0, beta: float = 1.0, l1: float = 0.0, l2: float = 0.01) -> np.ndarray:
     """Weights of per-coordinate FTRL-Proximal on distinct-feature rows; the last weight is the bias."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     order = np.random.default_rng(0)
-    for _ in range(epochs):
+    # the rarer class weighs more, by the root of how much rarer it is
+    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3) if len(labels) else 0.5
+    weigh = (max(1.0, np.sqrt(share / (1 - share))), max(1.0, np.sqrt((1 - share) / share)))
+    for _ in range(min(40, max(4, round(steps / max(len(rows), 1))))):
         for k in order.permutation(len(rows)):
             at = rows[k]
             x = 1.0 / np.sqrt(max(len(at), 1))
@@ -83,7 +89,7 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epo
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ value, -35, 35)))
-            g = (p - labels[k]) * value
+            g = (p - labels[k]) * weigh[int(labels[k])] * value
             z[at] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[at] += g * g
     return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
