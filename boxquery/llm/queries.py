@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from boxquery.llm import decontam, line_dedup, mixing
+from boxquery.llm import decontam, line_dedup, mixing, warc
 from boxquery.llm.decontam import op6_decontaminate
 from boxquery.llm.line_dedup import op8_line_dedup
 from boxquery.llm.mixing import op2_mix_sources
 from boxquery.llm.quality_model import op9_quality_classifier
 from boxquery.llm.quality_rules import op10_host_rules
 from boxquery.llm.token_counts import op4_token_counts
+from boxquery.llm.warc import op3_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_token_counts, op6_decontaminate, op8_line_dedup, op9_quality_classifier, op10_host_rules)}
-ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op6_decontaminate": decontam.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_warc_round_trip, op4_token_counts, op6_decontaminate, op8_line_dedup, op9_quality_classifier, op10_host_rules)}
+ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc_round_trip": warc.ORACLE_SQL, "op6_decontaminate": decontam.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
