@@ -50,7 +50,7 @@ def phrases_to_prompt(phrases: Column) -> Column:
 
 def split_prompt(prompt: Column) -> Column:
     """The phrases between points, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(prompt, r"\."), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(prompt, r"\."), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def prompt_categories(prompt: Column) -> Column:
@@ -134,7 +134,7 @@ def payload_entries(payload: Column) -> Column:
     v = F.try_parse_json(payload)
     lists = [F.try_variant_get(v, "$", "array<variant>"), *(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in CONTAINER_KEYS)]
     whole = F.when(v.isNotNull(), F.array(v))
-    return F.transform(F.coalesce(*lists, whole), F.to_json)
+    return F.transform(F.coalesce(*lists, whole), lambda e: F.to_json(e))
 
 
 def pick_backend(model: Column) -> Column:

@@ -69,7 +69,7 @@ def class_distribution(points: DataFrame, classes: DataFrame, mode: str, cluster
     """cluster, winner, entropy (nats) and class_dist (map) over all classes.
 
     Points are normalised; mode score is a softmax over all classes, absent ones at 0.
-    Ties go to the first class by name.
+    Ties (to nine places) go to the first class by name.
     """
     names = F.broadcast(classes.select("class_name").distinct())
     all_rows = points.select(*cluster).distinct().crossJoin(names).join(points, [*cluster, "class_name"], "left").fillna(0.0, ["points"])
@@ -78,7 +78,7 @@ def class_distribution(points: DataFrame, classes: DataFrame, mode: str, cluster
     rows = all_rows.withColumn("_w", weight)
     rows = rows.withColumn("p", F.coalesce(F.try_divide("_w", F.sum("_w").over(over)), F.try_divide(F.lit(1.0), F.count(F.lit(1)).over(over))))
     term = F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0)
-    agg = rows.groupBy(*cluster).agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("q"), F.col("class_name").alias("c")))).alias("_r"), F.sum(term).alias("entropy"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("class_name", "p")))).alias("class_dist"))
+    agg = rows.groupBy(*cluster).agg(F.sort_array(F.collect_list(F.struct((-F.round("p", 9)).alias("q"), F.col("class_name").alias("c")))).alias("_r"), F.sum(term).alias("entropy"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("class_name", "p")))).alias("class_dist"))
     return agg.select(*cluster, F.get("_r", F.lit(0))["c"].alias("winner"), "entropy", "class_dist")
 
 

@@ -77,7 +77,7 @@ def ranged_matches(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, range
     rows = d.join(g, keys, "left").crossJoin(F.broadcast(thresholds)).crossJoin(table)
     rows = rows.withColumn("_gts", F.coalesce("_gts", F.expr("cast(array() as array<struct<gt_id:bigint,x:double,y:double,w:double,h:double>>)")))
     out = lambda p: f"({p}w * {p}h < lo or {p}w * {p}h > hi)"
-    free = f"filter(_gts, q -> not exists(m, z -> z.gt_id = q.gt_id) and {iou_sql('d.', 'q.')} >= least(t, 1D - 1e-10D))"
+    free = f"filter(_gts, q -> not exists(m, z -> z.gt_id <=> q.gt_id) and {iou_sql('d.', 'q.')} >= least(t, 1D - 1e-10D))"
     best = f"array_max(transform({free}, q -> named_struct('in', if({out('q.')}, 0, 1), 'iou', {iou_sql('d.', 'q.')}, 'neg', -q.gt_id)))"
     hit = "named_struct('det_id', d.det_id, 'gt_id', -b.neg, 'iou', b.iou, 'ign', b.in = 0)"
     miss = f"named_struct('det_id', d.det_id, 'gt_id', cast(null as bigint), 'iou', cast(null as double), 'ign', {out('d.')})"
