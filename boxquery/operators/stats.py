@@ -112,8 +112,9 @@ def moments(rows: DataFrame, values: Sequence[str]) -> DataFrame:
 
 def both_ends(rows: DataFrame, value: str, id: str, k: int) -> DataFrame:
     """The k lowest and the k highest rows, each once."""
-    ranked = rows.withColumns({"_low": F.row_number().over(W.orderBy(value, id)), "_high": F.row_number().over(W.orderBy(F.desc(value), id))})
-    return ranked.where((F.col("_low") <= k) | (F.col("_high") <= k)).drop("_low", "_high")
+    low = rows.orderBy(value, id).limit(k)
+    high = rows.orderBy(F.desc(value), id).limit(k)
+    return low.unionByName(high.join(low.select(id), id, "left_anti"))
 
 
 def experiment_table(names: DataFrame, metrics: DataFrame, order: str) -> DataFrame:
