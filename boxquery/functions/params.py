@@ -74,12 +74,16 @@ def split_labelled_paths(items: list[str], sep: str) -> dict[str, str]:
     return dict(item.split(sep, 1) for item in items)
 
 
-#: Spellings of the number types.
-DTYPES = {"float16": "float16", "fp16": "float16", "half": "float16", "bfloat16": "bfloat16", "bf16": "bfloat16", "float32": "float32", "fp32": "float32", "float": "float32", "auto": "auto"}
+# The spellings of the number types.
+DTYPES = {
+    "float16": "float16", "fp16": "float16", "half": "float16",
+    "bfloat16": "bfloat16", "bf16": "bfloat16",
+    "float32": "float32", "fp32": "float32",
+}
 
 
 def parse_dtype(name: str) -> str:
-    key = name.strip().lower().removeprefix("torch.")
+    key = name.strip().lower()
     if key not in DTYPES:
         raise ValueError(f"unknown number type: {name!r}")
     return DTYPES[key]

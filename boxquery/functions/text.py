@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Latin letters with marks and the letters without, for what has no built-in decomposition.
 _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
-#: Words of a true and of a false flag.
+# The words of a true and of a false flag.
 TRUE_WORDS = ("1", "true", "t", "yes", "y", "on")
 FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
 
@@ -72,75 +72,133 @@ def coerce_float(value: Column) -> Column:
 
 
 def raw_boxes(output: Column) -> Column:
-    """Boxes (array of 4 bins) with their labels from a model's token text.
+    """Labels and boxes (four bins each) of a model's token text.
 
-    Text after the end sign is cut; a missing close sign is supplied; a group is a label
-    between object signs and boxes between box signs, parted by commas, of exactly four
-    <n> tokens each.
+    Text after the end sign is cut, and a closing box sign is supplied where the text doesn't
+    end in one. A group is a label between object signs and boxes between box signs, parted
+    by commas; a box is exactly four <n> tokens.
     """
     text = F.get(F.split(output, r"<\|im_end\|>"), F.lit(0))
-    opened = F.regexp_count(text, F.lit(r"<\|box_start\|>")) > F.regexp_count(text, F.lit(r"<\|box_end\|>"))
-    text = F.when(opened, F.concat(text, F.lit("<|box_end|>"))).otherwise(text)
-    groups = F.regexp_extract_all(text, F.lit(r"(<\|object_ref_start\|>[^|]*?<\|object_ref_end\|>\s*<\|box_start\|>.*?<\|box_end\|>)"), F.lit(1))
+    text = F.when(text.endswith("<|box_end|>"), text).otherwise(F.concat(text, F.lit("<|box_end|>")))
+    group = r"<\|object_ref_start\|>\s*[^<]+?\s*<\|object_ref_end\|>\s*<\|box_start\|>.*?<\|box_end\|>"
+    groups = F.regexp_extract_all(text, F.lit(f"({group})"), F.lit(1))
 
-    def boxes(group: Column) -> Column:
-        label = F.trim(F.regexp_extract(group, r"<\|object_ref_start\|>(.*?)<\|object_ref_end\|>", 1))
-        inner = F.regexp_extract(group, r"<\|box_start\|>(.*?)<\|box_end\|>", 1)
+    def boxes(g: Column) -> Column:
+        label = F.trim(F.regexp_extract(g, r"<\|object_ref_start\|>([^<]+)<", 1))
+        inner = F.regexp_extract(g, r"<\|box_start\|>(.*?)<\|box_end\|>", 1)
         numbers = F.transform(F.split(inner, ","), lambda b: F.transform(F.regexp_extract_all(b, F.lit(r"<(\d+)>"), F.lit(1)), lambda n: n.cast("int")))
-        return F.transform(F.filter(numbers, lambda n: F.size(n) == 4), lambda n: F.struct(label.alias("label"), n.alias("bins")))
+        return F.transform(F.filter(numbers, lambda n: (F.size(n) == 4) & (label != "")), lambda n: F.struct(label.alias("label"), n.alias("bins")))
 
     return F.flatten(F.transform(groups, boxes))
 
 
-#: Names of corner fields, in the order in which they are tried.
+# The field names of model payloads, in the order in which they are tried.
 CORNER_KEYS = (("x1", "y1", "x2", "y2"), ("xmin", "ymin", "xmax", "ymax"), ("left", "top", "right", "bottom"))
-#: Names of label and score fields, in the order in which they are tried.
-LABEL_KEYS = ("label", "class", "class_name", "category", "name", "phrase")
-SCORE_KEYS = ("score", "confidence", "prob", "probability")
-#: Names of fields that hold a payload's entries.
-CONTAINER_KEYS = ("detections", "predictions", "objects", "results", "boxes", "items", "annotations")
+SIZE_KEYS = (("x", "y", "w", "h"), ("x", "y", "width", "height"))
+XYXY_KEYS = ("bbox_xyxy", "xyxy", "box_xyxy")
+XYWH_KEYS = ("bbox_xywh", "xywh", "box_xywh")
+BOX_KEYS = ("bbox", "box", "bounding_box", "coordinates")
+FORMAT_KEYS = ("bbox_format", "box_format")
+XYWH_FORMATS = ("xywh", "coco", "xywh_abs")
+LABEL_KEYS = ("label", "category", "class", "class_name", "name", "text")
+SCORE_KEYS = ("score", "confidence", "conf", "probability", "prob")
+CONTAINER_KEYS = ("detections", "predictions", "objects", "instances", "items", "results", "outputs")
+
+
+def _corners(a: Column, b: Column, c: Column, d: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), F.array(a, b, c, d))
+
+
+def _sized(x: Column, y: Column, w: Column, h: Column) -> Column:
+    zero = F.lit(0.0)
+    return _corners(x, y, F.when(w.isNotNull(), x + F.greatest(zero, w)), F.when(h.isNotNull(), y + F.greatest(zero, h)))
+
+
+def _number(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "double")
+
+
+def _listed(v: Column, path: str) -> list[Column]:
+    """The numbers of a list of exactly four."""
+    four = F.size(F.try_variant_get(v, path, "array<variant>")) == 4
+    return [F.when(four, _number(v, f"{path}[{i}]")) for i in range(4)]
+
+
+def _variant_box(v: Column, nested: bool = True) -> Column:
+    tries = [_corners(*(_number(v, f"$.{k}") for k in names)) for names in CORNER_KEYS]
+    tries += [_sized(*(_number(v, f"$.{k}") for k in names)) for names in SIZE_KEYS]
+    tries += [_corners(*_listed(v, f"$.{k}")) for k in XYXY_KEYS]
+    tries += [_sized(*_listed(v, f"$.{k}")) for k in XYWH_KEYS]
+    kind = F.lower(F.trim(F.coalesce(*(F.try_variant_get(v, f"$.{k}", "string") for k in FORMAT_KEYS))))
+    for k in BOX_KEYS:
+        if nested:
+            tries.append(_variant_box(F.try_variant_get(v, f"$.{k}", "variant"), nested=False))
+        four = _listed(v, f"$.{k}")
+        tries.append(F.when(kind.isin(*XYWH_FORMATS), _sized(*four)).otherwise(_corners(*four)))
+    return F.coalesce(*tries)
+
+
+def _variant_label(v: Column) -> Column:
+    texts = [F.nullif(F.trim(F.coalesce(F.try_variant_get(v, f"$.{k}[0]", "string"), F.try_variant_get(v, f"$.{k}", "string"))), F.lit("")) for k in LABEL_KEYS]
+    return F.coalesce(*texts)
+
+
+def _variant_score(v: Column) -> Column:
+    return F.coalesce(*(_number(v, f"$.{k}") for k in SCORE_KEYS), F.lit(1.0))
+
+
+def _variant_entries(v: Column) -> Column:
+    """The entries of a payload: itself if a list or if it has a label, else those of its first container that is a list."""
+    none = F.array().cast("array<variant>")
+    labelled = F.coalesce(*(F.try_variant_get(v, f"$.{k}", "variant") for k in LABEL_KEYS)).isNotNull()
+    lists = [F.try_variant_get(v, f"$.{k}", "array<variant>") for k in CONTAINER_KEYS]
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(labelled, F.array(v)), *lists, none)
 
 
 def payload_box(payload: Column) -> Column:
     """x1, y1, x2, y2 of a JSON entry, by the first names that are all numbers; null if none are."""
-    v = F.try_parse_json(payload)
-    number = lambda path: F.try_variant_get(v, path, "double")
-    corners = lambda a, b, c, d: F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), F.array(a, b, c, d))
-    tries = [corners(*(number(f"$.{k}") for k in names)) for names in CORNER_KEYS]
-    x, y, w, h = (number(f"$.{k}") for k in ("x", "y", "w", "h"))
-    tries.append(corners(x, y, x + w, y + h))
-    b = [number(f"$.bbox[{i}]") for i in range(4)]
-    as_xywh = F.lower(F.try_variant_get(v, "$.bbox_format", "string")) == "xywh"
-    tries.append(corners(b[0], b[1], F.when(as_xywh, b[0] + b[2]).otherwise(b[2]), F.when(as_xywh, b[1] + b[3]).otherwise(b[3])))
-    tries += [corners(*(number(f"$.box.{k}") for k in names)) for names in CORNER_KEYS]
-    return F.coalesce(*tries)
+    return _variant_box(F.try_parse_json(payload))
 
 
 def payload_label(payload: Column) -> Column:
     """The first label field that isn't blank; of a list the first element."""
-    v = F.try_parse_json(payload)
-    texts = [F.nullif(F.trim(F.coalesce(F.try_variant_get(v, f"$.{k}[0]", "string"), F.try_variant_get(v, f"$.{k}", "string"))), F.lit("")) for k in LABEL_KEYS]
-    return F.coalesce(*texts)
+    return _variant_label(F.try_parse_json(payload))
 
 
 def payload_score(payload: Column) -> Column:
     """The first score field that is a number, else 1."""
-    v = F.try_parse_json(payload)
-    return F.coalesce(*(F.coalesce(F.try_variant_get(v, f"$.{k}[0]", "double"), F.try_variant_get(v, f"$.{k}", "double")) for k in SCORE_KEYS), F.lit(1.0))
+    return _variant_score(F.try_parse_json(payload))
 
 
 def payload_entries(payload: Column) -> Column:
-    """The entries of a payload as JSON texts: itself if a list, else its first container field, else it alone."""
-    v = F.try_parse_json(payload)
-    lists = [F.try_variant_get(v, "$", "array<variant>"), *(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in CONTAINER_KEYS)]
-    whole = F.when(v.isNotNull(), F.array(v))
-    return F.transform(F.coalesce(*lists, whole), lambda e: F.to_json(e))
+    """The entries of a payload as JSON texts; none of what isn't a payload."""
+    return F.transform(_variant_entries(F.try_parse_json(payload)), lambda e: F.to_json(e))
+
+
+def category_map_entries(payload: Column) -> Column:
+    """label, score and box of a payload {label: entry or list of entries}; an entry is an object or four numbers."""
+    pairs = F.map_entries(F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>"))
+
+    def of(pair: Column) -> Column:
+        label, value = F.trim(pair["key"]), pair["value"]
+        entries = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+        def entry(e: Column) -> Column:
+            typed = F.lower(F.trim(F.try_variant_get(e, "$.type", "string"))) == "box"
+            box = F.coalesce(F.when(typed, _corners(*_listed(e, "$.coords"))), _variant_box(e), _corners(*_listed(e, "$")))
+            return F.struct(label.alias("label"), _variant_score(e).alias("score"), box.alias("box"))
+
+        return F.filter(F.transform(entries, entry), lambda d: (d["label"] != "") & d["box"].isNotNull())
+
+    return F.coalesce(F.flatten(F.transform(pairs, of)), F.expr("cast(array() as array<struct<label:string,score:double,box:array<double>>>)"))
 
 
-def pick_backend(model: Column) -> Column:
-    """Which runner a model's name asks for."""
-    name = normalize_label(model)
-    return F.when(name.contains("rex") | name.contains("qwen"), "rex").when(name.contains("dino"), "dino").otherwise("dino")
+def pick_backend(model: Column, detector: Column, asked: Column) -> Column:
+    """The runner that was asked for; for "auto" the one that the names hint at."""
+    hint = F.concat_ws(" ", normalize_label(detector), normalize_label(model))
+    asked = F.lower(F.trim(asked))
+    known = asked.isin("auto", "transformers", "rex_omni")
+    auto = F.when(hint.contains("rex omni") | hint.contains("rexomni"), "rex_omni").otherwise("transformers")
+    return F.when(~known, F.raise_error(F.concat(F.lit("unknown backend: "), asked)).cast("string")).when(asked != "auto", asked).otherwise(auto)
 
 
 def entropy(dist: Column) -> Column:

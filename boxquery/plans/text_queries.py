@@ -112,7 +112,7 @@ def w12_dedupe_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.dedupe_phrases(p, text.normalize_label(F.substring("phrase", 1, 12)), 30)
 
 
-@query("SELECT conv_id, turn, CASE WHEN role LIKE '%user%' THEN 'rex' ELSE 'dino' END AS backend FROM conversations", views=False)
+@query("SELECT conv_id, turn, CASE WHEN role LIKE '%user%' THEN 'rex_omni' ELSE 'transformers' END AS backend FROM conversations", views=False)
 def p34_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", text.pick_backend(F.when(F.col("role").contains("user"), "Some-Rex_v1").otherwise("Grounding-DINO")).alias("backend"))
+    return c.select("conv_id", "turn", text.pick_backend(F.when(F.col("role").contains("user"), "Some/Rex-Omni").otherwise("Grounding-DINO"), F.lit("dino"), F.lit("auto")).alias("backend"))

@@ -6,7 +6,6 @@ JSON documents become flat tables with fixed schemas; Parquet is the form betwee
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -88,13 +87,14 @@ def binary_listing(spark: SparkSession, path: str, glob: str = "*.tif") -> DataF
 def prompts(text: str, kind: str) -> list[tuple[str, str, int]]:
     """(group, phrase, position) of a prompt file's text; kind: yaml, json or txt."""
     if kind == "txt":
-        rows, group = [], "default"
-        for line in text.splitlines():
-            line = line.strip()
-            if m := re.fullmatch(r"(prompt[^:]*):\s*(.*)", line, re.IGNORECASE):
-                group, line = m[1], m[2]
-            line = line.lstrip("-").strip()
-            rows += [(group, p.strip()) for p in line.split(".") if p.strip()]
+        rows = []
+        for line in map(str.strip, text.splitlines()):
+            payload = ""
+            if ":" in line and line.lower().startswith("prompt"):
+                payload = line.split(":", 1)[1]
+            elif line.startswith("-"):
+                payload = line[1:]
+            rows += [("default", p.strip()) for p in payload.split(".") if p.strip()]
     else:
         if kind == "yaml":
             import yaml
@@ -118,14 +118,33 @@ def prompt_table(spark: SparkSession, text: str, kind: str) -> DataFrame:
     return spark.createDataFrame(rows, "prompt_set string, class_name string, phrase string, pos int")
 
 
-def training_log(spark: SparkSession, path: str, start: str = "Argumentos:") -> DataFrame:
-    """run, epoch, loss, map of a log; a run begins at the marker, and of an epoch that a later run repeats the later counts."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    lines = lines.withColumn("run", F.sum(F.col("value").contains(start).cast("int")).over(W.orderBy("_at")))
-    got = lines.select("run", "_at", *(F.regexp_extract("value", p, 1).try_cast(k).alias(n) for n, p, k in (("epoch", r"[Ee]poch[^\d]*(\d+)", "int"), ("loss", r"[Ll]oss[^\d]*([\d.]+)", "double"), ("map", r"mAP[^\d]*([\d.]+)", "double"))))
-    got = got.where("epoch is not null").groupBy("run", "epoch").agg(F.max("loss").alias("loss"), F.max("map").alias("map"))
-    later = W.partitionBy("epoch").orderBy(F.desc("run"))
-    return got.withColumn("_r", F.row_number().over(later)).where("_r = 1").drop("_r")
+# The lines of a training log.
+LOG_START = "[INFO] Argumentos:"
+LOG_ITERATION = r"Epoch (\d+) \| iter (\d+)/(\d+) \| (train|val)_loss=([0-9.]+)"
+LOG_EPOCH = r"Epoch (\d+)/\d+ \| train_loss=([0-9.]+) \| val_loss=([0-9.]+) \| (?:AP50|mAP50|mAP)=([0-9.]+) \| lr=([0-9.eE+-]+)"
+
+
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines with their run: a run begins at each start line. A log is one file, read in order."""
+    lines = spark.read.text(path).coalesce(1).withColumn("at", F.monotonically_increasing_id())
+    return lines.withColumn("run", F.sum(F.col("value").contains(LOG_START).cast("int")).over(W.orderBy("at")))
+
+
+def training_epochs(spark: SparkSession, path: str) -> DataFrame:
+    """run, epoch, train_loss, val_loss, map, lr; where a run goes on from an earlier epoch, what was after it is gone."""
+    names = ("epoch", "train_loss", "val_loss", "map", "lr")
+    lines = _log_lines(spark, path).where(F.col("value").rlike(LOG_EPOCH))
+    got = lines.select("run", *(F.regexp_extract("value", LOG_EPOCH, k + 1).try_cast("int" if k == 0 else "double").alias(n) for k, n in enumerate(names)))
+    starts = got.groupBy("run").agg(F.min("epoch").alias("start"))
+    later = starts.withColumn("cut", F.min("start").over(W.orderBy("run").rowsBetween(1, W.unboundedFollowing))).select("run", "cut")
+    return got.join(later, "run").where(F.col("cut").isNull() | (F.col("epoch") < F.col("cut"))).drop("cut")
+
+
+def training_iterations(spark: SparkSession, path: str) -> DataFrame:
+    """run, kind (train, val), epoch, iteration, of, loss."""
+    lines = _log_lines(spark, path).where(F.col("value").rlike(LOG_ITERATION))
+    part = lambda k, t: F.regexp_extract("value", LOG_ITERATION, k).cast(t)
+    return lines.select("run", part(4, "string").alias("kind"), part(1, "int").alias("epoch"), part(2, "int").alias("iteration"), part(3, "int").alias("of"), part(5, "double").alias("loss"))
 
 
 def metric_files(spark: SparkSession, paths: dict[str, str], metrics: list[str]) -> DataFrame:

@@ -119,7 +119,7 @@ def test_params():
     assert params.score_text_pairs("0.1:0.2, 0.1:0.2,0.3:0.4") == [(0.1, 0.2), (0.3, 0.4)]
     assert params.max_dets(0) == [1, 1, 1] and params.max_dets(800) == [100, 500, 800]
     assert params.target_size(10, 0.25) == 2 and params.grid(0.1, 0.3, 0.1) == [0.1, 0.2, 0.3]
-    assert params.ratio_percent("r0.2") == 20 and params.ratio_percent("r30") == 30 and params.parse_dtype("torch.FP16") == "float16"
+    assert params.ratio_percent("r0.2") == 20 and params.ratio_percent("r30") == 30 and params.parse_dtype(" FP16") == "float16"
     for bad in ("", "0.1", "0.1:2"):
         with pytest.raises(ValueError):
             params.score_text_pairs(bad)
@@ -135,6 +135,30 @@ def test_labels(spark):
     assert tuple(got) == (0.25, None, None)
 
 
+def test_payload_forms(spark):
+    rows = [
+        ('{"left": 1, "top": 2, "right": 3, "bottom": 4, "text": "a"}', [1.0, 2.0, 3.0, 4.0]),
+        ('{"x": 1, "y": 2, "width": 3, "height": -4}', [1.0, 2.0, 4.0, 2.0]),
+        ('{"bbox_xywh": [1, 2, 3, 4]}', [1.0, 2.0, 4.0, 6.0]),
+        ('{"bbox": [1, 2, 3, 4], "box_format": "COCO"}', [1.0, 2.0, 4.0, 6.0]),
+        ('{"coordinates": {"xmin": 1, "ymin": 2, "xmax": 3, "ymax": 4}}', [1.0, 2.0, 3.0, 4.0]),
+        ('{"bbox": [1, 2, 3]}', None),
+        ('{"x1": "x", "y1": 2, "x2": 3, "y2": 4}', None),
+    ]
+    df = spark.createDataFrame(rows, "p string, want array<double>")
+    assert all(r.got == r.want for r in df.withColumn("got", text.payload_box(F.col("p"))).collect())
+    entries = spark.createDataFrame([('[{"a": 1}]',), ('{"name": "x"}',), ('{"instances": [{"a": 1}, {"b": 2}]}',), ('{"other": []}',), ("broken",)], "p string")
+    assert [len(r[0]) for r in entries.select(text.payload_entries(F.col("p"))).collect()] == [1, 1, 2, 0, 0]
+    got = spark.createDataFrame([('{"car": [{"type": "box", "coords": [1, 2, 3, 4]}, [5, 6, 7, 8], "x"], " ": [[1, 2, 3, 4]]}',)], "p string").select(text.category_map_entries(F.col("p"))).first()[0]
+    assert [(g.label, g.score, g.box) for g in got] == [("car", 1.0, [1.0, 2.0, 3.0, 4.0]), ("car", 1.0, [5.0, 6.0, 7.0, 8.0])]
+
+
+def test_raw_boxes_supply_the_closing_sign(spark):
+    out = "<|object_ref_start|> big car <|object_ref_end|><|box_start|><1><2><3><4>,<5><6>,<7><8><9><10>"
+    got = spark.createDataFrame([(out,), (out + "<|box_end|><|im_end|><|box_start|>",), ("",)], "t string").select(text.raw_boxes(F.col("t"))).collect()
+    assert [[(b.label, b.bins) for b in r[0]] for r in got] == [[("big car", [1, 2, 3, 4]), ("big car", [7, 8, 9, 10])]] * 2 + [[]]
+
+
 def test_stats_of_empty_tables(spark):
     g = spark.createDataFrame([], GT)
     assert stats.dataset_stats(spark.createDataFrame([], "id long"), g).first().objects == 0

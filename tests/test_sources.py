@@ -40,7 +40,7 @@ def test_class_map_first_name_counts(spark, tmp_path):
 
 
 def test_prompt_dialects(spark):
-    assert readers.prompts("prompt one: car . bus\n- plane", "txt") == [("prompt one", "car", 0), ("prompt one", "bus", 1), ("prompt one", "plane", 2)]
+    assert readers.prompts("Prompt one: car . bus\n- plane\nother line", "txt") == [("default", "car", 0), ("default", "bus", 1), ("default", "plane", 2)]
     assert readers.prompts('["a", "b"]', "json") == [("default", "a", 0), ("default", "b", 1)]
     assert readers.prompts("prompt_sets:\n  s1:\n    Car: [car, auto]\n", "yaml") == [("s1/Car", "car", 0), ("s1/Car", "auto", 1)]
     assert readers.prompt_table(spark, "prompt_sets:\n  s1:\n    Car: [car]\n", "yaml").first() == ("s1", "Car", "car", 0)
@@ -58,7 +58,9 @@ def test_metric_files_and_sets(spark, tmp_path):
     assert writers.markdown(df.orderBy("v")).splitlines()[2] == "| 1 | s1 |"
 
 
-def test_training_log_later_run_wins(spark, tmp_path):
-    text = "Argumentos: a\nEpoch 1 loss: 2.0 mAP: 0.1\nEpoch 2 loss: 1.5 mAP: 0.2\nArgumentos: b\nEpoch 2 loss: 1.0 mAP: 0.3\n"
-    got = readers.training_log(spark, put(tmp_path, "log.txt", text))
-    assert sorted((r.epoch, r.run, r.loss, r.map) for r in got.collect()) == [(1, 1, 2.0, 0.1), (2, 2, 1.0, 0.3)]
+def test_training_log_of_a_run_that_goes_on(spark, tmp_path):
+    epoch = lambda e, m: f"Epoch {e}/9 | train_loss=1.5 | val_loss=2.5 | mAP50={m} | lr=1e-4\n"
+    text = "[INFO] Argumentos: a\n" + epoch(1, 0.1) + epoch(2, 0.2) + epoch(3, 0.3) + "[INFO] Argumentos: b\nEpoch 2 | iter 5/10 | val_loss=0.5\n" + epoch(2, 0.4)
+    path = put(tmp_path, "log.txt", text)
+    assert sorted((r.epoch, r.run, r.map, r.lr) for r in readers.training_epochs(spark, path).collect()) == [(1, 1, 0.1, 1e-4), (2, 2, 0.4, 1e-4)]
+    assert [tuple(r) for r in readers.training_iterations(spark, path).collect()] == [(2, "val", 2, 5, 10, 0.5)]
