@@ -54,6 +54,25 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((prefix[ends] - prefix[starts]) * powers(base, len(prefix))[1][starts] + (ends - starts).astype(np.uint64))
 
 
+def rolling_hash(prefix: np.ndarray, k: int, base: int) -> np.ndarray:
+    """``span_hash`` of all k consecutive values, in place and without index arrays."""
+    n = len(prefix) - k
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = prefix[k:] - prefix[:-k]
+    h *= powers(base, len(prefix))[1][:n]
+    h += np.uint64(k)
+    spare = h >> np.uint64(30)
+    h ^= spare
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(h, np.uint64(27), out=spare)
+    h ^= spare
+    h *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(h, np.uint64(31), out=spare)
+    h ^= spare
+    return h
+
+
 def runs_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each maximal run of True that doesn't cross a text's end."""
     n = len(member)
@@ -117,13 +136,13 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     """
     n = len(values)
     if n < w:
-        return np.zeros(0, np.int64)
-    low32 = np.uint64(0xFFFFFFFF)
-    key = (values & ~low32) | (low32 - np.arange(n, dtype=np.uint64))
-    wide = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    wide[:n] = key
-    grid = wide.reshape(-1, w)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(right[: n - w + 1], left[w - 1 : n])
-    return (low32 - (low & low32)).astype(np.int64)
+        return np.zeros(0, np.uint32)
+    key = np.empty(-(-n // w) * w, np.uint64)
+    key[n:] = np.iinfo(np.uint64).max
+    halves = key[:n].view(np.uint32).reshape(-1, 2)  # little-endian: the low half comes first
+    halves[:, 0] = np.uint32(0xFFFFFFFF) - np.arange(n, dtype=np.uint32)
+    halves[:, 1] = np.ascontiguousarray(values).view(np.uint32).reshape(-1, 2)[:, 1]
+    grid = key.reshape(-1, w)
+    low = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()[: n - w + 1]
+    low = np.minimum(low, np.minimum.accumulate(grid, axis=1).ravel()[w - 1 : n])
+    return np.uint32(0xFFFFFFFF) - low.view(np.uint32).reshape(-1, 2)[:, 0]

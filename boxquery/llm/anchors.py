@@ -16,16 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxquery.llm._common import blocks, text_bytes, written
-from boxquery.llm._text import sliding_argmin, window_starts
+from boxquery.llm._text import sliding_argmin
 
 #: Bits of the bitmap for each repeated anchor, and at most.
 BITS_PER_ANCHOR = 16
 MOST_BITS = 28
-_SEGMENT = 20
+#: Bits of a segment, as the built-in bitmap aggregate has them, and where a value's second part begins.
+_SEGMENT = 15
+_SECOND = 28
 #: A null id stands for one document after all others.
 NO_ID = (1 << 63) - 1
 
@@ -38,111 +40,209 @@ class Spans:
     start: np.ndarray  # first window
     windows: np.ndarray  # number of windows
     owner: np.ndarray  # text
+    at: np.ndarray  # where the anchor stands
 
 
 def winnow(seeds: np.ndarray, symbol_offsets: np.ndarray, width: int, seed: int) -> Spans:
-    """``seeds``: a hash of the seed-gram that starts at each symbol (of use where it fits in)."""
-    first, _, owner = window_starts(symbol_offsets, width)
-    if not len(first):
-        none = np.zeros(0, np.int64)
-        return Spans(none.astype(np.uint64), none, none, none)
-    at = sliding_argmin(seeds, width - seed + 1)[first]
-    edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
-    return Spans(seeds[at[edge]], first[edge], np.diff(np.append(edge, len(first))), owner[edge])
+    """``seeds``: a hash of each seed-gram of the symbols, in order."""
+    none = np.zeros(0, np.int64)
+    sizes = np.diff(symbol_offsets)
+    texts = np.flatnonzero(sizes >= width)
+    if not len(texts):
+        return Spans(none.astype(np.uint64), none, none, none, none)
+    at = sliding_argmin(seeds, width - seed + 1)
+    opens, closes = symbol_offsets[texts], symbol_offsets[texts + 1] - width + 1
+    change = np.flatnonzero(at[1:] != at[:-1]) + 1
+    edges = np.unique(np.concatenate([change, opens, closes]))
+    start, end = edges[:-1], edges[1:]
+    k = np.searchsorted(opens, start, side="right") - 1
+    inside = (k >= 0) & (start < closes[k])
+    start, end, k = start[inside], end[inside], k[inside]
+    return Spans(seeds[at[start]], start, end - start, texts[k], at[start].astype(np.int64))
+
+
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in some column."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def document_key(docs: DataFrame) -> tuple[Column, Column]:
+    """id (null: after all others) and th, which tells texts of one id apart: the text's hash, or 0 where no id repeats."""
+    id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    unique = docs.select(id.alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    return id, F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """id (null: after all others), th and text (null: empty): a document is an id with a text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(text), "text": text})
+    """Adds the key (id, th), and makes a null text empty: a document is an id with a text."""
+    id, th = document_key(docs)
+    return docs.withColumns({"id": id, "th": th, "text": F.coalesce(F.col("text"), F.lit(""))})
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-#: What a kernel returns for a block: the symbols' offsets of the texts, the seeds, and what makes content and signature of spans.
+#: What a kernel returns for a block: the symbols' offsets of the texts, the seeds, and what makes signatures and contents of spans.
 Kernel = Callable[[np.ndarray, np.ndarray], tuple]
+BLOCK_BYTES = 1 << 18
 
 
 def repeated_anchors(docs: DataFrame, kernel: Kernel, width: int, seed: int) -> DataFrame:
     """The hashes of anchors that occur twice or more, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, BLOCK_BYTES):
             offsets, seeds, *_ = kernel(*text_bytes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([_signed(winnow(seeds, offsets, width, seed).anchor)], names=["anchor"])
+            anchor = winnow(seeds, offsets, width, seed).anchor
+            third = np.zeros(len(anchor), bool)  # of an anchor said many times running, two are enough
+            third[2:] = (anchor[2:] == anchor[1:-1]) & (anchor[1:-1] == anchor[:-2])
+            yield pa.RecordBatch.from_arrays([_signed(anchor[~third])], names=["anchor"])
 
     found = docs.select("text").mapInArrow(run, "anchor long")
     return written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
 
 
-def bitmap(anchors: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the upper bits of the anchors; 32 MB at most, whatever their number."""
-    bits = min(MOST_BITS, max(_SEGMENT, int(anchors.count() * BITS_PER_ANCHOR).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place = batch.column(0).to_numpy()
-            order = np.argsort(place, kind="stable")
-            place = place[order]
-            for k in np.unique(place >> _SEGMENT):
-                flags = made.setdefault(int(k), np.zeros(1 << _SEGMENT, bool))
-                a, z = np.searchsorted(place, [k << _SEGMENT, (k + 1) << _SEGMENT])
-                flags[place[a:z] & ((1 << _SEGMENT) - 1)] = True
-        for k, flags in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["segment", "bits"])
-
-    place = F.shiftrightunsigned("anchor", 64 - bits).cast("long").alias("place")
-    rows = anchors.select(place).repartition(F.shiftright("place", _SEGMENT)).mapInArrow(run, "segment long, bits binary")
+@dataclass
+class Bitmap:
+    """A set of 64-bit values by two of their parts; it may answer yes for others (about one in a hundred)."""
+
+    flags: np.ndarray
+    bits: int
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), bool)
+        for part in (values.view(np.uint64), values.view(np.uint64) >> np.uint64(_SECOND)):
+            place = part & np.uint64((1 << self.bits) - 1)
+            out &= ((self.flags[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        return out
+
+
+def bitmap(values: DataFrame) -> Bitmap:
+    """Of one long column; 32 MB at most, whatever its rows, and made by segments on the executors."""
+    bits = min(MOST_BITS, max(_SEGMENT, int(values.count() * BITS_PER_ANCHOR).bit_length()))
+    value = F.col(values.columns[0])
+    mask = F.lit((1 << bits) - 1).cast("long")
+    places = F.array(value.bitwiseAND(mask), F.shiftrightunsigned(value, _SECOND).bitwiseAND(mask))
+    rows = values.select(F.explode(places).alias("place")).select(F.shiftright("place", _SEGMENT).alias("segment"), F.col("place").bitwiseAND(F.lit((1 << _SEGMENT) - 1)).alias("bit"))
+    made = rows.repartition("segment").groupBy("segment").agg(F.bitmap_construct_agg("bit").alias("bits"))
     whole = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (_SEGMENT - 3)
-    for row in rows.toLocalIterator():
-        whole[row["segment"] * size : (row["segment"] + 1) * size] |= np.frombuffer(row["bits"], np.uint8)
-    return whole, bits
+    for row in made.collect():
+        whole[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return Bitmap(whole, bits)
+
 
+def spans(docs: DataFrame, kernel: Kernel, width: int, seed: int) -> DataFrame:
+    """anchor, sig (of the content), id, th, pos (first window), n (windows) and k of spans whose anchor may repeat; written.
 
-def spans(docs: DataFrame, kernel: Kernel, width: int, seed: int, content: str) -> DataFrame:
-    """anchor, sig (of the content), id, th, pos (first window), n (windows) and content of spans whose anchor may repeat; written."""
-    flags, bits = bitmap(repeated_anchors(docs, kernel, width, seed))
-    sent = docs.sparkSession.sparkContext.broadcast(flags)
+    A row stands for k equal spans one after the other, as periodic text has them.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(repeated_anchors(docs, kernel, width, seed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            ids, hashes = batch.column(1), batch.column(2)
-            offsets, seeds, signature, contents = kernel(*text_bytes(batch.column(0)))
+        for batch in blocks(batches, BLOCK_BYTES):
+            offsets, seeds, signature, _ = kernel(*text_bytes(batch.column(0)))
             got = winnow(seeds, offsets, width, seed)
-            place = got.anchor >> np.uint64(64 - bits)
-            on = np.flatnonzero((sent.value[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1)
-            start, n, owner = got.start[on], got.windows[on], got.owner[on]
+            on = sent.value.has(got.anchor)
+            anchor, start, n, owner = got.anchor[on], got.start[on], got.windows[on], got.owner[on]
+            sig = signature(start, start + n + width - 1)
+            new = _fresh(anchor, sig, owner, start - np.arange(len(n)) * n)
+            first = np.flatnonzero(new)
+            k = np.diff(np.append(first, len(n)))
+            take = pa.array(owner[first])
             yield pa.RecordBatch.from_arrays(
-                [_signed(got.anchor[on]), _signed(signature(start, start + n + width - 1)), ids.take(pa.array(owner)), hashes.take(pa.array(owner)), pa.array((start - offsets[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), contents(start, n)],
-                names=["anchor", "sig", "id", "th", "pos", "n", "content"],
+                [_signed(anchor[first]), _signed(sig[first]), batch.column(1).take(take), batch.column(2).take(take), pa.array((start - offsets[owner])[first].astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(k.astype(np.int32))],
+                names=["anchor", "sig", "id", "th", "pos", "n", "k"],
             )
 
-    return written(docs.select("text", "id", "th").mapInArrow(run, f"anchor long, sig long, id long, th long, pos int, n int, content {content}"), "spans")
+    return written(docs.select("text", "id", "th").mapInArrow(run, "anchor long, sig long, id long, th long, pos int, n int, k int"), "spans")
 
 
 def classes(found: DataFrame) -> DataFrame:
     """A row for each class of equal spans: how many there are, and the first of them; written."""
     first = F.min(F.struct("id", "th", "pos")).alias("first")
-    return written(found.groupBy("anchor", "sig").agg(F.count(F.lit(1)).alias("c"), first), "classes")
+    return written(found.groupBy("anchor", "sig").agg(F.sum("k").alias("c"), first), "classes")
+
+
+def _place(sig: Column, id: Column, th: Column, pos: Column) -> Column:
+    """A value of a span occurrence of which ``_places`` makes the same in numpy: shifts and exclusive ors, which can't overflow."""
+    v = sig.bitwiseXOR(th).bitwiseXOR(F.shiftleft(id, 5)).bitwiseXOR(F.shiftleft(pos.cast("long"), 13))
+    v = v.bitwiseXOR(F.shiftleft(v, 21))
+    v = v.bitwiseXOR(F.shiftrightunsigned(v, 35))
+    return v.bitwiseXOR(F.shiftleft(v, 4))
+
 
+def _places(sig: np.ndarray, id: np.ndarray, th: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    v = (sig.view(np.int64) ^ th ^ (id << 5) ^ (pos << 13)).view(np.uint64)
+    v = v ^ (v << np.uint64(21))
+    v = v ^ (v >> np.uint64(35))
+    return v ^ (v << np.uint64(4))
 
-def ambiguous(of: DataFrame) -> DataFrame:
-    """The classes whose anchor has other classes too, with ``m``, the number of them."""
-    several = of.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return of.join(several, "anchor")
 
+def differing(docs: DataFrame, of: DataFrame, kernel: Kernel, width: int, seed: int, content: str, many: int) -> DataFrame:
+    """anchor, id, th, pos, at (the anchor, from pos on), hot and content of each class's first span, of anchors that have several classes; written.
 
-def first_content(found: DataFrame, of: DataFrame) -> DataFrame:
-    """The classes with the content of their first span."""
-    first = of.select("anchor", "sig", "c", "m", F.col("first.id").alias("id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"))
-    return first.join(found, ["anchor", "sig", "id", "th", "pos"])
+    Some other spans of repeated classes come along by chance. ``hot`` is true of all spans
+    of an anchor that has more than ``many`` classes, and by chance of others.
+    """
+    several = written(of.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
+    first = of.join(several, "anchor", "left_semi").select(_place(F.col("sig"), F.col("first.id"), F.col("first.th"), F.col("first.pos")).alias("place"))
+    context = docs.sparkSession.sparkContext
+    firsts, hots = context.broadcast(bitmap(written(first, "firsts"))), context.broadcast(bitmap(several.where(F.col("m") > many).select("anchor")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, BLOCK_BYTES):
+            offsets, seeds, signature, contents = kernel(*text_bytes(batch.column(0)))
+            got = winnow(seeds, offsets, width, seed)
+            ids, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            sig = signature(got.start, got.start + got.windows + width - 1)
+            pos = got.start - offsets[got.owner]
+            on = np.flatnonzero(firsts.value.has(_places(sig, ids[got.owner], hashes[got.owner], pos)))
+            anchor, start, n, owner = got.anchor[on], got.start[on], got.windows[on], got.owner[on]
+            yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(ids[owner]), pa.array(hashes[owner]), pa.array(pos[on].astype(np.int32)), pa.array((got.at[on] - start).astype(np.int32)), pa.array(hots.value.has(anchor)), contents(start, n)], names=["anchor", "id", "th", "pos", "at", "hot", "content"])
+
+    return written(docs.select("text", "id", "th").mapInArrow(run, f"anchor long, id long, th long, pos int, at int, hot boolean, content {content}"), "differing")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by column 0 in tables of about ``most`` bytes that part no group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        whole = pa.Table.from_batches([*held, batch])
+        key = whole.column(0).to_numpy()
+        each = max(1, whole.nbytes // whole.num_rows)
+        groups = np.flatnonzero(_fresh(key))
+        start = 0
+        for g in groups[1:]:  # the last group may go on
+            if (g - start) * each >= most:
+                yield whole.slice(start, g - start)
+                start = g
+        held = whole.slice(start).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def by_document(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with ``gone``: its removed spans (start, end, start, ...), unsorted and overlapping, or null."""
-    lists = removed.groupBy("id", "th").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("gone"))
-    return docs.join(lists, ["id", "th"], "left")
+    """``docs`` with ``gone``: its removed spans (start, end, start, ...), unsorted and overlapping, or null.
+
+    Only documents that may have any (by a bitmap) are shuffled to their spans.
+    """
+    lists = written(removed.groupBy("id", "th").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("gone")), "gone")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(lists.select(F.xxhash64("id", "th").alias("place"))))
+    placed = docs.withColumn("place", F.xxhash64("id", "th"))
+    where = len(placed.columns) - 1
+
+    def part(want: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(sent.value.has(batch.column(where).to_numpy()) == want))
+
+        return placed.mapInArrow(run, placed.schema).drop("place")
+
+    return part(True).join(lists, ["id", "th"], "left").unionByName(part(False).withColumn("gone", F.lit(None).cast("array<int>")))

@@ -17,69 +17,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquery.llm import anchors
-from boxquery.llm._common import blocks, table, text_bytes
-from boxquery.llm._text import BASES, WINDOW_BASES, covered, prefix_hash, span_hash
+from boxquery.llm._common import blocks, table, text_bytes, written
+from boxquery.llm._text import BASES, WINDOW_BASES, covered, mix, prefix_hash, rolling_hash, span_hash
 
 WINDOW = 400
 SEED = 64
-#: Bytes that one index covers, and classes of one anchor that it takes; an anchor of more has its windows matched by hash.
-INDEX_BYTES = 1 << 20
-INDEX_CLASSES = 256
+#: Bytes that one index covers, and classes of one anchor that it takes; an anchor of more has pieces of its spans matched by hash.
+INDEX_BYTES = 1 << 17
+INDEX_CLASSES = 2000
+#: Windows of a piece of such an anchor's spans.
+PIECE = 16
 
 
 class RunLengthIndex:
-    """The run-compressed transform of some texts, each closed by a sign of its own."""
+    """The run-compressed transform of some texts, each closed by a sign of its own (an earlier text's is the smaller)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         texts = len(offsets) - 1
         self.n = len(data) + texts
         if self.n >= 1 << 21:
             raise ValueError("the texts of one index are too long")
-        symbols = np.empty(self.n, np.int64)
         at = np.arange(len(data)) + np.repeat(np.arange(texts), np.diff(offsets))
-        symbols[at] = data.astype(np.int64) + texts
         self.starts = offsets[:-1] + np.arange(texts)
-        symbols[offsets[1:] + np.arange(texts)] = np.arange(texts)
-        self.order = self._suffix_array(symbols)
+        ends = offsets[1:] + np.arange(texts)
+        symbols = np.zeros(self.n, np.int64)  # signs are 0 here, and told apart by their place
+        symbols[at] = data.astype(np.int64) + 1
+        self.order = self._suffix_array(symbols, np.repeat(ends, np.diff(offsets) + 1))
+        symbols[ends] = -np.arange(1, texts + 1)
         transform = symbols[self.order - 1]
         change = transform[1:] != transform[:-1]
         self.heads = np.concatenate([[0], np.flatnonzero(change) + 1])  # rows where runs start
         self.run_symbols = transform[self.heads]
-        ends = np.append(self.heads[1:], self.n) - 1
         self.prefix = prefix_hash(symbols, WINDOW_BASES[1])
         self.before = self._samples(self.heads, -1)
-        self.after = self._samples(ends, 1)
+        self.after = self._samples(np.append(self.heads[1:], self.n) - 1, 1)
 
     @staticmethod
-    def _suffix_array(symbols: np.ndarray) -> np.ndarray:
-        """Suffixes in order, by prefix tripling from four symbols on."""
+    def _suffix_array(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Suffixes in order, by prefix doubling; ``ends``: where the sign of each place's text is.
+
+        Keys carry the place in their low bits, so one sort of numbers gives order and
+        ranks; what lies behind a sign counts nothing, and equal tails go by their place.
+        """
         n = len(symbols)
+        place = np.arange(n, dtype=np.uint64)
+        room = ends - np.arange(n) + 1  # of each suffix, its sign included
+        bits = np.uint64(max(1, (n - 1).bit_length()))
+        mask = (np.uint64(1) << bits) - np.uint64(1)
 
         def later(x: np.ndarray, by: int) -> np.ndarray:
             out = np.zeros(n, np.uint64)
             if by < n:
-                out[: n - by] = x[by:]
+                np.multiply(x[by:], room[: n - by] > by, out=out[: n - by], casting="unsafe")
             return out
 
-        first = np.unique(symbols, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-        width = np.uint64(int(first.max()).bit_length())
-        per = max(2, 63 // int(width))
-        key, depth = first, 1
-        for k in range(1, per):
-            key = (key << width) | later(first, k)
-        depth = per
-        bits = np.uint64(21)
+        used = np.zeros(257, bool)
+        used[symbols] = True
+        code = (np.cumsum(used) - 1).astype(np.uint64)[symbols] + np.uint64(1)
+        width = np.uint64(int(code.max()).bit_length())
+        depth = max(1, (64 - int(bits)) // int(width))
+        key = code
+        for k in range(1, depth):
+            key = (key << width) | later(code, k)
+        longest = int(room.max())
+        wide = np.uint64(n.bit_length())  # of a rank, 1 to n
         while True:
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            step = np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]])
-            rank_sorted = np.cumsum(step)
-            if rank_sorted[-1] == n - 1:
+            row = np.sort((key << bits) | place)
+            order = (row & mask).astype(np.int64)
+            row >>= bits
+            rank_sorted = np.cumsum(np.concatenate([[False], row[1:] != row[:-1]]))
+            if depth >= longest or rank_sorted[-1] == n - 1:
                 return order
             rank = np.empty(n, np.uint64)
             rank[order] = rank_sorted.astype(np.uint64) + np.uint64(1)
-            key = (((rank << bits) | later(rank, depth)) << bits) | later(rank, 2 * depth)
-            depth *= 3
+            key = (rank << wide) | later(rank, depth)
+            depth *= 2
 
     def _samples(self, rows: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
         """Text positions sampled at ``rows``, in text order, and how far each matches its neighbour row."""
@@ -117,8 +129,7 @@ class RunLengthIndex:
 def _kernel(window: int, seed: int) -> anchors.Kernel:
     def run(data: np.ndarray, offsets: np.ndarray) -> tuple:
         prefix = prefix_hash(data, BASES[0])
-        first = np.arange(len(data))
-        seeds = span_hash(prefix, first, np.minimum(first + seed, len(data)), BASES[0])
+        seeds = rolling_hash(prefix, seed, BASES[0])
 
         def signature(a: np.ndarray, z: np.ndarray) -> np.ndarray:
             return span_hash(prefix, a, z, BASES[0])
@@ -132,74 +143,82 @@ def _kernel(window: int, seed: int) -> anchors.Kernel:
     return run
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Rows sorted by column 0 in tables of about ``most`` bytes of ``content`` that part no group."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        whole = pa.Table.from_batches([*held, batch])
-        key = whole.column(0).to_numpy()
-        sizes = np.cumsum([len(x) for x in whole.column("content").to_pylist()])
-        groups = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        start = 0
-        for g in groups[1:]:  # the last group may go on
-            if sizes[g - 1] - (sizes[start - 1] if start else 0) >= most:
-                yield whole.slice(start, g - start)
-                start = g
-        held = whole.slice(start).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _indexed(rows: DataFrame, window: int) -> DataFrame:
-    """id, th, start, end (bytes) of single spans' windows that match in another class of their anchor."""
+    """id, th, start, end (bytes) of the windows of an anchor's spans that match in another of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches, INDEX_BYTES // 2):
+        for part in anchors.whole_groups(batches, INDEX_BYTES):
             content = part.column("content").to_pylist()
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in content])]).astype(np.int64)
-            index = RunLengthIndex(np.frombuffer(b"".join(content), np.uint8), offsets)
+            number: dict[bytes, int] = {}
+            of = np.array([number.setdefault(x, len(number)) for x in content])
+            sizes, pos = np.array([len(x) for x in content]), part.column("pos").to_numpy().astype(np.int64)
+            index = RunLengthIndex(np.frombuffer(b"".join(number), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in number])]).astype(np.int64))
             far = index.matching_statistics() >= window
             edge = np.flatnonzero(np.diff(np.concatenate([[False], far, [False]]).astype(np.int8)))
             a, z = edge[::2], edge[1::2]
-            owner = np.searchsorted(index.starts, a, side="right") - 1
-            single = part.column("c").to_numpy()[owner] == 1
-            a, z, owner = a[single], z[single], owner[single]
-            pos = part.column("pos").to_numpy()[owner] - index.starts[owner]
+            text = np.searchsorted(index.starts, a, side="right") - 1
+            # equal spans repeat all their windows; of the others the index says which
+            alone = np.bincount(of) == 1
+            row = np.empty(len(number), np.int64)
+            row[of] = np.arange(len(of))
+            equal = np.flatnonzero(~alone[of])
+            a, z, text = a[alone[text]], z[alone[text]], text[alone[text]]
+            owner = np.concatenate([row[text], equal])
+            start = np.concatenate([pos[row[text]] + a - index.starts[text], pos[equal]])
+            end = np.concatenate([pos[row[text]] + z - index.starts[text] + window - 1, pos[equal] + sizes[equal]])
             take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks().take(take), part.column("th").combine_chunks().take(take), pa.array((pos + a).astype(np.int32)), pa.array((pos + z + window - 1).astype(np.int32))], names=["id", "th", "start", "end"])
+            yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks().take(take), part.column("th").combine_chunks().take(take), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["id", "th", "start", "end"])
 
-    rows = rows.select("anchor", "id", "th", "pos", "c", "content").repartition("anchor").sortWithinPartitions("anchor")
+    rows = rows.select("anchor", "id", "th", "pos", "content").repartition("anchor").sortWithinPartitions("anchor")
     return rows.mapInArrow(run, "id long, th long, start int, end int")
 
 
-def _by_window(rows: DataFrame, window: int) -> DataFrame:
-    """The same for anchors of very many classes: the windows are counted by hash, with a map-side sum."""
+def _pieces(rows: DataFrame, window: int) -> DataFrame:
+    """anchor, h, id, th, pos, n and w (hashes of the windows) of runs of PIECE windows at equal places to the anchor; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                data = np.frombuffer(row["content"], np.uint8)
-                prefix = prefix_hash(data, WINDOW_BASES[0])
-                first = np.arange(len(data) - window + 1)
-                w = span_hash(prefix, first, first + window, WINDOW_BASES[0])
-                n = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array([row[k]] * n, pa.int64()) for k in ("anchor", "id", "th", "c")] + [pa.array((first + row["pos"]).astype(np.int32)), pa.array(w.view(np.int64))], names=["anchor", "id", "th", "c", "pos", "w"])
-
-    each = rows.select("anchor", "id", "th", "c", "pos", "content").mapInArrow(run, "anchor long, id long, th long, c long, pos int, w long")
+                prefix = prefix_hash(np.frombuffer(row["content"], np.uint8), WINDOW_BASES[0])
+                w = rolling_hash(prefix, window, WINDOW_BASES[0]).view(np.int64)
+                piece = (row["at"] - np.arange(len(w))) // PIECE
+                first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+                end = np.append(first[1:], len(w))
+                h = span_hash(prefix, first, end + (window - 1), WINDOW_BASES[0]) ^ mix(piece[first].astype(np.uint64))
+                out += [(row["anchor"], x, row["id"], row["th"], row["pos"] + a, z - a, w[a:z]) for x, a, z in zip(h.view(np.int64).tolist(), first.tolist(), end.tolist(), strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "h", "id", "th", "pos", "n", "w"])
+
+    return written(rows.select("anchor", "id", "th", "pos", "at", "content").mapInArrow(run, "anchor long, h long, id long, th long, pos int, n int, w array<long>"), "pieces")
+
+
+def _by_piece(rows: DataFrame, window: int) -> DataFrame:
+    """The same for anchors of very many classes, by hash and with map-side sums.
+
+    Spans are cut to pieces; equal pieces repeat all their windows, and of each class of
+    pieces one has its windows compared with those of the others.
+    """
+    pieces = _pieces(rows, window)
+    of = written(pieces.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "pos")).alias("first")), "piece-classes")
+    copies = pieces.join(of.where("c > 1").select("anchor", "h"), ["anchor", "h"], "left_semi").select("id", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (window - 1)).alias("end"))
+    first = of.select("anchor", "h", F.col("first.id").alias("id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"))
+    each = pieces.join(first, ["anchor", "h", "id", "th", "pos"], "left_semi").select("anchor", "id", "th", "pos", F.posexplode("w").alias("j", "w"))
     shared = each.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return each.where("c = 1").join(shared, ["anchor", "w"], "left_semi").select("id", "th", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))
+    more = each.join(shared, ["anchor", "w"], "left_semi").select("id", "th", (F.col("pos") + F.col("j")).alias("start"), (F.col("pos") + F.col("j") + window).alias("end"))
+    return copies.unionByName(more)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """id, th, start and end (bytes) of all that a repeated window covers; spans may overlap. ``docs``: keyed."""
-    found = anchors.spans(docs, _kernel(window, seed), window, seed, "binary")
+    kernel = _kernel(window, seed)
+    found = anchors.spans(docs, kernel, window, seed)
     of = anchors.classes(found)
-    copies = found.select("anchor", "sig", "id", "th", "pos", "n").join(of.where("c > 1").select("anchor", "sig"), ["anchor", "sig"], "left_semi")
-    copies = copies.select("id", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (window - 1)).alias("end"))
-    several = anchors.first_content(found, anchors.ambiguous(of))
-    return copies.unionByName(_indexed(several.where(F.col("m") <= INDEX_CLASSES), window)).unionByName(_by_window(several.where(F.col("m") > INDEX_CLASSES), window))
+    copies = found.join(of.where("c > 1").select("anchor", "sig"), ["anchor", "sig"], "left_semi")
+    copies = copies.select("id", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n") * F.col("k") + (window - 1)).alias("end"))
+    several = anchors.differing(docs, of, kernel, window, seed, "binary", INDEX_CLASSES)
+    return copies.unionByName(_indexed(several.where("not hot"), window)).unionByName(_by_piece(several.where("hot"), window))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
