@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from boxquery.llm import anchors
 from boxquery.llm._common import blocks, table, text_bytes
-from boxquery.llm._text import BASES, SPACE, WINDOW_BASES, covered, prefix_hash, span_hash, words
+from boxquery.llm._text import BASES, SPACE, WINDOW_BASES, covered, prefix_hash, rolling_hash, span_hash, words
 
 WINDOW = 20
 SEED = 5
+#: Bytes of spans that are compared at once, and classes of one anchor at most; an anchor of more has its windows matched as rows.
+GROUP_BYTES = 1 << 20
+GROUP_CLASSES = 20_000
 
 
 def _kernel(window: int, seed: int) -> anchors.Kernel:
@@ -30,8 +33,7 @@ def _kernel(window: int, seed: int) -> anchors.Kernel:
         hashes = span_hash(prefix_hash(data, BASES[0]), starts, ends, BASES[0])
         base = WINDOW_BASES[0]
         prefix = prefix_hash(hashes, base)
-        first = np.arange(len(hashes))
-        seeds = span_hash(prefix, first, np.minimum(first + seed, len(hashes)), base)
+        seeds = rolling_hash(prefix, seed, base)
 
         def signature(a: np.ndarray, z: np.ndarray) -> np.ndarray:
             return span_hash(prefix, a, z, base)
@@ -46,18 +48,50 @@ def _kernel(window: int, seed: int) -> anchors.Kernel:
     return run
 
 
+def _in_groups(rows: DataFrame, window: int) -> DataFrame:
+    """id, th, start, end (words) of the windows of an anchor that stand in another of its spans before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in anchors.whole_groups(batches, GROUP_BYTES):
+            anchor, ids, hashes, pos = (part.column(c).to_numpy() for c in ("anchor", "id", "th", "pos"))
+            content = part.column("content").combine_chunks()
+            sizes = np.diff(content.offsets.to_numpy())
+            row = np.repeat(np.arange(len(pos)), sizes)
+            at = pos[row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            w = content.values.to_numpy()
+            w = w[content.offsets[0].as_py() : content.offsets[-1].as_py()]
+            order = np.lexsort((at, hashes[row], ids[row], w, anchor[row]))
+            again = np.zeros(len(row), bool)
+            again[order] = ~anchors._fresh(anchor[row][order], w[order])
+            edge = np.flatnonzero(again & anchors._fresh(row, again, at - np.arange(len(at))))
+            last = np.flatnonzero(again & np.append(anchors._fresh(row, again, at - np.arange(len(at)))[1:], True))
+            take = row[edge]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(hashes[take]), pa.array(at[edge].astype(np.int32)), pa.array((at[last] + window).astype(np.int32))], names=["id", "th", "start", "end"])
+
+    rows = rows.select("anchor", "id", "th", "pos", "content").repartition("anchor").sortWithinPartitions("anchor")
+    return rows.mapInArrow(run, "id long, th long, start int, end int")
+
+
+def _by_window(rows: DataFrame, window: int) -> DataFrame:
+    """The same for anchors of very many differing spans: the windows are rows, with map-side minima."""
+    each = rows.select("anchor", "id", "th", "pos", F.posexplode("content").alias("j", "w")).select("anchor", "w", "id", "th", (F.col("pos") + F.col("j")).alias("pos"))
+    here = F.struct("id", "th", "pos")
+    first = each.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").drop("c")
+    return each.join(first, ["anchor", "w"]).where(here != F.col("first")).select("id", "th", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))
+
+
 def later_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """id, th, start and end (words) of what repeats an earlier window; spans may overlap. ``docs``: keyed."""
-    found = anchors.spans(docs, _kernel(window, seed), window, seed, "array<long>")
+    kernel = _kernel(window, seed)
+    found = anchors.spans(docs, kernel, window, seed)
     of = anchors.classes(found)
-    here = F.struct("id", "th", "pos")
-    again = found.select("anchor", "sig", "id", "th", "pos", "n").join(of.where("c > 1").select("anchor", "sig", "first"), ["anchor", "sig"]).where(here != F.col("first"))
-    again = again.select("id", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (window - 1)).alias("end"))
-    single = anchors.first_content(found, anchors.ambiguous(of)).select("anchor", "id", "th", "pos", F.posexplode("content").alias("j", "w"))
-    single = single.select("anchor", "w", "id", "th", (F.col("pos") + F.col("j")).alias("pos"))
-    first = single.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").drop("c")
-    more = single.join(first, ["anchor", "w"]).where(here != F.col("first")).select("id", "th", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))
-    return again.unionByName(more)
+    # of equal spans all but the first go
+    again = found.join(of.where("c > 1").select("anchor", "sig", "first"), ["anchor", "sig"])
+    start = F.col("pos") + F.when(F.struct("id", "th", "pos") == F.col("first"), F.col("n")).otherwise(0)
+    again = again.select("id", "th", start.alias("start"), (F.col("pos") + F.col("n") * F.col("k") + (window - 1)).alias("end"), (F.col("pos") + F.col("n") * F.col("k")).alias("stop")).where("start < stop").drop("stop")
+    # of spans that differ the windows are compared
+    several = anchors.differing(docs, of, kernel, window, seed, "array<long>", GROUP_CLASSES)
+    return again.unionByName(_in_groups(several.where("not hot"), window)).unionByName(_by_window(several.where("hot"), window))
 
 
 def _cut(docs: DataFrame, window: int, seed: int, schema: str, each) -> DataFrame:
