@@ -1,12 +1,13 @@
 """Near-duplicate documents by MinHash bands and odd sketches.
 
-Documents of one shingle set are one class. A class's MinHash samples make the keys
-of bands, and are folded into an odd sketch, a bitmap of parities; the population
-count of two sketches' exclusive or estimates how alike the sets are. Classes that
-share a band are compared: first with the bucket's leader, then, only where a bucket
-still holds several components, the rest of them with all its members. Pairs whose
-size or sketch rules the threshold out are passed over, all others are confirmed on
-the whole sets. Components come from the confirmed links.
+Documents of one shingle set are one class. A class's first MinHash samples make the
+keys of bands. Classes that share a band with another get an odd sketch: all samples
+folded into a bitmap of parities, so that the population count of two sketches'
+exclusive or estimates how alike two sets are. Of the classes of a bucket (equal keys)
+each is first compared with one leader; then, only where a bucket still holds several
+components, those outside the main one (the rests) meet all its members, and a pair is
+made only if sizes and sketches allow the threshold, in the first band that it shares.
+Pairs are confirmed on the whole sets; components come from the confirmed links.
 
 With 36 bands of 4 rows a pair at the threshold of 0.75 shares no band with
 probability (1 - 0.75**4)**36, about one in a million.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquery.llm import anchors
@@ -31,15 +32,19 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 36
 ROWS = 4
-SKETCH_LONGS = 8
-#: Sketches that differ in more bits are passed over: at 75 % about 63 of 512 differ, with a deviation of 10.
-SKETCH_MOST = 125
-#: Members beside the main component that a bucket compares with all its members at once.
-RESTS = 64
+#: Samples and bits of a sketch. At 75 % about 403 of 2048 bits differ, with a deviation of about 22.
+SAMPLES = 1024
+SKETCH_LONGS = 32
+#: Pairs whose sketches differ in more bits are passed over: four deviations beyond the threshold.
+SKETCH_MOST = 490
+#: Members of a bucket's main component, about, that its rests meet before they meet all.
+LEADERS = 8
+#: Rests that a bucket compares with all its members; a bucket of more is parted by a second band first.
+RESTS = 2000
 
 _RANDOM = np.random.default_rng(20_240_229)
-_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_FACTORS = _RANDOM.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _RANDOM.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +60,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
     return hashes[new], np.searchsorted(owner[new], np.arange(len(offsets)))
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """The MinHash samples of one set that isn't empty."""
-    out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        np.minimum(out, (shingles[i : i + 1024, None] * _FACTORS + _OFFSETS).min(axis=0), out=out)
+def samples(shingles: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+    """The first MinHash samples of one set that isn't empty."""
+    out = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, (1 << 17) // count)
+    for i in range(0, len(shingles), step):
+        np.minimum(out, (shingles[i : i + step, None] * _FACTORS[:count] + _OFFSETS[:count]).min(axis=0), out=out)
     return out
 
 
@@ -77,46 +83,58 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _digests(hashes: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """The class of each set: a digest, or None of an empty one."""
+    return [hashlib.blake2b(hashes[a:z].tobytes(), digest_size=16).digest() if z > a else None for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, th, n, cid (digest of the shingle set; null without shingles), bands and sketch of keyed documents; written."""
+    """id, th, n, cid (digest of the shingle set; null without shingles) and bands of keyed documents; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             hashes, at = shingle_sets(*text_bytes(batch.column(0)))
-            cids, bands, sketches = [], [], []
+            cids, bands = _digests(hashes, at), []
             for a, z in zip(at[:-1], at[1:], strict=True):
                 if a == z:
-                    cids.append(None), bands.append(None), sketches.append(None)
+                    bands.append(None)
                     continue
-                mine = hashes[a:z]
-                sample = samples(mine)
-                cids.append(hashlib.blake2b(mine.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(sample).view(np.int64))
-                sketches.append(odd_sketch(sample))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(at), pa.int64()), pa.array(cids, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], names=["id", "th", "n", "cid", "bands", "sketch"])
+                bands.append(band_keys(samples(hashes[a:z], BANDS * ROWS)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(at), pa.int64()), pa.array(cids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "th", "n", "cid", "bands"])
+
+    return written(docs.select("text", "id", "th").mapInArrow(run, "id long, th long, n long, cid binary, bands array<long>"), "signatures")
 
-    return written(docs.select("text", "id", "th").mapInArrow(run, "id long, th long, n long, cid binary, bands array<long>, sketch array<long>"), "signatures")
 
+def _of_documents(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
+    """cid and ``what`` (the whole set, "shingles", or the "sketch") of the documents ``wanted`` (id, th); written.
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid and the whole set of (at least) the documents ``wanted`` (id, th), found by a bitmap of bounded size; written."""
-    flags, bits = anchors.bitmap(wanted.select(F.xxhash64("id", "th").alias("anchor")))
-    sent = docs.sparkSession.sparkContext.broadcast(flags)
+    The documents are found by a bitmap of bounded size, so texts aren't shuffled; other
+    classes may come along by chance.
+    """
+    places = written(wanted.select(F.xxhash64("id", "th").alias("place")), "places")
+    sent = docs.sparkSession.sparkContext.broadcast(anchors.bitmap(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            place = batch.column(3).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            on = np.flatnonzero((sent.value[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1)
+            on = np.flatnonzero(sent.value.has(batch.column(3).to_numpy()))
             if not len(on):
                 continue
             batch = batch.take(pa.array(on))
             hashes, at = shingle_sets(*text_bytes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["id", "th", "shingles"])
+            if what == "shingles":
+                made = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            else:
+                made = pa.array([odd_sketch(samples(hashes[a:z])) if z > a else None for a, z in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, at), pa.binary()), made], names=["cid", what])
 
     keyed = docs.select("text", "id", "th", F.xxhash64("id", "th").alias("place"))
-    found = keyed.mapInArrow(run, "id long, th long, shingles array<long>")
-    return written(found.join(wanted, ["id", "th"]).select("cid", "shingles"), "shingle-sets")
+    return written(keyed.mapInArrow(run, f"cid binary, {what} array<long>").dropDuplicates(["cid"]), what)
+
+
+def _alike(n_a: str, s_a: str, n_b: str, s_b: str, percent: int) -> Column:
+    """Whether sizes and sketches allow two sets to reach the threshold."""
+    apart = sum((F.bit_count(F.get(s_a, F.lit(i)).bitwiseXOR(F.get(s_b, F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (apart <= SKETCH_MOST)
 
 
 class _Links:
@@ -126,91 +144,85 @@ class _Links:
         self.docs, self.classes, self.percent = docs, classes, percent
         self.found: DataFrame | None = None
 
-    def confirm(self, pairs: DataFrame) -> int:
-        """Add the links among ``pairs`` (a, b); how many there were."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        of = self.classes.select("cid", "n", "sketch")
-        left = of.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = of.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        apart = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
-        sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
-        pairs = pairs.join(left, "a").join(right, "b").where(sized & (apart <= SKETCH_MOST)).select("a", "b", "na", "nb")
-        pairs = written(pairs, "candidate-pairs")
-        if pairs.isEmpty():
-            return 0
+    def confirm(self, pairs: DataFrame) -> None:
+        """Add the links among ``pairs`` (a, na, b, nb)."""
+        pairs = written(pairs.distinct(), "candidate-pairs")
         wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        sets = _sets(self.docs, self.classes.join(wanted, "cid", "left_semi").select("id", "th", "cid"))
+        sets = _of_documents(self.docs, self.classes.join(wanted, "cid", "left_semi").select("id", "th"), "shingles")
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y")).cast("long")
         both = both.withColumn("common", common).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * self.percent)
         links = written(both.select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
         self.found = links if self.found is None else self.found.unionByName(links)
-        return links.count()
 
-    def labelled(self, buckets: DataFrame) -> DataFrame:
-        """``buckets`` with the component of each class so far."""
+    def labelled(self, classes: DataFrame) -> DataFrame:
+        """``classes`` with the component of each so far."""
         if self.found is None:
-            return buckets.withColumn("comp", F.col("cid"))
-        comps = components(self.found).select(F.col("u").alias("cid"), F.col("v").alias("root"))
-        return buckets.join(comps, "cid", "left").select(*buckets.columns, F.coalesce("root", "cid").alias("comp"))
+            return classes.withColumn("comp", F.col("cid"))
+        self.found = components(self.found)  # a star each component: what it links, and no more
+        comps = self.found.select(F.col("u").alias("cid"), F.col("v").alias("root"))
+        return classes.join(comps, "cid", "left").select(*classes.columns, F.coalesce("root", "cid").alias("comp"))
 
 
-def _compare(buckets: DataFrame, links: _Links, again: bool = True) -> None:
-    """Find all links between classes of one bucket (key, cid), up to links within a component.
+def _compare(buckets: DataFrame, links: _Links, facts: DataFrame, again: bool = True) -> None:
+    """Find all links between classes of one bucket (key, band, cid), up to links within a component.
 
-    First all members meet the leader, the smallest. Then every bucket that still has
-    several components takes those outside its main one (the rests) and compares them with
-    all members; buckets of many rests are parted by a second band first, which two classes
-    over the threshold share as surely as the first, and if that was done, go on by turns.
+    ``facts``: cid, n, sketch and bands of the classes in any bucket.
     """
+    # each class and the leader that it shares most buckets with; a leader is a bucket's smallest class
     lead = buckets.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").drop("last")
-    links.confirm(buckets.join(lead, "key").select(F.col("lead").alias("a"), F.col("cid").alias("b")))
-    done: DataFrame | None = None
-    while True:
-        labelled = links.labelled(buckets)
-        per = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        main = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), (F.sum("c") - F.max("c")).alias("rests")).where("comps > 1")
-        opened = written(labelled.join(main.select("key", "main", "rests"), "key"), "open-buckets")
-        if done is not None:
-            opened = opened.join(done.withColumn("was", F.lit(True)), ["key", "cid"], "left")
-        else:
-            opened = opened.withColumn("was", F.lit(None).cast("boolean"))
-        rests = opened.where((F.col("comp") != F.col("main")) & F.col("was").isNull())
-        few = F.col("rests") <= RESTS
-        if again:
-            many = opened.where(~few).select("key", "cid")
-            if not many.isEmpty():
-                bands = links.classes.select("cid", "bands")
-                parted = many.join(bands, "cid").select("cid", F.col("key").alias("k"), F.explode("bands").alias("band")).where("k <> band")
-                _compare(_shared(parted.select(F.xxhash64("k", "band").alias("key"), "cid")), links, again=False)
-            leaders = rests.where(few)
-        else:
-            turns = F.greatest(F.lit(1), F.ceil(F.col("rests") / RESTS))
-            leaders = rests.where(F.pmod(F.xxhash64("cid", "rests"), turns) == 0)
-        leaders = written(leaders.select("key", F.col("cid").alias("lead"), F.col("comp").alias("lead_comp")), "rests")
-        if leaders.isEmpty():
-            if again or rests.isEmpty():
-                return
-            leaders = written(rests.select("key", F.col("cid").alias("lead"), F.col("comp").alias("lead_comp")), "rests")
-        members = opened.select("key", "cid", "comp")
-        links.confirm(members.join(leaders, "key").where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("cid").alias("b")))
-        if again:
-            return
-        now = leaders.select("key", F.col("lead").alias("cid"))
-        done = now if done is None else done.unionByName(now)
+    often = buckets.join(lead, "key").where("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("c"))
+    pairs = often.groupBy("cid").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
+    side = lambda c, k: facts.select(F.col("cid").alias(c), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    pairs = pairs.join(side("cid", "a"), "cid").join(side("lead", "b"), "lead").where(_alike("na", "sa", "nb", "sb", links.percent))
+    links.confirm(pairs.select(F.col("cid").alias("a"), "na", F.col("lead").alias("b"), "nb"))
+
+    # what is outside a bucket's main component meets a few members of that, drawn by hash, and then all members
+    opened = _opened(buckets, facts, links)
+    turn = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("mains") / LEADERS))
+    few = opened.where((F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64("cid", "key"), turn) == 0))
+    links.confirm(_met(opened, few.join(facts, "cid"), facts, links.percent, first_band=False))
+    opened = _opened(buckets, facts, links)
+    if again:
+        many = opened.where(F.col("rests") > RESTS)
+        if not many.isEmpty():
+            parted = many.join(facts.select("cid", "bands"), "cid").select("cid", F.col("key").alias("k"), F.posexplode("bands").alias("band", "second")).where("k <> second")
+            _compare(_shared(parted.select(F.xxhash64("k", "second").alias("key"), F.lit(0).alias("band"), "cid")), links, facts, again=False)
+            opened = opened.where(F.col("rests") <= RESTS)
+    links.confirm(_met(opened, opened.join(facts, "cid"), facts, links.percent))
+
+
+def _opened(buckets: DataFrame, facts: DataFrame, links: _Links) -> DataFrame:
+    """The rows of buckets that hold several components, with comp, main (the largest), mains (its members) and rests (others); written."""
+    known = written(links.labelled(facts.select("cid")), "labels")
+    labelled = buckets.join(known, "cid")
+    per = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.max("c").alias("mains"), (F.sum("c") - F.max("c")).alias("rests")).where("comps > 1")
+    return written(labelled.join(main.select("key", "main", "mains", "rests"), "key"), "open-buckets")
+
+
+def _met(opened: DataFrame, members: DataFrame, facts: DataFrame, percent: int, first_band: bool = True) -> DataFrame:
+    """Pairs (a, na, b, nb) of the rests of ``opened`` with ``members`` (with facts) of their buckets that sizes and sketches allow."""
+    rests = opened.where("comp <> main").join(facts, "cid").select("key", "band", *(F.col(c).alias(f"r_{c}") for c in ("cid", "comp", "n", "sketch", "bands")))
+    # two rests meet once, by their order; with first_band only the first shared band makes the pair
+    once = (F.col("comp") != F.col("r_comp")) & ((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("r_cid")))
+    earlier = F.exists(F.sequence(F.lit(1), F.greatest(F.col("band"), F.lit(1))), lambda i: (i <= F.col("band")) & (F.get("bands", i - 1) == F.get("r_bands", i - 1)))
+    allowed = once & _alike("n", "sketch", "r_n", "r_sketch", percent)
+    met = members.join(rests, ["key", "band"]).where(allowed & ~earlier if first_band else allowed)
+    first = F.col("cid") < F.col("r_cid")
+    return met.select(F.least("cid", "r_cid").alias("a"), F.when(first, F.col("n")).otherwise(F.col("r_n")).alias("na"), F.greatest("cid", "r_cid").alias("b"), F.when(first, F.col("r_n")).otherwise(F.col("n")).alias("nb"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (key, cid) whose key has two classes at least (and some others by chance); written."""
-    flags, bits = anchors.bitmap(written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("anchor")), "band-keys"))
-    sent = rows.sparkSession.sparkContext.broadcast(flags)
+    """The rows (key, band, cid) whose key has two classes at least (and some others by chance); written."""
+    shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "band-keys")
+    sent = rows.sparkSession.sparkContext.broadcast(anchors.bitmap(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            yield batch.filter(pa.array(((sent.value[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)))
+            yield batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy())))
 
-    return written(rows.select("key", "cid").mapInArrow(run, "key long, cid binary"), "buckets")
+    return written(rows.select("key", "band", "cid").mapInArrow(run, "key long, band int, cid binary"), "buckets")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -225,9 +237,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # a class is answered for by its smallest document
     least = made.where("cid is not null").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("f"))
     heads = least.select("cid", F.col("f.id").alias("id"), F.col("f.th").alias("th"))
-    classes = written(made.join(heads, ["cid", "id", "th"]).select("cid", "id", "th", "n", "bands", "sketch").dropDuplicates(["cid"]), "classes")
+    classes = written(made.join(heads, ["cid", "id", "th"]).select("cid", "id", "th", "n", "bands").dropDuplicates(["cid"]), "classes")
+    buckets = _shared(classes.select(F.posexplode("bands").alias("band", "key"), "cid"))
+    some = classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("id", "th")
+    facts = written(classes.select("cid", "n", "bands").join(_of_documents(whole, some, "sketch"), "cid"), "facts")
     links = _Links(whole, classes, percent)
-    _compare(_shared(classes.select(F.explode("bands").alias("key"), "cid")), links)
+    _compare(buckets, links, facts)
     rows = links.labelled(classes.select("cid", "id"))
     smallest = rows.groupBy("comp").agg(F.min("id").alias("component"))
     named = written(rows.join(smallest, "comp").select("cid", "component"), "components")
@@ -236,10 +251,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, that are the smallest of their component."""
-    kept = near_duplicates(docs, percent).where("id = component").select("id", "th").distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(anchors.NO_ID)), "_th": F.xxhash64(text)})
-    return keyed.join(kept, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left_semi").select(*docs.columns)
+    kept = near_duplicates(docs, percent).where("id = component").select(F.col("id").alias("_kept_id"), F.col("th").alias("_kept_th")).distinct()
+    id, th = anchors.document_key(docs)
+    return docs.join(kept, (id == F.col("_kept_id")) & (th == F.col("_kept_th")), "left_semi")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
