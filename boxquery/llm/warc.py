@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquery.llm._common import fresh_path, table, written
+from boxquery.llm.anchors import bitmap
 
 #: Payloads of so many bytes or more are stored once.
 MIN_REVISIT_BYTES = 0
@@ -111,8 +112,21 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES,
     folder = fresh_path(spark, "warc")
     packed = written(_packed(pages), "warc-members").withColumn("_id", F.coalesce("page_id", F.lit(_NO_ID)))
     first = packed.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
-    again = packed.select("_id", "digest", "size").join(first, ["digest", "size"]).where("_id > _first").select("_id", "digest", "_first").distinct()
-    rows = packed.join(again, ["_id", "digest"], "left").select("page_id", "url", "digest", "size", F.when(F.col("_first").isNull(), F.col("member")).alias("member"), F.col("_first"))
+    again = written(packed.select("_id", "digest", "size").join(first, ["digest", "size"]).where("_id > _first").select("_id", "digest", "_first").distinct(), "revisits")
+    # only pages that may revisit another (by a bitmap) are shuffled to what they revisit
+    sent = spark.sparkContext.broadcast(bitmap(again.select(F.xxhash64("_id", "digest").alias("place"))))
+    placed = packed.withColumn("place", F.xxhash64("_id", "digest"))
+    where = len(placed.columns) - 1
+
+    def part(want: bool) -> DataFrame:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(sent.value.has(batch.column(where).to_numpy()) == want))
+
+        return placed.mapInArrow(pick, placed.schema).drop("place")
+
+    both = part(True).join(again, ["_id", "digest"], "left").unionByName(part(False).withColumn("_first", F.lit(None).cast("long")))
+    rows = both.select("page_id", "url", "digest", "size", F.when(F.col("_first").isNull(), F.col("member")).alias("member"), F.col("_first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pafs.FileSystem.from_uri(folder)
@@ -173,7 +187,9 @@ def read_records(index: DataFrame, payload: bool = False, gap: int = GAP_BYTES,
             found = [parse_record(zlib.decompress(stretch[o - start : o - start + n], 31)) for o, n in spans]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], kinds[p.split()[1]]) for n, p in zip(names, schema.split(", "), strict=True)], names=names)
 
-    placed = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
+    # tasks by the bytes that they will read, which the index's own size says nothing of
+    total = index.agg(F.sum("length")).first()[0] or 0
+    placed = index.select("file", "offset", "length").repartition(1 + total // most, "file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, schema)
 
 
