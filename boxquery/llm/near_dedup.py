@@ -32,13 +32,13 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 36
 ROWS = 4
-#: Samples and bits of a sketch. At 75 % about 403 of 2048 bits differ, with a deviation of about 22.
-SAMPLES = 1024
-SKETCH_LONGS = 32
+#: Samples and bits of a sketch. At 75 % about 806 of 4096 bits differ, with a deviation of about 31.
+SAMPLES = 2048
+SKETCH_LONGS = 64
 #: Pairs whose sketches differ in more bits are passed over: four deviations beyond the threshold.
-SKETCH_MOST = 490
+SKETCH_MOST = 930
 #: Members of a bucket's main component, about, that its rests meet before they meet all.
-LEADERS = 8
+LEADERS = 4
 #: Rests that a bucket compares with all its members; a bucket of more is parted by a second band first.
 RESTS = 2000
 
