@@ -228,21 +228,24 @@ def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def by_document(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with ``gone``: its removed spans (start, end, start, ...), unsorted and overlapping, or null.
+def by_document(docs: DataFrame, removed: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over batches of text, doc_id and gone: a document's removed spans (start, end, start, ...), unsorted and overlapping, or null.
 
-    Only documents that may have any (by a bitmap) are shuffled to their spans.
+    Only documents that may have any (by a bitmap) are shuffled to their spans; the
+    others are read and answered in one step, by one Python worker a task.
     """
     lists = written(removed.groupBy("id", "th").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("gone")), "gone")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(lists.select(F.xxhash64("id", "th").alias("place"))))
-    placed = docs.withColumn("place", F.xxhash64("id", "th"))
-    where = len(placed.columns) - 1
+    placed = docs.select(F.xxhash64("id", "th").alias("place"), "text", "doc_id", "id", "th")
 
-    def part(want: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(sent.value.has(batch.column(where).to_numpy()) == want))
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy())))
 
-        return placed.mapInArrow(run, placed.schema).drop("place")
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~sent.value.has(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), pa.nulls(rest.num_rows, pa.list_(pa.int32()))], names=["text", "doc_id", "gone"])
 
-    return part(True).join(lists, ["id", "th"], "left").unionByName(part(False).withColumn("gone", F.lit(None).cast("array<int>")))
+    hit = placed.mapInArrow(some, placed.schema).join(lists, ["id", "th"], "left").select("text", "doc_id", "gone").mapInArrow(run, schema)
+    return hit.unionByName(placed.select("place", "text", "doc_id").mapInArrow(lambda batches: run(others(batches)), schema))

@@ -24,7 +24,7 @@ WINDOW = 400
 SEED = 64
 #: Bytes that one index covers, and classes of one anchor that it takes; an anchor of more has pieces of its spans matched by hash.
 INDEX_BYTES = 1 << 17
-INDEX_CLASSES = 2000
+INDEX_CLASSES = 1000
 #: Windows of a piece of such an anchor's spans.
 PIECE = 16
 
@@ -229,7 +229,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     counted each: they are copies of one another and lose all their windows.
     """
     whole = anchors.keyed(docs.select("doc_id", "text"))
-    rows = anchors.by_document(whole, repeated_spans(whole, window, seed)).select("text", "doc_id", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -244,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
                 kept.append(mine[~off].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, removed array<long>, kept binary")
+    return anchors.by_document(whole, repeated_spans(whole, window, seed), run, "doc_id long, n_bytes long, removed array<long>, kept binary")
 
 
 def op1_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,6 @@ def later_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
 def _cut(docs: DataFrame, window: int, seed: int, schema: str, each) -> DataFrame:
     """``each`` of the words' starts and ends, what goes, and the text's bytes, for every document."""
     whole = anchors.keyed(docs.select("doc_id", "text"))
-    rows = anchors.by_document(whole, later_windows(whole, window, seed)).select("text", "doc_id", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -111,7 +110,7 @@ def _cut(docs: DataFrame, window: int, seed: int, schema: str, each) -> DataFram
             fields = [pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), list(_fields(schema))[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), *fields], schema=pa.schema(list(_fields(schema))))
 
-    return rows.mapInArrow(run, schema)
+    return anchors.by_document(whole, later_windows(whole, window, seed), run, schema)
 
 
 def _fields(schema: str) -> Iterator[pa.Field]:
