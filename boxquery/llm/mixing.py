@@ -2,21 +2,22 @@
 
 The words of a source, its documents one after the other, are packed into blocks
 of one length (to a word). A source's target says how many slots of the mix it
-fills; a slot is dealt to an output shard at random, so a shard's counts of the
-sources are a multinomial draw, given the totals. Slots are numbered per source,
-mapped through the source's pseudorandom index permutation to a block, and
-joined to the documents by block index.
+fills. The slots of all sources together are put in one pseudorandom order and cut
+into output shards of one length; so a shard's counts of the sources are a
+multinomial draw, given the totals. Slots are numbered per source and mapped through
+the source's index permutation to a block; a document finds the slots of its blocks
+by the inverse, so that texts are shuffled once. The mixture is written with its words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxquery.llm._common import table, written
 
-#: Words in a block; slots in an output shard, on average.
+#: Words in a block; slots in an output shard (the last may have fewer).
 BLOCK_WORDS = 512
 SHARD_SLOTS = 4096
 #: The mix is this share of all words; a source is repeated so often at most.
@@ -30,15 +31,29 @@ LEAST_BUCKETS = 512
 RANGE_SLOTS = 4096
 #: The multiplier of the index permutations, a prime above any number of blocks.
 PRIME = 2_147_483_647
+#: Odd multipliers of the order of all slots, below 2^31; an order holds 2^32 slots at most.
+ROUNDS = (740_179_053, 695_872_825, 1_597_334_677, 1_103_515_245)
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words, with the bucket that the row is numbered in; written once."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)))
+
+
+def document_sizes(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, source, size in words, h (hash of the text) and the bucket that the row is numbered in, written once; the number of buckets."""
+    sized = written(_identified(docs).select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("h")), "mix-sizes")
     buckets = max(LEAST_BUCKETS, -(-sized.count() // BUCKET_ROWS))
-    return sized.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)))
+    return _bucketed(sized, buckets), buckets
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES) -> DataFrame:
@@ -68,63 +83,149 @@ def with_blocks(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
     return sources.withColumn("n_blocks", n).withColumns({"base": F.expr("source_size div n_blocks"), "extra": F.expr("source_size % n_blocks")})
 
 
-def slots(sources: DataFrame, passes: int = MOST_PASSES, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """sid, pass, slot, shard, block and words (taken from the block's start), a row each filled slot.
-
-    Ranges of slots are made first and dealt out, so that no task makes all slots of a large source.
-    """
+def runs(sources: DataFrame, passes: int = MOST_PASSES, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The sources by pass: filled and n_slots, and ahead and total, the slots before them and those of the whole mix."""
     each = sources.withColumn("pass", F.explode(F.array(*(F.lit(p) for p in range(passes)))))
     each = each.withColumn("want", F.least(F.greatest(F.round("target").cast("long") - F.col("pass") * F.col("source_size"), F.lit(0)), F.col("source_size"))).where("want > 0")
     each = each.withColumn("filled", F.col("want").cast("double") * F.col("n_blocks") / F.col("source_size"))
     each = each.withColumn("n_slots", F.least(F.ceil("filled").cast("long"), F.col("n_blocks")))
-    ranges = each.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(RANGE_SLOTS).cast("long"))))
+    # a last slot whose share comes to no word is none
+    last = F.col("n_slots") - 1
+    each = each.withColumn("n_slots", last + (_slot_words(_block(last), last) > 0).cast("long"))
+    order = W.orderBy("sid", "pass")
+    before = F.coalesce(F.sum("n_slots").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n_slots").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return each.withColumns({"ahead": before, "total": total, "shard_slots": F.lit(shard_slots).cast("long")}).where("n_slots > 0")
+
+
+def shuffled(number: str, total: str) -> Column:
+    """The place of a number below ``total`` in one pseudorandom order of them all.
+
+    Rounds of multiplication and shift permute the next power of two; a result beyond
+    ``total`` goes through them again.
+    """
+    bits = f"greatest(1, length(bin({total} - 1)))"
+    mixed = f"(a * m + 1013904223) & (shiftleft(1L, {bits}) - 1)"
+    once = f"aggregate(array({', '.join(f'{m}L' for m in ROUNDS)}), {{}}, (a, m) -> ({mixed}) ^ shiftright({mixed}, ({bits} + 1) div 2))"
+    found = F.expr(f"aggregate(sequence(1, 64), {once.format(number)}, (x, k) -> if(x < {total}, x, {once.format('x')}))")
+    return F.when(found < F.col(total), found).otherwise(F.raise_error(F.lit("no place found")).cast("long"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Adds shard and position in it."""
+    rows = rows.withColumn("place", F.col("ahead") + F.col("slot"))
+    rows = rows.withColumn("place", shuffled("place", "total"))
+    return rows.withColumns({"shard": F.expr("place div shard_slots"), "position": F.expr("place % shard_slots")})
+
+
+def _block(slot: Column) -> Column:
+    return (slot * PRIME + (F.col("sid") + 1) * 7919 + F.col("pass") * 104729) % F.col("n_blocks")
+
+
+def _slot_words(block: Column, slot: Column) -> Column:
+    """Words that a slot takes of its block: all, or a share in the last slot of a pass."""
+    length = F.col("base") + (block < F.col("extra")).cast("long")
+    return F.when(slot + 1 <= F.col("filled"), length).otherwise(F.floor((F.col("filled") - slot) * length).cast("long"))
+
+
+def slots(sources: DataFrame, passes: int = MOST_PASSES, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """sid, pass, slot, shard, position, block and words (taken from the block's start), a row each filled slot.
+
+    Ranges of slots are made first and dealt out, so that no task makes all slots of a large source.
+    """
+    ranges = runs(sources, passes, shard_slots).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(RANGE_SLOTS).cast("long"))))
     ranges = ranges.repartition("sid", "pass", "start")
     made = ranges.withColumn("slot", F.explode(F.sequence("start", F.least(F.col("start") + RANGE_SLOTS, F.col("n_slots")) - 1)))
-    made = made.withColumn("block", F.expr(f"(slot * {PRIME} + (sid + 1) * 7919 + pass * 104729) % n_blocks"))
-    length = F.col("base") + (F.col("block") < F.col("extra")).cast("long")
-    made = made.withColumn("words", F.when(F.col("slot") + 1 <= F.col("filled"), length).otherwise(F.floor((F.col("filled") - F.col("slot")) * length).cast("long")))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("n_slots") / F.lit(shard_slots)))
-    return made.withColumn("shard", F.pmod(F.xxhash64("sid", "pass", "slot"), shards)).select("sid", "pass", "slot", "shard", "block", "words")
+    made = made.withColumn("block", _block(F.col("slot")))
+    made = made.withColumn("words", _slot_words(F.col("block"), F.col("slot")))
+    return _dealt(made).select("sid", "pass", "slot", "shard", "position", "block", "words")
 
 
-def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """The sized documents with their source's numbers and ``start``, the first word's position in the source.
+def placed(rows: DataFrame, sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """Sized rows, with or without texts, with their source's numbers and ``start``, the first word's position in the source.
 
     Positions are summed within buckets and over buckets, so a large source is spread
     over many groups; (sid, bucket, rn) is unique even where doc_ids repeat.
     """
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    named = F.broadcast(sources.withColumnRenamed("source", "s"))
+    sums = sized.join(named, F.col("source").eqNullSafe(F.col("s"))).groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
+    ahead = W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size")
-    named = sums.join(sources, sums["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
-    rows = sized.join(named, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    in_bucket = W.partitionBy("sid", "bucket").orderBy("doc_id", "size")
-    return rows.withColumns({"rn": F.row_number().over(in_bucket), "start": F.col("bucket_start") + F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")}).drop("bucket_start")
+    in_bucket = W.partitionBy("sid", "bucket").orderBy("doc_id", "size", "h")
+    numbered = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    numbered = numbered.withColumns({"rn": F.row_number().over(in_bucket), "before": F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")})
+    return numbered.join(sums, ["sid", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket_start", "before")
 
 
 def _block_of(position: str) -> str:
     return f"if({position} < extra * (base + 1), {position} div (base + 1), extra + ({position} - extra * (base + 1)) div base)"
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and taken (words that the mix takes).
+#: PRIME's inverse modulo n_blocks, by Euclid's algorithm (46 steps at most for numbers of 31 bits).
+_INVERSE = f"""pmod(aggregate(sequence(1, 48), named_struct('r', n_blocks, 's', {PRIME}L % n_blocks, 't', 0L, 'u', 1L),
+  (a, k) -> if(a.s = 0, a, named_struct('r', a.s, 's', a.r % a.s, 't', a.u, 'u', a.t - (a.r div a.s) * a.u))).t, n_blocks)"""
+
+
+def _pieces(rows: DataFrame, sources: DataFrame, shard_slots: int) -> DataFrame:
+    """What each slot takes of each document: the slot, ``at`` (first word in the block), n and the words as text."""
+    each = runs(sources, shard_slots=shard_slots).withColumn("inverse", F.expr(_INVERSE)).select("sid", "pass", "filled", "n_slots", "ahead", "total", "shard_slots", "inverse")
+    cut = rows.where("size > 0").join(F.broadcast(each), "sid")
+
+    def piece(block: Column) -> Column:
+        first = block * F.col("base") + F.least(block, F.col("extra"))
+        slot = F.pmod(block - (F.col("sid") + 1) * 7919 - F.col("pass") * 104729, F.col("n_blocks")) * F.col("inverse") % F.col("n_blocks")
+        words = F.when(slot < F.col("n_slots"), _slot_words(block, slot)).otherwise(0)
+        low = F.greatest(F.col("start"), first)
+        n = F.greatest(F.least(F.col("start") + F.col("size"), first + words) - low, F.lit(0))
+        text = F.array_join(F.slice("tokens", (low - F.col("start") + 1).cast("int"), n.cast("int")), " ")
+        return F.struct(slot.alias("slot"), block.alias("block"), words.alias("words"), (low - first).alias("at"), n.alias("n"), text.alias("text"))
+
+    found = F.transform(F.sequence(F.expr(_block_of("start")), F.expr(_block_of("(start + size - 1)"))), piece)
+    cut = cut.select("sid", "source", "pass", "ahead", "total", "shard_slots", "bucket", "rn", F.explode(found).alias("piece"))
+    return cut.select("*", "piece.*").drop("piece").where("n > 0")
+
+
+def _joined(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """Pieces of one slot put together: ``p``, in order, as at, text and parts (bucket, rn, n)."""
+    return pieces.groupBy(*by).agg(F.array_sort(F.collect_list("piece")).alias("p"), F.sum("n").alias("n"), F.min("at").alias("at")).withColumns({"text": F.array_join(F.transform("p", lambda x: x["text"]), " "), "parts": F.flatten(F.transform("p", lambda x: x["parts"]))}).drop("p")
+
+
+def _mixture(docs: DataFrame, block_words: int, shard_slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sized, buckets = document_sizes(docs)
+    sources = written(with_blocks(source_targets(sized), block_words), "mix-sources")
+    texts = _bucketed(_identified(docs).withColumns({"size": _size(), "h": F.xxhash64("text")}), buckets)
+    rows = placed(texts, sized, sources).withColumn("tokens", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).drop("text")
+    slot = ["sid", "source", "pass", "slot", "block", "words"]
+    pieces = _pieces(rows, sources, shard_slots).withColumn("piece", F.struct("at", "text", F.array(F.struct("bucket", "rn", "n")).alias("parts")))
+    # a bucket is one run of words, so all but its first and last block are put together where its documents are
+    near = _joined(pieces, [*slot, "bucket", "ahead", "total", "shard_slots"])
+    names = [*slot, "shard", "position", "at", "n", "text", "parts"]
+    near = written(_dealt(near).select(*names), "mixture")
+    edges = near.where("n < words").withColumn("piece", F.struct("at", "text", "parts"))
+    edges = written(_joined(edges, [*slot, "shard", "position"]).select(*names), "mixture-edges")
+    return near.where("n = words").unionByName(edges), sized, sources
+
+
+def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix itself, written: shard, position in it, source, pass, block, words (their number) and text, a row each slot.
+
+    Words stand one space apart. Rows are in no order; shard and position say it.
+    """
+    return _mixture(docs, block_words, shard_slots)[0].select("shard", "position", "source", "pass", "block", "words", "text")
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Per document: doc_id, size, source_size, target and taken (words that the written mixture has of it).
 
     Null texts have no words; a null source is a source of its own, the last; rows that
     repeat are documents each; other columns are ignored. A pass takes a word once at
     most and there are two, so no document is taken more than twice. Nothing depends
     on the order or the partitions of the input.
     """
-    sized = document_sizes(docs)
-    sources = written(with_blocks(source_targets(sized), block_words), "mix-sources")
-    rows = placed(sized, sources)
-    has = F.col("size") > 0
-    piece = rows.withColumn("block", F.explode_outer(F.when(has, F.sequence(F.expr(_block_of("start")), F.expr(_block_of("(start + size - 1)"))))))
-    first = F.expr("block * base + least(block, extra)")
-    piece = piece.withColumns({"from": F.greatest(F.lit(0), F.col("start") - first), "to": F.col("start") + F.col("size") - first})
-    drawn = slots(sources).groupBy(F.col("sid").alias("t_sid"), F.col("block").alias("t_block")).agg(F.collect_list("words").alias("words"))
-    joined = piece.join(drawn, (F.col("sid") == F.col("t_sid")) & (F.col("block") == F.col("t_block")), "left")
-    taken = F.aggregate(F.coalesce("words", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0).cast("long"), F.least(F.col("to"), w) - F.col("from")))
-    return joined.groupBy("sid", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(F.sum(taken).alias("taken")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    mixed, sized, sources = _mixture(docs, block_words, shard_slots)
+    got = mixed.select("sid", F.explode("parts").alias("d")).groupBy("sid", "d.bucket", "d.rn").agg(F.sum("d.n").alias("taken"))
+    rows = placed(sized, sized, sources).select("sid", "bucket", "rn", "doc_id", "size", "source_size", "target")
+    return rows.join(got, ["sid", "bucket", "rn"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

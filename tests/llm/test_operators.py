@@ -115,6 +115,40 @@ def test_a_source_fills_its_slots_through_a_permutation(spark):
     assert sorted(r.block for r in got if r["pass"] == 0) == list(range(100)) and len({r.shard for r in got}) > 5
 
 
+def test_the_mixture_is_dealt_over_shards_and_holds_the_words(docs, rows):
+    got = mixing.mixture(docs, block_words=16, shard_slots=64).collect()
+    shards = collections.defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r)
+        assert r.words == len(r.text.split(" "))
+    assert len(shards) == -(-len(got) // 64) and len(shards) > 5
+    assert all(sorted(r.position for r in s) == list(range(len(s))) for s in shards.values())
+    # no shard is one source's: every large source is in every shard, near its share
+    counts = collections.Counter(r.source for r in got)
+    for s in shards.values():
+        for source, n in counts.items():
+            share = n / len(got)
+            assert abs(sum(r.source == source for r in s) - share * len(s)) <= 6 * (share * len(s)) ** 0.5 + 1
+    # the words: of each source as many as mix() takes, and no word more than twice
+    have, mixed = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for _, t, s in rows:
+        have[s].update(SPACE_WORD.findall(t or ""))
+    for r in got:
+        mixed[r.source].update(r.text.split(" "))
+    assert all(n <= 2 * have[s][w] for s in mixed for w, n in mixed[s].items())
+    taken = sum(r.taken for r in mixing.mix(docs, block_words=16).collect())
+    assert taken == sum(r.words for r in got)
+    again = mixing.mixture(docs.repartition(3), block_words=16, shard_slots=64).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_the_order_of_all_slots_is_a_permutation(spark):
+    totals = (1, 2, 3, 64, 65, 1000)
+    got = spark.createDataFrame([(n, k) for n in totals for k in range(n)], "n long, k long").select("n", mixing.shuffled("k", "n").alias("p")).collect()
+    for n in totals:
+        assert sorted(r.p for r in got if r.n == n) == list(range(n))
+
+
 # 3 WARC
 
 
