@@ -13,7 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxquery.functions.geometry import iou_sql
-from boxquery.functions.text import containment, letter_tokens, normalize_label, similarity, tokens
+from boxquery.functions.text import letter_tokens, normalize_label, tokens
+
+
+def _key(label: str) -> dict[str, Column]:
+    """128 bits of hash that stand for a label, so that a whole text isn't carried along with each of its tokens."""
+    return {"k1": F.xxhash64(label), "k2": F.xxhash64(F.lit(1), F.col(label))}
 
 
 def resolve_labels(labels: DataFrame, aliases: DataFrame, least: float = 0.45) -> DataFrame:
@@ -23,27 +28,29 @@ def resolve_labels(labels: DataFrame, aliases: DataFrame, least: float = 0.45) -
     are resolved once each, whatever their rows; fuzzy candidates share a token, so the
     join is on tokens and not a product.
     """
-    wanted = labels.select("label").distinct().withColumns({"norm": normalize_label(F.col("label")), "toks": tokens(F.col("label"))})
+    wanted = labels.select("label").distinct().withColumns({"norm": normalize_label(F.col("label")), "toks": tokens(F.col("label")), **_key("label")})
     known = aliases.select("class_name", "pos", normalize_label(F.col("alias")).alias("norm"), tokens(F.col("alias")).alias("alias_toks"))
     exact = wanted.join(known.groupBy("norm").agg(F.min_by("class_name", "pos").alias("exact")), "norm", "left")
-    left = exact.where(F.col("exact").isNull()).select("label", "toks", F.explode("toks").alias("tok"))
-    right = known.select("class_name", "pos", "alias_toks", F.explode("alias_toks").alias("tok"))
-    pairs = left.join(right, "tok").drop("tok").dropDuplicates(["label", "pos"])
-    near = pairs.withColumn("s", similarity(F.col("toks"), F.col("alias_toks"))).where(F.col("s") >= least)
-    best = near.groupBy("label").agg(F.max_by("class_name", F.struct("s", -F.col("pos"))).alias("fuzzy"))
-    return exact.join(best, "label", "left").select("label", F.coalesce("exact", "fuzzy").alias("class_name"))
+    left = exact.where(F.col("exact").isNull()).select("k1", "k2", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    right = known.select("class_name", "pos", F.size("alias_toks").alias("m"), F.explode("alias_toks").alias("tok"))
+    pairs = left.join(right, "tok").groupBy("k1", "k2", "n", "class_name", "pos", "m").agg(F.count(F.lit(1)).cast("double").alias("shared"))
+    jaccard, contained = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), F.col("shared") / F.least("n", "m")
+    near = pairs.withColumn("s", F.greatest(jaccard, contained * 0.95)).where(F.col("s") >= least)
+    best = near.groupBy("k1", "k2").agg(F.max_by("class_name", F.struct("s", -F.col("pos"))).alias("fuzzy"))
+    return exact.join(best, ["k1", "k2"], "left").select("label", F.coalesce("exact", "fuzzy").alias("class_name"))
 
 
 def unique_phrase_class(labels: DataFrame, phrases: DataFrame, least: float = 0.8) -> DataFrame:
     """label and class_name, where one class alone has the phrase best contained in the label (``least`` or more), else null."""
-    left = labels.select("label").distinct().withColumn("toks", letter_tokens(F.col("label")))
-    right = phrases.select("class_name", "phrase", letter_tokens(F.col("phrase")).alias("p")).where(F.size("p") > 0)
-    pairs = left.select("label", "toks", F.explode("toks").alias("tok")).join(right.select("class_name", "phrase", "p", F.explode("p").alias("tok")), "tok").drop("tok").dropDuplicates(["label", "class_name", "phrase"])
-    scored = pairs.groupBy("label", "class_name").agg(F.max(containment(F.col("p"), F.col("toks"))).alias("s"))
-    top = scored.groupBy("label").agg(F.max("s").alias("top"))
-    winners = scored.join(top, "label").where((F.col("s") >= F.col("top") - 1e-9) & (F.col("top") >= least))
-    one = winners.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("class_name").alias("class_name")).where("n = 1").drop("n")
-    return left.select("label").join(one, "label", "left")
+    left = labels.select("label").distinct().withColumns({"toks": letter_tokens(F.col("label")), **_key("label")})
+    right = phrases.select("class_name", F.xxhash64("phrase").alias("phrase"), letter_tokens(F.col("phrase")).alias("p")).distinct()
+    right = right.select("class_name", "phrase", F.size("p").alias("m"), F.explode("p").alias("tok"))
+    pairs = left.select("k1", "k2", F.explode("toks").alias("tok")).join(right, "tok").groupBy("k1", "k2", "class_name", "phrase", "m").agg(F.count(F.lit(1)).cast("double").alias("shared"))
+    scored = pairs.groupBy("k1", "k2", "class_name").agg(F.max(F.col("shared") / F.col("m")).alias("s"))
+    top = scored.groupBy("k1", "k2").agg(F.max("s").alias("top"))
+    winners = scored.join(top, ["k1", "k2"]).where((F.col("s") >= F.col("top") - 1e-9) & (F.col("top") >= least))
+    one = winners.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("class_name").alias("class_name")).where("n = 1").drop("n")
+    return left.join(one, ["k1", "k2"], "left").select("label", "class_name")
 
 
 def class_scores(members: DataFrame, mode: str, cluster: Sequence[str] = ("cluster",)) -> DataFrame:

@@ -66,6 +66,20 @@ def j19_unique_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.unique_phrase_class(labels, phrases, 0.15)
 
 
+@query()
+def j18_g16_resolve_all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts against all whole items, at the reference's threshold."""
+    aliases = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("alias"), F.concat(F.lit("c"), F.col("item_id") % 7).alias("class_name"), F.col("item_id").alias("pos"))
+    return ensemble.resolve_labels(_table(spark, sf_dir, "documents").select(F.col("text").alias("label")), aliases)
+
+
+@query()
+def j19_unique_phrase_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts against all whole items, at the reference's threshold."""
+    phrases = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase"), F.concat(F.lit("c"), F.col("item_id") % 7).alias("class_name"))
+    return ensemble.unique_phrase_class(_table(spark, sf_dir, "documents").select(F.col("text").alias("label")), phrases)
+
+
 @query("SELECT det_id, 'thing ' || category_id AS label, k AS pos, (x + k)::INT AS b1, y::INT AS b2, (x + w)::INT AS b3, (y + h)::INT AS b4 FROM det, (SELECT unnest([0, 1]) AS k)")
 def p20_raw_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.detections(spark, sf_dir)
