@@ -169,12 +169,20 @@ def k05_missing_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.missing_sets(d, d.where("prompt_set in (0, 2)")).select("det_id")
 
 
+def _sources(d: DataFrame) -> DataFrame:
+    """Every box of the union of sources, with its rows and its sources."""
+    both = dataset.union_sources({"one": d.where("src = 1"), "two": d.where("src = 2")})
+    return both.groupBy("image_id", "category_id", "x", "y", "w", "h").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
 @query("SELECT image_id, category_id, x, y, w, h, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT *, 'one' AS source FROM det WHERE src = 1 UNION ALL SELECT *, 'two' FROM det WHERE src = 2) GROUP BY ALL HAVING count(*) > 1 OR image_id % 2 = 0")
 def u01_a21_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.detections(spark, sf_dir)
-    both = dataset.union_sources({"one": d.where("src = 1"), "two": d.where("src = 2")})
-    got = both.groupBy("image_id", "category_id", "x", "y", "w", "h").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
-    return got.where("n > 1 or image_id % 2 = 0")
+    return _sources(views.detections(spark, sf_dir)).where("n > 1 or image_id % 2 = 0")
+
+
+@query("SELECT image_id, category_id, x, y, w, h, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT *, 'one' AS source FROM det WHERE src = 1 UNION ALL SELECT *, 'two' FROM det WHERE src = 2) GROUP BY ALL")
+def u01_a21_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sources(views.detections(spark, sf_dir))
 
 
 @query("SELECT image_id, category_id, det_id FROM det WHERE EXISTS (SELECT 1 FROM img WHERE img.id = det.image_id AND id % 4 = 1)")

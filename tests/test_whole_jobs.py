@@ -1,11 +1,12 @@
 """Queries that run the whole job, against plain versions on small inputs."""
 
+import collections
 import random
 import re
 
 import pytest
 
-from boxquery.plans import registry
+from boxquery.plans import registry, views
 
 WORDS = [f"{a}{b}" for a in ("red", "old", "big", "far", "dry", "wet") for b in ("car", "hut", "ship", "dam", "crane", "truck")]
 
@@ -62,3 +63,13 @@ def test_all_phrases_by_whole_texts(spark, texts):
     got = registry.QUERIES["j19_unique_phrase_all"](spark, path).collect()
     assert len(got) == len(want) and {r.label: r.class_name for r in got} == want
     assert None in want.values() and len(set(want.values())) > 4
+
+
+def test_all_sources_keep_every_box(spark):
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["u01_a21_all_sources"](spark, sf).collect()
+    boxes = collections.defaultdict(list)
+    for r in views.detections(spark, sf).collect():
+        boxes[r.image_id, r.category_id, r.x, r.y, r.w, r.h].append({1: "one", 2: "two"}[r.src])
+    assert {(r.image_id, r.category_id, r.x, r.y, r.w, r.h): (r.n, r.sources) for r in got} == {b: (len(s), ",".join(sorted(set(s)))) for b, s in boxes.items()}
+    assert any(r.n == 1 and r.image_id % 2 for r in got)
