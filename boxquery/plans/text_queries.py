@@ -126,6 +126,12 @@ def w12_dedupe_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.dedupe_phrases(p, text.normalize_label(F.substring("phrase", 1, 12)), 30)
 
 
+@query(f"WITH r AS (SELECT text AS phrase, item_id AS pos, row_number() OVER (PARTITION BY {_norm_sql('text')} ORDER BY item_id) AS k, {_norm_sql('text')} AS n FROM benchmark) SELECT phrase, pos FROM r WHERE k = 1 AND n <> '' ORDER BY pos LIMIT 30", views=False)
+def w12_dedupe_whole_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase"), F.col("item_id").alias("pos"))
+    return dataset.dedupe_phrases(p, text.normalize_label(F.col("phrase")), 30)
+
+
 @query("SELECT conv_id, turn, CASE WHEN role LIKE '%user%' THEN 'rex_omni' ELSE 'transformers' END AS backend FROM conversations", views=False)
 def p34_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations")

@@ -73,3 +73,11 @@ def test_all_sources_keep_every_box(spark):
         boxes[r.image_id, r.category_id, r.x, r.y, r.w, r.h].append({1: "one", 2: "two"}[r.src])
     assert {(r.image_id, r.category_id, r.x, r.y, r.w, r.h): (r.n, r.sources) for r in got} == {b: (len(s), ",".join(sorted(set(s)))) for b, s in boxes.items()}
     assert any(r.n == 1 and r.image_id % 2 for r in got)
+
+
+def test_phrases_are_deduped_by_their_whole_text(spark, tmp_path):
+    start = "one two three four"  # more than 12 characters
+    items = [(0, f"{start} five"), (1, f"{start} six"), (2, f" {start.upper()}  six!"), (3, "&"), (4, "--"), (5, "and")] + [(k, f"{start} {k}") for k in range(6, 40)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.QUERIES["w12_dedupe_whole_phrases"](spark, str(tmp_path)).collect()
+    assert sorted(r.pos for r in got) == [0, 1, 3, *range(6, 33)]
