@@ -5,8 +5,8 @@ A window is ``width`` symbols (bytes or words) of one document; its anchor is th
 have equal anchors at equal places. Consecutive windows of one anchor occurrence are
 one span. Anchors that occur once can't lie in a repeated window; the others are
 kept as a bitmap of bounded size, so that spans of single anchors are mostly never
-shuffled (what passes the bitmap by chance does no harm). Spans of the same anchor
-and content are one class.
+shuffled (what passes the bitmap by chance does no harm). More values than a bitmap
+holds well are joined instead. Spans of the same anchor and content are one class.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxquery.llm._common import blocks, text_bytes, written
+from boxquery.llm._common import blocks, drop_written, text_bytes, written
 from boxquery.llm._text import sliding_argmin
 
-#: Bits of the bitmap for each repeated anchor, and at most.
-BITS_PER_ANCHOR = 16
-MOST_BITS = 28
+#: Bits of a bitmap for each value, and values at most (32 MB); more of them are joined.
+BITS_PER_VALUE = 16
+MOST_VALUES = 1 << 24
 #: Bits of a segment, as the built-in bitmap aggregate has them, and where a value's second part begins.
 _SEGMENT = 15
 _SECOND = 28
@@ -39,17 +39,18 @@ class Spans:
     anchor: np.ndarray  # hash
     start: np.ndarray  # first window
     windows: np.ndarray  # number of windows
+    end: np.ndarray  # of the content: the last window's end and what is asked beyond it, within the text
     owner: np.ndarray  # text
     at: np.ndarray  # where the anchor stands
 
 
-def winnow(seeds: np.ndarray, symbol_offsets: np.ndarray, width: int, seed: int) -> Spans:
-    """``seeds``: a hash of each seed-gram of the symbols, in order."""
+def winnow(seeds: np.ndarray, symbol_offsets: np.ndarray, width: int, seed: int, beyond: int = 0) -> Spans:
+    """``seeds``: a hash of each seed-gram of the symbols, in order; contents go ``beyond`` symbols past the last window."""
     none = np.zeros(0, np.int64)
     sizes = np.diff(symbol_offsets)
     texts = np.flatnonzero(sizes >= width)
     if not len(texts):
-        return Spans(none.astype(np.uint64), none, none, none, none)
+        return Spans(none.astype(np.uint64), none, none, none, none, none)
     at = sliding_argmin(seeds, width - seed + 1)
     opens, closes = symbol_offsets[texts], symbol_offsets[texts + 1] - width + 1
     change = np.flatnonzero(at[1:] != at[:-1]) + 1
@@ -58,7 +59,8 @@ def winnow(seeds: np.ndarray, symbol_offsets: np.ndarray, width: int, seed: int)
     k = np.searchsorted(opens, start, side="right") - 1
     inside = (k >= 0) & (start < closes[k])
     start, end, k = start[inside], end[inside], k[inside]
-    return Spans(seeds[at[start]], start, end - start, texts[k], at[start].astype(np.int64))
+    content = np.minimum(end + (width - 1 + beyond), symbol_offsets[texts[k] + 1])
+    return Spans(seeds[at[start]], start, end - start, content, texts[k], at[start].astype(np.int64))
 
 
 def _fresh(*columns: np.ndarray) -> np.ndarray:
@@ -86,18 +88,32 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-#: What a kernel returns for a block: the symbols' offsets of the texts, the seeds, and what makes signatures and contents of spans.
+#: What a kernel returns for a block: the symbols' offsets of the texts, the seeds, and what makes signatures and contents of [start, end).
 Kernel = Callable[[np.ndarray, np.ndarray], tuple]
 BLOCK_BYTES = 1 << 18
 
 
-def repeated_anchors(docs: DataFrame, kernel: Kernel, width: int, seed: int) -> DataFrame:
+@dataclass
+class Scheme:
+    """Windows of ``width`` symbols with seeds of ``seed``; a span's content goes ``beyond`` symbols past its last window."""
+
+    kernel: Kernel
+    width: int
+    seed: int
+    beyond: int = 0
+
+    def read(self, texts: pa.Array) -> tuple:
+        """The spans of a block, the symbols' offsets, and the makers of signatures and contents."""
+        offsets, seeds, signature, contents = self.kernel(*text_bytes(texts))
+        return winnow(seeds, offsets, self.width, self.seed, self.beyond), offsets, signature, contents
+
+
+def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """The hashes of anchors that occur twice or more, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, BLOCK_BYTES):
-            offsets, seeds, *_ = kernel(*text_bytes(batch.column(0)))
-            anchor = winnow(seeds, offsets, width, seed).anchor
+            anchor = scheme.read(batch.column(0))[0].anchor
             third = np.zeros(len(anchor), bool)  # of an anchor said many times running, two are enough
             third[2:] = (anchor[2:] == anchor[1:-1]) & (anchor[1:-1] == anchor[:-2])
             yield pa.RecordBatch.from_arrays([_signed(anchor[~third])], names=["anchor"])
@@ -121,9 +137,12 @@ class Bitmap:
         return out
 
 
-def bitmap(values: DataFrame) -> Bitmap:
-    """Of one long column; 32 MB at most, whatever its rows, and made by segments on the executors."""
-    bits = min(MOST_BITS, max(_SEGMENT, int(values.count() * BITS_PER_ANCHOR).bit_length()))
+def bitmap(values: DataFrame) -> Bitmap | None:
+    """Of one long column, made by segments on the executors; None if there are more values than 32 MB hold well."""
+    count = values.count()
+    if count > MOST_VALUES:
+        return None
+    bits = max(_SEGMENT, int(count * BITS_PER_VALUE).bit_length())
     value = F.col(values.columns[0])
     mask = F.lit((1 << bits) - 1).cast("long")
     places = F.array(value.bitwiseAND(mask), F.shiftrightunsigned(value, _SECOND).bitwiseAND(mask))
@@ -136,30 +155,34 @@ def bitmap(values: DataFrame) -> Bitmap:
     return Bitmap(whole, bits)
 
 
-def spans(docs: DataFrame, kernel: Kernel, width: int, seed: int) -> DataFrame:
-    """anchor, sig (of the content), id, th, pos (first window), n (windows) and k of spans whose anchor may repeat; written.
+def spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """anchor, sig (of the content), id, th, pos (first window), n (windows), m (symbols of the content) and k of spans whose anchor may repeat; written.
 
     A row stands for k equal spans one after the other, as periodic text has them.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(repeated_anchors(docs, kernel, width, seed)))
+    repeated = repeated_anchors(docs, scheme)
+    sieve = bitmap(repeated)
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, BLOCK_BYTES):
-            offsets, seeds, signature, _ = kernel(*text_bytes(batch.column(0)))
-            got = winnow(seeds, offsets, width, seed)
-            on = sent.value.has(got.anchor)
-            anchor, start, n, owner = got.anchor[on], got.start[on], got.windows[on], got.owner[on]
-            sig = signature(start, start + n + width - 1)
+            got, offsets, signature, _ = scheme.read(batch.column(0))
+            on = sent.value.has(got.anchor) if sent.value else np.ones(len(got.anchor), bool)
+            anchor, start, n, owner, end = got.anchor[on], got.start[on], got.windows[on], got.owner[on], got.end[on]
+            sig = signature(start, end)
             new = _fresh(anchor, sig, owner, start - np.arange(len(n)) * n)
             first = np.flatnonzero(new)
             k = np.diff(np.append(first, len(n)))
             take = pa.array(owner[first])
             yield pa.RecordBatch.from_arrays(
-                [_signed(anchor[first]), _signed(sig[first]), batch.column(1).take(take), batch.column(2).take(take), pa.array((start - offsets[owner])[first].astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(k.astype(np.int32))],
-                names=["anchor", "sig", "id", "th", "pos", "n", "k"],
+                [_signed(anchor[first]), _signed(sig[first]), batch.column(1).take(take), batch.column(2).take(take), *(pa.array(x.astype(np.int32)) for x in ((start - offsets[owner])[first], n[first], (end - start)[first], k))],
+                names=["anchor", "sig", "id", "th", "pos", "n", "m", "k"],
             )
 
-    return written(docs.select("text", "id", "th").mapInArrow(run, "anchor long, sig long, id long, th long, pos int, n int, k int"), "spans")
+    found = docs.select("text", "id", "th").mapInArrow(run, "anchor long, sig long, id long, th long, pos int, n int, m int, k int")
+    out = written(found if sieve else found.join(repeated, "anchor", "left_semi"), "spans")
+    drop_written(repeated)
+    return out
 
 
 def classes(found: DataFrame) -> DataFrame:
@@ -183,29 +206,53 @@ def _places(sig: np.ndarray, id: np.ndarray, th: np.ndarray, pos: np.ndarray) ->
     return v ^ (v << np.uint64(4))
 
 
-def differing(docs: DataFrame, of: DataFrame, kernel: Kernel, width: int, seed: int, content: str, many: int) -> DataFrame:
-    """anchor, id, th, pos, at (the anchor, from pos on), hot and content of each class's first span, of anchors that have several classes; written.
+def differing(docs: DataFrame, of: DataFrame, scheme: Scheme, content: str, many: int) -> DataFrame:
+    """anchor, id, th, pos, at (the anchor, from pos on), n, hot and content of each class's first span, of anchors that have several classes; written.
 
-    Some other spans of repeated classes come along by chance. ``hot`` is true of all spans
+    Some other spans of repeated classes may come along by chance. ``hot`` is true of all spans
     of an anchor that has more than ``many`` classes, and by chance of others.
     """
     several = written(of.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
-    first = of.join(several, "anchor", "left_semi").select(_place(F.col("sig"), F.col("first.id"), F.col("first.th"), F.col("first.pos")).alias("place"))
+    first = written(of.join(several, "anchor").select("anchor", "sig", F.col("first.id").alias("id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"), (F.col("m") > many).alias("hot")), "firsts")
     context = docs.sparkSession.sparkContext
-    firsts, hots = context.broadcast(bitmap(written(first, "firsts"))), context.broadcast(bitmap(several.where(F.col("m") > many).select("anchor")))
+    firsts, hots = bitmap(first.select(_place(F.col("sig"), F.col("id"), F.col("th"), F.col("pos")).alias("place"))), bitmap(several.where(F.col("m") > many).select("anchor"))
+    schema = f"anchor long, id long, th long, pos int, at int, n int, hot boolean, content {content}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(got: Spans, contents: Callable, pos: np.ndarray, on: np.ndarray, hot: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        start, owner = got.start[on], pa.array(got.owner[on])
+        numbers = (pos[on], got.at[on] - start, got.windows[on])
+        return pa.RecordBatch.from_arrays([_signed(got.anchor[on]), batch.column(1).take(owner), batch.column(2).take(owner), *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(hot), contents(start, got.end[on])], names=["anchor", "id", "th", "pos", "at", "n", "hot", "content"])
+
+    def by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, BLOCK_BYTES):
-            offsets, seeds, signature, contents = kernel(*text_bytes(batch.column(0)))
-            got = winnow(seeds, offsets, width, seed)
+            got, offsets, signature, contents = scheme.read(batch.column(0))
             ids, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            sig = signature(got.start, got.start + got.windows + width - 1)
             pos = got.start - offsets[got.owner]
-            on = np.flatnonzero(firsts.value.has(_places(sig, ids[got.owner], hashes[got.owner], pos)))
-            anchor, start, n, owner = got.anchor[on], got.start[on], got.windows[on], got.owner[on]
-            yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(ids[owner]), pa.array(hashes[owner]), pa.array(pos[on].astype(np.int32)), pa.array((got.at[on] - start).astype(np.int32)), pa.array(hots.value.has(anchor)), contents(start, n)], names=["anchor", "id", "th", "pos", "at", "hot", "content"])
+            on = np.flatnonzero(firsts_sent.value.has(_places(signature(got.start, got.end), ids[got.owner], hashes[got.owner], pos)))
+            yield rows(got, contents, pos, on, hots_sent.value.has(got.anchor[on]), batch)
 
-    return written(docs.select("text", "id", "th").mapInArrow(run, f"anchor long, id long, th long, pos int, at int, hot boolean, content {content}"), "differing")
+    def by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, BLOCK_BYTES):
+            got, offsets, _, contents = scheme.read(batch.column(0))
+            pos = got.start - offsets[got.owner]
+            wanted = batch.column(3)
+            sizes = np.diff(wanted.offsets.to_numpy())
+            code = np.repeat(np.arange(batch.num_rows), sizes) << 33 | wanted.flatten().to_numpy()  # pos and hot in one number
+            code = np.sort(code)
+            near = np.searchsorted(code, (got.owner << 33) | (pos << 1))
+            have = code[np.minimum(near, len(code) - 1)]
+            on = np.flatnonzero((have >> 1) == ((got.owner << 32) | pos))
+            yield rows(got, contents, pos, on, (have[on] & 1).astype(bool), batch)
+
+    if firsts and hots:
+        firsts_sent, hots_sent = context.broadcast(firsts), context.broadcast(hots)
+        found = docs.select("text", "id", "th").mapInArrow(by_bitmap, schema)
+    else:
+        lists = first.groupBy("id", "th").agg(F.collect_list(F.col("pos").cast("long") * 2 + F.col("hot").cast("long")).alias("wanted"))
+        found = docs.select("text", "id", "th").join(lists, ["id", "th"]).select("text", "id", "th", "wanted").mapInArrow(by_list, schema)
+    out = written(found, "differing")
+    drop_written(several, first)
+    return out
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -229,13 +276,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Ta
 
 
 def by_document(docs: DataFrame, removed: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``run`` over batches of text, doc_id and gone: a document's removed spans (start, end, start, ...), unsorted and overlapping, or null.
+    """``run`` over batches of text, doc_id, gone and noted: a document's spans (start, end, start, ...), unsorted and overlapping, or null.
 
+    ``removed`` has id, th, start, end and far; spans with far are in ``gone``, the others in ``noted``.
     Only documents that may have any (by a bitmap) are shuffled to their spans; the
     others are read and answered in one step, by one Python worker a task.
     """
-    lists = written(removed.groupBy("id", "th").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("gone")), "gone")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(lists.select(F.xxhash64("id", "th").alias("place"))))
+    listed = lambda which: F.flatten(F.collect_list(F.when(which, F.array("start", "end"))))
+    lists = written(removed.groupBy("id", "th").agg(listed(F.col("far")).alias("gone"), listed(~F.col("far")).alias("noted")), "gone")
+    sieve = bitmap(lists.select(F.xxhash64("id", "th").alias("place")))
+    names = ["text", "doc_id", "gone", "noted"]
+    if sieve is None:
+        return docs.join(lists, ["id", "th"], "left").select(*names).mapInArrow(run, schema)
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
     placed = docs.select(F.xxhash64("id", "th").alias("place"), "text", "doc_id", "id", "th")
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +298,8 @@ def by_document(docs: DataFrame, removed: DataFrame, run: Callable[[Iterator[pa.
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.filter(pa.array(~sent.value.has(batch.column(0).to_numpy())))
-            yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), pa.nulls(rest.num_rows, pa.list_(pa.int32()))], names=["text", "doc_id", "gone"])
+            nothing = pa.nulls(rest.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), nothing, nothing], names=names)
 
-    hit = placed.mapInArrow(some, placed.schema).join(lists, ["id", "th"], "left").select("text", "doc_id", "gone").mapInArrow(run, schema)
+    hit = placed.mapInArrow(some, placed.schema).join(lists, ["id", "th"], "left").select(*names).mapInArrow(run, schema)
     return hit.unionByName(placed.select("place", "text", "doc_id").mapInArrow(lambda batches: run(others(batches)), schema))

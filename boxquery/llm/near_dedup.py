@@ -108,18 +108,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _of_documents(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
     """cid and ``what`` (the whole set, "shingles", or the "sketch") of the documents ``wanted`` (id, th); written.
 
-    The documents are found by a bitmap of bounded size, so texts aren't shuffled; other
-    classes may come along by chance.
+    The documents are found by a bitmap of bounded size, so texts aren't shuffled (more than
+    it holds are joined); other classes may come along by chance.
     """
-    places = written(wanted.select(F.xxhash64("id", "th").alias("place")), "places")
-    sent = docs.sparkSession.sparkContext.broadcast(anchors.bitmap(places))
+    places = written(wanted.select("id", "th", F.xxhash64("id", "th").alias("place")), "places")
+    sieve = anchors.bitmap(places.select("place"))
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            on = np.flatnonzero(sent.value.has(batch.column(3).to_numpy()))
-            if not len(on):
-                continue
-            batch = batch.take(pa.array(on))
+            if sent.value:
+                on = np.flatnonzero(sent.value.has(batch.column(3).to_numpy()))
+                if not len(on):
+                    continue
+                batch = batch.take(pa.array(on))
             hashes, at = shingle_sets(*text_bytes(batch.column(0)))
             if what == "shingles":
                 made = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
@@ -128,6 +130,8 @@ def _of_documents(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, at), pa.binary()), made], names=["cid", what])
 
     keyed = docs.select("text", "id", "th", F.xxhash64("id", "th").alias("place"))
+    if sieve is None:
+        keyed = keyed.join(places.select("id", "th"), ["id", "th"], "left_semi").select("text", "id", "th", "place")
     return written(keyed.mapInArrow(run, f"cid binary, {what} array<long>").dropDuplicates(["cid"]), what)
 
 
@@ -216,7 +220,10 @@ def _met(opened: DataFrame, members: DataFrame, facts: DataFrame, percent: int,
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows (key, band, cid) whose key has two classes at least (and some others by chance); written."""
     shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "band-keys")
-    sent = rows.sparkSession.sparkContext.broadcast(anchors.bitmap(shared))
+    sieve = anchors.bitmap(shared)
+    if sieve is None:
+        return written(rows.select("key", "band", "cid").join(shared, "key", "left_semi"), "buckets")
+    sent = rows.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

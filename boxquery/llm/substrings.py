@@ -38,7 +38,8 @@ def _kernel(window: int, seed: int) -> anchors.Kernel:
         def signature(a: np.ndarray, z: np.ndarray) -> np.ndarray:
             return span_hash(prefix, a, z, base)
 
-        def contents(start: np.ndarray, n: np.ndarray) -> pa.Array:
+        def contents(start: np.ndarray, end: np.ndarray) -> pa.Array:
+            n = end - start - (window - 1)
             ends_at = np.cumsum(n)
             each = np.arange(n.sum()) - np.repeat(ends_at - n, n) + np.repeat(start, n)
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends_at]).astype(np.int32)), pa.array(span_hash(prefix, each, each + window, base).view(np.int64)))
@@ -82,15 +83,15 @@ def _by_window(rows: DataFrame, window: int) -> DataFrame:
 
 def later_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """id, th, start and end (words) of what repeats an earlier window; spans may overlap. ``docs``: keyed."""
-    kernel = _kernel(window, seed)
-    found = anchors.spans(docs, kernel, window, seed)
+    scheme = anchors.Scheme(_kernel(window, seed), window, seed)
+    found = anchors.spans(docs, scheme)
     of = anchors.classes(found)
     # of equal spans all but the first go
     again = found.join(of.where("c > 1").select("anchor", "sig", "first"), ["anchor", "sig"])
     start = F.col("pos") + F.when(F.struct("id", "th", "pos") == F.col("first"), F.col("n")).otherwise(0)
     again = again.select("id", "th", start.alias("start"), (F.col("pos") + F.col("n") * F.col("k") + (window - 1)).alias("end"), (F.col("pos") + F.col("n") * F.col("k")).alias("stop")).where("start < stop").drop("stop")
     # of spans that differ the windows are compared
-    several = anchors.differing(docs, of, kernel, window, seed, "array<long>", GROUP_CLASSES)
+    several = anchors.differing(docs, of, scheme, "array<long>", GROUP_CLASSES)
     return again.unionByName(_in_groups(several.where("not hot"), window)).unionByName(_by_window(several.where("hot"), window))
 
 
@@ -110,7 +111,7 @@ def _cut(docs: DataFrame, window: int, seed: int, schema: str, each) -> DataFram
             fields = [pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), list(_fields(schema))[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), *fields], schema=pa.schema(list(_fields(schema))))
 
-    return anchors.by_document(whole, later_windows(whole, window, seed), run, schema)
+    return anchors.by_document(whole, later_windows(whole, window, seed).withColumn("far", F.lit(True)), run, schema)
 
 
 def _fields(schema: str) -> Iterator[pa.Field]:

@@ -45,12 +45,15 @@ def brute_repeats(texts, width):
     return out
 
 
-@pytest.mark.parametrize("most", [repeats.INDEX_CLASSES, 1])
-def test_repeats(docs, rows, monkeypatch, most):
+@pytest.mark.parametrize("most, values, noted", [(repeats.INDEX_CLASSES, anchors.MOST_VALUES, 40), (1, anchors.MOST_VALUES, 60), (1, 0, 40)])
+def test_repeats(docs, rows, monkeypatch, most, values, noted):
     monkeypatch.setattr(repeats, "INDEX_CLASSES", most)
+    monkeypatch.setattr(anchors, "MOST_VALUES", values)
     texts = [(t or "").encode() for _, t, _ in rows]
-    got = repeats.remove_repeats(docs, 60, 16).withColumn("n", F.aggregate(F.transform("removed", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x))
-    same(got.withColumn("kept", F.sha2("kept", 256)), [(i, n, r, hashlib.sha256(k).hexdigest()) for (i, _, _), (n, r, k) in zip(rows, brute_repeats(texts, 60), strict=True)], "doc_id", "n_bytes", "n", "kept")
+    total = lambda c: F.aggregate(F.transform(c, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    got = repeats.remove_repeats(docs, 60, noted, 16).withColumns({"r": total("removed"), "s": total("noted")})
+    long, short = brute_repeats(texts, 60), brute_repeats(texts, noted)
+    same(got.withColumn("kept", F.sha2("kept", 256)), [(i, n, r, s, hashlib.sha256(k).hexdigest()) for (i, _, _), (n, r, k), (_, s, _) in zip(rows, long, short, strict=True)], "doc_id", "n_bytes", "r", "s", "kept")
 
 
 def test_repeats_empty(empty):
