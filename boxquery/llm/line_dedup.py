@@ -1,8 +1,8 @@
 """Line dedup, in DataFrame operations only.
 
-Lines are exploded, normalised and hashed; hashes held by two documents or more
-lose their lines everywhere but in the smallest document; what is left is put
-together again by position.
+Lines are exploded, normalised and hashed, once, and the hashes written; those held
+by two documents or more lose their lines everywhere but in the smallest document;
+what is left is put together again by position.
 """
 
 from __future__ import annotations
@@ -10,18 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxquery.llm._common import table
+from boxquery.llm._common import table, written
 
 MIN_KEY_CHARS = 10
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that is stripped from both ends of a line.
 _SPACE = " \t\n\x0b\x0c\r"
 #: A null id stands for one document after all others.
 _NO_ID = (1 << 63) - 1
+#: Keys with more than this share of all lines are sent to every task; there are fewer of them than its inverse.
+HOT_SHARE = 0.001
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_SPACE)), _UPPER, _LOWER)
+def line_keys(line: Column) -> tuple[Column, Column]:
+    """128 bits of hash, equal for lines that are equal once stripped and with A-Z in lower case.
+
+    ``lower`` folds other letters too, and is many times as fast as a translation; lines
+    that it makes equal are told apart by their other characters, which count as they are.
+    """
+    others = F.when(F.octet_length(line) == F.char_length(line), F.lit("")).otherwise(F.regexp_replace(line, r"[\x00-\x7F]+", ""))
+    folded = F.lower(line)
+    return F.xxhash64(folded), F.xxhash64(others, folded)
 
 
 def _let(value: Column, body) -> Column:
@@ -34,15 +42,30 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_text": text, "_hash": F.xxhash64(text)})
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int = 2) -> DataFrame:
-    """_id, _hash (of the text) and the positions ``_drop`` of the lines that go; rows without any are absent."""
+def keyed_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
+    """_id, _hash (of the text), _pos and the key (_k1, _k2) of all lines of ``min_chars`` or more; written."""
     lines = _whole(docs).select("_id", "_hash", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
-    keyed = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars).select("_id", "_hash", "_pos", F.unhex(F.md5(F.col("_key").cast("binary"))).alias("_key"))
+    lines = lines.withColumn("_line", F.btrim("_line", F.lit(_SPACE))).where(F.char_length("_line") >= min_chars)
+    first, second = line_keys(F.col("_line"))
+    return written(lines.select("_id", "_hash", "_pos", first.alias("_k1"), second.alias("_k2")), "line-keys")
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int = 2) -> DataFrame:
+    """_id, _hash (of the text) and the positions ``_drop`` of the lines that go; rows without any are absent.
+
+    Keys that hold a large share of all lines, which are few, meet their lines by broadcast, all others by a shuffle.
+    """
+    keyed, key = keyed_lines(docs, min_chars), ["_k1", "_k2"]
     if min_docs == 2:
-        shared = keyed.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+        shared = keyed.groupBy(*key).agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_c")).where("_first < _last").drop("_last")
     else:
-        shared = keyed.groupBy("_key", "_id").agg(F.lit(1).alias("_one")).groupBy("_key").agg(F.min("_id").alias("_first"), F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs).drop("_docs")
-    return keyed.join(shared, "_key").where("_id > _first").groupBy("_id", "_hash").agg(F.collect_set("_pos").alias("_drop"))
+        each = keyed.groupBy(*key, "_id").agg(F.count(F.lit(1)).alias("_c"))
+        shared = each.groupBy(*key).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_docs"), F.sum("_c").alias("_c")).where(F.col("_docs") >= min_docs).drop("_docs")
+    shared = written(shared, "shared-lines")
+    most = keyed.count() * HOT_SHARE
+    hot = F.broadcast(shared.where(F.col("_c") > most).drop("_c"))
+    rest = keyed.join(hot, key, "left_anti").join(shared.where(F.col("_c") <= most).drop("_c"), key)
+    return keyed.join(hot, key).unionByName(rest).where("_id > _first").groupBy("_id", "_hash").agg(F.collect_set("_pos").alias("_drop"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int = 2) -> DataFrame:

@@ -378,6 +378,19 @@ def test_lines(docs, rows, least):
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
 
 
+def test_only_ascii_letters_are_folded(spark):
+    lines = ["Äpfel UND Birnen", "Äpfel und BIRNEN", "äpfel und birnen", "İstanbul is far", "i̇stanbul is far", "ΟΔΟΣ and more", "ΟΔΟΣ AND MORE", "οδος and more", "\u212aelvin or kelvin", "kelvin or kelvin", "ẞ and ss, ﬁ and fi", "ß AND ss, ﬁ and fi"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(df).collect()} == {k: int(k in (1, 6)) for k in range(len(lines))}
+
+
+@pytest.mark.parametrize("share", [0, 1])
+def test_lines_that_are_hot_or_not(docs, monkeypatch, share):
+    want = line_dedup.line_dedup(docs).collect()
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+    same(line_dedup.line_dedup(docs), [tuple(r) for r in want], *docs.columns, "n_lines", "n_dropped")
+
+
 def test_lines_empty(empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
