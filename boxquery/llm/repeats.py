@@ -24,7 +24,7 @@ from boxquery.llm._text import BASES, WINDOW_BASES, covered, mix, prefix_hash, r
 WINDOW = 400
 #: Matches of this length are noted, and not removed: about forty words, so that repeated passages of fifty show though they are short of a window.
 NOTED = 256
-SEED = 64
+SEED = 64  # longer than a piece
 #: Bytes that one index covers, and classes of one anchor that it takes; an anchor of more has pieces of its spans matched by hash.
 INDEX_BYTES = 1 << 17
 INDEX_CLASSES = 1000
@@ -201,7 +201,7 @@ def _indexed(rows: DataFrame, lengths: tuple[int, int]) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, window: int) -> DataFrame:
-    """anchor, h, id, th, pos, n and w (hashes of the windows) of runs of PIECE windows at equal places to the anchor; written."""
+    """Runs of PIECE windows at equal places to the anchor: anchor, core (hash of the bytes that all windows of the whole run have), h (of all bytes), id, th, pos, n and w (of each window); written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,26 +214,31 @@ def _pieces(rows: DataFrame, window: int) -> DataFrame:
                 piece = (row["at"] - np.arange(len(w))) // PIECE
                 first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
                 end = np.append(first[1:], len(w))
-                h = span_hash(prefix, first, end + (window - 1), WINDOW_BASES[0]) ^ mix(piece[first].astype(np.uint64))
-                out += [(row["anchor"], x, row["id"], row["th"], row["pos"] + a, z - a, w[a:z]) for x, a, z in zip(h.view(np.int64).tolist(), first.tolist(), end.tolist(), strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                place = mix(piece[first].astype(np.uint64))
+                last = row["at"] - piece[first] * PIECE  # of the whole run, which the span may hold a part of
+                core = span_hash(prefix, last, last - (PIECE - 1) + window, WINDOW_BASES[0]) ^ place
+                h = span_hash(prefix, first, end + (window - 1), WINDOW_BASES[0]) ^ place
+                out += [(row["anchor"], g, x, row["id"], row["th"], row["pos"] + a, z - a, w[a:z]) for g, x, a, z in zip(core.view(np.int64).tolist(), h.view(np.int64).tolist(), first.tolist(), end.tolist(), strict=True)]
+            kinds = (*(pa.int64(),) * 5, pa.int32(), pa.int32(), pa.list_(pa.int64()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "h", "id", "th", "pos", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "core", "h", "id", "th", "pos", "n", "w"])
 
-    return written(rows.select("anchor", "id", "th", "pos", "at", "n", "content").mapInArrow(run, "anchor long, h long, id long, th long, pos int, n int, w array<long>"), "pieces")
+    return written(rows.select("anchor", "id", "th", "pos", "at", "n", "content").mapInArrow(run, "anchor long, core long, h long, id long, th long, pos int, n int, w array<long>"), "pieces")
 
 
 def _by_piece(rows: DataFrame, window: int) -> DataFrame:
     """id, th, start and end for anchors of very many classes, by hash and with map-side sums.
 
-    Spans are cut to pieces; equal pieces repeat all their windows, and of each class of
-    pieces one has its windows compared with those of the others.
+    Spans are cut to pieces; equal pieces repeat all their windows. A window that some
+    other piece has is in pieces of one core, so only where a core has several classes of
+    pieces the windows of one of each class are compared.
     """
     pieces = _pieces(rows, window)
-    of = written(pieces.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "pos")).alias("first")), "piece-classes")
-    copies = pieces.join(of.where("c > 1").select("anchor", "h"), ["anchor", "h"], "left_semi").select("id", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (window - 1)).alias("end"))
-    first = of.select("anchor", "h", F.col("first.id").alias("id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"))
-    each = pieces.join(first, ["anchor", "h", "id", "th", "pos"], "left_semi").select("anchor", "id", "th", "pos", F.posexplode("w").alias("j", "w"))
+    of = written(pieces.groupBy("anchor", "core", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "pos")).alias("first")), "piece-classes")
+    copies = pieces.join(of.where("c > 1").select("anchor", "core", "h"), ["anchor", "core", "h"], "left_semi").select("id", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (window - 1)).alias("end"))
+    several = of.groupBy("anchor", "core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", "core")
+    first = of.join(several, ["anchor", "core"], "left_semi").select("anchor", "core", "h", F.col("first.id").alias("id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"))
+    each = pieces.join(first, ["anchor", "core", "h", "id", "th", "pos"], "left_semi").select("anchor", "id", "th", "pos", F.posexplode("w").alias("j", "w"))
     shared = each.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     more = each.join(shared, ["anchor", "w"], "left_semi").select("id", "th", (F.col("pos") + F.col("j")).alias("start"), (F.col("pos") + F.col("j") + window).alias("end"))
     return copies.unionByName(more)
