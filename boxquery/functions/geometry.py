@@ -6,6 +6,8 @@ prefixes (``a.``) so that they serve in joins and in lambdas over structs alike.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,9 +92,27 @@ def normalised(width: str = "width", height: str = "height") -> dict[str, Column
     return {"x1": share(F.col("x"), width), "y1": share(F.col("y"), height), "x2": share(F.col("x") + F.col("w"), width), "y2": share(F.col("y") + F.col("h"), height)}
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double as text with fixed places: the value nearest to what it is in binary, exact ties to even.
+
+    ``format_string`` rounds the shortest decimal form, and ties up. Half units are
+    counted, and near a tie the product with the scale is taken exactly, in two parts.
+    """
+    halves = F.lit(2.0 * 10.0**places)
+    near = F.rint(value * halves)
+    high = value.cast("float").cast("double")
+    off = (high * halves - near) + (value - high) * halves
+    down = F.floor(near / 2).cast("double")
+    up = (off > 0) | ((off == 0) & (F.pmod(down, F.lit(2.0)) == 1))
+    units = F.when(F.pmod(near, F.lit(2.0)) == 0, near / 2).otherwise(F.when(up, down + 1).otherwise(down))
+    exact = (F.abs(units).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(38,{places})").cast("string")
+    text = F.concat(F.when((value < 0), F.lit("-")).otherwise(F.lit("")), exact)
+    return F.when(F.abs(value) * halves < F.lit(2.0**52), text).otherwise(F.format_string(f"%.{places}f", value))
+
+
 def bytes_text(size: Column) -> Column:
-    """A number of bytes with its unit, two places."""
-    out = F.concat(F.format_string("%.2f", size / F.lit(1024.0**4)), F.lit(" TB"))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(size < F.lit(1024.0 ** (power + 1)), F.concat(F.format_string("%.2f", size / F.lit(1024.0**power)), F.lit(f" {unit}"))).otherwise(out)
+    """A number of bytes with its unit, two places; GB is the largest unit."""
+    out = F.concat(fixed(size / F.lit(1024.0**3), 2), F.lit(" GB"))
+    for power, unit in ((2, "MB"), (1, "KB"), (0, "B")):
+        out = F.when(size < F.lit(1024.0 ** (power + 1)), F.concat(fixed(size / F.lit(1024.0**power), 2), F.lit(f" {unit}"))).otherwise(out)
     return out

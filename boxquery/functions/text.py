@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and the letters without, for what has no built-in decomposition.
-_MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str], str]:
+    """What compatibility decomposition (NFKD), without combining marks and in lower case, makes of characters beyond ASCII.
+
+    The characters that become one letter or digit and what they become, then those that
+    vanish, for a translation; the others that hold any, with what they become; and a
+    pattern of these. What is in none of them becomes a space.
+    """
+    one, many, gone = {}, {}, []
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
+        char = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x)).lower()
+        kept = "".join(x if x.isascii() and x.isalnum() or x == "&" else " " for x in plain)
+        if not plain:
+            gone.append(char)
+        elif kept.strip():
+            (one if len(kept) == 1 else many)[char] = kept
+    return "".join(one) + "".join(gone), "".join(one.values()), many, "[" + "".join(many) + "]"
+
+
+def fold(text: Column) -> Column:
+    """Letters and digits in lower case and without marks, in Catalyst: a translation, and a look-up of ligatures and the like where there are any."""
+    plain, to, many, pattern = _folds()
+    table = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in many.items())), F.lit("\u0001"), F.lit("\u0002"))
+    parts = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    wide = F.when(text.rlike(pattern), parts).otherwise(text)
+    return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(wide, plain, to)))
+
+
 # The words of a true and of a false flag.
 TRUE_WORDS = ("1", "true", "t", "yes", "y", "on")
 FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
@@ -15,8 +48,7 @@ FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
 
 def normalize_label(label: Column) -> Column:
     """Lower case without marks; & is "and", / and - are spaces, other signs too; single spaces."""
-    s = F.translate(F.lower(label), _MARKED, _PLAIN)
-    s = F.regexp_replace(F.regexp_replace(s, "&", " and "), "[/-]", " ")
+    s = F.regexp_replace(F.regexp_replace(fold(label), "&", " and "), "[/-]", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 

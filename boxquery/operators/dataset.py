@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from boxquery.functions.params import target_size
 from boxquery.operators.matching import greedy_dedup
+from boxquery.sources.writers import coco_document, one_file
 
 ZONE = -1
 
@@ -186,6 +187,17 @@ def optimized_split(matrix: Matrix, ratios: dict[str, float], seed: int = 0, rou
     return out
 
 
+def write_split(images: DataFrame, annotations: DataFrame, categories: DataFrame, split: DataFrame, folder: str, names: Sequence[str]) -> dict[str, str]:
+    """A COCO document for each split (image_id, split), with all categories; the files' paths."""
+    out = {}
+    for name in names:
+        mine = split.where(F.col("split") == name).select(F.col("image_id").alias("id"))
+        kept, notes, _ = select_images(images, annotations, mine)
+        out[name] = f"{folder}/{name}.json"
+        one_file(coco_document(kept, notes, categories), out[name])
+    return out
+
+
 def optimized_sample(matrix: Matrix, ratio: float, fixed: Sequence[int] = (), seed: int = 0, rounds: int = 2000) -> set[int]:
     """So many images that their class shares come near ``ratio``; the fixed ones stay in. Swaps that don't hurt are taken."""
     size = target_size(len(matrix), ratio)

@@ -12,10 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxquery.functions.geometry import iou_sql
+from boxquery.functions.geometry import centroid_in_sql, iou_sql
 from boxquery.functions.text import letter_tokens, normalize_label, tokens
 
 
+#: Rows that are sent to every task at most.
+SMALL_ROWS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if its rows are few; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def _key(label: str) -> dict[str, Column]:
     """128 bits of hash that stand for a label, so that a whole text isn't carried along with each of its tokens."""
     return {"k1": F.xxhash64(label), "k2": F.xxhash64(F.lit(1), F.col(label))}
@@ -33,7 +42,7 @@ def resolve_labels(labels: DataFrame, aliases: DataFrame, least: float = 0.45) -
     exact = wanted.join(known.groupBy("norm").agg(F.min_by("class_name", "pos").alias("exact")), "norm", "left")
     left = exact.where(F.col("exact").isNull()).select("k1", "k2", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
     right = known.select("class_name", "pos", F.size("alias_toks").alias("m"), F.explode("alias_toks").alias("tok"))
-    pairs = left.join(right, "tok").groupBy("k1", "k2", "n", "class_name", "pos", "m").agg(F.count(F.lit(1)).cast("double").alias("shared"))
+    pairs = left.join(_small(right), "tok").groupBy("k1", "k2", "n", "class_name", "pos", "m").agg(F.count(F.lit(1)).cast("double").alias("shared"))
     jaccard, contained = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), F.col("shared") / F.least("n", "m")
     near = pairs.withColumn("s", F.greatest(jaccard, contained * 0.95)).where(F.col("s") >= least)
     best = near.groupBy("k1", "k2").agg(F.max_by("class_name", F.struct("s", -F.col("pos"))).alias("fuzzy"))
@@ -45,7 +54,7 @@ def unique_phrase_class(labels: DataFrame, phrases: DataFrame, least: float = 0.
     left = labels.select("label").distinct().withColumns({"toks": letter_tokens(F.col("label")), **_key("label")})
     right = phrases.select("class_name", F.xxhash64("phrase").alias("phrase"), letter_tokens(F.col("phrase")).alias("p")).distinct()
     right = right.select("class_name", "phrase", F.size("p").alias("m"), F.explode("p").alias("tok"))
-    pairs = left.select("k1", "k2", F.explode("toks").alias("tok")).join(right, "tok").groupBy("k1", "k2", "class_name", "phrase", "m").agg(F.count(F.lit(1)).cast("double").alias("shared"))
+    pairs = left.select("k1", "k2", F.explode("toks").alias("tok")).join(_small(right), "tok").groupBy("k1", "k2", "class_name", "phrase", "m").agg(F.count(F.lit(1)).cast("double").alias("shared"))
     scored = pairs.groupBy("k1", "k2", "class_name").agg(F.max(F.col("shared") / F.col("m")).alias("s"))
     top = scored.groupBy("k1", "k2").agg(F.max("s").alias("top"))
     winners = scored.join(top, ["k1", "k2"]).where((F.col("s") >= F.col("top") - 1e-9) & (F.col("top") >= least))
@@ -150,6 +159,20 @@ def wbf(boxes: DataFrame, keys: Sequence[str], id: str, threshold: float) -> Dat
     return grouped.select(*keys, F.expr(f"inline({fold})")).select(*keys, F.col("k").alias("cluster"), "x", "y", "w", "h", (F.col("sw") / F.col("n")).alias("score"), "n", "ids")
 
 
+def assign_fused(boxes: DataFrame, fused: DataFrame, keys: Sequence[str], id: str, centroid: bool = False) -> DataFrame:
+    """id and cluster: the fused box that each box overlaps most (the first of equal ones); null where it overlaps none.
+
+    With ``centroid`` a fused box that holds the box's centre is preferred by a thousandth,
+    and so takes boxes of no overlap too. A box of no cluster is one of its own.
+    """
+    right = fused.select(*(F.col(k).alias(f"b_{k}") for k in keys), F.col("cluster").alias("b_cluster"), *(F.col(c).alias(f"b_{c}") for c in "xywh"))
+    left = boxes.select(*(F.col(k).alias(f"a_{k}") for k in keys), F.col(id).alias("_id"), *(F.col(c).alias(f"a_{c}") for c in "xywh"))
+    more = f" + if({centroid_in_sql('a_', 'b_')}, 0.001D, 0D)" if centroid else ""
+    near = left.join(right, [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]).withColumn("p", F.expr(f"{iou_sql('a_', 'b_')}{more}")).where("p > 0")
+    best = near.groupBy("_id").agg(F.max_by("b_cluster", F.struct("p", -F.col("b_cluster"))).alias("cluster"))
+    return boxes.select(id).join(best.withColumnRenamed("_id", id), id, "left")
+
+
 def segment_argmax(vectors: DataFrame, id: str, vector: str, segments: int, width: int) -> DataFrame:
     """Of a vector in ``segments`` parts: the part of the largest value (the first of equal ones), its maximum, and the vector's."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: F.struct(F.array_max(F.slice(F.col(vector), k * width + 1, F.lit(width))).alias("m"), (-k).alias("k")))

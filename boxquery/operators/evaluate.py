@@ -13,6 +13,8 @@ from boxquery.operators.matching import BOX, greedy_match, two_phase_match
 
 #: Area ranges of the protocol, closed at both ends.
 AREA_RANGES = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
+#: Ranges of the score that an average precision is counted in.
+RANGES = 1024
 COCO_THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 
 
@@ -37,17 +39,22 @@ def average_precision(rows: DataFrame, truths: DataFrame, by: Sequence[str]) ->
 
     rows: by, score, det_id, tp (boolean; null: ignored); truths: by, npos.
     """
-    order = W.partitionBy(*by).orderBy(F.desc("score"), "det_id").rowsBetween(W.unboundedPreceding, 0)
-    curve = rows.where("tp is not null").withColumns({"_tp": F.sum(F.col("tp").cast("long")).over(order), "_n": F.count(F.lit(1)).over(order)})
-    curve = curve.join(truths.where("npos > 0"), list(by)).withColumns({"_rec": F.col("_tp") / F.col("npos"), "_prec": F.col("_tp") / F.col("_n")})
-    # only points where recall rises bound the envelope: the best precision at a recall or above
-    steps = curve.groupBy(*by, "npos", "_rec").agg(F.max("_prec").alias("_prec"))
-    above = W.partitionBy(*by).orderBy(F.desc("_rec")).rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumn("_env", F.max("_prec").over(above))
-    lower = F.coalesce(F.lag("_rec").over(W.partitionBy(*by).orderBy("_rec")), F.lit(-1.0))
-    grid = F.filter(F.sequence(F.lit(0), F.lit(100)), lambda r: (r / F.lit(100.0) <= F.col("_rec")) & (r / F.lit(100.0) > F.col("_lower")))
-    steps = steps.withColumn("_lower", lower).withColumn("_k", F.size(grid))
-    ap = steps.groupBy(*by).agg((F.sum(F.col("_env") * F.col("_k")) / 101).alias("ap"), F.max("_rec").alias("recall"))
+    # running counts within ranges of the score and over the ranges, so that no task has all rows of a class
+    rows = rows.where("tp is not null").withColumn("_range", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor((1 - F.col("score")) * RANGES))), F.lit(RANGES)).cast("int"))
+    per = rows.groupBy(*by, "_range").agg(F.sum(F.col("tp").cast("long")).alias("_tps"), F.count(F.lit(1)).alias("_rows"))
+    ahead = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumns({"_tps": F.coalesce(F.sum("_tps").over(ahead), F.lit(0)), "_rows": F.coalesce(F.sum("_rows").over(ahead), F.lit(0))})
+    order = W.partitionBy(*by, "_range").orderBy(F.desc("score"), "det_id").rowsBetween(W.unboundedPreceding, 0)
+    curve = rows.withColumns({"_tp": F.sum(F.col("tp").cast("long")).over(order), "_n": F.count(F.lit(1)).over(order)}).join(per, [*by, "_range"])
+    curve = curve.join(truths.where("npos > 0"), list(by)).withColumns({"_rec": (F.col("_tp") + F.col("_tps")) / F.col("npos"), "_prec": (F.col("_tp") + F.col("_tps")) / (F.col("_n") + F.col("_rows"))})
+    # the last of the 101 recalls that a point reaches; the best precision there or beyond bounds the envelope
+    k = F.floor(F.col("_rec") * 100)
+    reached = lambda r: r / F.lit(100.0) <= F.col("_rec")
+    best = curve.groupBy(*by, F.when(reached(k + 1), k + 1).when(reached(k), k).otherwise(k - 1).alias("_k")).agg(F.max("_prec").alias("_prec"), F.max("_rec").alias("_rec"))
+    beyond = W.partitionBy(*by).orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
+    lower = F.coalesce(F.lag("_k").over(W.partitionBy(*by).orderBy("_k")), F.lit(-1))
+    steps = best.withColumns({"_env": F.max("_prec").over(beyond), "_wide": F.col("_k") - lower})
+    ap = steps.groupBy(*by).agg((F.sum(F.col("_env") * F.col("_wide")) / 101).alias("ap"), F.max("_rec").alias("recall"))
     return truths.where("npos > 0").select(*by).join(ap, list(by), "left").fillna(0.0, ["ap", "recall"])
 
 

@@ -7,8 +7,10 @@ depend on the partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +60,61 @@ def greedy_dedup(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return boxes.join(kept, id, "left_semi")
 
 
+def _least_labels(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node of the component of each: hook to the smaller label, halve the paths."""
+    nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b, label = at[: len(i)], at[len(i) :], np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
+    """id and label of the nodes of each row's edges (arrays i and j); Arrow, since a fold over edges would go over all labels at each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in zip(batch.column(0), batch.column(1), strict=True):
+                nodes, label = _least_labels(i.values.to_numpy(), j.values.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(label, pa.int64())], names=["id", "label"])
+
+    return edges.select("i", "j").mapInArrow(run, "id long, label long")
+
+
 def components(boxes: DataFrame, keys: Sequence[str], id: str, threshold: float, centroid: str | None = None) -> DataFrame:
     """``boxes`` with ``cluster``, the smallest id of its component in the group's overlap graph.
 
-    Edges come from a join, labels from a fold over the group's edges; the groups are
-    images, so neither grows with the table.
+    Edges come from a join, labels from a group's edges; the groups are images, so
+    neither grows with the table.
     """
     pairs = iou_join(boxes.select(*keys, id, *BOX), boxes.select(*keys, id, *BOX), keys, threshold, id, centroid)
-    edges = pairs.groupBy(*[F.col(f"a_{k}").alias(k) for k in keys]).agg(F.collect_list(F.struct(F.col(f"a_{id}").alias("i"), F.col(f"b_{id}").alias("j"))).alias("_edges"))
-    # labels live on the nodes that have an edge: a map as two arrays, ids and labels
-    nodes = "array_sort(array_distinct(concat(transform(_edges, e -> e.i), transform(_edges, e -> e.j))))"
-    fold = (
-        "aggregate(transform(_edges, e -> named_struct('i', cast(array_position(_nodes, e.i) - 1 as int), 'j', cast(array_position(_nodes, e.j) - 1 as int))), _nodes,"
-        " (lab, e) -> if(lab[e.i] = lab[e.j], lab, transform(lab, z -> if(z = greatest(lab[e.i], lab[e.j]), least(lab[e.i], lab[e.j]), z))))"
-    )
-    labels = edges.withColumn("_nodes", F.expr(nodes)).select(F.explode(F.arrays_zip(F.col("_nodes").alias("n"), F.expr(fold).alias("l"))).alias("z")).select(F.col("z.n").alias(id), F.col("z.l").alias("_label"))
+    edges = pairs.groupBy(*(f"a_{k}" for k in keys)).agg(F.collect_list(F.col(f"a_{id}").cast("long")).alias("i"), F.collect_list(F.col(f"b_{id}").cast("long")).alias("j"))
+    labels = _labelled(edges).select(F.col("id").alias(id), F.col("label").alias("_label"))
     return boxes.join(labels, id, "left").withColumn("cluster", F.coalesce("_label", id)).drop("_label")
 
 
+def component_sweep(boxes: DataFrame, keys: Sequence[str], id: str, thresholds: Sequence[float]) -> DataFrame:
+    """t, id and cluster for every threshold: one join at the lowest, and its edges taken by each."""
+    table = F.broadcast(boxes.sparkSession.createDataFrame([(float(t),) for t in thresholds], "t double"))
+    pairs = iou_join(boxes.select(*keys, id, *BOX), boxes.select(*keys, id, *BOX), keys, min(thresholds), id).crossJoin(table).where("iou >= t")
+    edges = pairs.groupBy("t", *(f"a_{k}" for k in keys)).agg(F.collect_list(F.col(f"a_{id}").cast("long")).alias("i"), F.collect_list(F.col(f"b_{id}").cast("long")).alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, i, j in zip(*batch.columns, strict=True):
+                nodes, label = _least_labels(i.values.to_numpy(), j.values.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), t.as_py())), pa.array(nodes, pa.int64()), pa.array(label, pa.int64())], names=["t", id, "_label"])
+
+    labels = edges.select("t", "i", "j").mapInArrow(run, f"t double, {id} long, _label long")
+    return boxes.select(id).crossJoin(table).join(labels, ["t", id], "left").select("t", id, F.coalesce("_label", id).alias("cluster"))
+
+
 _MATCH = "array<struct<det_id:bigint,gt_id:bigint,iou:double>>"
 
 

@@ -44,10 +44,22 @@ def rescued(dets: DataFrame, tau: float, least: int, by: str = "category_id", id
 
     Selection is by threshold on the rank; ties at the cut go by id.
     """
-    rows = dets.withColumns({"_rank": F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), id)), "_high": F.sum((F.col("score") >= tau).cast("int")).over(W.partitionBy(by)), "_n": F.count(F.lit(1)).over(W.partitionBy(by))})
-    kept = rows.where(F.col("_rank") <= F.greatest("_high", F.least(F.lit(least), F.col("_n"))))
-    floor = F.when(F.col("_high") >= least, F.lit(float(tau))).otherwise(F.min("score").over(W.partitionBy(by)))
-    return kept.withColumn("tau_eff", floor).drop("_rank", "_high", "_n")
+    per = dets.groupBy(by).agg(F.count_if(F.col("score") >= tau).alias("_high"), F.min("score").alias("_low"))
+    rows = dets.join(F.broadcast(per), by)
+    high = rows.where(F.col("score") >= tau)
+    # of the others so many as are wanted at most, first of each part of a class and then of the class
+    best = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), id))
+    low = rows.where(~F.coalesce(F.col("score") >= tau, F.lit(False)) & (F.col("_high") < least)).withColumn("_part", F.pmod(F.xxhash64(id), F.lit(64)))
+    low = low.withColumn("_rank", best(by, "_part")).where(F.col("_rank") <= least)
+    low = low.withColumn("_rank", best(by) + F.col("_high")).where(F.col("_rank") <= least).drop("_part", "_rank")
+    lowest = low.groupBy(by).agg(F.min("score").alias("_kept"))
+    floor = F.when(F.col("_high") >= least, F.lit(float(tau))).otherwise(F.coalesce("_kept", "_low"))
+    return high.unionByName(low).join(F.broadcast(lowest), by, "left").withColumn("tau_eff", floor).select(*dets.columns, "tau_eff")
+
+
+def above(dets: DataFrame, floor: float, score: str = "score") -> DataFrame:
+    """Detections of a score beyond the floor, which itself isn't enough; a null score never is."""
+    return dets.where(F.col(score) > floor)
 
 
 def rejected_zones(dets: DataFrame, kept: DataFrame, floor: float, id: str = "det_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxquery.functions.geometry import area, size_bucket
+from boxquery.operators.matching import iou_join, overlapped
 
 
 def class_counts(annotations: DataFrame, by: Sequence[str] = ("category_id",)) -> DataFrame:
@@ -97,6 +98,20 @@ def top_labels(rows: DataFrame, label: str, k: int = 50) -> DataFrame:
     return rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(k)
 
 
+def prompt_table(dets: DataFrame, gts: DataFrame, threshold: float, by: str = "prompt_set", image: str = "image_id") -> DataFrame:
+    """by, tiles, recall and precision: of each prompt, the means over tiles of the share of truth boxes, and of detections, that overlap any of the others.
+
+    A tile without truth boxes has no recall, one without detections no precision; nulls
+    don't count in the means.
+    """
+    hit = overlapped(dets, gts, [image], threshold).select("det_id", F.lit(1).alias("_hit"))
+    precision = dets.join(hit, "det_id", "left").groupBy(by, image).agg((F.count("_hit") / F.count(F.lit(1))).alias("_p"))
+    found = iou_join(gts.select(image, "gt_id", "x", "y", "w", "h"), dets.select(image, by, "x", "y", "w", "h"), [image], threshold).groupBy(F.col(f"b_{by}").alias(by), F.col(f"a_{image}").alias(image)).agg(F.count_distinct("a_gt_id").alias("_found"))
+    tiles = dets.select(by).distinct().crossJoin(gts.groupBy(image).agg(F.count(F.lit(1)).alias("_n")))
+    recall = tiles.join(found, [by, image], "left").select(by, image, (F.coalesce("_found", F.lit(0)) / F.col("_n")).alias("_r"))
+    return recall.join(precision, [by, image], "full").groupBy(by).agg(F.count(F.lit(1)).alias("tiles"), F.avg("_r").alias("recall"), F.avg("_p").alias("precision"))
+
+
 def merged_counts(parts: Sequence[DataFrame]) -> DataFrame:
     """Label counts of several runs summed, most first."""
     out = parts[0]

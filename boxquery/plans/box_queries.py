@@ -151,7 +151,7 @@ def j15_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT d.det_id, EXISTS (SELECT 1 FROM gt z WHERE z.gt_id % 6 = 0 AND z.image_id = d.image_id AND {iou_sql('d', 'z')} >= 0.3) AS excluded FROM det d")
 def j17_zone_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, z = views.detections(spark, sf_dir), views.truths(spark, sf_dir).where("gt_id % 6 = 0")
+    d, z = views.detections(spark, sf_dir), views.truths(spark, sf_dir).where(views.ZONES)
     hit = matching.overlapped(d, z, ["image_id"], 0.3).select("det_id", F.lit(True).alias("excluded"))
     return d.select("det_id").join(hit, "det_id", "left").fillna(False, ["excluded"])
 
@@ -189,12 +189,38 @@ def g12_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_dedup(views.detections(spark, sf_dir), ["image_id"], [-F.col("score")], "det_id", 0.5).select("det_id")
 
 
-@query()
-def g02_g13_weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fusion_sql(keys: str, threshold: float) -> str:
+    """CTE ``wb`` (keys, q: a fused box with k, x, y, w, h, sw, n): boxes by falling score join the best fused box, or open one."""
+    on = lambda a, b: " AND ".join(f"{a}.{c.strip()} = {b}.{c.strip()}" for c in keys.split(","))
+    mean = lambda c: f"'{c}': (q.{c} * q.sw + {c} * score) / (q.sw + score)"
+    return f""", o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, det_id) AS rn FROM det),
+r AS (SELECT {keys}, 0::BIGINT AS rn, []::STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, sw DOUBLE, n BIGINT, k BIGINT)[] AS f FROM (SELECT DISTINCT {keys} FROM o)
+ UNION ALL SELECT {keys}, rn, CASE WHEN b IS NULL THEN list_append(f, {{'x': x, 'y': y, 'w': w, 'h': h, 'sw': score, 'n': 1::BIGINT, 'k': len(f)}})
+  ELSE list_transform(f, lambda q: CASE WHEN q.k = -b.neg THEN {{{', '.join(map(mean, 'xywh'))}, 'sw': q.sw + score, 'n': q.n + 1, 'k': q.k}} ELSE q END) END
+ FROM (SELECT o.*, r.f, list_sort(list_transform(list_filter(r.f, lambda q: {iou_sql('q', 'o')} >= {threshold}), lambda q: {{'iou': {iou_sql('q', 'o')}, 'neg': -q.k}}), 'DESC')[1] AS b FROM r JOIN o ON {on('o', 'r')} AND o.rn = r.rn + 1)),
+wb AS (SELECT {keys}, unnest(f) AS q FROM (SELECT {keys}, arg_max(f, rn) AS f FROM r GROUP BY {keys}))"""
+
+
+@query(_fusion_sql("image_id, category_id", 0.5) + " SELECT image_id, category_id, q.k::INT AS cluster, round(q.x, 6) AS x, round(q.y, 6) AS y, round(q.w, 6) AS w, round(q.h, 6) AS h, round(q.sw / q.n, 6) AS score, q.n AS n FROM wb")
+def g13_weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ensemble.wbf(views.detections(spark, sf_dir), KEYS, "det_id", 0.5)
     return rounded(got.drop("ids"), "x", "y", "w", "h", "score")
 
 
+_HELD = "(d.x + d.w / 2 BETWEEN q.x AND q.x + q.w AND d.y + d.h / 2 BETWEEN q.y AND q.y + q.h)"
+
+
+@query(
+    _fusion_sql("image_id, category_id", 0.5)
+    + f", fb AS (SELECT image_id, category_id, q.k AS k, q.x AS x, q.y AS y, q.w AS w, q.h AS h FROM wb), pr AS (SELECT d.det_id, q.k, {iou_sql('d', 'q')} + CASE WHEN {_HELD} THEN 0.001::DOUBLE ELSE 0 END AS p FROM det d JOIN fb q ON q.image_id = d.image_id AND q.category_id = d.category_id)"
+    + " SELECT det.det_id, b.k::INT AS cluster FROM det LEFT JOIN (SELECT det_id, arg_max(k, (round(p, 9), -k)) AS k FROM pr WHERE p > 0 GROUP BY 1) b USING (det_id)"
+)
+def g02_fused_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fused box each original box belongs to."""
+    d = views.detections(spark, sf_dir)
+    return ensemble.assign_fused(d, ensemble.wbf(d, KEYS, "det_id", 0.5), KEYS, "det_id", centroid=True)
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = matching.components(views.detections(spark, sf_dir), ["image_id"], "det_id", 0.4)
     return d.withColumns({"class_name": F.concat(F.lit("c"), F.col("category_id")), "prompt_set": F.concat(F.lit("s"), F.col("prompt_set"))})
@@ -304,13 +330,13 @@ def w02_rejected_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", want AS (SELECT category_id, count(*) AS n FROM gt WHERE gt_id % 10 = 0 GROUP BY 1) SELECT det_id FROM (SELECT det_id, n, row_number() OVER (PARTITION BY det.category_id ORDER BY score DESC, det_id) AS r FROM det JOIN want USING (category_id)) WHERE r <= n")
 def w03_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    want = stats.class_counts(views.truths(spark, sf_dir).where("gt_id % 10 = 0"))
+    want = stats.class_counts(views.truths(spark, sf_dir).where(views.REFERENCE))
     return policy.quota(views.detections(spark, sf_dir), want).select("det_id")
 
 
 @query(", want AS (SELECT category_id, count(*) AS n FROM gt WHERE gt_id % 10 = 0 GROUP BY 1) SELECT det_id FROM (SELECT det_id, n, row_number() OVER (PARTITION BY det.category_id ORDER BY (det_id * 2654435761 + 7) % 2147483647, det_id) AS r FROM det JOIN want USING (category_id)) WHERE r <= n")
 def w04_random_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    want = stats.class_counts(views.truths(spark, sf_dir).where("gt_id % 10 = 0"))
+    want = stats.class_counts(views.truths(spark, sf_dir).where(views.REFERENCE))
     return policy.quota(views.detections(spark, sf_dir), want, seed=7).select("det_id")
 
 
@@ -331,26 +357,26 @@ def w08_cleanest_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(", s AS (SELECT DISTINCT id FROM img WHERE id % 3 = 0) SELECT gt_id FROM gt WHERE image_id IN (SELECT id FROM s)")
 def j05_select_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, g = views.images(spark, sf_dir), views.truths(spark, sf_dir)
-    return dataset.select_images(i, g, i.where("id % 3 = 0").select("id"))[1].select("gt_id")
+    return dataset.select_images(i, g, i.where(views.SELECTED).select("id"))[1].select("gt_id")
 
 
 @query("SELECT DISTINCT user_id + 1000000 AS id FROM events WHERE user_id % 3 = 0", views=False)
 def u03_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = views.images(spark, sf_dir)
-    wanted = i.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id")).unionByName(i.select("id"))
+    wanted = i.where(views.SELECTED).select((F.col("id") + 1_000_000).alias("id")).unionByName(i.select("id"))
     return dataset.select_images(i, views.truths(spark, sf_dir), wanted)[2]
 
 
 @query("SELECT det_id, image_id + 500 AS image_id FROM det WHERE image_id % 7 <> 0")
 def j06_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = views.images(spark, sf_dir).withColumn("file_name", F.concat(F.lit("img_"), F.col("id"), F.lit("_0_0.tif")))
-    to = i.where("id % 7 <> 0").withColumn("id", F.col("id") + 500)
+    to = i.where(views.RENAMED).withColumn("id", F.col("id") + 500)
     return dataset.remap_images(views.detections(spark, sf_dir), i, to).select("det_id", "image_id")
 
 
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, g = views.detections(spark, sf_dir), views.truths(spark, sf_dir).where("image_id % 10 = 0")
-    free = d.where("image_id % 10 <> 0")
+    d, g = views.detections(spark, sf_dir), views.truths(spark, sf_dir).where(views.LABELED)
+    free = d.where(f"not ({views.LABELED})")
     return dataset.merged(g, {"one": free.where("src = 1"), "two": free.where("src = 2")}, 0.4, 0.4, free.where("score between 0.2 and 0.4"))
 
 
@@ -377,24 +403,65 @@ def m11_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.sample_rows(views.images(spark, sf_dir), "id", 20, 3).select("id")
 
 
-@query()
-def m01_optimized_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dataset.optimized_split(dataset.class_matrix(views.truths(spark, sf_dir), views.images(spark, sf_dir)), {"train": 0.7, "val": 0.1, "test": 0.2})
-    return spark.createDataFrame(sorted(out.items()), "image_id long, split string")
+def _matrix(spark: SparkSession, sf_dir: str) -> dataset.Matrix:
+    return dataset.class_matrix(views.truths(spark, sf_dir), views.images(spark, sf_dir))
+
+
+_RATIOS = {"train": 0.7, "val": 0.1, "test": 0.2}
+
+
+@query("SELECT count(*) AS images, count(*) AS assigned, 3::BIGINT AS splits, true AS helped FROM img")
+def m01_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split's promises: every image in one split, all splits used, and class shares no further from the ratios than if images were dealt in turn."""
+    matrix = _matrix(spark, sf_dir)
+    out, totals = dataset.optimized_split(matrix, _RATIOS), dataset._totals(matrix)
+    in_turn = {i: ("train" if k % 10 < 7 else "val" if k % 10 == 7 else "test") for k, i in enumerate(sorted(matrix))}
+    off = lambda split: sum(dataset.mean_deviation(dataset._totals(matrix, [i for i, s in split.items() if s == name]), totals, r) for name, r in _RATIOS.items())
+    return spark.createDataFrame([(len(matrix), len(out), len(set(out.values())), off(out) <= off(in_turn))], "images long, assigned long, splits long, helped boolean")
+
+
+@query(", n AS (SELECT count(*) AS n FROM img) SELECT r AS ratio, greatest(1, least(n, round_even(n * r, 0)::BIGINT)) AS size, true AS holds_the_last FROM n, (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS r)")
+def m03_m04_m05_nested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of samples of growing ratios, and whether each holds the one before."""
+    out = list(dataset.nested_samples(_matrix(spark, sf_dir), [0.1, 0.2, 0.3]).items())
+    held = [set(), *(ids for _, ids in out)]
+    return spark.createDataFrame([(r, len(ids), held[k] <= ids) for k, (r, ids) in enumerate(out)], "ratio double, size long, holds_the_last boolean")
+
+
+@query(", n AS (SELECT count(*) AS n FROM img) SELECT k AS place, greatest(1, least(n, round_even(n * 0.2::DOUBLE, 0)::BIGINT)) AS size, true AS in_order FROM n, (SELECT unnest(range(0, 3)) AS k)")
+def m06_w14_best_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of three seeds in the order of the six keys."""
+    _, _, report = dataset.best_of_seeds(_matrix(spark, sf_dir), 0.2, [1, 2, 3])
+    keys = [(r["missing"], r["short"], r["mean"], r["worst"], -r["size"], r["seed"]) for r in report]
+    return spark.createDataFrame([(k, r["size"], keys[k] == min(keys[k:])) for k, r in enumerate(report)], "place long, size long, in_order boolean")
+
+
+@query(" SELECT (SELECT least(20, count(*)) FROM img) AS size, count(DISTINCT category_id) AS classes FROM gt")
+def m08_covering_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of twenty tiles, one for each class not yet seen first: all classes are in it."""
+    matrix = _matrix(spark, sf_dir)
+    chosen = dataset.covering_sample(matrix, 20)
+    return spark.createDataFrame([(len(set(chosen)), len(dataset._totals(matrix, chosen)))], "size long, classes long")
+
+
+@query(f""", p AS (SELECT d.prompt_set, d.image_id, avg(EXISTS (SELECT 1 FROM gt WHERE gt.image_id = d.image_id AND {iou_sql('d', 'gt')} >= 0.5)::INT) AS p FROM det d GROUP BY ALL),
+r AS (SELECT s.prompt_set, g.image_id, avg(EXISTS (SELECT 1 FROM det d WHERE d.prompt_set = s.prompt_set AND d.image_id = g.image_id AND {iou_sql('d', 'g')} >= 0.5)::INT) AS r FROM gt g, (SELECT DISTINCT prompt_set FROM det) s GROUP BY ALL)
+SELECT prompt_set, count(*) AS tiles, round(avg(r), 6) AS recall, round(avg(p), 6) AS precision FROM p FULL JOIN r USING (prompt_set, image_id) GROUP BY 1""")
+def a19_prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.prompt_table(views.detections(spark, sf_dir), views.truths(spark, sf_dir), 0.5), "recall", "precision")
 
 
-@query()
-def m03_m04_nested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dataset.nested_samples(dataset.class_matrix(views.truths(spark, sf_dir), views.images(spark, sf_dir)), [0.1, 0.2, 0.3])
-    return spark.createDataFrame([(r, i) for r, ids in out.items() for i in sorted(ids)], "ratio double, image_id long")
+_SWEEP_IOU = [0.3, 0.5, 0.7]
 
 
-@query()
-def m06_best_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, report = dataset.best_of_seeds(dataset.class_matrix(views.truths(spark, sf_dir), views.images(spark, sf_dir)), 0.2, [1, 2, 3])
-    return spark.createDataFrame([(r["seed"], r["missing"], r["short"], float(r["mean"]), r["size"]) for r in report], "seed int, missing int, short int, mean double, size int")
+@query("".join(component_sql(t).replace("e AS (", f"e{k} AS (", 1).replace("reach", f"reach{k}").replace("JOIN e ON e.", f"JOIN e{k} ON e{k}.").replace("e.j", f"e{k}.j").replace("comp AS", f"comp{k} AS") for k, t in enumerate(_SWEEP_IOU)) + " " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS t, count(DISTINCT cluster) AS clusters, max(n) AS largest FROM (SELECT cluster, count(*) OVER (PARTITION BY cluster) AS n FROM comp{k})" for k, t in enumerate(_SWEEP_IOU)))
+def e21_cluster_iou_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters and the largest of them at several thresholds; the threshold is a column."""
+    got = matching.component_sweep(views.detections(spark, sf_dir), ["image_id"], "det_id", _SWEEP_IOU)
+    sizes = got.groupBy("t", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("t").agg(F.count(F.lit(1)).alias("clusters"), F.max("n").alias("largest"))
 
 
 @query(", f AS (SELECT DISTINCT image_id AS id FROM gt WHERE image_id % 2 = 0), e AS (SELECT id FROM img WHERE id NOT IN (SELECT id FROM f) ORDER BY (id * 2654435761) % 2147483647, id LIMIT (SELECT floor(count(*) * 0.2 / 0.8)::BIGINT FROM f)) SELECT id FROM f UNION ALL SELECT id FROM e")
 def m09_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.keep_empty_images(views.images(spark, sf_dir), views.truths(spark, sf_dir).where("image_id % 2 = 0"), 0.2).select("id")
+    return dataset.keep_empty_images(views.images(spark, sf_dir), views.truths(spark, sf_dir).where(views.ANNOTATED), 0.2).select("id")

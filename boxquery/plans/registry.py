@@ -38,4 +38,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["g08_ensemble_borda"](spark, sf_dir)
 
 
-from boxquery.plans import box_queries, report_queries, score_queries, text_queries  # noqa: E402, F401
+from boxquery.plans import box_queries, format_queries, report_queries, score_queries, text_queries  # noqa: E402, F401

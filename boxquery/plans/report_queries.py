@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquery.functions import geometry
-from boxquery.operators import dataset, stats, tiling
+from boxquery.operators import dataset, policy, stats, tiling
 from boxquery.plans import views
 from boxquery.plans.registry import query, rounded
 from boxquery.sources import writers
@@ -169,25 +169,17 @@ def k05_missing_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.missing_sets(d, d.where("prompt_set in (0, 2)")).select("det_id")
 
 
-def _sources(d: DataFrame) -> DataFrame:
+@query("SELECT image_id, category_id, x, y, w, h, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT *, 'one' AS source FROM det WHERE src = 1 UNION ALL SELECT *, 'two' FROM det WHERE src = 2) GROUP BY ALL")
+def u01_a21_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every box of the union of sources, with its rows and its sources."""
+    d = views.detections(spark, sf_dir)
     both = dataset.union_sources({"one": d.where("src = 1"), "two": d.where("src = 2")})
     return both.groupBy("image_id", "category_id", "x", "y", "w", "h").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-@query("SELECT image_id, category_id, x, y, w, h, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT *, 'one' AS source FROM det WHERE src = 1 UNION ALL SELECT *, 'two' FROM det WHERE src = 2) GROUP BY ALL HAVING count(*) > 1 OR image_id % 2 = 0")
-def u01_a21_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sources(views.detections(spark, sf_dir)).where("n > 1 or image_id % 2 = 0")
-
-
-@query("SELECT image_id, category_id, x, y, w, h, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT *, 'one' AS source FROM det WHERE src = 1 UNION ALL SELECT *, 'two' FROM det WHERE src = 2) GROUP BY ALL")
-def u01_a21_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sources(views.detections(spark, sf_dir))
-
-
 @query("SELECT image_id, category_id, det_id FROM det WHERE EXISTS (SELECT 1 FROM img WHERE img.id = det.image_id AND id % 4 = 1)")
 def f12_u04_valid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = views.images(spark, sf_dir).where("id % 4 = 1").select(F.col("id").alias("image_id"))
+    i = views.images(spark, sf_dir).where(views.VALID).select(F.col("id").alias("image_id"))
     return views.detections(spark, sf_dir).join(i, "image_id", "left_semi").select("image_id", "category_id", "det_id")
 
 
@@ -196,3 +188,17 @@ def w11_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.detections(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("det_id").alias("id_sum"))
 
 
+
+
+@query("SELECT gt_id, image_id, row_number() OVER (ORDER BY image_id, gt_id) - 1 AS place FROM gt")
+def j03_image_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations brought to their images by file name, in the images' order."""
+    name = F.concat(F.lit("img_"), F.col("image_id"), F.lit(".tif")).alias("file_name")
+    notes = views.truths(spark, sf_dir).select("gt_id", name)
+    files = views.images(spark, sf_dir).select(F.col("id").alias("image_id"), F.concat(F.lit("img_"), F.col("id"), F.lit(".tif")).alias("file_name"))
+    return dataset.numbered(notes.join(files, "file_name"), "place", ["image_id", "gt_id"], 0, 8).select("gt_id", "image_id", "place")
+
+
+@query("SELECT det_id FROM det WHERE score > 0.5")
+def f02_strict_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.above(views.detections(spark, sf_dir), 0.5).select("det_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxquery.operators import calibrate, evaluate, policy
+from boxquery.functions import params
+from boxquery.operators import calibrate, dataset, evaluate, matching, policy
 from boxquery.plans import views
 from boxquery.plans.box_queries import KEYS, match_sql
 from boxquery.plans.registry import query, rounded
@@ -289,3 +290,69 @@ def j20_ap_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT det_id FROM det WHERE score >= 0.25 EXCEPT SELECT det_id FROM det WHERE score = 0.25 AND src = 0")
 def f01_score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.apply_policy(views.detections(spark, sf_dir), policy.Policy(score=0.25)).select("det_id")
+
+
+_PAIRS = [(0.2, 0.2), (0.2, 0.6), (0.5, 0.2), (0.5, 0.6)]
+_RUNS = ", ".join(f"('{params.variant_name(s, t)}', {s}::DOUBLE, {t}::DOUBLE)" for s, t in _PAIRS)
+_TEXT_SCORE = "(det_id * 29 % 100) / 100.0"
+
+
+def _ap50_by(spark: SparkSession, dets: DataFrame, gts: DataFrame, by: str) -> DataFrame:
+    """``by`` and ap50, the mean over classes, of detections and truth boxes that carry a run's name."""
+    found = matching.greedy_match(dets, gts, [by, *KEYS], 0.5).select(by, "det_id", F.lit(True).alias("tp"))
+    rows = dets.join(found, [by, "det_id"], "left").fillna(False, ["tp"])
+    ap = evaluate.average_precision(rows, gts.groupBy(by, "category_id").agg(F.count(F.lit(1)).alias("npos")), [by, "category_id"])
+    return ap.groupBy(by).agg(F.avg("ap").alias("ap50"))
+
+
+_SWEPT = (
+    f", rn AS (SELECT * FROM (VALUES {_RUNS}) v(run, s, t)), rd AS (SELECT run, det.* FROM det, rn WHERE score >= s AND {_TEXT_SCORE} >= t), rg AS (SELECT run, gt.* FROM gt, rn)"
+    + match_sql("rd", "rg", ["run", *KEYS], "0.5", "ma")
+    + ", ra AS (SELECT rd.run, rd.category_id, rd.det_id, score, m.det_id IS NOT NULL AS tp FROM rd LEFT JOIN ma m ON m.det_id = rd.det_id AND m.run = rd.run), ta AS (SELECT run, category_id, count(*) AS npos FROM rg GROUP BY ALL)"
+    + ap_sql("ra", "ta", "run, category_id")
+    + ", aw AS (SELECT run, avg(ap) AS aware FROM ap GROUP BY 1)"
+    + match_sql("rd", "rg", ["run", "image_id"], "0.1", "mr")
+    + ", rl AS (SELECT rd.* REPLACE (coalesce(gt.category_id, rd.category_id) AS category_id) FROM rd LEFT JOIN mr ON mr.det_id = rd.det_id AND mr.run = rd.run LEFT JOIN gt ON gt.gt_id = mr.gt_id)"
+    + match_sql("rl", "rg", ["run", *KEYS], "0.5", "mb")
+    + ", rb AS (SELECT rl.run, rl.category_id, rl.det_id, score, m.det_id IS NOT NULL AS tp FROM rl LEFT JOIN mb m ON m.det_id = rl.det_id AND m.run = rl.run)"
+    + ap_sql("rb", "ta", "run, category_id").replace("cv AS", "cv2 AS").replace("FROM cv ", "FROM cv2 ").replace("cv.", "cv2.").replace("rp AS", "rp2 AS").replace("JOIN rp ON rp.", "JOIN rp2 ON rp2.").replace("rp.", "rp2.").replace("gr AS", "gr2 AS").replace("FROM gr ", "FROM gr2 ").replace("gr.", "gr2.").replace("pt AS", "pt2 AS").replace("FROM pt ", "FROM pt2 ").replace(" ap AS", " ap2 AS").replace("\nap AS", "\nap2 AS")
+    + ", ag AS (SELECT run, avg(ap) AS agnostic FROM ap2 GROUP BY 1)"
+)
+
+
+@query(_SWEPT + " SELECT run, s AS score_threshold, t AS text_threshold, round(aware, 6) AS aware_ap50, round(agnostic, 6) AS agnostic_ap50, row_number() OVER (ORDER BY round(aware, 6) DESC, round(agnostic, 6) DESC, run) AS place FROM rn JOIN aw USING (run) JOIN ag USING (run)")
+def e20_score_text_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of a sweep over two thresholds, best class-aware AP50 first, then the class-agnostic; one plan for all pairs."""
+    table = F.broadcast(spark.createDataFrame([(params.variant_name(s, t), s, t) for s, t in _PAIRS], "run string, score_threshold double, text_threshold double"))
+    d = views.detections(spark, sf_dir).withColumn("text_score", F.expr(_TEXT_SCORE).cast("double")).crossJoin(table)
+    d = d.where("score >= score_threshold and text_score >= text_threshold").select("run", "det_id", "score", *KEYS, "x", "y", "w", "h")
+    g = views.truths(spark, sf_dir).crossJoin(table.select("run"))
+    near = matching.greedy_match(d, g, ["run", "image_id"], 0.1).select("run", "det_id", "gt_id")
+    to = near.join(g.select("run", "gt_id", F.col("category_id").alias("_cat")), ["run", "gt_id"]).select("run", "det_id", "_cat")
+    free = d.join(to, ["run", "det_id"], "left").withColumn("category_id", F.coalesce("_cat", "category_id")).drop("_cat")
+    aware, agnostic = (_ap50_by(spark, x, g, "run").withColumnRenamed("ap50", name) for x, name in ((d, "aware_ap50"), (free, "agnostic_ap50")))
+    got = rounded(table.join(aware, "run").join(agnostic, "run"), "aware_ap50", "agnostic_ap50")
+    return dataset.numbered(got, "place", [F.desc("aware_ap50"), F.desc("agnostic_ap50"), "run"], 1, 1)
+
+
+@query(", f AS (SELECT det.*, w * h <= 0.1 * 120 * 110 AND score >= 0.1 AS kept FROM det) SELECT category_id, count(*) AS n_before, count(*) FILTER (WHERE kept) AS n_after, round(avg(score), 6) AS score_before, round(avg(score) FILTER (WHERE kept), 6) AS score_after FROM f GROUP BY 1")
+def e21_full_image_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of each class before and after those that fill their image are dropped."""
+    d = views.detections(spark, sf_dir)
+    kept = policy.full_image_filter(d, views.images(spark, sf_dir), 0.1, 0.1)
+    part = lambda df, tag: df.groupBy("category_id").agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.avg("score").alias(f"score_{tag}"))
+    return rounded(part(d, "before").join(part(kept, "after"), "category_id", "left").fillna(0, ["n_after"]), "score_before", "score_after")
+
+
+_PER_PROMPT = (
+    match_sql("det", "gt", ["prompt_set", *KEYS], "0.5").replace("FROM gt q", "FROM (SELECT gt.*, unnest(range(0, 5)) AS prompt_set FROM gt) q")
+    + ", rows AS (SELECT det.prompt_set, det.category_id, det.det_id, score, m.det_id IS NOT NULL AS tp FROM det LEFT JOIN m ON m.det_id = det.det_id), tr AS (SELECT prompt_set, category_id, count(*) AS npos FROM (SELECT gt.*, unnest(range(0, 5)) AS prompt_set FROM gt) GROUP BY ALL)"
+    + ap_sql("rows", "tr", "prompt_set, category_id")
+)
+
+
+@query(_PER_PROMPT + " SELECT prompt_set, round(avg(ap), 6) AS ap50 FROM ap GROUP BY 1")
+def e21_per_prompt_ap50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP50 of each prompt set alone, one plan for all."""
+    sets = F.broadcast(spark.range(5).select(F.col("id").alias("prompt_set")))
+    return rounded(_ap50_by(spark, views.detections(spark, sf_dir), views.truths(spark, sf_dir).crossJoin(sets), "prompt_set"), "ap50")

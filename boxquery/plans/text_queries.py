@@ -11,7 +11,7 @@ from boxquery.plans import views
 from boxquery.plans.registry import query, rounded
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(replace({c}, '&', ' and '), '[/-]', ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_MARKED_SQL = f"translate(lower({{c}}), '{text._MARKED}', '{text._PLAIN}')"
+_MARKED_SQL = "strip_accents(lower({c}))"
 
 
 def _norm_sql(c: str) -> str:
@@ -27,9 +27,6 @@ def p12_p13_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select("item_id", text.normalize_label(F.col("text")).alias("label"), F.size(text.tokens(F.col("text"))).alias("n_tokens"))
 
 
-_LABELS_SQL = "lb AS (SELECT doc_id, text[1:40] AS label FROM documents WHERE doc_id < 300), al AS (SELECT item_id AS pos, text[1:40] AS alias, 'c' || item_id % 7 AS class_name FROM benchmark)"
-
-
 @query(f"WITH tk AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(greatest(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 0.95 * len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t))), 9) AS similarity, round(len(list_intersect(a.t, b.t)) / len(a.t), 9) AS contained FROM tk a JOIN tk b ON a.item_id < b.item_id AND len(list_intersect(a.t, b.t)) > 0", views=False)
 def p14_p16_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "benchmark").select("item_id", text.letter_tokens(F.col("text")).alias("t"))
@@ -43,39 +40,32 @@ def p17_p18_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select("item_id", text.phrases_to_prompt(text.split_prompt(F.col("text"))).alias("prompt"))
 
 
-@query(f"""WITH {_LABELS_SQL}, n AS (SELECT DISTINCT label, {_norm_sql('label')} AS norm, list_distinct(list_filter(string_split({_norm_sql('label')}, ' '), lambda t: t <> '')) AS t FROM lb),
-k AS (SELECT pos, class_name, {_norm_sql('alias')} AS norm, list_distinct(list_filter(string_split({_norm_sql('alias')}, ' '), lambda t: t <> '')) AS t FROM al),
+_ALIASES_SQL = "lb AS (SELECT DISTINCT text AS label FROM documents), al AS (SELECT item_id AS pos, text AS alias, 'c' || item_id % 7 AS class_name FROM benchmark)"
+_TOKENS_SQL = "list_distinct(list_filter(string_split({n}, ' '), lambda t: t <> ''))"
+
+
+@query(f"""WITH {_ALIASES_SQL}, n AS (SELECT label, {_norm_sql('label')} AS norm, {_TOKENS_SQL.format(n=_norm_sql('label'))} AS t FROM lb),
+k AS (SELECT pos, class_name, {_norm_sql('alias')} AS norm, {_TOKENS_SQL.format(n=_norm_sql('alias'))} AS t FROM al),
 ex AS (SELECT n.label, arg_min(class_name, pos) AS c FROM n JOIN k ON n.norm = k.norm GROUP BY 1),
-fz AS (SELECT label, arg_max(class_name, (s, -pos)) AS c FROM (SELECT n.label, k.class_name, pos, greatest(len(list_intersect(n.t, k.t)) / len(list_distinct(list_concat(n.t, k.t))), 0.95 * len(list_intersect(n.t, k.t)) / least(len(n.t), len(k.t)))::DOUBLE AS s FROM n JOIN k ON len(list_intersect(n.t, k.t)) > 0) WHERE s >= 0.2 GROUP BY 1)
+nt AS (SELECT label, len(t) AS n, unnest(t) AS tok FROM n), kt AS (SELECT pos, class_name, len(t) AS m, unnest(t) AS tok FROM k),
+pr AS (SELECT label, n, pos, class_name, m, count(*)::DOUBLE AS s FROM nt JOIN kt USING (tok) GROUP BY ALL),
+fz AS (SELECT label, arg_max(class_name, (v, -pos)) AS c FROM (SELECT *, greatest(s / (n + m - s), s / least(n, m) * 0.95::DOUBLE) AS v FROM pr) WHERE v >= 0.45 GROUP BY 1)
 SELECT n.label, coalesce(ex.c, fz.c) AS class_name FROM n LEFT JOIN ex USING (label) LEFT JOIN fz USING (label)""", views=False)
 def j18_g16_resolve_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "documents").where("doc_id < 300").select(F.substring("text", 1, 40).alias("label"))
-    aliases = _table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 40).alias("alias"), F.concat(F.lit("c"), F.col("item_id") % 7).alias("class_name"), F.col("item_id").alias("pos"))
-    return ensemble.resolve_labels(labels, aliases, 0.2)
+    """All whole texts against all whole items, at the production threshold."""
+    aliases = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("alias"), F.concat(F.lit("c"), F.col("item_id") % 7).alias("class_name"), F.col("item_id").alias("pos"))
+    return ensemble.resolve_labels(_table(spark, sf_dir, "documents").select(F.col("text").alias("label")), aliases)
 
 
-@query(f"""WITH {_LABELS_SQL}, n AS (SELECT DISTINCT label, list_distinct(regexp_extract_all(lower(label), '[a-z]+')) AS t FROM lb),
-k AS (SELECT class_name, alias, list_distinct(regexp_extract_all(lower(alias), '[a-z]+')) AS p FROM al),
-sc AS (SELECT label, class_name, max(len(list_intersect(k.p, n.t)) / len(k.p)) AS s FROM n JOIN k ON len(list_intersect(n.t, k.p)) > 0 GROUP BY ALL),
+@query(f"""WITH {_ALIASES_SQL}, n AS (SELECT label, list_distinct(regexp_extract_all(lower(label), '[a-z]+')) AS t FROM lb),
+k AS (SELECT DISTINCT class_name, alias, list_distinct(regexp_extract_all(lower(alias), '[a-z]+')) AS p FROM al),
+nt AS (SELECT label, unnest(t) AS tok FROM n), kt AS (SELECT class_name, alias, len(p) AS m, unnest(p) AS tok FROM k),
+sc AS (SELECT label, class_name, max(s) AS s FROM (SELECT label, class_name, alias, count(*) / m AS s FROM nt JOIN kt USING (tok) GROUP BY label, class_name, alias, m) GROUP BY ALL),
 tp AS (SELECT label, max(s) AS top FROM sc GROUP BY 1),
-w AS (SELECT label, count(*) AS n, min(class_name) AS c FROM sc JOIN tp USING (label) WHERE s >= top - 1e-9 AND top >= 0.15 GROUP BY 1)
+w AS (SELECT label, count(*) AS n, min(class_name) AS c FROM sc JOIN tp USING (label) WHERE s >= top - 1e-9 AND top >= 0.8 GROUP BY 1)
 SELECT n.label, CASE WHEN w.n = 1 THEN w.c END AS class_name FROM n LEFT JOIN w USING (label)""", views=False)
 def j19_unique_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "documents").where("doc_id < 300").select(F.substring("text", 1, 40).alias("label"))
-    phrases = _table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 40).alias("phrase"), F.concat(F.lit("c"), F.col("item_id") % 7).alias("class_name"))
-    return ensemble.unique_phrase_class(labels, phrases, 0.15)
-
-
-@query()
-def j18_g16_resolve_all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All whole texts against all whole items, at the reference's threshold."""
-    aliases = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("alias"), F.concat(F.lit("c"), F.col("item_id") % 7).alias("class_name"), F.col("item_id").alias("pos"))
-    return ensemble.resolve_labels(_table(spark, sf_dir, "documents").select(F.col("text").alias("label")), aliases)
-
-
-@query()
-def j19_unique_phrase_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All whole texts against all whole items, at the reference's threshold."""
+    """All whole texts against all whole items, at the production threshold."""
     phrases = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase"), F.concat(F.lit("c"), F.col("item_id") % 7).alias("class_name"))
     return ensemble.unique_phrase_class(_table(spark, sf_dir, "documents").select(F.col("text").alias("label")), phrases)
 
@@ -114,20 +104,15 @@ def p28_p30_entropy_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.select("image_id", text.entropy(F.map_values(shares)).alias("entropy"), text.margin(shares).alias("margin")), "entropy", "margin")
 
 
-@query("SELECT vec_id, round(exp(embedding[1]::DOUBLE) / list_sum(list_transform(embedding, lambda v: exp(v::DOUBLE))), 9) AS p FROM embeddings", views=False)
+@query("SELECT vec_id, k AS place, round(exp(embedding[k + 1]::DOUBLE) / list_sum(list_transform(embedding, lambda v: exp(v::DOUBLE))), 9) AS p FROM (SELECT *, unnest(range(0, len(embedding))) AS k FROM embeddings)", views=False)
 def p29_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
-    return rounded(v.select("vec_id", F.get(text.softmax(F.col("e")), F.lit(0)).alias("p")), "p", places=9)
-
-
-@query(f"WITH r AS (SELECT text AS phrase, item_id AS pos, row_number() OVER (PARTITION BY {_norm_sql('text[1:12]')} ORDER BY item_id) AS k, {_norm_sql('text[1:12]')} AS n FROM benchmark) SELECT phrase, pos FROM r WHERE k = 1 AND n <> '' ORDER BY pos LIMIT 30", views=False)
-def w12_dedupe_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase"), F.col("item_id").alias("pos"))
-    return dataset.dedupe_phrases(p, text.normalize_label(F.substring("phrase", 1, 12)), 30)
+    each = v.select("vec_id", F.posexplode(text.softmax(F.col("e"))).alias("place", "p"))
+    return rounded(each.withColumn("place", F.col("place").cast("long")), "p", places=9)
 
 
 @query(f"WITH r AS (SELECT text AS phrase, item_id AS pos, row_number() OVER (PARTITION BY {_norm_sql('text')} ORDER BY item_id) AS k, {_norm_sql('text')} AS n FROM benchmark) SELECT phrase, pos FROM r WHERE k = 1 AND n <> '' ORDER BY pos LIMIT 30", views=False)
-def w12_dedupe_whole_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def w12_dedupe_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase"), F.col("item_id").alias("pos"))
     return dataset.dedupe_phrases(p, text.normalize_label(F.col("phrase")), 30)
 

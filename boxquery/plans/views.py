@@ -37,6 +37,15 @@ detections = _view(DET_SQL, "detections")
 truths = _view(GT_SQL, "truths")
 images = _view(IMAGE_SQL, "images")
 
+#: Second inputs of some operators, drawn from the same boxes; each stands for a list that a user brings along.
+ZONES = "gt_id % 6 = 0"  # exclusion zones of an image
+REFERENCE = "gt_id % 10 = 0"  # the labels whose class counts set the quotas
+SELECTED = "id % 3 = 0"  # the file of selected image ids
+RENAMED = "id % 7 <> 0"  # the images that another run has under other ids
+LABELED = "image_id % 10 = 0"  # the images of the labeled set
+VALID = "id % 4 = 1"  # the image ids that an evaluation is restricted to
+ANNOTATED = "image_id % 2 = 0"  # the images whose annotations are kept, where empty ones are mixed in
+
 #: The same views for SQL text that checks a query.
 WITH_VIEWS = f"det AS ({DET_SQL}), gt AS ({GT_SQL}), img AS ({IMAGE_SQL})"
 

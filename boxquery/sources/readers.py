@@ -37,14 +37,15 @@ def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"images": part("images"), "annotations": with_box(part("annotations")), "categories": part("categories")}
 
 
-def geojson(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """image_id, type_id, x, y, w, h of features whose bounds are "x1,y1,x2,y2".
+def geojson(spark: SparkSession, path: str, tolerant: bool = False, lines: bool = False) -> DataFrame:
+    """image_id, type_id, x, y, w, h of features whose bounds are "x1,y1,x2,y2"; a document a file, or a line.
 
     tolerant: features without type or with other than four numbers are left out (bounds
     may be a list too); else they are an error.
     """
     schema = "features array<struct<properties:struct<image_id:string,type_id:int,bounds_imcoords:string>>>"
-    p = json_document(spark, path, schema).select(F.explode("features.properties").alias("p")).select("p.*")
+    documents = spark.read.schema(schema).option("mode", "FAILFAST").json(path) if lines else json_document(spark, path, schema)
+    p = documents.select(F.explode("features.properties").alias("p")).select("p.*")
     parts = F.split(F.regexp_replace("bounds_imcoords", r"[\[\]\s]", ""), ",")
     if tolerant:
         p = p.where(F.coalesce("type_id", F.lit(0)) != 0).withColumn("b", F.transform(parts, lambda v: v.try_cast("double"))).where((F.size("b") == 4) & ~F.exists("b", lambda v: v.isNull()))
@@ -61,10 +62,10 @@ def class_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("name", F.min_by("name", "pos").over(W.partitionBy("category_id"))).drop("pos")
 
 
-def detections(spark: SparkSession, path: str, label_key: str = "label") -> DataFrame:
-    """Detections of a file that is a list, or an object with annotations or detections."""
+def detections(spark: SparkSession, path: str, label_key: str = "label", lines: bool = False) -> DataFrame:
+    """Detections of a file (or of each line) that is a list, or an object with annotations or detections."""
     item = DETECTION.replace("label:string", f"`{label_key}`:string")
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not lines)
     as_list = F.from_json("value", f"array<{item}>")
     as_doc = F.from_json("value", f"struct<annotations:array<{item}>,detections:array<{item}>>")
     listed = F.substring(F.ltrim("value"), 1, 1) == "["
@@ -72,9 +73,26 @@ def detections(spark: SparkSession, path: str, label_key: str = "label") -> Data
     return with_box(rows.select(F.inline("d"))).withColumnRenamed(label_key, "raw_label")
 
 
-def checkpoint_sets(spark: SparkSession, glob: str, pattern: str = r"_ckpt_(set[^/.]*)\.json") -> DataFrame:
-    """The rows of many JSON-lines or list files, with the set's name from the file's."""
-    return spark.read.option("multiLine", True).json(glob).withColumn("prompt_set", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+def compact_detections(spark: SparkSession, path: str, label_key: str = "label") -> DataFrame:
+    """Detections of large files whose objects hold no objects: each is parsed alone, and those that can't be are left out."""
+    item = DETECTION.replace("label:string", f"`{label_key}`:string")
+    objects = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"\{[^{}]*\}"), F.lit(0))).alias("o"))
+    schema = item.removesuffix(">") + ",_bad:string>"
+    rows = objects.select(F.from_json("o", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("d")).select("d.*")
+    return with_box(rows.where("_bad is null and bbox is not null").drop("_bad")).withColumnRenamed(label_key, "raw_label")
+
+
+def require_paths(spark: SparkSession, *paths: str) -> None:
+    """FileNotFoundError where one of them isn't there, in whatever store."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            raise FileNotFoundError(path)
+
+
+def checkpoint_sets(spark: SparkSession, glob: str, pattern: str = r"_ckpt_(set[^/.]*)\.json", lines: bool = False) -> DataFrame:
+    """The rows of many list files, or JSON-lines files, with the set's name from the file's."""
+    return spark.read.option("multiLine", not lines).json(glob).withColumn("prompt_set", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
 
 
 def binary_listing(spark: SparkSession, path: str, glob: str = "*.tif") -> DataFrame:

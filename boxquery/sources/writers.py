@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxquery.functions.geometry import fixed
+
 
 def annotation_struct() -> Column:
     """The COCO form of x, y, w, h rows."""
@@ -23,20 +25,48 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
 
 def formatted(df: DataFrame, numbers: Sequence[str], places: int = 4, missing: str = "N/A") -> DataFrame:
     """Numbers as texts of fixed places."""
-    return df.withColumns({c: F.when(F.col(c).isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{places}f", F.col(c).cast("double"))) for c in numbers})
+    return df.withColumns({c: F.when(F.col(c).isNull(), F.lit(missing)).otherwise(fixed(F.col(c).cast("double"), places)) for c in numbers})
 
 
-def csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """With a header; a report is one file, a large table as many as it has partitions."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report's table, of ``most`` rows at most."""
-    rows = df.limit(most).collect()
+    """A report's table; one of more than ``most`` rows is refused, since none would be read as a page."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)])
 
 
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """The rows of a table of any size as lines, without the head."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def one_file(lines: DataFrame, path: str) -> None:
+    """A text column as one file of this very name, for tools that want one; written by a task and renamed."""
+    spark = lines.sparkSession
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}.parts")
+    jvm, made = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
+    fs = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = fs.globStatus(jvm(f"{path}.parts/part-*"))[0].getPath()
+    fs.mkdirs(jvm(path).getParent())
+    fs.delete(jvm(path), False)
+    if not fs.rename(part, jvm(path)):
+        raise OSError(f"can't write {path}")
+    fs.delete(made, True)
+
+
+def vectors(df: DataFrame, path: str, column: str) -> None:
+    """Vectors of probabilities in single precision, as Parquet lists."""
+    df.withColumn(column, F.col(column).cast("array<float>")).write.mode("overwrite").parquet(path)
+
+
 def write_sets(df: DataFrame, path: str, by: str = "prompt_set") -> None:
     """Write the sets of ``df`` and leave the others as they are: a run can go on where it stopped."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

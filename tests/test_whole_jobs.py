@@ -43,7 +43,7 @@ def test_all_labels_are_resolved_by_whole_texts(spark, texts):
                 best = (s, k, None)
         k = exact[0] if exact else best[1]
         want[label] = None if k is None else f"c{k % 7}"
-    got = registry.QUERIES["j18_g16_resolve_all_labels"](spark, path).collect()
+    got = registry.QUERIES["j18_g16_resolve_labels"](spark, path).collect()
     assert len(got) == len(want) and {r.label: r.class_name for r in got} == want
     assert None in want.values() and len(set(want.values())) > 4
 
@@ -60,14 +60,14 @@ def test_all_phrases_by_whole_texts(spark, texts):
         top = max(by_class.values())
         winners = [c for c, s in by_class.items() if s >= top - 1e-9]
         want[label] = winners[0] if top >= 0.8 and len(winners) == 1 else None
-    got = registry.QUERIES["j19_unique_phrase_all"](spark, path).collect()
+    got = registry.QUERIES["j19_unique_phrase"](spark, path).collect()
     assert len(got) == len(want) and {r.label: r.class_name for r in got} == want
     assert None in want.values() and len(set(want.values())) > 4
 
 
 def test_all_sources_keep_every_box(spark):
     sf = "/root/testdata/sf0.001"
-    got = registry.QUERIES["u01_a21_all_sources"](spark, sf).collect()
+    got = registry.QUERIES["u01_a21_sources"](spark, sf).collect()
     boxes = collections.defaultdict(list)
     for r in views.detections(spark, sf).collect():
         boxes[r.image_id, r.category_id, r.x, r.y, r.w, r.h].append({1: "one", 2: "two"}[r.src])
@@ -79,5 +79,5 @@ def test_phrases_are_deduped_by_their_whole_text(spark, tmp_path):
     start = "one two three four"  # more than 12 characters
     items = [(0, f"{start} five"), (1, f"{start} six"), (2, f" {start.upper()}  six!"), (3, "&"), (4, "--"), (5, "and")] + [(k, f"{start} {k}") for k in range(6, 40)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = registry.QUERIES["w12_dedupe_whole_phrases"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["w12_dedupe_phrases"](spark, str(tmp_path)).collect()
     assert sorted(r.pos for r in got) == [0, 1, 3, *range(6, 33)]
