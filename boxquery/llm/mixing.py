@@ -29,8 +29,10 @@ BUCKET_ROWS = 4096
 LEAST_BUCKETS = 512
 #: Slots that one generated range holds.
 RANGE_SLOTS = 4096
-#: The multiplier of the index permutations, a prime above any number of blocks.
-PRIME = 2_147_483_647
+#: Blocks of a source at most, so that products of two block numbers fit a long; a source of more words has longer blocks.
+MOST_BLOCKS = 2_000_000_000
+#: A prime that numbers are spread by, and what it is multiplied with.
+PRIME, FACTOR = 2_147_483_647, 48_271
 #: Odd multipliers of the order of all slots, below 2^31; an order holds 2^32 slots at most.
 ROUNDS = (740_179_053, 695_872_825, 1_597_334_677, 1_103_515_245)
 
@@ -46,7 +48,8 @@ def _size() -> Column:
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)))
+    spread = F.pmod(F.pmod("doc_id", F.lit(PRIME)) * FACTOR, F.lit(PRIME))
+    return rows.withColumn("bucket", F.pmod(F.coalesce(spread, F.pmod("h", F.lit(PRIME))), F.lit(buckets)))
 
 
 def document_sizes(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -78,9 +81,16 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def with_blocks(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Adds n_blocks, base and extra: block i starts at i*base + min(i, extra)."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block_words))).cast("long")
-    return sources.withColumn("n_blocks", n).withColumns({"base": F.expr("source_size div n_blocks"), "extra": F.expr("source_size % n_blocks")})
+    """Adds n_blocks, base and extra: block i starts at i*base + min(i, extra); and step, the multiplier of the source's permutation.
+
+    The step is the first number without a common divisor with n_blocks from the golden
+    section of it on, so that neighbouring slots get blocks far apart, in each source others.
+    """
+    n = F.least(F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block_words))), F.lit(MOST_BLOCKS)).cast("long")
+    sources = sources.withColumn("n_blocks", n).withColumns({"base": F.expr("source_size div n_blocks"), "extra": F.expr("source_size % n_blocks")})
+    divisor = "aggregate(sequence(1, 48), named_struct('r', n_blocks, 's', x), (a, k) -> if(a.s = 0, a, named_struct('r', a.s, 's', a.r % a.s))).r"
+    near = "transform(sequence(0L, 63L), k -> floor(n_blocks * 0.6180339887498949D) + 1 + k)"
+    return sources.withColumn("step", F.expr(f"filter({near}, x -> {divisor} = 1)[0]"))
 
 
 def runs(sources: DataFrame, passes: int = MOST_PASSES, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -119,7 +129,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _block(slot: Column) -> Column:
-    return (slot * PRIME + (F.col("sid") + 1) * 7919 + F.col("pass") * 104729) % F.col("n_blocks")
+    return (slot * F.col("step") + (F.col("sid") + 1) * 7919 + F.col("pass") * 104729) % F.col("n_blocks")
 
 
 def _slot_words(block: Column, slot: Column) -> Column:
@@ -161,8 +171,8 @@ def _block_of(position: str) -> str:
     return f"if({position} < extra * (base + 1), {position} div (base + 1), extra + ({position} - extra * (base + 1)) div base)"
 
 
-#: PRIME's inverse modulo n_blocks, by Euclid's algorithm (46 steps at most for numbers of 31 bits).
-_INVERSE = f"""pmod(aggregate(sequence(1, 48), named_struct('r', n_blocks, 's', {PRIME}L % n_blocks, 't', 0L, 'u', 1L),
+#: The step's inverse modulo n_blocks, by Euclid's algorithm (46 steps at most for numbers of 31 bits).
+_INVERSE = """pmod(aggregate(sequence(1, 48), named_struct('r', n_blocks, 's', step % n_blocks, 't', 0L, 'u', 1L),
   (a, k) -> if(a.s = 0, a, named_struct('r', a.s, 's', a.r % a.s, 't', a.u, 'u', a.t - (a.r div a.s) * a.u))).t, n_blocks)"""
 
 
@@ -240,14 +250,14 @@ levels AS (SELECT *, source_size / weight AS ratio, ((sum(source_size) OVER ()):
   / sum(weight) OVER (ORDER BY source_size / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 chosen AS (SELECT level AS l FROM levels WHERE level * weight <= source_size * 2.0::DOUBLE ORDER BY ratio, sid LIMIT 1),
 src AS (SELECT source, sid, source_size, least(source_size * 2.0::DOUBLE, l * weight) AS target, greatest(1, ceil(source_size / {BLOCK_WORDS}))::BIGINT AS nb FROM levels, chosen),
-blocked AS (SELECT *, source_size // nb AS base, source_size % nb AS extra FROM src),
+blocked AS (SELECT *, source_size // nb AS base, source_size % nb AS extra, list_filter(list_transform(range(0, 64), lambda k: floor(nb * 0.6180339887498949::DOUBLE)::BIGINT + 1 + k), lambda x: gcd(x, nb) = 1)[1] AS step FROM src),
 buckets AS (SELECT greatest({LEAST_BUCKETS}, ceil(count(*) / {BUCKET_ROWS}))::BIGINT AS n FROM sized),
-placed AS (SELECT z.doc_id, z.size, b.*, sum(z.size) OVER (PARTITION BY b.sid ORDER BY coalesce(z.doc_id, 0) % n, z.doc_id, z.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - z.size AS start
+placed AS (SELECT z.doc_id, z.size, b.*, sum(z.size) OVER (PARTITION BY b.sid ORDER BY (z.doc_id % {PRIME}) * {FACTOR} % {PRIME} % n, z.doc_id, z.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - z.size AS start
   FROM sized z JOIN blocked b ON z.source IS NOT DISTINCT FROM b.source, buckets),
 wants AS (SELECT *, p, least(greatest(round(target)::BIGINT - p * source_size, 0), source_size) AS want FROM blocked, (SELECT unnest([0, 1]) AS p)),
 filled AS (SELECT *, want::DOUBLE * nb / source_size AS f FROM wants WHERE want > 0),
 made AS (SELECT *, unnest(range(0, least(ceil(f)::BIGINT, nb))) AS slot FROM filled),
-mapped AS (SELECT *, (slot * {PRIME} + (sid + 1) * 7919 + p * 104729) % nb AS block FROM made),
+mapped AS (SELECT *, (slot * step + (sid + 1) * 7919 + p * 104729) % nb AS block FROM made),
 drawn AS (SELECT sid, block, CASE WHEN slot + 1 <= f THEN base + (block < extra)::BIGINT ELSE floor((f - slot) * (base + (block < extra)::BIGINT))::BIGINT END AS words FROM mapped),
 spans AS (SELECT d.sid, b.base * d.block + least(d.block, b.extra) AS a, b.base * d.block + least(d.block, b.extra) + d.words AS z FROM drawn d JOIN blocked b USING (sid)),
 got AS (SELECT p.doc_id, p.sid, p.start, sum(least(p.start + p.size, s.z) - greatest(p.start, s.a)) AS taken FROM placed p JOIN spans s ON s.sid = p.sid AND s.a < p.start + p.size AND s.z > p.start GROUP BY ALL)

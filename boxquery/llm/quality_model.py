@@ -97,9 +97,10 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, ste
 
 def scores(weights: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Logistic scores of rows given as distinct features."""
-    sums = np.concatenate([[0.0], np.cumsum(weights[at])])
     sizes = np.diff(offsets)
-    dots = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.sqrt(np.maximum(sizes, 1))
+    some = np.flatnonzero(sizes)  # each row is summed by itself, so that its score doesn't depend on its neighbours
+    dots = np.zeros(len(sizes))
+    dots[some] = np.add.reduceat(weights[at], offsets[some]) / np.sqrt(sizes[some]) if len(some) else 0.0
     return 1.0 / (1.0 + np.exp(-np.clip(dots + weights[-1], -35, 35)))
 
 
@@ -113,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     The sample is the labelled ids of the smallest crc32: the same at each run, and
     bounded, so it is broadcast and its features come to the driver. Of an id labelled
-    twice one label counts (the larger). Without any labelled row the weights are 0.
+    twice one label counts (the larger), of an id with several texts that whose features
+    come first as bytes. Without any labelled row the weights are 0.
     """
     spark = docs.sparkSession
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([at[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["doc_id", "features"])
 
     got = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").mapInArrow(run, "doc_id long, features binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = got.sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
     if not len(got):
         return np.zeros((1 << BITS) + 1)
     return train_ftrl([np.frombuffer(x, np.int32) for x in got["features"]], np.array([of[k] for k in got["doc_id"]], float))

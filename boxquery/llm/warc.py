@@ -19,8 +19,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxquery.llm._common import fresh_path, table, written
+from boxquery.llm._common import table, written
 from boxquery.llm.anchors import bitmap
+from boxquery.sources.scratch import fresh_path
 
 #: Payloads of so many bytes or more are stored once.
 MIN_REVISIT_BYTES = 0
@@ -83,6 +84,16 @@ def parse_record(data: bytes) -> dict:
     return found | {"payload_bytes": len(payload), "payload_digest": base32_sha1(payload), "refers_to": None, "payload": payload}
 
 
+#: Names that Hadoop has for stores that Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gcs", "abfs": "abfss"}
+
+
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder's URI and the path in it, in a Python worker; hdfs and viewfs need libhdfs there."""
+    scheme, sep, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}" if sep else uri)
+
+
 def _packed(pages: DataFrame) -> DataFrame:
     """_id, url, digest, size and the packed response record of each page; one narrow pass."""
 
@@ -114,7 +125,8 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES,
     first = packed.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
     again = written(packed.select("_id", "digest", "size").join(first, ["digest", "size"]).where("_id > _first").select("_id", "digest", "_first").distinct(), "revisits")
     # only pages that may revisit another (by a bitmap) are shuffled to what they revisit
-    sent = spark.sparkContext.broadcast(bitmap(again.select(F.xxhash64("_id", "digest").alias("place"))))
+    sieve = bitmap(again.select(F.xxhash64("_id", "digest").alias("place")))
+    sent = spark.sparkContext.broadcast(sieve)
     placed = packed.withColumn("place", F.xxhash64("_id", "digest"))
     where = len(placed.columns) - 1
 
@@ -125,11 +137,14 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES,
 
         return placed.mapInArrow(pick, placed.schema).drop("place")
 
-    both = part(True).join(again, ["_id", "digest"], "left").unionByName(part(False).withColumn("_first", F.lit(None).cast("long")))
+    if sieve is None:  # too many for a bitmap
+        both = packed.join(again, ["_id", "digest"], "left")
+    else:
+        both = part(True).join(again, ["_id", "digest"], "left").unionByName(part(False).withColumn("_first", F.lit(None).cast("long")))
     rows = both.select("page_id", "url", "digest", "size", F.when(F.col("_first").isNull(), F.col("member")).alias("member"), F.col("_first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = _store(folder)
         system.create_dir(root, recursive=True)
         out, name, at = None, "", 0
         try:
@@ -180,12 +195,16 @@ def read_records(index: DataFrame, payload: bool = False, gap: int = GAP_BYTES,
         opened, handle = None, None
         for file, spans in ranges(batches):
             if file != opened:
-                system, path = pafs.FileSystem.from_uri(file)
+                if handle is not None:
+                    handle.close()
+                system, path = _store(file)
                 opened, handle = file, system.open_input_file(path)
             start = spans[0][0]
             stretch = handle.read_at(max(o + n for o, n in spans) - start, start)
             found = [parse_record(zlib.decompress(stretch[o - start : o - start + n], 31)) for o, n in spans]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], kinds[p.split()[1]]) for n, p in zip(names, schema.split(", "), strict=True)], names=names)
+        if handle is not None:
+            handle.close()
 
     # tasks by the bytes that they will read, which the index's own size says nothing of
     total = index.agg(F.sum("length")).first()[0] or 0
