@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxquery.llm import anchors
@@ -105,11 +106,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return written(docs.select("text", "id", "th").mapInArrow(run, "id long, th long, n long, cid binary, bands array<long>"), "signatures")
 
 
-def _of_documents(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
-    """cid and ``what`` (the whole set, "shingles", or the "sketch") of the documents ``wanted`` (id, th); written.
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, sketch and shingles (the whole set) of the documents ``wanted`` (id, th), made in one pass and written.
 
     The documents are found by a bitmap of bounded size, so texts aren't shuffled (more than
-    it holds are joined); other classes may come along by chance.
+    it holds are joined); other classes may come along by chance, and a class more than once.
     """
     places = written(wanted.select("id", "th", F.xxhash64("id", "th").alias("place")), "places")
     sieve = anchors.bitmap(places.select("place"))
@@ -123,16 +124,14 @@ def _of_documents(docs: DataFrame, wanted: DataFrame, what: str) -> DataFrame:
                     continue
                 batch = batch.take(pa.array(on))
             hashes, at = shingle_sets(*text_bytes(batch.column(0)))
-            if what == "shingles":
-                made = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            else:
-                made = pa.array([odd_sketch(samples(hashes[a:z])) if z > a else None for a, z in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, at), pa.binary()), made], names=["cid", what])
+            sketches = pa.array([odd_sketch(samples(hashes[a:z])) if z > a else None for a, z in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))
+            sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, at), pa.binary()), sketches, sets], names=["cid", "sketch", "shingles"])
 
     keyed = docs.select("text", "id", "th", F.xxhash64("id", "th").alias("place"))
     if sieve is None:
         keyed = keyed.join(places.select("id", "th"), ["id", "th"], "left_semi").select("text", "id", "th", "place")
-    return written(keyed.mapInArrow(run, f"cid binary, {what} array<long>").dropDuplicates(["cid"]), what)
+    return written(keyed.mapInArrow(run, "cid binary, sketch array<long>, shingles array<long>"), "sets")
 
 
 def _alike(n_a: str, s_a: str, n_b: str, s_b: str, percent: int) -> Column:
@@ -142,22 +141,23 @@ def _alike(n_a: str, s_a: str, n_b: str, s_b: str, percent: int) -> Column:
 
 
 class _Links:
-    """Confirms pairs of classes on whole sets and keeps the links."""
+    """Confirms pairs of classes on whole sets (cid, shingles) and keeps the links."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
-        self.docs, self.classes, self.percent = docs, classes, percent
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets.select("cid", "shingles"), percent
         self.found: DataFrame | None = None
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add the links among ``pairs`` (a, na, b, nb)."""
+    def confirm(self, pairs: DataFrame) -> bool:
+        """Add the links among ``pairs`` (a, na, b, nb); whether there were any pairs."""
         pairs = written(pairs.distinct(), "candidate-pairs")
-        wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        sets = _of_documents(self.docs, self.classes.join(wanted, "cid", "left_semi").select("id", "th"), "shingles")
-        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+        if pairs.isEmpty():
+            return False
+        both = pairs.join(self.sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(self.sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y")).cast("long")
         both = both.withColumn("common", common).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * self.percent)
         links = written(both.select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
         self.found = links if self.found is None else self.found.unionByName(links)
+        return True
 
     def labelled(self, classes: DataFrame) -> DataFrame:
         """``classes`` with the component of each so far."""
@@ -183,10 +183,14 @@ def _compare(buckets: DataFrame, links: _Links, facts: DataFrame, again: bool =
 
     # what is outside a bucket's main component meets a few members of that, drawn by hash, and then all members
     opened = _opened(buckets, facts, links)
+    if opened.isEmpty():
+        return
     turn = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("mains") / LEADERS))
     few = opened.where((F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64("cid", "key"), turn) == 0))
-    links.confirm(_met(opened, few.join(facts, "cid"), facts, links.percent, first_band=False))
-    opened = _opened(buckets, facts, links)
+    if links.confirm(_met(opened, few.join(facts, "cid"), facts, links.percent, first_band=False)):
+        opened = _opened(opened.select("key", "band", "cid"), facts, links)
+        if opened.isEmpty():
+            return
     if again:
         many = opened.where(F.col("rests") > RESTS)
         if not many.isEmpty():
@@ -233,7 +237,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """id, th (hash of the text), n_shingles and component (smallest id linked with it), a row each document.
+    """id, th (tells texts of one id apart), n_shingles, component (smallest id linked with it) and part, a row each document.
+
+    ``part`` tells components apart that have the same smallest id; it is null without shingles.
 
     Null texts, empty ones and those without words have no shingles and stand alone. A null
     doc_id is 2**63 - 1 here, after all others. Rows that repeat are answered each; texts
@@ -247,20 +253,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = written(made.join(heads, ["cid", "id", "th"]).select("cid", "id", "th", "n", "bands").dropDuplicates(["cid"]), "classes")
     buckets = _shared(classes.select(F.posexplode("bands").alias("band", "key"), "cid"))
     some = classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("id", "th")
-    facts = written(classes.select("cid", "n", "bands").join(_of_documents(whole, some, "sketch"), "cid"), "facts")
-    links = _Links(whole, classes, percent)
+    sets = _sets(whole, some)
+    facts = written(classes.select("cid", "n", "bands").join(sets.select("cid", "sketch").dropDuplicates(["cid"]), "cid"), "facts")
+    links = _Links(sets, percent)
     _compare(buckets, links, facts)
     rows = links.labelled(classes.select("cid", "id"))
     smallest = rows.groupBy("comp").agg(F.min("id").alias("component"))
-    named = written(rows.join(smallest, "comp").select("cid", "component"), "components")
-    return made.select("id", "th", "n", "cid").join(named, "cid", "left").select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    named = written(rows.join(smallest, "comp").select("cid", "component", F.col("comp").alias("part")), "components")
+    return made.select("id", "th", "n", "cid").join(named, "cid", "left").select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "part")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, that are the smallest of their component."""
-    kept = near_duplicates(docs, percent).where("id = component").select(F.col("id").alias("_kept_id"), F.col("th").alias("_kept_th")).distinct()
+    """One document of each component, with all columns: that of the smallest id, of one id that whose key of the text is smallest.
+
+    Of rows that repeat id and text one stays (the first by a hash of all columns).
+    Documents without shingles are linked with nothing and all stay. Nulls as in
+    ``near_duplicates``: documents without an id come last, each with its own text.
+    """
+    found = near_duplicates(docs, percent).select("id", "th", "part")
+    kept = found.where("part is not null").groupBy("part").agg(F.min(F.struct("id", "th")).alias("k")).select("k.*")
+    kept = kept.unionByName(found.where("part is null").select("id", "th")).distinct()
     id, th = anchors.document_key(docs)
-    return docs.join(kept, (id == F.col("_kept_id")) & (th == F.col("_kept_th")), "left_semi")
+    rows = docs.withColumns({"_kept_id": id, "_kept_th": th})
+    rows = rows.join(kept.select(F.col("id").alias("_kept_id"), F.col("th").alias("_kept_th")), ["_kept_id", "_kept_th"], "left_semi")
+    several = rows.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).groupBy("_kept_id", "_kept_th").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_kept_id", "_kept_th")
+    several = written(several, "repeated-rows")
+    if several.isEmpty():
+        return rows.select(*docs.columns)
+    hashed = F.xxhash64(*docs.columns)
+    once = rows.join(several, ["_kept_id", "_kept_th"], "left_semi").withColumn("_kept_n", F.row_number().over(W.partitionBy("_kept_id", "_kept_th").orderBy(hashed))).where("_kept_n = 1")
+    return rows.join(several, ["_kept_id", "_kept_th"], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,9 +310,10 @@ def brute_components(rows, percent=75):
     return [(ids[k], len(sets[k]), least[find(k)]) for k in range(len(rows))]
 
 
-@pytest.mark.parametrize("rests", [near_dedup.RESTS, 0])
-def test_near_duplicates(docs, rows, monkeypatch, rests):
-    monkeypatch.setattr(near_dedup, "RESTS", max(rests, 1))
+@pytest.mark.parametrize("rests, values", [(near_dedup.RESTS, anchors.MOST_VALUES), (1, 0)])
+def test_near_duplicates(docs, rows, monkeypatch, rests, values):
+    monkeypatch.setattr(near_dedup, "RESTS", rests)
+    monkeypatch.setattr(anchors, "MOST_VALUES", values)
     got = near_dedup.near_duplicates(docs)
     same(got, brute_components(rows), "id", "n_shingles", "component")
 
@@ -331,11 +332,22 @@ def test_near_duplicates_of_many_kinds_in_one_band(spark):
     same(near_dedup.near_duplicates(df), brute_components(out), "id", "n_shingles", "component")
 
 
-def test_keep_one(docs, rows):
+def test_keep_one(docs, rows, spark):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    want = [i for (i, _, _), (k, _, c) in zip(rows, brute_components(rows), strict=True) if k == c]
+    comps = brute_components(rows)
+    # no two components of this corpus have the same smallest id, but for that of no id: one text stays of each that is not alone
+    want = [i for (i, _, _), (k, n, c) in zip(rows, comps, strict=True) if k == c and (n == 0 or i is None)]
+    want += sorted({i for (i, _, _), (k, n, c) in zip(rows, comps, strict=True) if k == c and n > 0 and i is not None})
+    want += [99]  # one id, two texts that are not alike: both stay
     same(kept, [(i,) for i in want], "doc_id")
+    # without ids, and with repeated rows: one of each group
+    text = " ".join(f"t{k}" for k in range(40))
+    other = " ".join(f"u{k}" for k in range(40))
+    odd = [(None, text, "a"), (None, text + " end", "b"), (None, other, "c"), (None, other, "c"), (1, other + " end", "d"), (1, other + " end", "d"), (2, "", "e"), (2, "", "e"), (3, None, "f")]
+    left = near_dedup.keep_one(spark.createDataFrame(odd, "doc_id long, text string, source string")).collect()
+    assert sorted(map(repr, ((r.doc_id, r.source) for r in left if r.doc_id is not None))) == sorted(map(repr, [(1, "d"), (2, "e"), (2, "e"), (3, "f")]))
+    assert len([r for r in left if r.doc_id is None]) == 1
 
 
 def test_near_duplicates_empty(empty):
@@ -422,6 +434,55 @@ def test_classifier_on_held_out_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {k for k, q in truth.items() if q}
 
 
+def test_features_and_training_against_plain_versions():
+    from boxquery.llm._common import text_bytes
+    from boxquery.llm._text import BASES, prefix_hash, span_hash
+    import pyarrow as pa
+
+    full = 2**64 - 1
+
+    def mixed(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & full
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    def plain(text, bits):
+        tokens = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff \t\n\x0b\x0c\r]+", text)
+        number = lambda t: int(span_hash(prefix_hash(np.frombuffer(t, np.uint8), BASES[0]), np.array([0]), np.array([len(t)]), BASES[0])[0])
+        caps = [len(re.findall(rb"[A-Z]", t)) for t in tokens]
+        kind = [(1 if c > 1 and 2 * c > len(t) else 2 if c else 0) if re.match(rb"[A-Za-z\x80-\xff]", t) else 4 if t[:1].isdigit() else 5 for t, c in zip(tokens, caps, strict=True)]
+        h, n = [number(t) for t in tokens], len(tokens)
+        out = set(h) | {mixed((h[k] * 3 + h[k + 1]) & full) for k in range(n - 1)} | {mixed(s + 1_000_003) for s in kind}
+        out |= {mixed(kind[k] * 64 + kind[k + 1] + 2_000_003) for k in range(n - 1)} | {mixed(3_000_003) for k in range(n - 2) if tokens[k] == tokens[k + 1] == tokens[k + 2]}
+        return {x & (1 << bits) - 1 for x in out}
+
+    texts = ["The CAT  sat, the cat sat 42!!", "", "no no no No", "é漢 x9y\t--", "BUY now"]
+    at, offsets = quality_model.features(*text_bytes(pa.array(texts)), 12)
+    rows = [at[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert [set(r.tolist()) for r in rows] == [plain(t.encode(), 12) for t in texts]
+
+    labels, alpha, beta, l1, l2 = np.array([1.0, 0.0, 1.0, 1.0, 0.0]), 5.0, 1.0, 0.1, 0.01
+    got = quality_model.train_ftrl(rows, labels, 12, steps=30, l1=l1)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else ((l1 if z[i] > 0 else -l1) - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+    more = {1.0: max(1.0, (2 / 3) ** 0.5), 0.0: max(1.0, (3 / 2) ** 0.5)}
+    order = np.random.default_rng(0)
+    for _ in range(6):
+        for k in order.permutation(5):
+            x = {int(i): 1 / max(len(rows[k]), 1) ** 0.5 for i in rows[k]} | {1 << 12: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - labels[k]) * more[labels[k]] * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    assert np.allclose(got, [weight(i) for i in range((1 << 12) + 1)])
+    one_by_one = [quality_model.scores(got, r, np.array([0, len(r)]))[0] for r in rows]
+    assert quality_model.scores(got, at, offsets).tolist() == one_by_one
+
+
 def test_classifier_learns_nothing_from_held_out_labels(spark):
     docs, labels, _ = labelled(spark)
     other = labels.withColumn("quality", F.when(quality_model.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
