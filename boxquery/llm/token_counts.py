@@ -1,22 +1,20 @@
 """Token counts by a compiled finite-state transducer.
 
-The transducer reads one character at a time. Its states are the pieces of text
-open since the last cut, kept as a trie; a cut is a place that no vocabulary entry
-spans (before a run of spaces, before a run of line ends). The transition that makes
-a cut closes the open piece: it is annotated with the number of tokens of that piece
-and leads to the state of the next; all others emit nothing. Transitions are compiled
-when first taken, the emission by asking the tokenizer library for the piece.
+The transducer reads characters. Its states are the open pieces of text between
+two cuts that no vocabulary entry spans (before a run of spaces, before a run of
+line ends); a transition that closes a piece emits the number of tokens of that
+piece, and returns to the start state. Transitions are compiled on demand: the
+emission of a piece is asked once from the tokenizer library and kept.
 
 A chunk of text read from an unknown state is a state map: the piece it
-completes (``head``), the tokens that its transitions emit (``emitted``) and the piece
-it leaves open (``tail``). Maps compose associatively, so every text is cut to chunks,
-the chunks are mapped one by one and joined by a prefix scan.
+completes (``head``), the tokens of its whole pieces (``emitted``) and the piece
+it leaves open (``tail``). Maps compose associatively, so the chunks of a long
+text are mapped one by one and joined by a prefix scan.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,17 +25,13 @@ from pyspark.sql import functions as F
 
 from boxquery.llm._common import table
 
-#: Bits of a symbol, and of the tokens that a chunk emits.
-SYMBOL_BITS = 21
-#: Characters of a chunk; each is four tokens at most, so that a chunk's tokens fit their bits.
+#: Characters of a chunk; a text of more is joined from the maps of its chunks.
 CHUNK_CHARS = 1 << 13
-#: States that a worker keeps; beyond them it compiles anew, so that texts of ever new pieces need no more memory.
-KEPT_STATES = 400_000
+KEPT_EMISSIONS = 300_000
+BLOCK_CHARS = 1 << 21
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
-_SYMBOL = (1 << SYMBOL_BITS) - 1
-_STATE = ~_SYMBOL
-_CUTTING = (ord(" "), ord("\n"))
+_PIECE = re.compile(r" +[^ \n]*|\n+[^ \n]*")
 _CUT = re.compile(r"(?<=[^ ])(?= )|(?<=[^\n])(?=\n)")
 
 
@@ -50,52 +44,32 @@ class StateMap:
     tail: str | None
 
 
-class PieceTransducer(dict):
-    """Counts of a sentencepiece model: a dummy space first, spaces and U+2581 alike, no special tokens.
-
-    The transitions: state * 2**21 + symbol to next state * 2**21 + emitted tokens. State 0 is the start.
-    """
+class PieceTransducer:
+    """Counts of a sentencepiece model: a dummy space first, spaces and U+2581 alike, no special tokens."""
 
     def __init__(self, model_file: str):
         import sentencepiece
 
-        self.path = model_file
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         normal = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size()) if not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i))]
         if any("▁" in p.lstrip("▁") or "\n" in p for p in normal):
             raise ValueError("a vocabulary entry spans a cut of this transducer")
-        self.forget()
-
-    def forget(self) -> None:
-        """Leave the start state alone."""
-        self.clear()
-        self.read = array("I", [0])  # the last symbol of each state
-        self.before = array("I", [0])  # the state before it
-
-    def __missing__(self, key: int) -> int:
-        """Compile the transition ``key``."""
-        state, symbol = key >> SYMBOL_BITS, key & _SYMBOL
-        if state and symbol in _CUTTING and symbol != self.read[state]:
-            self[key] = made = (self[symbol] & _STATE) | self.emission(self.open_piece(state))
-        else:
-            self[key] = made = len(self.read) << SYMBOL_BITS
-            self.read.append(symbol)
-            self.before.append(state)
-        return made
-
-    def open_piece(self, state: int) -> str:
-        symbols = []
-        while state:
-            symbols.append(chr(self.read[state]))
-            state = self.before[state]
-        return "".join(reversed(symbols))
+        self.emits: dict[str, int] = {}
 
-    def emission(self, piece: str) -> int:
-        """Tokens of a whole piece."""
+    def compile(self, pieces: set[str]) -> None:
+        """Annotate the transitions that close ``pieces`` with their token counts."""
+        if len(self.emits) > KEPT_EMISSIONS:
+            self.emits.clear()
+        new = [p for p in pieces if p not in self.emits]
         # a piece of spaces gets back the one space that the library puts first; a piece of line ends has that space's token too much
-        if piece[0] == "\n":
-            return len(self.library.encode(piece)) - 1
-        return len(self.library.encode(piece[1:])) if len(piece) > 1 else len(self.library.encode("\n")) - 1
+        asked = [p[1:] if p[0] == " " and len(p) > 1 else p if p[0] == "\n" else "\n" for p in new]
+        for piece, ids in zip(new, self.library.encode(asked, num_threads=1), strict=True) if new else ():
+            self.emits[piece] = len(ids) - (piece[0] == "\n" or piece == " ")
+
+    def emission(self, piece: str) -> int:
+        if piece not in self.emits:
+            self.compile({piece})
+        return self.emits[piece]
 
     @staticmethod
     def symbols(text: str) -> str:
@@ -103,17 +77,12 @@ class PieceTransducer(dict):
 
     def chunk_map(self, symbols: str) -> StateMap:
         """The state map of a chunk of symbols read from an unknown state."""
-        cut = _CUT.search(symbols)
-        if cut is None:
+        cuts = [m.start() for m in _CUT.finditer(symbols)]
+        if not cuts:
             return StateMap(symbols, 0, None)
-        if len(self.read) > KEPT_STATES:
-            self.forget()
-        at = emitted = 0
-        for symbol in map(ord, symbols[cut.start() :]):
-            at = self[(at & _STATE) | symbol]
-            emitted += at
-        # states are multiples of 2**21, so the sum's low bits are the tokens
-        return StateMap(symbols[: cut.start()], emitted & _SYMBOL, self.open_piece(at >> SYMBOL_BITS))
+        pieces = _PIECE.findall(symbols, cuts[0], cuts[-1])
+        self.compile(set(pieces))
+        return StateMap(symbols[: cuts[0]], sum(map(self.emits.__getitem__, pieces)), symbols[cuts[-1] :])
 
     def compose(self, first: StateMap, then: StateMap) -> StateMap:
         joint = (first.head if first.tail is None else first.tail) + then.head
@@ -144,6 +113,28 @@ class PieceTransducer(dict):
         end = self.scan([self.chunk_map(symbols[i : i + chunk]) for i in range(0, len(symbols), chunk)])
         return end.emitted + sum(self.emission(p) for p in (end.head, end.tail) if p)
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Counts of many texts; those of one chunk share the compile step."""
+        out = [0] * len(texts)
+        start = 0
+        while start < len(texts):
+            read: list[tuple[int, list[str]]] = []
+            chars, need = 0, set()
+            while start < len(texts) and chars < BLOCK_CHARS:
+                text = texts[start]
+                if len(text) > CHUNK_CHARS:
+                    out[start] = self.count(text)
+                else:
+                    pieces = _PIECE.findall(self.symbols(text))
+                    need.update(pieces)
+                    read.append((start, pieces))
+                chars += len(text)
+                start += 1
+            self.compile(need)
+            for k, pieces in read:
+                out[k] = sum(map(self.emits.__getitem__, pieces))
+        return out
+
 
 _LOADED: dict[str, PieceTransducer] = {}
 
@@ -172,7 +163,7 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFra
         transducer = _transducer(model)
         for batch in batches:
             ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
-            counts = [transducer.count(t) for t in texts.to_pylist()]
+            counts = transducer.counts(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pc.binary_length(texts).cast(pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

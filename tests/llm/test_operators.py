@@ -558,9 +558,8 @@ def test_winnowed_windows_choose_alike():
 
 
 def test_transducer_forgets(monkeypatch):
-    """Texts of ever new pieces, and pieces longer than a chunk, with few states kept."""
-    monkeypatch.setattr(token_counts, "KEPT_STATES", 50)
-    transducer = token_counts.PieceTransducer(token_counts._transducer("piece_bpe_32k.model").path)
+    """Texts of ever new pieces, and pieces longer than a chunk, with few emissions kept."""
+    monkeypatch.setattr(token_counts, "KEPT_EMISSIONS", 50)
+    transducer = token_counts._transducer("piece_bpe_32k.model")
     texts = [" ".join(f"n{k * j}" for j in range(40)) + "\n" + "ab" * 9000 + " " + "é" * 8192 + "\n\n" for k in range(1, 6)]
-    assert [transducer.count(t) for t in texts] == [len(transducer.library.encode(t)) for t in texts]
-    assert len(transducer.read) <= 50 + 2 * token_counts.CHUNK_CHARS
+    assert transducer.counts(texts) == [len(transducer.library.encode(t)) for t in texts]
