@@ -1,8 +1,10 @@
-"""The ten operators against plain versions, on a corpus with every odd case."""
+"""The operators against plain versions, on a corpus with every odd case."""
 
 import base64
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boxquery.llm import anchors, components, decontam, line_dedup, mixing, near_dedup, quality_model, quality_rules, repeats, substrings, token_counts, warc
+from boxquery.llm import anchors, components, decontam, filter_audit, importance, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, repeats, substrings, token_counts, warc
 from boxquery.llm._common import written
 
 from .conftest import LOW
@@ -563,3 +565,156 @@ def test_transducer_forgets(monkeypatch):
     transducer = token_counts._transducer("piece_bpe_32k.model")
     texts = [" ".join(f"n{k * j}" for j in range(40)) + "\n" + "ab" * 9000 + " " + "é" * 8192 + "\n\n" for k in range(1, 6)]
     assert transducer.counts(texts) == [len(transducer.library.encode(t)) for t in texts]
+
+
+# 11 importance resampling
+
+
+def brute_importance(rows, target, most, buckets, seed, percent, min_words):
+    def features(text):
+        w = ALNUM_WORD.findall((text or "").translate(LOW))
+        return [" ".join(w[k : k + n]) for n in range(1, most + 1) for k in range(len(w) - n + 1)], len(w)
+
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = (collections.Counter(bucket(f) for text in texts for f in features(text)[0]) for texts in ([x for _, x, _ in rows], target))
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (all_s + buckets) / ((s[b] + 1) * (all_t + buckets)))) for b in s}
+    out = []
+    for i, text, _ in rows:
+        found, n = features(text)
+        weight = sum(gain[bucket(f)] for f in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, n, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    able = sorted((r for r in out if r[1] >= min_words), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    ranks = [(*r, k) for k, r in enumerate(able[: percent * len(able) // 100], 1)]
+    return ranks + [(*r, None) for r in able[len(ranks) :]] + [(*r, None) for r in out if r[1] < min_words]
+
+
+@pytest.mark.parametrize("most, percent, span", [(1, 10, 1 << 21), (2, 45, 300), (3, 100, 1 << 21)])
+def test_importance(spark, docs, rows, monkeypatch, most, percent, span):
+    monkeypatch.setattr(importance, "BLOCK_BYTES", span)
+    target = [rows[1][1], None, "", "W1 w2, é漢字 w3", rows[5][1]]
+    wanted = spark.createDataFrame(list(enumerate(target)), "item_id long, text string")
+    got = importance.resample(docs, wanted, most=most, buckets=50, seed=7, percent=percent, min_words=20)
+    same(got, brute_importance(rows, target, most, 50, 7, percent, 20), "doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+def test_importance_of_empty_tables(spark, docs, empty, rows):
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert importance.resample(empty, nothing).count() == 0
+    got = importance.resample(docs, nothing, buckets=50, seed=7)
+    same(got, brute_importance(rows, [], 1, 50, 7, 10, 20), "doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+# 12 filter audit
+
+
+def brute_audit(rows, good, toxic):
+    key = lambda i: (i is None, i or 0)
+    least = {}
+    for i, t, _ in rows:
+        least[t or ""] = min(least.get(t or "", (True, 1)), key(i))
+    docs = collections.defaultdict(list)
+    for i, t, part in rows:
+        t = t or ""
+        w = SPACE_WORD.findall(t)
+        failed = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": key(i) > least[t]}
+        docs[part or ""].append(({k for k, v in failed.items() if v}, i in good, i in toxic))
+    out = []
+    for part, found in docs.items():
+        shapley, lines = collections.Counter(), []
+        for order in itertools.permutations("ABCDE"):
+            left = found
+            for step, f in enumerate(order, 1):
+                removed = [d for d in left if f in d[0]]
+                left = [d for d in left if f not in d[0]]
+                shapley[f] += len(removed)
+                lines.append((f, ("".join(order), step, len(left), len(removed), sum(f in d[0] for d in found) - len(removed), sum(d[0] == {f} for d in found), sum(d[1] for d in removed), sum(d[2] for d in removed))))
+        out += [(part, *line, shapley[f]) for f, line in lines]
+    return out
+
+
+@pytest.mark.parametrize("most, collide", [(filter_audit.BROADCAST_FINGERPRINTS, False), (0, False), (0, True)])
+def test_filter_audit(spark, docs, rows, monkeypatch, most, collide):
+    monkeypatch.setattr(filter_audit, "BROADCAST_FINGERPRINTS", most)
+    if collide:  # all texts have one of three fingerprints: the chains part them
+        monkeypatch.setattr(filter_audit.F, "xxhash64", lambda c: F.length(c).cast("long") % 3)
+    odd = [(200 + k, "UPPER " * 250 + "a#b" * (k % 2), "s1") for k in range(4)] + [(300, rows[60][1], "s2"), (5, rows[60][1], "s2"), (5, rows[60][1], None)]
+    more = spark.createDataFrame([(i, t, s, "en", 0, 1, "x", "x", "x", "x", "x", "x") for i, t, s in odd], docs.schema)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, None), (60, 1, 1), (61, None, 1), (83, 1, 0), (99, 1, 1), (None, 1, 1), (201, 0, 1), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    got = filter_audit.filter_audit(docs.unionByName(more).repartition(7), labels)
+    same(got, brute_audit(rows + odd, {1, 60, 83, 99}, {60, 61, 99, 201}), *filter_audit.RESULT.replace(" string", "").replace(" long", "").replace(" int", "").split(", "))
+
+
+def test_filter_audit_empty(spark, empty):
+    assert filter_audit.filter_audit(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+# 13 best-fit packing
+
+
+def brute_best_fit(lengths, size):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fit = min((r for r in room if r >= n), default=None)
+        if fit is None:
+            room.append(size - n)
+        else:
+            room[room.index(fit)] -= n
+    return len(room)
+
+
+@pytest.mark.parametrize("size", [64, 2048])
+def test_packing(docs, rows, size):
+    import public_tokenizers
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.MODEL))
+    got = packing.pack(docs, size).cache()
+    want = []
+    for i, t, _ in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range((len(ids) - 1) % size + 1, len(ids) + 1, size)]
+        for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+            want.append((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()), ids[a:b]))
+    same(got, want, "doc_id", "piece", "start", "length", "ids_crc32", "ids")
+    places = collections.defaultdict(list)
+    for r in got.collect():
+        places[r.sequence_id].append((r.offset, r.length))
+    for parts in places.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= size
+    assert len(places) == brute_best_fit([w[3] for w in want], size)
+    joined = packing.sequences(got).collect()
+    assert sorted(len(r.ids) for r in joined) == sorted(sum(n for _, n in p) for p in places.values())
+    assert sum(sum(r.ids) for r in joined) == sum(sum(w[5]) for w in want)
+
+
+def test_packing_empty(empty):
+    assert packing.pack(empty).count() == 0
+
+
+def test_the_plan_is_best_fit_over_counts():
+    rng = random.Random(3)
+    for size in (7, 30, 100):
+        for _ in range(40):
+            counts = {rng.randrange(1, size + 1): rng.randrange(1, 60) for _ in range(rng.randrange(1, 20))}
+            runs = packing.plan(counts, size)
+            assert len(runs) <= 4 * size * size.bit_length()
+            used, ranks = collections.defaultdict(list), collections.defaultdict(set)
+            for length, first, n, each, sequence, at in runs:
+                for k in range(n):
+                    used[sequence + k // each].append((at + k % each * length, length))
+                    ranks[length].add(first + k)
+            assert ranks == {n: set(range(c)) for n, c in counts.items()}
+            assert all(sorted(p) == list(zip([0, *itertools.accumulate(n for _, n in sorted(p))], (n for _, n in sorted(p)), strict=False)) for p in used.values())
+            assert len(used) == brute_best_fit([n for n, c in counts.items() for _ in range(c)], size)
+
+
+def test_both_token_libraries_read_every_character_alike():
+    encoder = packing.Encoder()
+    assert encoder.fast is not None
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1 {c}{c}. " for c in chars[k : k + 2000]) for k in range(0, len(chars), 2000)]
+    texts += ["<|endoftext|>x<|endoftext|> \n <|endoftext", "it's  they'LL\t\t x\u00a0y \r\n", " " * 5000 + "x", "ab" * 5000, ""]
+    assert [encoder.ids(t) for t in texts] == [e.ids for e in encoder.plain.encode_batch(texts, add_special_tokens=False)]
