@@ -26,9 +26,9 @@ SEED = 2024
 MIN_WORDS = 20
 DRAW_PERCENT = 10
 #: Bytes of text whose counts make one row.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 23
 
-_BLOCK = "block long, ids array<long>, n_words array<long>, n_features array<long>, at array<int>, features array<int>, counts array<int>, strings array<string>, totals array<long>"
+_BLOCK = "block long, ids array<long>, n_words array<long>, n_features array<long>, pairs int, packed binary, strings array<string>, totals array<long>"
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -51,7 +51,8 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray
 def feature_blocks(docs: DataFrame, id: str, most: int = MAX_WORDS) -> DataFrame:
     """Feature counts, written: a row holds the documents of a block, its distinct strings and the counts by document.
 
-    Document k of the block has the features ``features[at[k]:at[k + 1]]``, numbers into ``strings``.
+    A count belongs to the key document * strings + string, both by number within the block;
+    ``packed`` holds the ``pairs`` many differences of the sorted keys, then the counts, compressed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,13 +60,13 @@ def feature_blocks(docs: DataFrame, id: str, most: int = MAX_WORDS) -> DataFrame
         for batch in blocks(batches, BLOCK_BYTES):
             owner, strings, sizes = ngrams(*text_bytes(batch.column(1)), most)
             coded = pc.dictionary_encode(strings)
-            code, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+            code, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
             key, count = np.unique(owner * n + code, return_counts=True)
-            at = np.searchsorted(key, np.arange(batch.num_rows + 1) * n)
+            packed = pa.compress(np.concatenate([np.diff(key, prepend=0), count]).astype("<i8").tobytes(), "zstd", asbytes=True)
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values.cast(kind))
             columns = [
                 pa.array([block], pa.int64()), one(batch.column(0), pa.int64()), one(sizes, pa.int64()), one(np.bincount(owner, minlength=batch.num_rows), pa.int64()),
-                one(at, pa.int32()), one(key % n, pa.int32()), one(count, pa.int32()), one(coded.dictionary, pa.string()), one(np.bincount(code, minlength=len(coded.dictionary)), pa.int64()),
+                pa.array([len(key)], pa.int32()), pa.array([packed], pa.binary()), one(coded.dictionary, pa.string()), one(np.bincount(code, minlength=n), pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in _BLOCK.split(", ")])
             block += 1
@@ -95,21 +96,25 @@ def weights(docs: DataFrame, target: DataFrame, id: str = "doc_id", target_id: s
     gains = features.where("s > 0").join(F.broadcast(bucket_gains(features, buckets)), "bucket").select("feature", "gain")
     # a string is once in a block, so a very frequent one has as many rows as there are blocks
     strings = source.select("block", F.posexplode("strings").alias("k", "feature")).join(gains, "feature")
-    back = strings.groupBy("block").agg(F.collect_list(F.struct("k", "gain")).alias("gains"))
+    # a gain and its string's number in the block as one number
+    back = strings.groupBy("block").agg(F.collect_list(F.shiftleft(F.col("k").cast("long"), 32) + F.col("gain") + F.lit(1 << 31)).alias("gains"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, n_words, n_features, at, features, counts, gains = (batch.column(c)[r].values for c in range(7))
-                gain = np.zeros(0 if gains is None else len(gains), np.int64)
-                if len(gain):
-                    gain[gains.field("k").to_numpy()] = gains.field("gain").to_numpy()
-                total = np.concatenate([[0], np.cumsum(gain[features.to_numpy()] * counts.to_numpy())])[at.to_numpy()]
-                n = n_features.to_numpy()
-                weight = (total[1:] - total[:-1]) // np.maximum(n, 1)
+                ids, n_words, n_features = (batch.column(c)[r].values for c in range(3))
+                pairs, packed, gains = batch.column(3)[r].as_py(), batch.column(4)[r].as_py(), batch.column(5)[r].values
+                coded = np.zeros(0, np.int64) if gains is None else gains.to_numpy()
+                gain = np.zeros(max(1, len(coded)), np.int64)
+                gain[coded >> 32] = (coded & 0xFFFFFFFF) - (1 << 31)
+                both = np.frombuffer(pa.decompress(packed, 16 * pairs, "zstd"), "<i8")
+                key = np.cumsum(both[:pairs])
+                total = np.concatenate([[0], np.cumsum(gain[key % len(gain)] * both[pairs:])])
+                at, n = np.searchsorted(key, np.arange(len(ids) + 1) * len(gain)), n_features.to_numpy()
+                weight = (total[at[1:]] - total[at[:-1]]) // np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(weight, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
 
-    rows = source.join(back, "block", "left").select("ids", "n_words", "n_features", "at", "features", "counts", "gains")
+    rows = source.join(back, "block", "left").select("ids", "n_words", "n_features", "pairs", "packed", "gains")
     out = written(rows.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long"), "weights")
     drop_written(source, wanted, features)
     return out
