@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxquery.functions.geometry import iou_sql
-from boxquery.operators.matching import BOX, greedy_match, two_phase_match
+from boxquery.operators.matching import candidates, candidates_of, greedy_match, two_phase_match
+from boxquery.operators.overlaps import BOX, crowded, greedy_choice, iou_join
+from boxquery.sources.scratch import parked
 
 #: Area ranges of the protocol, closed at both ends.
 AREA_RANGES = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
@@ -34,8 +35,8 @@ def scored_matches(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, keys:
     return dets.select(*keys, "det_id", "score").crossJoin(F.broadcast(thresholds)).join(found, ["t", "det_id"], "left")
 
 
-def average_precision(rows: DataFrame, truths: DataFrame, by: Sequence[str]) -> DataFrame:
-    """101-point interpolated AP and the recall reached, of each group ``by`` that has truth boxes.
+def precision_curve(rows: DataFrame, truths: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` that count, in groups ``by`` that have truth boxes, with _prec, _rec and _k, the last of the 101 recalls reached.
 
     rows: by, score, det_id, tp (boolean; null: ignored); truths: by, npos.
     """
@@ -47,10 +48,18 @@ def average_precision(rows: DataFrame, truths: DataFrame, by: Sequence[str]) ->
     order = W.partitionBy(*by, "_range").orderBy(F.desc("score"), "det_id").rowsBetween(W.unboundedPreceding, 0)
     curve = rows.withColumns({"_tp": F.sum(F.col("tp").cast("long")).over(order), "_n": F.count(F.lit(1)).over(order)}).join(per, [*by, "_range"])
     curve = curve.join(truths.where("npos > 0"), list(by)).withColumns({"_rec": (F.col("_tp") + F.col("_tps")) / F.col("npos"), "_prec": (F.col("_tp") + F.col("_tps")) / (F.col("_n") + F.col("_rows"))})
-    # the last of the 101 recalls that a point reaches; the best precision there or beyond bounds the envelope
     k = F.floor(F.col("_rec") * 100)
     reached = lambda r: r / F.lit(100.0) <= F.col("_rec")
-    best = curve.groupBy(*by, F.when(reached(k + 1), k + 1).when(reached(k), k).otherwise(k - 1).alias("_k")).agg(F.max("_prec").alias("_prec"), F.max("_rec").alias("_rec"))
+    return curve.withColumn("_k", F.when(reached(k + 1), k + 1).when(reached(k), k).otherwise(k - 1))
+
+
+def best_points(curve: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, _k and the best _prec and _rec there: 101 rows a group at most; may be taken again over a finer result."""
+    return curve.groupBy(*by, "_k").agg(F.max("_prec").alias("_prec"), F.max("_rec").alias("_rec"))
+
+
+def curve_area(best: DataFrame, truths: DataFrame, by: Sequence[str]) -> DataFrame:
+    """ap and recall of each group of ``truths`` (by, npos) from its best points; the best precision at a recall or beyond bounds the envelope."""
     beyond = W.partitionBy(*by).orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
     lower = F.coalesce(F.lag("_k").over(W.partitionBy(*by).orderBy("_k")), F.lit(-1))
     steps = best.withColumns({"_env": F.max("_prec").over(beyond), "_wide": F.col("_k") - lower})
@@ -58,6 +67,14 @@ def average_precision(rows: DataFrame, truths: DataFrame, by: Sequence[str]) ->
     return truths.where("npos > 0").select(*by).join(ap, list(by), "left").fillna(0.0, ["ap", "recall"])
 
 
+def average_precision(rows: DataFrame, truths: DataFrame, by: Sequence[str]) -> DataFrame:
+    """101-point interpolated AP and the recall reached, of each group ``by`` that has truth boxes.
+
+    rows: by, score, det_id, tp (boolean; null: ignored); truths: by, npos.
+    """
+    return curve_area(best_points(precision_curve(rows, truths, by), by), truths, by)
+
+
 def ap_by_class(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, most: int | None = None) -> DataFrame:
     """category_id, t, ap, recall; classes without truth boxes are absent."""
     if most is not None:
@@ -67,31 +84,24 @@ def ap_by_class(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, most: in
     return average_precision(rows, truths, ["category_id", "t"])
 
 
-_MATCH = "array<struct<det_id:bigint,gt_id:bigint,iou:double,ign:boolean>>"
-
-
-def ranged_matches(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """Matches with truth boxes out of an area range ignored: t, area, category_id, det_id, score, tp (null: ignored).
+def ranged_matches(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, ranges: dict[str, tuple[float, float]], also: Sequence[str] = ()) -> DataFrame:
+    """Matches with truth boxes out of an area range ignored: t, area, category_id, det_id, score, tp (null: ignored), and columns ``also`` of the detections.
 
     A detection prefers truth boxes that count; one that takes an ignored box is ignored,
     and so is an unmatched one whose own area is out of range.
     """
-    spark = dets.sparkSession
-    table = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in ranges.items()], "area string, lo double, hi double"))
     keys = ["image_id", "category_id"]
-    g = gts.groupBy(*keys).agg(F.collect_list(F.struct("gt_id", *BOX)).alias("_gts"))
-    d = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_id", *BOX))).alias("_dets"))
-    rows = d.join(g, keys, "left").crossJoin(F.broadcast(thresholds)).crossJoin(table)
-    rows = rows.withColumn("_gts", F.coalesce("_gts", F.expr("cast(array() as array<struct<gt_id:bigint,x:double,y:double,w:double,h:double>>)")))
-    out = lambda p: f"({p}w * {p}h < lo or {p}w * {p}h > hi)"
-    free = f"filter(_gts, q -> not exists(m, z -> z.gt_id <=> q.gt_id) and {iou_sql('d.', 'q.')} >= least(t, 1D - 1e-10D))"
-    best = f"array_max(transform({free}, q -> named_struct('in', if({out('q.')}, 0, 1), 'iou', {iou_sql('d.', 'q.')}, 'neg', -q.gt_id)))"
-    hit = "named_struct('det_id', d.det_id, 'gt_id', -b.neg, 'iou', b.iou, 'ign', b.in = 0)"
-    miss = f"named_struct('det_id', d.det_id, 'gt_id', cast(null as bigint), 'iou', cast(null as double), 'ign', {out('d.')})"
-    fold = f"aggregate(_dets, cast(array() as {_MATCH}), (m, d) -> transform(array({best}), b -> if(b is null, array_append(m, {miss}), array_append(m, {hit})))[0])"
-    found = rows.select("category_id", "t", "area", F.expr(f"inline({fold})"))
-    scored = found.join(dets.select("det_id", "score"), "det_id")
-    return scored.select("t", "area", "category_id", "det_id", "score", F.when(~F.col("ign"), F.col("iou").isNotNull()).alias("tp"))
+    table = F.broadcast(dets.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in ranges.items()], "area string, lo double, hi double"))
+    both = lambda df: df.crossJoin(F.broadcast(thresholds.select("t"))).crossJoin(table)
+    outside = F.expr("w * h < lo or w * h > hi")
+    least = min(thresholds.agg(F.min("t")).first()[0], 1 - 1e-10)
+    sized = candidates(dets, gts, keys, least).join(gts.select("gt_id", "w", "h"), "gt_id")
+    pairs = both(sized).where("iou >= least(t, 1D - 1e-10D)").withColumn("ign", outside)
+    found = greedy_choice(pairs, ["t", "area", *keys], "det_id", "gt_id", [F.col("_s")], [F.col("ign"), -F.col("iou")], crowded(dets, keys))
+    rows = both(dets.select("category_id", "det_id", "score", "w", "h", *also)).withColumn("_out", outside)
+    rows = rows.join(found.select("t", "area", "det_id", "ign"), ["t", "area", "det_id"], "left")
+    tp = F.when(F.col("ign").isNotNull(), F.when(~F.col("ign"), F.lit(True))).when(~F.col("_out"), F.lit(False))
+    return rows.select("t", "area", "category_id", "det_id", "score", tp.alias("tp"), *also)
 
 
 def ap_by_class_and_size(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -104,6 +114,38 @@ def ap_by_class_and_size(dets: DataFrame, gts: DataFrame, thresholds: DataFrame,
     return average_precision(rows, truths, ["category_id", "t", "area"])
 
 
+def coco_metrics(dets: DataFrame, gts: DataFrame, caps: Sequence[int] = (1, 10, 100), thresholds: Sequence[float] = COCO_THRESHOLDS, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """One row of the protocol's twelve metrics, -1 where no class has truth boxes of the kind.
+
+    ap, ap50, ap75, ap_small, ap_medium, ap_large; ar_<cap> for each of the caps on
+    detections of an image and class; ar_small, ar_medium, ar_large. All but the smaller
+    caps' recalls hold at the largest cap. There is one matching: detections come by falling
+    score, so those of the first ranks match as if the others weren't there, and a smaller cap
+    is a condition on the rank. Means are over the classes (and thresholds) that have truth boxes.
+    """
+    ranges = ranges or AREA_RANGES
+    caps = sorted(set(caps))
+    spark = dets.sparkSession
+    rank = F.row_number().over(W.partitionBy("image_id", "category_id").orderBy(F.desc("score"), "det_id"))
+    ranked = dets.withColumn("place", rank).where(F.col("place") <= caps[-1])
+    table = threshold_table(spark, thresholds)
+    rows = ranged_matches(ranked, gts, table, ranges, ["place"])
+    sizes = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in ranges.items()], "area string, lo double, hi double"))
+    npos = gts.crossJoin(sizes).where("w * h >= lo and w * h <= hi").groupBy("category_id", "area").agg(F.count(F.lit(1)).alias("npos"))
+    by = ["category_id", "t", "area"]
+    per = average_precision(rows, npos.crossJoin(F.broadcast(table)), by)
+    within = [F.count_if(F.col("tp") & (F.col("place") <= c)).alias(f"_within_{c}") for c in caps[:-1]]
+    if within:
+        per = per.join(rows.where("area = 'all'").groupBy(*by).agg(*within), by, "left").join(npos, ["category_id", "area"])
+    whole = F.col("area") == "all"
+    at = lambda t: F.avg(F.when(whole & (F.abs(F.col("t") - t) < 1e-9), F.col("ap")))
+    parts = [k for k in ranges if k != "all"]
+    fields = {"ap": F.avg(F.when(whole, F.col("ap"))), "ap50": at(0.5), "ap75": at(0.75)} | {f"ap_{k}": F.avg(F.when(F.col("area") == k, F.col("ap"))) for k in parts}
+    fields |= {f"ar_{c}": F.avg(F.when(whole, F.coalesce(F.col(f"_within_{c}"), F.lit(0)) / F.col("npos"))) for c in caps[:-1]}
+    fields |= {f"ar_{caps[-1]}": F.avg(F.when(whole, F.col("recall")))} | {f"ar_{k}": F.avg(F.when(F.col("area") == k, F.col("recall"))) for k in parts}
+    return per.agg(*(F.coalesce(v, F.lit(-1.0)).alias(k) for k, v in fields.items()))
+
+
 def coco_summary(per_class: DataFrame) -> DataFrame:
     """ap, ap50, ap75 and ar over classes and thresholds (area all), ap_small, ap_medium, ap_large; -1 where undefined."""
     whole = F.col("area") == "all"
@@ -113,6 +155,62 @@ def coco_summary(per_class: DataFrame) -> DataFrame:
     return per_class.agg(*(F.coalesce(v, F.lit(-1.0)).alias(k) for k, v in fields.items()))
 
 
+def precision_recall_summary(dets: DataFrame, gts: DataFrame, classes: DataFrame, thresholds: Sequence[float] = COCO_THRESHOLDS) -> DataFrame:
+    """category_id (null: the mean over all ``classes``), p50, p75, p50_95, r50, r75, r50_95; all -1 without any detection.
+
+    Precision and recall at the thresholds 0.5 and 0.75 and their means over all
+    thresholds, 0 where nothing divides. Thresholds are a column of one matching, rolled
+    up by threshold and then by class.
+    """
+    table = threshold_table(dets.sparkSession, thresholds)
+    count = lambda df, name, *by: df.groupBy("category_id", *by).agg(F.count(F.lit(1)).alias(name))
+    tp = count(greedy_match(dets, gts, ["image_id", "category_id"], thresholds=table), "tp", "t")
+    per = classes.select("category_id").distinct().crossJoin(F.broadcast(table)).join(tp, ["category_id", "t"], "left")
+    per = per.join(count(dets, "n_det"), "category_id", "left").join(count(gts, "n_gt"), "category_id", "left")
+    share = lambda n: F.coalesce(F.try_divide("tp", n), F.lit(0.0))
+    at = lambda t, v: F.max(F.when(F.abs(F.col("t") - t) < 1e-9, v))
+    fields = {}
+    for name, value in (("p", share("n_det")), ("r", share("n_gt"))):
+        fields |= {f"{name}50": at(0.5, value), f"{name}75": at(0.75, value), f"{name}50_95": F.avg(value)}
+    by_class = per.groupBy("category_id").agg(*(v.alias(k) for k, v in fields.items()))
+    whole = by_class.agg(F.lit(None).cast(by_class.schema["category_id"].dataType).alias("category_id"), *(F.coalesce(F.avg(k), F.lit(-1.0)).alias(k) for k in fields))
+    any_det = F.broadcast(dets.agg((F.count(F.lit(1)) > 0).alias("_any")))  # one row
+    rows = by_class.unionByName(whole).join(any_det)
+    return rows.select("category_id", *(F.when(F.col("_any"), F.col(k)).otherwise(-1.0).alias(k) for k in fields))
+
+
+def method_comparison(methods: dict[str, DataFrame], gts: DataFrame, relabel_at: float = 0.1, cap: int = 500) -> DataFrame:
+    """method, n_dets, ap50 and recall over ten thresholds (ar), class-aware and class-agnostic, of the results of several methods.
+
+    ``methods``: detections by name, with ids unique within each. The method is a
+    column, so all of them share the joins, the matching and the ranking. Class-agnostic: a detection first takes the class of the
+    truth box that it matches at ``relabel_at``. Methods without detections have no row.
+    """
+    spark = gts.sparkSession
+    keys, dets = ["image_id", "category_id"], None
+    for name, df in methods.items():
+        part = df.select(F.lit(name).alias("method"), F.col("det_id").cast("long"), *keys, "score", *(F.col(c).cast("double") for c in BOX))
+        dets = part if dets is None else dets.unionByName(part)
+    assert dets is not None, "no methods"
+    dets = parked(dets, "methods")
+    pairs = candidates_of(dets, gts, ["image_id"], relabel_at, ["method"])
+    near = greedy_choice(pairs, ["method", "image_id"], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowded(dets, ["image_id"])).join(gts.select("gt_id", F.col("category_id").alias("_cat")), "gt_id").select("method", "det_id", "_cat")
+    free = dets.join(near, ["method", "det_id"], "left").withColumn("category_id", F.coalesce("_cat", "category_id")).drop("_cat")
+    both = dets.withColumn("mode", F.lit("aware")).unionByName(free.withColumn("mode", F.lit("agnostic")))
+    rank = F.row_number().over(W.partitionBy("mode", "method", *keys).orderBy(F.desc("score"), "det_id"))
+    both = parked(both.withColumn("_place", rank).where(F.col("_place") <= cap).drop("_place"), "ranked-methods")
+    table = F.broadcast(threshold_table(spark, COCO_THRESHOLDS))
+    by = ["mode", "method", "category_id", "t"]
+    pairs = candidates_of(both, gts, keys, min(COCO_THRESHOLDS), ["mode", "method"]).crossJoin(table).where("iou >= t")
+    found = greedy_choice(pairs, ["mode", "method", "t", *keys], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowded(both, keys)).select("mode", "method", "t", "det_id", F.lit(True).alias("tp"))
+    rows = both.select("mode", "method", "category_id", "det_id", "score").crossJoin(table).join(found, ["mode", "method", "t", "det_id"], "left").fillna(False, ["tp"])
+    runs = F.broadcast(both.select("mode", "method").distinct())  # two rows a method
+    truths = gts.groupBy("category_id").agg(F.count(F.lit(1)).alias("npos")).crossJoin(runs).crossJoin(table)
+    ap = average_precision(rows, truths, by).groupBy("method").pivot("mode", ["aware", "agnostic"]).agg(F.avg(F.when(F.abs(F.col("t") - 0.5) < 1e-9, F.col("ap"))).alias("ap50"), F.avg("recall").alias("ar"))
+    sizes = dets.groupBy("method").agg(F.count(F.lit(1)).alias("n_dets"))
+    return sizes.join(ap, "method").select("method", "n_dets", F.col("aware_ap50").alias("ap50_aware"), F.col("aware_ar").alias("ar_aware"), F.col("agnostic_ap50").alias("ap50_agnostic"), F.col("agnostic_ar").alias("ar_agnostic"))
+
+
 def precision_recall(dets: DataFrame, gts: DataFrame, threshold: float) -> DataFrame:
     """category_id (null: all), n_det, n_gt, tp, precision, recall; 0 where nothing divides."""
     tp = greedy_match(dets, gts, ["image_id", "category_id"], threshold).groupBy("category_id").agg(F.count(F.lit(1)).alias("tp"))
@@ -136,16 +234,20 @@ def worst_images(per_image: DataFrame, k: int) -> DataFrame:
 
 
 def agreement(dets: DataFrame, threshold: float) -> DataFrame:
-    """set_i, set_j, ap50: the detections of set j against those of set i as truth, over classes; one plan for all pairs."""
-    sets = F.broadcast(dets.select("prompt_set").distinct())
-    truth = dets.select(F.col("prompt_set").alias("set_i"), "image_id", "category_id", F.col("det_id").alias("gt_id"), "x", "y", *(F.greatest(F.lit(0.0), F.col(c)).alias(c) for c in ("w", "h")))
-    truth = truth.crossJoin(sets.withColumnRenamed("prompt_set", "set_j"))
-    guess = dets.withColumnRenamed("prompt_set", "set_j").crossJoin(sets.withColumnRenamed("prompt_set", "set_i"))
-    keys = ["set_i", "set_j", "image_id", "category_id"]
-    found = greedy_match(guess, truth, keys, threshold).select("set_i", "set_j", "det_id", F.lit(True).alias("_hit"))
-    rows = guess.join(found, ["set_i", "set_j", "det_id"], "left").withColumn("tp", F.coalesce("_hit", F.lit(False)))
+    """set_i, set_j, ap50: the detections of set j against those of set i as truth, over classes; one plan for all pairs.
+
+    The boxes are joined once, whatever their sets; the sets only name the groups of the pairs.
+    """
+    keys = ["image_id", "category_id"]
+    boxes = dets.select("prompt_set", *keys, "det_id", "score", *BOX)
+    pairs = iou_join(boxes, boxes.drop("score"), keys, threshold)
+    pairs = pairs.select(F.col("b_prompt_set").alias("set_i"), F.col("a_prompt_set").alias("set_j"), *(F.col(f"a_{k}").alias(k) for k in keys), F.col("a_det_id").alias("det_id"), F.col("b_det_id").alias("gt_id"), "iou", "a_score")
+    found = greedy_choice(pairs, ["set_i", "set_j", *keys], "det_id", "gt_id", [F.coalesce(-F.col("a_score"), F.lit(float("inf")))], [-F.col("iou")], crowded(dets, keys))
+    sets = F.broadcast(dets.select(F.col("prompt_set").alias("set_i")).distinct())  # the prompt sets of a run, named by its user
+    guess = dets.select(F.col("prompt_set").alias("set_j"), "category_id", "det_id", "score").crossJoin(sets)
+    rows = guess.join(found.select("set_i", "det_id", F.lit(True).alias("_hit")), ["set_i", "det_id"], "left").withColumn("tp", F.coalesce("_hit", F.lit(False)))
     by = ["set_i", "set_j", "category_id"]
-    truths = truth.groupBy(*by).agg(F.count(F.lit(1)).alias("npos"))
+    truths = dets.groupBy(F.col("prompt_set").alias("set_i"), "category_id").agg(F.count(F.lit(1)).alias("npos")).crossJoin(sets.withColumnRenamed("set_i", "set_j"))
     return average_precision(rows, truths, by).groupBy("set_i", "set_j").agg(F.avg("ap").alias("ap50"))
 
 

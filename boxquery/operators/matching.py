@@ -1,8 +1,7 @@
-"""Joins and greedy operators over boxes.
+"""Greedy operators and components over overlapping boxes.
 
-Boxes of one image are one group; inside a group the sequential operators are folds
-over sorted arrays, in Catalyst. All orders end in a unique id, so results don't
-depend on the partitions.
+Candidate pairs come from an overlap join by cells; the sequential operators read them.
+All orders end in a unique id, so results don't depend on the partitions.
 """
 
 from __future__ import annotations
@@ -14,34 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxquery.functions.geometry import centroid_in_sql, iou_sql
-
-BOX = ("x", "y", "w", "h")
-
-
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select([F.col(c).alias(f"{prefix}{c}") for c in df.columns])
-
-
-def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float, ordered: str | None = None, centroid: str | None = None) -> DataFrame:
-    """Pairs (columns a_*, b_*) of equal keys that overlap by ``threshold`` or more, with ``iou``.
-
-    ``ordered``: a column by which a comes before b (self-joins take each pair once).
-    ``centroid``: "or" also takes pairs where a centre lies in the other box, "and" takes
-    only those. The equality on ``keys`` keeps the join hashed; the rest is residual.
-    """
-    if centroid not in (None, "or", "and"):
-        raise ValueError(f"centroid is 'or' or 'and', not {centroid!r}")
-    left, right = _prefixed(a, "a_"), _prefixed(b, "b_")
-    on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
-    if ordered:
-        on.append(F.col(f"a_{ordered}") < F.col(f"b_{ordered}"))
-    near = iou_sql("a_", "b_")
-    test = f"{near} >= {float(threshold)}D"
-    if centroid:
-        inside = f"({centroid_in_sql('a_', 'b_')} or {centroid_in_sql('b_', 'a_')})"
-        test = f"({test}) {centroid} {inside}"
-    return left.join(right, [*on, F.expr(test)]).withColumn("iou", F.expr(near))
+from boxquery.operators.overlaps import BOX, by_group, crowded, greedy_choice, iou_join, overlapped, suppressed
 
 
 def greedy_dedup(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column], id: str, threshold: float) -> DataFrame:
@@ -49,15 +21,14 @@ def greedy_dedup(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     ``order`` are sort keys, ascending; the id parts ties. Serves as cross-source dedup
     (order by source rank, then score) and as non-maximum suppression (order by score).
+    Work goes with the pairs that overlap, not with the square of a group.
     """
-    ranks = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    item = F.struct(*ranks, F.col(id).alias("_id"), *BOX)
-    grouped = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    empty = "cast(array() as array<struct<_id:bigint,x:double,y:double,w:double,h:double>>)"
-    small = "named_struct('_id', d._id, 'x', d.x, 'y', d.y, 'w', d.w, 'h', d.h)"
-    fold = f"aggregate(_all, {empty}, (kept, d) -> if(exists(kept, k -> {iou_sql('k.', 'd.')} >= {float(threshold)}D), kept, array_append(kept, {small})))"
-    kept = grouped.select(F.explode(F.expr(f"transform({fold}, k -> k._id)")).alias(id))
-    return boxes.join(kept, id, "left_semi")
+    ranks = [f"_o{i}" for i in range(len(order))]
+    narrow = boxes.withColumns(dict(zip(ranks, order, strict=True))).select(*keys, *ranks, id, *BOX)
+    pairs = iou_join(narrow, narrow, keys, threshold, [*ranks, id])
+    pairs = pairs.select(*(F.col(f"a_{k}").alias(k) for k in keys), f"a_{id}", f"b_{id}", *(f"b_{r}" for r in ranks))
+    gone = suppressed(pairs, keys, f"a_{id}", f"b_{id}", [*(F.col(f"b_{r}") for r in ranks), F.col(f"b_{id}")], crowded(boxes, keys))
+    return boxes.join(gone.select(F.col("_late").alias(id)), id, "left_anti")
 
 
 def _least_labels(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,47 +46,67 @@ def _least_labels(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         label = new
 
 
-def _labelled(edges: DataFrame) -> DataFrame:
-    """id and label of the nodes of each row's edges (arrays i and j); Arrow, since a fold over edges would go over all labels at each."""
+def _labelled(edges: DataFrame, keys: Sequence[str], id: str) -> DataFrame:
+    """keys, id and _label, the smallest id of the component, of all nodes of the groups' edges (_i, _j).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in zip(batch.column(0), batch.column(1), strict=True):
-                nodes, label = _least_labels(i.values.to_numpy(), j.values.to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(label, pa.int64())], names=["id", "label"])
+    A task holds the labels of one group's nodes; edges pass by.
+    """
+    schema = edges.select(*keys, F.col("_i").cast("long").alias(id), F.col("_j").cast("long").alias("_label")).schema
 
-    return edges.select("i", "j").mapInArrow(run, "id long, label long")
+    def run(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        nodes = label = np.zeros(0, np.int64)
+        key = None
 
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v] * len(nodes), f.type) for v, f in zip(key, fields, strict=True)), pa.array(nodes), pa.array(label)], names=[*keys, id, "_label"])
 
-def components(boxes: DataFrame, keys: Sequence[str], id: str, threshold: float, centroid: str | None = None) -> DataFrame:
-    """``boxes`` with ``cluster``, the smallest id of its component in the group's overlap graph.
+        for batch, new in batches:
+            fields = [batch.schema.field(k) for k in keys]
+            i, j = (batch.column(c).cast(pa.int64()).to_numpy() for c in ("_i", "_j"))
+            cuts = np.concatenate([[0], np.flatnonzero(new), [batch.num_rows]])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if new[a]:
+                    if key is not None:
+                        yield done()
+                    nodes = label = np.zeros(0, np.int64)
+                    key = [batch.column(k)[int(a)].as_py() for k in keys]
+                nodes, label = _least_labels(np.concatenate([nodes, i[a:b]]), np.concatenate([label, j[a:b]]))
+        if key is not None:
+            yield done()
 
-    Edges come from a join, labels from a group's edges; the groups are images, so
-    neither grows with the table.
-    """
-    pairs = iou_join(boxes.select(*keys, id, *BOX), boxes.select(*keys, id, *BOX), keys, threshold, id, centroid)
-    edges = pairs.groupBy(*(f"a_{k}" for k in keys)).agg(F.collect_list(F.col(f"a_{id}").cast("long")).alias("i"), F.collect_list(F.col(f"b_{id}").cast("long")).alias("j"))
-    labels = _labelled(edges).select(F.col("id").alias(id), F.col("label").alias("_label"))
+    return by_group(edges, keys, [], run, schema)
+
+
+def _edges(boxes: DataFrame, keys: Sequence[str], id: str, threshold: float, centroid: str | None = None) -> DataFrame:
+    narrow = boxes.select(*keys, id, *BOX)
+    return iou_join(narrow, narrow, keys, threshold, id, centroid).select(*(F.col(f"a_{k}").alias(k) for k in keys), F.col(f"a_{id}").alias("_i"), F.col(f"b_{id}").alias("_j"), "iou")
+
+
+def components(boxes: DataFrame, keys: Sequence[str], id: str, threshold: float, centroid: str | None = None) -> DataFrame:
+    """``boxes`` with ``cluster``, the smallest id of its component in the group's overlap graph."""
+    labels = _labelled(_edges(boxes, keys, id, threshold, centroid), keys, id).select(id, "_label")
     return boxes.join(labels, id, "left").withColumn("cluster", F.coalesce("_label", id)).drop("_label")
 
 
 def component_sweep(boxes: DataFrame, keys: Sequence[str], id: str, thresholds: Sequence[float]) -> DataFrame:
     """t, id and cluster for every threshold: one join at the lowest, and its edges taken by each."""
     table = F.broadcast(boxes.sparkSession.createDataFrame([(float(t),) for t in thresholds], "t double"))
-    pairs = iou_join(boxes.select(*keys, id, *BOX), boxes.select(*keys, id, *BOX), keys, min(thresholds), id).crossJoin(table).where("iou >= t")
-    edges = pairs.groupBy("t", *(f"a_{k}" for k in keys)).agg(F.collect_list(F.col(f"a_{id}").cast("long")).alias("i"), F.collect_list(F.col(f"b_{id}").cast("long")).alias("j"))
+    edges = _edges(boxes, keys, id, min(thresholds)).crossJoin(table).where("iou >= t")
+    labels = _labelled(edges, ["t", *keys], id).select("t", id, "_label")
+    return boxes.select(id).crossJoin(table).join(labels, ["t", id], "left").select("t", id, F.coalesce("_label", id).alias("cluster"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, i, j in zip(*batch.columns, strict=True):
-                nodes, label = _least_labels(i.values.to_numpy(), j.values.to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), t.as_py())), pa.array(nodes, pa.int64()), pa.array(label, pa.int64())], names=["t", id, "_label"])
 
-    labels = edges.select("t", "i", "j").mapInArrow(run, f"t double, {id} long, _label long")
-    return boxes.select(id).crossJoin(table).join(labels, ["t", id], "left").select("t", id, F.coalesce("_label", id).alias("cluster"))
+def candidates_of(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float, also: Sequence[str] = ()) -> DataFrame:
+    """keys, det_id, gt_id, iou and _s (the score turned round; null: last) of all pairs of ``threshold`` or more, with columns ``also`` of the detections."""
+    pairs = iou_join(dets.select(*keys, *also, "det_id", "score", *BOX), gts.select(*keys, "gt_id", *BOX), keys, threshold)
+    return pairs.select(*(F.col(f"a_{k}").alias(k) for k in (*keys, *also)), F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"), "iou", F.coalesce(-F.col("a_score"), F.lit(float("inf"))).alias("_s"))
 
 
-_MATCH = "array<struct<det_id:bigint,gt_id:bigint,iou:double>>"
+def candidates(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """The pairs that a matching at ``threshold`` or above chooses from."""
+    return candidates_of(dets, gts, keys, threshold)
 
 
 def greedy_match(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float | None = None, thresholds: DataFrame | None = None) -> DataFrame:
@@ -123,19 +114,18 @@ def greedy_match(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold
 
     dets: keys, det_id, x, y, w, h, score; gts: keys, gt_id, x, y, w, h. Returns keys,
     det_id, gt_id, iou of the matches. With ``thresholds`` (column t) it is done for each
-    of them at once, and t is returned too.
+    of them at once, from one join at the lowest, and t is returned too. Ties go by id; a
+    null score comes last.
     """
-    g = gts.groupBy(*keys).agg(F.collect_list(F.struct("gt_id", *BOX)).alias("_gts"))
-    d = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), "det_id", *BOX))).alias("_dets"))
-    rows = d.join(g, list(keys))
-    limit = f"{float(threshold)}D" if thresholds is None else "t"
-    if thresholds is not None:
-        rows = rows.crossJoin(F.broadcast(thresholds.select("t")))
-    free = f"filter(_gts, q -> not exists(m, z -> z.gt_id = q.gt_id) and {iou_sql('d.', 'q.')} >= {limit})"
-    best = f"array_max(transform({free}, q -> named_struct('iou', {iou_sql('d.', 'q.')}, 'neg', -q.gt_id)))"
-    fold = f"aggregate(_dets, cast(array() as {_MATCH}), (m, d) -> transform(array({best}), b -> if(b is null, m, array_append(m, named_struct('det_id', d.det_id, 'gt_id', -b.neg, 'iou', b.iou))))[0])"
-    extra = [] if thresholds is None else ["t"]
-    return rows.select(*keys, *extra, F.expr(f"inline({fold})"))
+    extra = []
+    if thresholds is None:
+        pairs = candidates(dets, gts, keys, threshold)
+    else:
+        extra = ["t"]
+        least = thresholds.agg(F.min("t")).first()[0]
+        pairs = candidates(dets, gts, keys, least).crossJoin(F.broadcast(thresholds.select("t"))).where("iou >= t")
+    found = greedy_choice(pairs, [*keys, *extra], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowded(dets, keys))
+    return found.select(*keys, *extra, "det_id", "gt_id", "iou")
 
 
 def relabel(dets: DataFrame, matches: DataFrame, gts: DataFrame) -> DataFrame:
@@ -153,17 +143,6 @@ def two_phase_match(dets: DataFrame, gts: DataFrame, image: str, threshold: floa
     return first.unionByName(second)
 
 
-def overlapped(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float, differ: str | None = None) -> DataFrame:
-    """Rows of ``a`` that some row of ``b`` overlaps; ``differ``: a column in which the two must differ."""
-    right = _prefixed(b, "b_")
-    on = [F.col(k) == F.col(f"b_{k}") for k in keys]
-    if differ:
-        on.append(F.col(differ) != F.col(f"b_{differ}"))
-    plain = iou_sql("_a_", "b_")
-    left = a.withColumns({f"_a_{c}": F.col(c) for c in BOX})
-    return left.join(right, [*on, F.expr(f"{plain} >= {float(threshold)}D")], "left_semi").select(*a.columns)
-
-
 def membership(fused: DataFrame, raw: DataFrame, keys: Sequence[str], id: str, set_column: str, threshold: float) -> DataFrame:
     """id and ``n_sets``, in how many sets of raw detections the fused box has a match (0 too)."""
     pairs = iou_join(fused.select(*keys, id, *BOX), raw.select(*keys, set_column, *BOX), keys, threshold)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxquery.functions.geometry import area, size_bucket
-from boxquery.operators.matching import iou_join, overlapped
+from boxquery.operators.overlaps import iou_join, overlapped
 
 
 def class_counts(annotations: DataFrame, by: Sequence[str] = ("category_id",)) -> DataFrame:

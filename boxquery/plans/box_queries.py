@@ -189,7 +189,7 @@ def g12_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_dedup(views.detections(spark, sf_dir), ["image_id"], [-F.col("score")], "det_id", 0.5).select("det_id")
 
 
-def _fusion_sql(keys: str, threshold: float) -> str:
+def fusion_sql(keys: str, threshold: float) -> str:
     """CTE ``wb`` (keys, q: a fused box with k, x, y, w, h, sw, n): boxes by falling score join the best fused box, or open one."""
     on = lambda a, b: " AND ".join(f"{a}.{c.strip()} = {b}.{c.strip()}" for c in keys.split(","))
     mean = lambda c: f"'{c}': (q.{c} * q.sw + {c} * score) / (q.sw + score)"
@@ -201,7 +201,7 @@ r AS (SELECT {keys}, 0::BIGINT AS rn, []::STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h
 wb AS (SELECT {keys}, unnest(f) AS q FROM (SELECT {keys}, arg_max(f, rn) AS f FROM r GROUP BY {keys}))"""
 
 
-@query(_fusion_sql("image_id, category_id", 0.5) + " SELECT image_id, category_id, q.k::INT AS cluster, round(q.x, 6) AS x, round(q.y, 6) AS y, round(q.w, 6) AS w, round(q.h, 6) AS h, round(q.sw / q.n, 6) AS score, q.n AS n FROM wb")
+@query(fusion_sql("image_id, category_id", 0.5) + " SELECT image_id, category_id, q.k::INT AS cluster, round(q.x, 6) AS x, round(q.y, 6) AS y, round(q.w, 6) AS w, round(q.h, 6) AS h, round(q.sw / q.n, 6) AS score, q.n AS n FROM wb")
 def g13_weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ensemble.wbf(views.detections(spark, sf_dir), KEYS, "det_id", 0.5)
     return rounded(got.drop("ids"), "x", "y", "w", "h", "score")
@@ -211,22 +211,22 @@ _HELD = "(d.x + d.w / 2 BETWEEN q.x AND q.x + q.w AND d.y + d.h / 2 BETWEEN q.y
 
 
 @query(
-    _fusion_sql("image_id, category_id", 0.5)
+    fusion_sql("image_id, category_id", 0.5)
     + f", fb AS (SELECT image_id, category_id, q.k AS k, q.x AS x, q.y AS y, q.w AS w, q.h AS h FROM wb), pr AS (SELECT d.det_id, q.k, {iou_sql('d', 'q')} + CASE WHEN {_HELD} THEN 0.001::DOUBLE ELSE 0 END AS p FROM det d JOIN fb q ON q.image_id = d.image_id AND q.category_id = d.category_id)"
     + " SELECT det.det_id, b.k::INT AS cluster FROM det LEFT JOIN (SELECT det_id, arg_max(k, (round(p, 9), -k)) AS k FROM pr WHERE p > 0 GROUP BY 1) b USING (det_id)"
 )
-def g02_fused_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g02_fusedmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fused box each original box belongs to."""
     d = views.detections(spark, sf_dir)
     return ensemble.assign_fused(d, ensemble.wbf(d, KEYS, "det_id", 0.5), KEYS, "det_id", centroid=True)
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = matching.components(views.detections(spark, sf_dir), ["image_id"], "det_id", 0.4)
     return d.withColumns({"class_name": F.concat(F.lit("c"), F.col("category_id")), "prompt_set": F.concat(F.lit("s"), F.col("prompt_set"))})
 
 
-def _classes(spark: SparkSession) -> DataFrame:
+def classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"c{k}",) for k in range(1, 6)], "class_name string")
 
 
@@ -237,18 +237,23 @@ _POINTS = {
 }
 
 
-def _ensemble_sql(mode: str) -> str:
+def ensemble_winners_sql(mode: str) -> str:
+    """CTEs ``mem`` (members of clusters) and ``win`` (cluster, winner, entropy)."""
     return f"""{_MEMBERS}, {_POINTS[mode]},
 allp AS (SELECT c.cluster, n.class_name, coalesce(points, 0) AS pt FROM (SELECT DISTINCT cluster FROM pts) c CROSS JOIN names n LEFT JOIN pts ON pts.cluster = c.cluster AND pts.class_name = n.class_name),
 pr AS (SELECT *, pt / sum(pt) OVER (PARTITION BY cluster) AS p FROM allp),
-win AS (SELECT cluster, arg_min(class_name, (-round(p, 9), class_name)) AS winner, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS entropy FROM pr GROUP BY cluster)
+win AS (SELECT cluster, arg_min(class_name, (-round(p, 9), class_name)) AS winner, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS entropy FROM pr GROUP BY cluster)"""
+
+
+def _ensemble_sql(mode: str) -> str:
+    return ensemble_winners_sql(mode) + """
 SELECT m.cluster, winner, round(entropy, 6) AS entropy, round(sum(x * score) / sum(score), 4) AS x, round(sum(w * score) / sum(score), 4) AS w, round(stddev_pop(x), 4) AS x_std, round(avg(score), 9) AS score, count(*) AS n_cluster,
  (SELECT count(*) FROM mem t WHERE t.cluster = m.cluster) AS n_cluster_total, string_agg(DISTINCT ps, ',' ORDER BY ps) AS sets
 FROM mem m JOIN win USING (cluster) WHERE m.class_name = winner GROUP BY m.cluster, winner, entropy"""
 
 
 def _fused(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    return ensemble.ensemble(_members(spark, sf_dir), _classes(spark), mode)
+    return ensemble.ensemble(members(spark, sf_dir), classes(spark), mode)
 
 
 def _fused_columns(got: DataFrame) -> DataFrame:
@@ -270,8 +275,8 @@ def g04_g06_ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 allp AS (SELECT c.cluster, n.class_name, exp(coalesce(points, 0)) AS e FROM (SELECT DISTINCT cluster FROM sc) c CROSS JOIN names n LEFT JOIN sc ON sc.cluster = c.cluster AND sc.class_name = n.class_name)
 SELECT cluster, class_name, round(e / sum(e) OVER (PARTITION BY cluster), 6) AS p FROM allp""")
 def g05_score_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = ensemble.class_scores(_members(spark, sf_dir), "score")
-    dist = ensemble.class_distribution(points, _classes(spark), "score")
+    points = ensemble.class_scores(members(spark, sf_dir), "score")
+    dist = ensemble.class_distribution(points, classes(spark), "score")
     return rounded(dist.select("cluster", F.explode("class_dist").alias("class_name", "p")), "p")
 
 

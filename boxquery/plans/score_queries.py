@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquery.functions import params
-from boxquery.operators import calibrate, dataset, evaluate, matching, policy
-from boxquery.plans import views
+from boxquery.operators import calibrate, dataset, ensemble, evaluate, matching, policy
+from boxquery.plans import box_queries, views
 from boxquery.plans.box_queries import KEYS, match_sql
 from boxquery.plans.registry import query, rounded
 from boxquery.plans.views import iou_sql
@@ -15,15 +15,16 @@ from boxquery.plans.views import iou_sql
 T10 = "[0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]"
 
 
-def ap_sql(rows: str, truths: str, by: str) -> str:
-    """CTE ``ap`` (by, ap, recall) from rows (by, score, det_id, tp) and truths (by, npos)."""
+def ap_sql(rows: str, truths: str, by: str, name: str = "ap") -> str:
+    """CTE ``name`` (by, ap, recall) from rows (by, score, det_id, tp) and truths (by, npos)."""
+    cv, rp, gr, pt = (f"{name}_{x}" for x in ("cv", "rp", "gr", "pt"))
     on = lambda a, b: " AND ".join(f"{a}.{c.strip()} = {b}.{c.strip()}" for c in by.split(","))
     cols = lambda a: ", ".join(f"{a}.{c.strip()}" for c in by.split(","))
-    return f""", cv AS (SELECT {by}, sum(tp::INT) OVER w AS ctp, count(*) OVER w AS rn FROM {rows} WHERE tp IS NOT NULL WINDOW w AS (PARTITION BY {by} ORDER BY score DESC, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-rp AS (SELECT {cols('cv')}, ctp / npos AS rec, ctp / rn AS prec FROM cv JOIN {truths} g ON {on('cv', 'g')}),
-gr AS (SELECT {cols('g')}, r / 100.0::DOUBLE AS r FROM {truths} g, (SELECT unnest(range(0, 101)) AS r) WHERE npos > 0),
-pt AS (SELECT {cols('gr')}, gr.r, coalesce(max(prec) FILTER (WHERE rec >= gr.r), 0) AS p, coalesce(max(rec), 0) AS mr FROM gr LEFT JOIN rp ON {on('rp', 'gr')} GROUP BY {cols('gr')}, gr.r),
-ap AS (SELECT {by}, avg(p) AS ap, max(mr) AS recall FROM pt GROUP BY {by})"""
+    return f""", {cv} AS (SELECT {by}, sum(tp::INT) OVER w AS ctp, count(*) OVER w AS rn FROM {rows} WHERE tp IS NOT NULL WINDOW w AS (PARTITION BY {by} ORDER BY score DESC, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{rp} AS (SELECT {cols(cv)}, ctp / npos AS rec, ctp / rn AS prec FROM {cv} JOIN {truths} g ON {on(cv, 'g')}),
+{gr} AS (SELECT {cols('g')}, r / 100.0::DOUBLE AS r FROM {truths} g, (SELECT unnest(range(0, 101)) AS r) WHERE npos > 0),
+{pt} AS (SELECT {cols(gr)}, {gr}.r, coalesce(max(prec) FILTER (WHERE rec >= {gr}.r), 0) AS p, coalesce(max(rec), 0) AS mr FROM {gr} LEFT JOIN {rp} ON {on(rp, gr)} GROUP BY {cols(gr)}, {gr}.r),
+{name} AS (SELECT {by}, avg(p) AS ap, max(mr) AS recall FROM {pt} GROUP BY {by})"""
 
 
 _AP10 = (
@@ -101,16 +102,23 @@ def _out(p: str) -> str:
     return f"({p}.w * {p}.h < d.lo OR {p}.w * {p}.h > d.hi)"
 
 
-_SIZED = f""", rg AS (SELECT * FROM (VALUES {_RANGE_ROWS}) v(area, lo, hi)),
-sd AS (SELECT d.*, area, lo, hi, row_number() OVER (PARTITION BY image_id, category_id, area ORDER BY score DESC, det_id) AS rn FROM det d, rg),
+def _sized_sql(thresholds: str, most: int = 1_000_000) -> str:
+    """CTEs ``rows`` (category_id, area, t, det_id, score, tp, place) and ``tr`` (npos): matches that ignore truth boxes out of an area range."""
+    return f""", rg AS (SELECT * FROM (VALUES {_RANGE_ROWS}) v(area, lo, hi)), tt AS (SELECT unnest({thresholds})::DOUBLE AS t),
+sk AS (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_id) AS rn FROM det),
+sd AS (SELECT d.*, area, lo, hi, t FROM sk d, rg, tt WHERE rn <= {most}),
 sr AS (
-  SELECT image_id, category_id, area, 0::BIGINT AS rn, []::BIGINT[] AS used, NULL::BIGINT AS det_id, NULL::DOUBLE AS score, NULL::BOOLEAN AS tp FROM (SELECT DISTINCT image_id, category_id, area FROM sd)
+  SELECT image_id, category_id, area, t, 0::BIGINT AS rn, []::BIGINT[] AS used, NULL::BIGINT AS det_id, NULL::DOUBLE AS score, NULL::BOOLEAN AS tp FROM (SELECT DISTINCT image_id, category_id, area, t FROM sd)
   UNION ALL
-  SELECT d.image_id, d.category_id, d.area, d.rn, CASE WHEN g.gt_id IS NULL THEN r.used ELSE list_append(r.used, g.gt_id) END, d.det_id, d.score, CASE WHEN g.gt_id IS NULL THEN CASE WHEN {_out('d')} THEN NULL ELSE false END WHEN g.inside = 0 THEN NULL ELSE true END
-  FROM sr r JOIN sd d ON d.image_id = r.image_id AND d.category_id = r.category_id AND d.area = r.area AND d.rn = r.rn + 1
-  LEFT JOIN LATERAL (SELECT q.gt_id, CASE WHEN {_out('q')} THEN 0 ELSE 1 END AS inside, {iou_sql('d', 'q')} AS iou FROM gt q WHERE q.image_id = d.image_id AND q.category_id = d.category_id AND NOT list_contains(r.used, q.gt_id) AND {iou_sql('d', 'q')} >= 0.5 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1) g ON true),
-rows AS (SELECT category_id, area, det_id, score, tp FROM sr WHERE det_id IS NOT NULL),
-tr AS (SELECT category_id, area, count(*) AS npos FROM gt, rg WHERE w * h >= lo AND w * h <= hi GROUP BY ALL)""" + ap_sql("rows", "tr", "category_id, area")
+  SELECT d.image_id, d.category_id, d.area, d.t, d.rn, CASE WHEN g.gt_id IS NULL THEN r.used ELSE list_append(r.used, g.gt_id) END, d.det_id, d.score, CASE WHEN g.gt_id IS NULL THEN CASE WHEN {_out('d')} THEN NULL ELSE false END WHEN g.inside = 0 THEN NULL ELSE true END
+  FROM sr r JOIN sd d ON d.image_id = r.image_id AND d.category_id = r.category_id AND d.area = r.area AND d.t = r.t AND d.rn = r.rn + 1
+  LEFT JOIN LATERAL (SELECT q.gt_id, CASE WHEN {_out('q')} THEN 0 ELSE 1 END AS inside, {iou_sql('d', 'q')} AS iou FROM gt q WHERE q.image_id = d.image_id AND q.category_id = d.category_id AND NOT list_contains(r.used, q.gt_id) AND {iou_sql('d', 'q')} >= d.t ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1) g ON true),
+rows AS (SELECT category_id, area, t, det_id, score, tp, rn AS place FROM sr WHERE det_id IS NOT NULL),
+tr AS (SELECT category_id, area, t, count(*) AS npos FROM gt, rg, tt WHERE w * h >= lo AND w * h <= hi GROUP BY ALL)"""
+
+
+_SIZED = _sized_sql("[0.5]") + ap_sql("rows", "tr", "category_id, area, t")
+_CAPS = (1, 5, 100)
 
 
 @query(_SIZED + " SELECT category_id, area, round(ap, 6) AS ap, round(recall, 6) AS recall FROM ap")
@@ -125,6 +133,33 @@ def e01_summary_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.groupBy("area").agg(F.avg("ap").alias("ap"), F.avg("recall").alias("ar")), "ap", "ar")
 
 
+@query(
+    _sized_sql(T10, _CAPS[-1])
+    + ap_sql("rows", "tr", "category_id, area, t")
+    + f""", wi AS (SELECT tr.category_id, tr.t, {', '.join(f"count(*) FILTER (WHERE tp AND place <= {c}) / any_value(npos) AS r{c}" for c in _CAPS[:-1])} FROM tr LEFT JOIN rows ON rows.category_id = tr.category_id AND rows.t = tr.t AND rows.area = 'all' WHERE tr.area = 'all' GROUP BY ALL)
+SELECT round(avg(ap) FILTER (WHERE area = 'all'), 6) AS ap, round(avg(ap) FILTER (WHERE area = 'all' AND t = 0.5), 6) AS ap50, round(avg(ap) FILTER (WHERE area = 'all' AND t = 0.75), 6) AS ap75,
+ {', '.join(f"round(coalesce(avg(ap) FILTER (WHERE area = '{k}'), -1), 6) AS ap_{k}, round(coalesce(avg(recall) FILTER (WHERE area = '{k}'), -1), 6) AS ar_{k}" for k in ('small', 'medium', 'large'))},
+ {', '.join(f"(SELECT round(avg(r{c}), 6) FROM wi) AS ar_{c}" for c in _CAPS[:-1])}, round(avg(recall) FILTER (WHERE area = 'all'), 6) AS ar_{_CAPS[-1]} FROM ap"""
+)
+def e01_coco_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve metrics in one row."""
+    got = evaluate.coco_metrics(views.detections(spark, sf_dir), views.truths(spark, sf_dir), _CAPS, ranges=_RANGES)
+    return rounded(got, *got.columns)
+
+
+@query(
+    match_sql("det", "gt", KEYS, "d.t", thresholds=T10)
+    + f""", cl AS (SELECT unnest(range(1, 8))::INT AS category_id), pc AS (SELECT category_id, t, (SELECT count(*) FROM m WHERE m.category_id = cl.category_id AND m.t = tt.t) AS tp, (SELECT count(*) FROM det WHERE det.category_id = cl.category_id) AS n_det, (SELECT count(*) FROM gt WHERE gt.category_id = cl.category_id) AS n_gt FROM cl, (SELECT unnest({T10})::DOUBLE AS t) tt),
+pr AS (SELECT category_id, t, coalesce(tp / nullif(n_det, 0), 0) AS p, coalesce(tp / nullif(n_gt, 0), 0) AS r FROM pc)
+SELECT category_id, round(avg(p) FILTER (WHERE t = 0.5), 6) AS p50, round(avg(p) FILTER (WHERE t = 0.75), 6) AS p75, round(avg(p), 6) AS p50_95, round(avg(r) FILTER (WHERE t = 0.5), 6) AS r50, round(avg(r) FILTER (WHERE t = 0.75), 6) AS r75, round(avg(r), 6) AS r50_95 FROM pr GROUP BY ROLLUP (category_id)"""
+)
+def e04_precision_recall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall at 0.5, at 0.75 and over ten thresholds, by class (two of them without any box) and as means over the classes."""
+    classes = spark.range(1, 8).select(F.col("id").cast("int").alias("category_id"))
+    got = evaluate.precision_recall_summary(views.detections(spark, sf_dir), views.truths(spark, sf_dir), classes)
+    return rounded(got, *got.columns[1:])
+
+
 @query(
     ", pd AS (SELECT a.s AS set_i, det.* EXCLUDE (prompt_set), det.prompt_set AS set_j FROM det, (SELECT DISTINCT prompt_set AS s FROM det) a), pg AS (SELECT det.prompt_set AS set_i, b.s AS set_j, image_id, category_id, det_id AS gt_id, x, y, w, h FROM det, (SELECT DISTINCT prompt_set AS s FROM det) b)"
     + match_sql("pd", "pg", ["set_i", "set_j", *KEYS], "0.3")
@@ -274,6 +309,39 @@ def e21_f06_min_area_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ap.groupBy("least").agg(F.avg("ap").alias("ap50")), "ap50")
 
 
+_FLOORS = params.grid(0.05, 1.0, 0.05)
+_SWEPT_METRICS = (
+    f", th AS (SELECT unnest({_FLOORS})::DOUBLE AS t), sd AS (SELECT t AS st, det.* FROM det, th WHERE score >= t), sg AS (SELECT t AS st, gt.* FROM gt, th)"
+    + match_sql("sd", "sg", ["st", *KEYS], "0.5")
+    + """, oc AS (SELECT sd.st, sd.category_id, sd.det_id, score, m.iou, m.det_id IS NOT NULL AS tp FROM sd LEFT JOIN m ON m.det_id = sd.det_id AND m.st = sd.st), tr AS (SELECT st, category_id, count(*) AS npos FROM sg GROUP BY ALL)"""
+    + ap_sql("oc", "tr", "st, category_id")
+    + f""", bn AS (SELECT st, CASE WHEN score BETWEEN 0 AND 1 THEN least(floor(score * 15)::INT, 14) END AS bin, count(*) AS n, avg(score) AS conf, avg(tp::INT) AS acc, avg(coalesce(iou, 0)) AS loc FROM oc GROUP BY ALL),
+ec AS (SELECT st, sum(n) AS n, sum(CASE WHEN bin IS NOT NULL THEN n * abs(conf - acc) END) / sum(n) AS d_ece, sum(CASE WHEN bin IS NOT NULL THEN n * abs(conf - loc) END) / sum(n) AS la_ece0 FROM bn GROUP BY 1),
+lr AS (SELECT st, count(*) FILTER (WHERE tp) AS tp, count(*) AS n, coalesce(sum((1 - iou) / 0.5), 0) AS loss FROM oc GROUP BY 1),
+ob AS (SELECT g.st, g.gt_id, avg(score) AS c FROM sg g LEFT JOIN sd d ON d.st = g.st AND d.image_id = g.image_id AND d.category_id = g.category_id AND {iou_sql('g', 'd')} >= 0.5 GROUP BY ALL),
+oe AS (SELECT st, avg(coalesce((c - 1) * (c - 1), 1)) AS oce, count(*) AS n_gt FROM ob GROUP BY 1),
+mt AS (SELECT th.t, coalesce(ec.n, 0)::BIGINT AS n, CASE WHEN ec.n > 0 THEN (SELECT avg(ap) FROM ap WHERE ap.st = th.t) ELSE 0 END AS ap50, CASE WHEN ec.n > 0 THEN (loss + lr.n - tp + n_gt - tp) / (lr.n + n_gt - tp) ELSE 1 END AS lrp,
+ CASE WHEN ec.n > 0 THEN oce ELSE 1 END AS oce, coalesce(d_ece, 1) AS d_ece, coalesce(la_ece0, 1) AS la_ece0 FROM th LEFT JOIN ec ON ec.st = th.t LEFT JOIN lr ON lr.st = th.t LEFT JOIN oe ON oe.st = th.t)"""
+)
+_METRICS = list(calibrate.NULL_METRICS)
+
+
+def _metric_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.metric_sweep(views.detections(spark, sf_dir), views.truths(spark, sf_dir), _FLOORS)
+
+
+@query(_SWEPT_METRICS + " SELECT t, n, " + ", ".join(f"round({m}, 6) AS {m}" for m in _METRICS) + " FROM mt")
+def e15_metric_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP50, localisation recall precision and three calibration errors at every floor on the score; the SQL matches anew at each."""
+    return rounded(_metric_sweep(spark, sf_dir), *_METRICS)
+
+
+@query(_SWEPT_METRICS + f", lg AS (SELECT t, unnest({_METRICS}) AS metric, unnest([{', '.join(f'round({m}, 6)' for m in _METRICS)}]) AS value FROM mt) SELECT metric, CASE WHEN metric = 'ap50' THEN arg_max(t, (value, -t)) ELSE arg_min(t, (value, t)) END AS best_t, CASE WHEN metric = 'ap50' THEN max(value) ELSE min(value) END AS value FROM lg GROUP BY metric")
+def e16_best_of_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best floor of each metric, most AP50 and least of the others; of equal ones the lowest."""
+    return calibrate.best_per_metric(rounded(_metric_sweep(spark, sf_dir), *_METRICS), "t", _METRICS)
+
+
 @query(_SWEEP + ", a AS (SELECT category_id, precision AS a FROM sm WHERE t = 0.3), b AS (SELECT category_id, precision AS b FROM sm WHERE t = 0.7) SELECT category_id, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta FROM a FULL JOIN b USING (category_id)")
 def e23_e24_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sweep(spark, sf_dir)
@@ -315,7 +383,7 @@ _SWEPT = (
     + ", rl AS (SELECT rd.* REPLACE (coalesce(gt.category_id, rd.category_id) AS category_id) FROM rd LEFT JOIN mr ON mr.det_id = rd.det_id AND mr.run = rd.run LEFT JOIN gt ON gt.gt_id = mr.gt_id)"
     + match_sql("rl", "rg", ["run", *KEYS], "0.5", "mb")
     + ", rb AS (SELECT rl.run, rl.category_id, rl.det_id, score, m.det_id IS NOT NULL AS tp FROM rl LEFT JOIN mb m ON m.det_id = rl.det_id AND m.run = rl.run)"
-    + ap_sql("rb", "ta", "run, category_id").replace("cv AS", "cv2 AS").replace("FROM cv ", "FROM cv2 ").replace("cv.", "cv2.").replace("rp AS", "rp2 AS").replace("JOIN rp ON rp.", "JOIN rp2 ON rp2.").replace("rp.", "rp2.").replace("gr AS", "gr2 AS").replace("FROM gr ", "FROM gr2 ").replace("gr.", "gr2.").replace("pt AS", "pt2 AS").replace("FROM pt ", "FROM pt2 ").replace(" ap AS", " ap2 AS").replace("\nap AS", "\nap2 AS")
+    + ap_sql("rb", "ta", "run, category_id", "ap2")
     + ", ag AS (SELECT run, avg(ap) AS agnostic FROM ap2 GROUP BY 1)"
 )
 
@@ -356,3 +424,44 @@ def e21_per_prompt_ap50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AP50 of each prompt set alone, one plan for all."""
     sets = F.broadcast(spark.range(5).select(F.col("id").alias("prompt_set")))
     return rounded(_ap50_by(spark, views.detections(spark, sf_dir), views.truths(spark, sf_dir).crossJoin(sets), "prompt_set"), "ap50")
+
+
+def _nms_sql(source: str, name: str, threshold: float) -> str:
+    """CTE ``name``: rows of ``source`` that no better kept row of their image overlaps."""
+    return f""", {name}_o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rn FROM {source}),
+{name}_r AS (SELECT image_id, 0::BIGINT AS rn, []::STRUCT(det_id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] AS kept FROM (SELECT DISTINCT image_id FROM {name}_o)
+ UNION ALL SELECT o.image_id, o.rn, CASE WHEN len(list_filter(r.kept, lambda k: {iou_sql('k', 'o')} >= {threshold})) > 0 THEN r.kept ELSE list_append(r.kept, {{'det_id': o.det_id, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}}) END
+ FROM {name}_r r JOIN {name}_o o ON o.image_id = r.image_id AND o.rn = r.rn + 1),
+{name}_k AS (SELECT unnest(list_transform(arg_max(kept, rn), lambda k: k.det_id)) AS det_id FROM {name}_r GROUP BY image_id), {name} AS (SELECT s.* FROM {source} s JOIN {name}_k USING (det_id))"""
+
+
+_MEAN = ", ".join(f"sum({c} * score) / sum(score) AS {c}" for c in "xywh")
+_COMPARED = (
+    box_queries.ensemble_winners_sql("borda")
+    + f", cf AS (SELECT m.cluster AS det_id, any_value(image_id) AS image_id, winner[2:]::INT AS category_id, {_MEAN}, avg(score) AS score FROM mem m JOIN win USING (cluster) WHERE m.class_name = winner GROUP BY m.cluster, winner)"
+    + box_queries.fusion_sql("image_id, category_id", 0.5)
+    + ", wf AS (SELECT (image_id * 10 + category_id) * 100000 + q.k AS det_id, image_id, category_id, q.x AS x, q.y AS y, q.w AS w, q.h AS h, q.sw / q.n AS score FROM wb)"
+    + f", qs AS (SELECT a.* FROM det a WHERE EXISTS (SELECT 1 FROM det b WHERE b.image_id = a.image_id AND b.prompt_set <> a.prompt_set AND {iou_sql('a', 'b')} >= 0.5))"
+    + _nms_sql("qs", "qf", 0.5)
+    + ", al AS (SELECT 'clustering' AS method, det_id, image_id, category_id, x, y, w, h, score FROM cf UNION ALL SELECT 'wbf', det_id, image_id, category_id, x, y, w, h, score FROM wf UNION ALL SELECT 'quorum', det_id, image_id, category_id, x, y, w, h, score FROM qf)"
+    + ", mg AS (SELECT unnest(['clustering', 'wbf', 'quorum']) AS method, gt.* FROM gt)"
+    + match_sql("al", "mg", ["method", "image_id"], "0.1", "nm")
+    + ", bo AS (SELECT 'aware' AS mode, al.* FROM al UNION ALL SELECT 'agnostic', al.* REPLACE (coalesce(gt.category_id, al.category_id) AS category_id) FROM al LEFT JOIN nm ON nm.method = al.method AND nm.det_id = al.det_id LEFT JOIN gt ON gt.gt_id = nm.gt_id), bg AS (SELECT unnest(['aware', 'agnostic']) AS mode, mg.* FROM mg)"
+    + match_sql("bo", "bg", ["mode", "method", *KEYS], "d.t", "fm", T10)
+    + f", rows AS (SELECT bo.mode, bo.method, bo.category_id, tt.t, bo.det_id, score, f.det_id IS NOT NULL AS tp FROM bo CROSS JOIN (SELECT unnest({T10})::DOUBLE AS t) tt LEFT JOIN fm f ON f.mode = bo.mode AND f.method = bo.method AND f.det_id = bo.det_id AND f.t = tt.t), tr AS (SELECT mode, method, category_id, t, count(*) AS npos FROM bg, (SELECT unnest({T10})::DOUBLE AS t) GROUP BY ALL)"
+    + ap_sql("rows", "tr", "mode, method, category_id, t")
+)
+
+
+@query(_COMPARED + " SELECT method, (SELECT count(*) FROM al WHERE al.method = ap.method) AS n_dets, " + ", ".join(f"round(avg(ap) FILTER (WHERE t = 0.5 AND mode = '{m}'), 5) AS ap50_{m}, round(avg(recall) FILTER (WHERE mode = '{m}'), 5) AS ar_{m}" for m in ("aware", "agnostic")) + " FROM ap GROUP BY method")
+def e21_method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union-find clusters, weighted fusion and quorum with suppression, evaluated in one plan."""
+    d, g = views.detections(spark, sf_dir), views.truths(spark, sf_dir)
+    members = box_queries.members(spark, sf_dir)
+    image = members.groupBy("cluster").agg(F.first("image_id").alias("image_id"))
+    clusters = ensemble.ensemble(members, box_queries.classes(spark), "borda").join(image, "cluster").withColumns({"det_id": F.col("cluster"), "category_id": F.substring("winner", 2, 9).cast("int")})
+    fused = ensemble.wbf(d, KEYS, "det_id", 0.5).withColumn("det_id", (F.col("image_id") * 10 + F.col("category_id")) * 100_000 + F.col("cluster"))
+    supported = matching.overlapped(d, d, ["image_id"], 0.5, "prompt_set")
+    quorum = matching.greedy_dedup(supported, ["image_id"], [-F.col("score")], "det_id", 0.5)
+    got = evaluate.method_comparison({"clustering": clusters, "wbf": fused, "quorum": quorum}, g)
+    return rounded(got, *got.columns[2:], places=5)

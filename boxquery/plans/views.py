@@ -11,14 +11,14 @@ SELECT event_id AS det_id, user_id AS image_id, {CLASS_SQL} AS category_id, even
   cast((event_id * 37) % 97 AS double) AS x, cast((event_id * 53) % 89 AS double) AS y,
   cast(20 + (event_id * 11) % 23 AS double) AS w, cast(20 + (event_id * 7) % 19 AS double) AS h,
   value / cast(500 AS double) AS score, cast(event_id % 3 AS int) AS src
-FROM events WHERE event_id % 3 <> 0
+FROM events
 """
 
 GT_SQL = f"""
 SELECT event_id AS gt_id, user_id AS image_id, {CLASS_SQL} AS category_id,
   cast((event_id * 37) % 97 + event_id % 5 AS double) AS x, cast((event_id * 53) % 89 + event_id % 4 AS double) AS y,
   cast(22 + (event_id * 11) % 23 AS double) AS w, cast(22 + (event_id * 7) % 19 AS double) AS h
-FROM events WHERE event_id % 2 = 0
+FROM events
 """
 
 IMAGE_SQL = "SELECT DISTINCT user_id AS id, 120 AS width, 110 AS height FROM events"

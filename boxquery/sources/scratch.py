@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ONLY: dict[str, str] = {}
 
@@ -31,6 +31,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def parked(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: what comes after it doesn't run it again, nor does the loss of an executor."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> str:
     """A small file of this content, in whatever store."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
