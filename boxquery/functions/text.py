@@ -29,7 +29,13 @@ def _folds() -> tuple[str, str, dict[str, str], str]:
             gone.append(char)
         elif kept.strip():
             (one if len(kept) == 1 else many)[char] = kept
-    return "".join(one) + "".join(gone), "".join(one.values()), many, "[" + "".join(many) + "]"
+    runs: list[list[int]] = []
+    for code in map(ord, many):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(one) + "".join(gone), "".join(one.values()), many, "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
 
 
 def fold(text: Column) -> Column:
@@ -37,7 +43,7 @@ def fold(text: Column) -> Column:
     plain, to, many, pattern = _folds()
     table = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in many.items())), F.lit("\u0001"), F.lit("\u0002"))
     parts = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    wide = F.when(text.rlike(pattern), parts).otherwise(text)
+    wide = F.when(F.regexp_replace(text, r"[\x00-\x7F]+", "").rlike(pattern), parts).otherwise(text)
     return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(wide, plain, to)))
 
 
@@ -52,9 +58,14 @@ def normalize_label(label: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
+def words_of(norm: Column) -> Column:
+    """Distinct tokens of what is normalised already."""
+    return F.array_distinct(F.filter(F.split(norm, " "), lambda t: t != ""))
+
+
 def tokens(label: Column) -> Column:
     """Distinct tokens of the normalised label."""
-    return F.array_distinct(F.filter(F.split(normalize_label(label), " "), lambda t: t != ""))
+    return words_of(normalize_label(label))
 
 
 def letter_tokens(label: Column) -> Column:

@@ -6,23 +6,24 @@ fusion), clusters get a class by one of four votes, and the winning members give
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxquery.functions.geometry import centroid_in_sql, iou_sql
-from boxquery.functions.text import letter_tokens, normalize_label, tokens
+from boxquery.functions.text import letter_tokens, normalize_label, tokens, words_of
+from boxquery.sources.scratch import parked
 
+#: Bytes that are sent to every task at most.
+SMALL_BYTES = 16 << 20
 
-#: Rows that are sent to every task at most.
-SMALL_ROWS = 1_000_000
 
-
-def _small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if its rows are few; else joined as Spark sees fit."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+def _hint(sets: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts what is made of these token sets, a row a set or a token, if their tokens are few bytes; else leaves the join to Spark."""
+    size = sets.agg(F.sum(F.octet_length(F.array_join("set_toks", "")) + F.col("m") * 64 + 64)).first()[0] or 0
+    return F.broadcast if size <= SMALL_BYTES else lambda df: df
 
 
 def _key(label: str) -> dict[str, Column]:
@@ -30,36 +31,91 @@ def _key(label: str) -> dict[str, Column]:
     return {"k1": F.xxhash64(label), "k2": F.xxhash64(F.lit(1), F.col(label))}
 
 
+def _least_shared(size: str, share: float) -> Column:
+    """The smallest whole number that is ``share`` of the size, a rounding error aside."""
+    return F.greatest(F.lit(1), F.ceil(F.col(size) * share - 1e-9))
+
+
+#: Of the tokens that must be shared, the part that is asked for among the rarest ones.
+HITS = 0.25
+
+
+def _hits(size: str, share: float) -> Column:
+    return F.ceil(_least_shared(size, share) * HITS)
+
+
+def _prefix(tokens_of: DataFrame, key: Sequence[str], counts: DataFrame, size: str, share: float) -> DataFrame:
+    """Of each set so many of its rarest tokens that a set sharing ``share`` of it must hold ``_need`` of them.
+
+    tokens_of: key, size, tok; counts: tok, n. A set of m that shares k tokens leaves
+    m - k unshared, so of any m - k + h at least h are shared; the rarest meet the fewest others.
+    """
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.coalesce("_n", F.lit(0)), "tok"))
+    ranked = tokens_of.join(counts.withColumnRenamed("n", "_n"), "tok", "left").withColumns({"_r": rank, "_need": _hits(size, share)})
+    return ranked.where(F.col("_r") <= F.col(size) - _least_shared(size, share) + F.col("_need")).drop("_n", "_r")
+
+
+def _counted(tokens_of: DataFrame) -> DataFrame:
+    return tokens_of.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sharing(texts: DataFrame, sets: DataFrame, share: float, both_ways: bool, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """k1, k2, a: the pairs that may share ``share`` of the set (with ``both_ways``: of the smaller of the two).
+
+    texts: k1, k2, n, toks; sets: a, m, set_toks. Pairs are met by rare tokens of the smaller side
+    alone; a token that is in most texts makes none unless a set has nothing rarer.
+    """
+    of_texts = texts.select("k1", "k2", "n", F.explode("toks").alias("tok"))
+    of_sets = sets.select("a", "m", F.explode("set_toks").alias("tok"))
+    known = hint(of_sets.select("tok").distinct())
+    rare = hint(_prefix(of_sets, ["a"], _counted(of_texts.join(known, "tok", "left_semi")), "m", share))
+    met = of_texts.join(rare, "tok")
+    enough = lambda rows: rows.groupBy("k1", "k2", "a", "_need").agg(F.count(F.lit(1)).alias("_c")).where("_c >= _need").select("k1", "k2", "a")
+    if not both_ways:
+        return enough(met)
+    longest = sets.agg(F.max("m")).first()[0] or 0
+    short = _prefix(of_texts.where(F.col("n") < longest), ["k1", "k2"], _counted(of_sets), "n", share)
+    turned = short.join(hint(of_sets), "tok").where("n < m")
+    return enough(met.where("m <= n")).unionByName(enough(turned))
+
+
 def resolve_labels(labels: DataFrame, aliases: DataFrame, least: float = 0.45) -> DataFrame:
     """label and class_name: the alias of the same normalised text, else the most alike one of ``least`` or more.
 
     aliases: alias, class_name, pos; of equally alike ones the smallest pos wins. Labels
-    are resolved once each, whatever their rows; fuzzy candidates share a token, so the
-    join is on tokens and not a product.
+    are resolved once each, whatever their rows. Alike are sets of tokens by the larger of Jaccard and 0.95 of the share
+    of the smaller set; either asks for a share of the smaller set, so candidates meet by its rarest tokens.
     """
-    wanted = labels.select("label").distinct().withColumns({"norm": normalize_label(F.col("label")), "toks": tokens(F.col("label")), **_key("label")})
-    known = aliases.select("class_name", "pos", normalize_label(F.col("alias")).alias("norm"), tokens(F.col("alias")).alias("alias_toks"))
-    exact = wanted.join(known.groupBy("norm").agg(F.min_by("class_name", "pos").alias("exact")), "norm", "left")
-    left = exact.where(F.col("exact").isNull()).select("k1", "k2", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
-    right = known.select("class_name", "pos", F.size("alias_toks").alias("m"), F.explode("alias_toks").alias("tok"))
-    pairs = left.join(_small(right), "tok").groupBy("k1", "k2", "n", "class_name", "pos", "m").agg(F.count(F.lit(1)).cast("double").alias("shared"))
-    jaccard, contained = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), F.col("shared") / F.least("n", "m")
-    near = pairs.withColumn("s", F.greatest(jaccard, contained * 0.95)).where(F.col("s") >= least)
-    best = near.groupBy("k1", "k2").agg(F.max_by("class_name", F.struct("s", -F.col("pos"))).alias("fuzzy"))
+    wanted = labels.select("label").distinct().withColumn("norm", normalize_label(F.col("label"))).withColumns({"toks": words_of(F.col("norm")), **_key("label")})
+    known = aliases.select("class_name", "pos", normalize_label(F.col("alias")).alias("norm"), tokens(F.col("alias")).alias("set_toks")).distinct()
+    known = known.withColumns({"a": F.xxhash64("class_name", "pos", "norm"), "m": F.size("set_toks")})
+    hint = _hint(known)
+    exact = wanted.join(hint(known.groupBy("norm").agg(F.min_by("class_name", "pos").alias("exact"))), "norm", "left")
+    exact = parked(exact.select("label", "k1", "k2", "exact", F.size("toks").alias("n"), "toks"), "labels")
+    left = exact.where(F.col("exact").isNull()).select("k1", "k2", "n", "toks")
+    near = _sharing(left, known, min(least / 0.95, 2 * least / (1 + least)), True, hint)
+    pairs = near.join(left, ["k1", "k2"]).join(hint(known.select("a", "class_name", "pos", "m", "set_toks")), "a")
+    shared = F.size(F.array_intersect("toks", "set_toks")).cast("double")
+    scored = pairs.select("k1", "k2", "class_name", "pos", (shared / (F.col("n") + F.col("m") - shared)).alias("jaccard"), (shared / F.least("n", "m")).alias("contained"))
+    close = scored.withColumn("s", F.greatest(F.col("jaccard"), F.col("contained") * 0.95)).where(F.col("s") >= least)
+    best = close.groupBy("k1", "k2").agg(F.max_by("class_name", F.struct("s", -F.col("pos"))).alias("fuzzy"))
     return exact.join(best, ["k1", "k2"], "left").select("label", F.coalesce("exact", "fuzzy").alias("class_name"))
 
 
 def unique_phrase_class(labels: DataFrame, phrases: DataFrame, least: float = 0.8) -> DataFrame:
     """label and class_name, where one class alone has the phrase best contained in the label (``least`` or more), else null."""
-    left = labels.select("label").distinct().withColumns({"toks": letter_tokens(F.col("label")), **_key("label")})
-    right = phrases.select("class_name", F.xxhash64("phrase").alias("phrase"), letter_tokens(F.col("phrase")).alias("p")).distinct()
-    right = right.select("class_name", "phrase", F.size("p").alias("m"), F.explode("p").alias("tok"))
-    pairs = left.select("k1", "k2", F.explode("toks").alias("tok")).join(_small(right), "tok").groupBy("k1", "k2", "class_name", "phrase", "m").agg(F.count(F.lit(1)).cast("double").alias("shared"))
-    scored = pairs.groupBy("k1", "k2", "class_name").agg(F.max(F.col("shared") / F.col("m")).alias("s"))
-    top = scored.groupBy("k1", "k2").agg(F.max("s").alias("top"))
-    winners = scored.join(top, ["k1", "k2"]).where((F.col("s") >= F.col("top") - 1e-9) & (F.col("top") >= least))
-    one = winners.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("class_name").alias("class_name")).where("n = 1").drop("n")
-    return left.join(one, ["k1", "k2"], "left").select("label", "class_name")
+    wanted = parked(labels.select("label").distinct().withColumns({"toks": letter_tokens(F.col("label")), **_key("label")}).withColumn("n", F.size("toks")), "labels")
+    known = phrases.select("class_name", letter_tokens(F.col("phrase")).alias("set_toks")).distinct()
+    known = known.withColumns({"a": F.xxhash64("class_name", "set_toks"), "m": F.size("set_toks")}).where("m > 0")
+    left = wanted.select("k1", "k2", "n", "toks")
+    hint = _hint(known)
+    near = _sharing(left, known, least - 1e-9, False, hint)
+    pairs = near.join(left, ["k1", "k2"]).join(hint(known.select("a", "class_name", "m", "set_toks")), "a")
+    scored = pairs.groupBy("k1", "k2", "class_name").agg(F.max(F.size(F.array_intersect("toks", "set_toks")) / F.col("m")).alias("s"))
+    top = scored.groupBy("k1", "k2").agg(F.max("s").alias("top"), F.collect_list(F.struct("s", "class_name")).alias("_all"))
+    winners = top.withColumn("_best", F.filter("_all", lambda x: x["s"] >= F.col("top") - 1e-9)).where((F.col("top") >= least) & (F.size("_best") == 1))
+    one = winners.select("k1", "k2", F.get("_best", F.lit(0))["class_name"].alias("class_name"))
+    return wanted.join(one, ["k1", "k2"], "left").select("label", "class_name")
 
 
 def class_scores(members: DataFrame, mode: str, cluster: Sequence[str] = ("cluster",)) -> DataFrame:
