@@ -109,7 +109,8 @@ def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float,
             test = test & F.expr(f"{_solid_sql('a_')} and {_solid_sql('b_')}")
         extra = F.expr(f"({inside[0]} or {inside[1]})") if centroid == "or" else F.lit(False)
         return left.join(right, [*on, test | extra]).select(*columns).withColumn("iou", F.expr(near))
-    l, r = _at_centre(left, "a_").alias("_p"), _around(right, "b_", threshold).alias("_q")  # noqa: E741
+    # a size that is guessed before boxes are put into their cells must not make a broadcast of them
+    l, r = _at_centre(left, "a_").hint("merge").alias("_p"), _around(right, "b_", threshold).alias("_q")  # noqa: E741
     cell = [F.col(f"_p.{c}") == F.col(f"_q.{c}") for c in ("_l", "_cx", "_cy")]
     out = l.join(r, [*on, *cell, test]).select(*columns)
     if centroid == "or":
@@ -129,7 +130,7 @@ def overlapped(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float
     if threshold > 0:
         on.append(F.expr(f"{_solid_sql('_a_')} and {_solid_sql('b_')}"))
     if threshold >= LEAST_BY_CELLS:
-        left, right = _at_centre(left, "_a_"), _around(right, "b_", threshold)
+        left, right = _at_centre(left, "_a_").hint("merge"), _around(right, "b_", threshold)
         on += [F.col(f"_p.{c}") == F.col(f"_q.{c}") for c in ("_l", "_cx", "_cy")]
     return left.alias("_p").join(right.alias("_q"), on, "left_semi").select(*a.columns)
 

@@ -41,7 +41,7 @@ def test_resolved_labels(spark, monkeypatch, least, size):
             if s >= least:
                 scored.append((s, -p, c))
         want[t] = min(same)[1] if same else max(scored)[2] if scored else None
-    got = ensemble.resolve_labels(spark.createDataFrame([(t,) for t in labels + labels[:3]], SCHEMA), spark.createDataFrame(aliases, "alias string, class_name string, pos long")).collect()
+    got = ensemble.resolve_labels(spark.createDataFrame([(t,) for t in labels + labels[:3]], SCHEMA), spark.createDataFrame(aliases, "alias string, class_name string, pos long"), least).collect()
     assert len(got) == len(want) and {r.label: r.class_name for r in got} == want
 
 
@@ -61,5 +61,5 @@ def test_unique_phrases(spark, least):
         top = max(best.values())
         win = [c for c, s in best.items() if s >= top - 1e-9]
         want[t] = win[0] if top >= least and len(win) == 1 else None
-    got = ensemble.unique_phrase_class(spark.createDataFrame([(t,) for t in labels], SCHEMA), spark.createDataFrame(phrases, "phrase string, class_name string")).collect()
+    got = ensemble.unique_phrase_class(spark.createDataFrame([(t,) for t in labels], SCHEMA), spark.createDataFrame(phrases, "phrase string, class_name string"), least).collect()
     assert {r.label: r.class_name for r in got} == want
