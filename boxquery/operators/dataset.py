@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from boxquery.functions.params import target_size
 from boxquery.operators.matching import greedy_dedup
+from boxquery.sources.scratch import parked
 from boxquery.sources.writers import coco_document, one_file
 
 ZONE = -1
@@ -40,16 +41,24 @@ def select_images(images: DataFrame, annotations: DataFrame, ids: DataFrame) ->
     return kept, notes, ids.select("id").distinct().join(images, "id", "left_anti").orderBy("id")
 
 
-def numbered(df: DataFrame, name: str, order: Sequence[Column | str], start: int, parts: int = 64) -> DataFrame:
+#: Rows of one range of a numbering.
+NUMBERED_ROWS = 500_000
+
+
+def numbered(df: DataFrame, name: str, order: Sequence[Column | str], start: int, parts: int | None = None) -> DataFrame:
     """``df`` with consecutive numbers from ``start`` in a unique order.
 
-    Rows are ranged, counted per partition and numbered within it, so no task sorts them all.
+    Rows are ranged, in as many ranges as their number asks for, and written with their range; sizes and places
+    are both read from what is written, so they agree. No task sorts them all.
     """
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    if parts is None:
+        df = parked(df, "unnumbered")
+        parts = max(1, -(-df.count() // NUMBERED_ROWS))
+    ranged = parked(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranged.join(F.broadcast(ahead), "_p").withColumn(name, F.col("_before") + F.col("_r") + (start - 1)).drop("_p", "_r", "_before")
+    ahead = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a range
+    placed = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    return placed.join(ahead, "_p").withColumn(name, F.col("_before") + F.col("_r") + (start - 1)).drop("_p", "_r", "_before")
 
 
 def merged(labeled: DataFrame, sources: dict[str, DataFrame], tau: float, threshold: float, zones: DataFrame | None = None, drop_empty: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxquery.functions.geometry import centroid_in_sql, iou_sql
+from boxquery.functions.geometry import centroid_in_sql, clipped, iou_sql
 from boxquery.functions.text import letter_tokens, normalize_label, tokens, words_of
 from boxquery.sources.scratch import parked
 
@@ -141,17 +141,29 @@ def class_distribution(points: DataFrame, classes: DataFrame, mode: str, cluster
     """cluster, winner, entropy (nats) and class_dist (map) over all classes.
 
     Points are normalised; mode score is a softmax over all classes, absent ones at 0.
-    Ties (to nine places) go to the first class by name.
+    Ties (to nine places) go to the first class by name. Only classes with points are rows: all the
+    absent ones weigh the same, and are counted in by their number.
     """
-    names = F.broadcast(classes.select("class_name").distinct())
-    all_rows = points.select(*cluster).distinct().crossJoin(names).join(points, [*cluster, "class_name"], "left").fillna(0.0, ["points"])
-    over = W.partitionBy(*cluster)
-    weight = F.exp(F.col("points") - F.max("points").over(over)) if mode == "score" else F.col("points")
-    rows = all_rows.withColumn("_w", weight)
-    rows = rows.withColumn("p", F.coalesce(F.try_divide("_w", F.sum("_w").over(over)), F.try_divide(F.lit(1.0), F.count(F.lit(1)).over(over))))
-    term = F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0)
-    agg = rows.groupBy(*cluster).agg(F.sort_array(F.collect_list(F.struct((-F.round("p", 9)).alias("q"), F.col("class_name").alias("c")))).alias("_r"), F.sum(term).alias("entropy"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("class_name", "p")))).alias("class_dist"))
-    return agg.select(*cluster, F.get("_r", F.lit(0))["c"].alias("winner"), "entropy", "class_dist")
+    names = F.broadcast(classes.agg(F.array_sort(F.collect_set("class_name")).alias("_names")))  # one row, the list of classes
+    rows = points.groupBy(*cluster).agg(F.map_from_entries(F.collect_list(F.struct("class_name", "points"))).alias("_m")).crossJoin(names)
+    rows = rows.withColumn("_keys", F.array_intersect("_names", F.map_keys("_m"))).withColumns({"_values": F.transform("_keys", lambda c: F.element_at("_m", c)), "_rest": (F.size("_names") - F.size("_keys")).cast("double")})
+    if mode == "score":
+        top = F.greatest(F.array_max("_values"), F.when(F.col("_rest") > 0, F.lit(0.0)))
+        rows = rows.withColumn("_top", top).withColumns({"_weights": F.transform("_values", lambda v: F.exp(v - F.col("_top"))), "_absent": F.exp(-F.col("_top"))})
+    else:
+        rows = rows.withColumns({"_weights": F.col("_values"), "_absent": F.lit(0.0)})
+    rows = rows.withColumn("_sum", F.aggregate("_weights", F.lit(0.0), lambda a, w: a + w) + F.col("_rest") * F.when(F.col("_rest") > 0, F.col("_absent")).otherwise(0.0))
+    share = lambda w: F.when(F.col("_sum") > 0, w / F.col("_sum")).otherwise(1.0 / F.size("_names"))
+    rows = rows.withColumns({"_p": F.transform("_weights", share), "_q": share(F.col("_absent"))})
+    term = lambda p: F.when(p > 0, -p * F.ln(p)).otherwise(0.0)
+    entropy = F.aggregate("_p", F.lit(0.0), lambda a, p: a + term(p)) + F.col("_rest") * F.coalesce(term(F.col("_q")), F.lit(0.0))
+    ranked = F.zip_with("_p", "_keys", lambda p, c: F.struct((-F.round(p, 9)).alias("q"), c.alias("c")))
+    first = F.get(F.array_except("_names", "_keys"), F.lit(0))
+    absent = F.when(F.col("_rest") > 0, F.array(F.struct((-F.round("_q", 9)).alias("q"), first.alias("c")))).otherwise(F.array().cast("array<struct<q:double,c:string>>"))
+    winner = F.array_min(F.concat(ranked, absent))["c"]
+    place = lambda c: F.array_position(F.col("_keys"), c)
+    dist = F.map_from_arrays("_names", F.transform("_names", lambda c: F.when(place(c) > 0, F.get("_p", (place(c) - 1).cast("int"))).otherwise(F.col("_q"))))
+    return rows.select(*cluster, winner.alias("winner"), entropy.alias("entropy"), dist.alias("class_dist"))
 
 
 def fuse(members: DataFrame, winners: DataFrame, weighted: bool = True, cluster: Sequence[str] = ("cluster",)) -> DataFrame:
@@ -199,20 +211,64 @@ def summary(fused: DataFrame) -> DataFrame:
     return fused.agg(F.count(F.lit(1)).alias("clusters"), F.avg("n_cluster").alias("mean_size"), F.max("n_cluster").alias("max_size"), F.count_if(F.col("n_cluster") == 1).alias("singletons"))
 
 
-def wbf(boxes: DataFrame, keys: Sequence[str], id: str, threshold: float) -> DataFrame:
-    """Weighted boxes fusion (Solovyev et al., 2021): keys, cluster number, fused box, mean score, members.
+#: How a fused box gets its score; n boxes of k models of the M that have boxes in the group.
+CONFIDENCES = ("mean", "avg", "max", "box_and_model_avg", "absent_model_aware_avg")
+
+
+def fused_score(conf: str) -> Column:
+    """The score of a fused box from _mean, _max, n, k and M.
+
+    mean: of the members; avg: the mean, scaled by min(n, M) / M; max: the largest;
+    box_and_model_avg: the mean, scaled by the share of the models that are in it; absent_model_aware_avg:
+    as if each model that isn't in it had a box of score 0.
+    """
+    mean, n, k, models = F.col("_mean"), F.col("n"), F.col("k"), F.col("M")
+    by = {
+        "mean": mean,
+        "avg": mean * F.least(n, models) / models,
+        "max": F.col("_max"),
+        "box_and_model_avg": mean * k / models,
+        "absent_model_aware_avg": mean * n / (n + models - k),
+    }
+    if conf not in by:
+        raise ValueError(f"unknown confidence type: {conf!r}")
+    return by[conf]
+
+
+def in_frame(boxes: DataFrame, images: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Boxes clamped to their image (id, width, height); those that have no area left go, unless kept. An unknown image's boxes go too."""
+    sized = boxes.join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id")
+    out = sized.withColumns(clipped()).drop("width", "height")
+    return out if keep_empty else out.where("w > 0 and h > 0")
+
+
+def wbf(boxes: DataFrame, keys: Sequence[str], id: str, threshold: float, conf: str = "mean", model: str | None = None, models_by: Sequence[str] | None = None) -> DataFrame:
+    """Weighted boxes fusion (Solovyev et al., 2021): keys, cluster number, fused box, score, members.
 
     Boxes by falling score join the first-best fused box of ``threshold`` or more, which is then
-    the score-weighted mean of its members, or open a new one.
+    the score-weighted mean of its members, or open a new one. A null score counts as 1. ``conf`` is one of
+    ``CONFIDENCES``; all but mean and max need ``model``, the column that tells models apart, and count those that
+    have boxes in the group ``models_by`` (the keys, unless given: the image, where classes are fused apart).
     """
-    grouped = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(id).alias("id"), "x", "y", "w", "h"))).alias("_all"))
-    kind = "array<struct<x:double,y:double,w:double,h:double,sw:double,n:bigint,k:int,ids:array<bigint>>>"
-    new = "named_struct('x', d.x, 'y', d.y, 'w', d.w, 'h', d.h, 'sw', -d.s, 'n', 1L, 'k', size(f), 'ids', array(d.id))"
+    tell = F.col(model).cast("string") if model else F.lit("")
+    score = F.coalesce(F.col("score"), F.lit(1.0))
+    grouped = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-score).alias("s"), F.col(id).alias("id"), "x", "y", "w", "h", tell.alias("m")))).alias("_all"))
+    kind = "array<struct<x:double,y:double,w:double,h:double,sw:double,top:double,n:bigint,k:int,ids:array<bigint>,ms:array<string>>>"
+    new = "named_struct('x', d.x, 'y', d.y, 'w', d.w, 'h', d.h, 'sw', -d.s, 'top', -d.s, 'n', 1L, 'k', size(f), 'ids', array(d.id), 'ms', array(d.m))"
     best = f"array_max(transform(filter(f, q -> {iou_sql('q.', 'd.')} >= {float(threshold)}D), q -> named_struct('iou', {iou_sql('q.', 'd.')}, 'neg', -q.k)))"
     mean = lambda c: f"(q.{c} * q.sw + d.{c} * -d.s) / (q.sw - d.s)"
-    joined = f"named_struct('x', {mean('x')}, 'y', {mean('y')}, 'w', {mean('w')}, 'h', {mean('h')}, 'sw', q.sw - d.s, 'n', q.n + 1, 'k', q.k, 'ids', array_append(q.ids, d.id))"
+    joined = f"named_struct('x', {mean('x')}, 'y', {mean('y')}, 'w', {mean('w')}, 'h', {mean('h')}, 'sw', q.sw - d.s, 'top', q.top, 'n', q.n + 1, 'k', q.k, 'ids', array_append(q.ids, d.id), 'ms', array_union(q.ms, array(d.m)))"
     fold = f"aggregate(_all, cast(array() as {kind}), (f, d) -> transform(array({best}), b -> if(b is null, array_append(f, {new}), transform(f, q -> if(q.k = -b.neg, {joined}, q))))[0])"
-    return grouped.select(*keys, F.expr(f"inline({fold})")).select(*keys, F.col("k").alias("cluster"), "x", "y", "w", "h", (F.col("sw") / F.col("n")).alias("score"), "n", "ids")
+    fused = grouped.select(*keys, F.expr(f"inline({fold})"))
+    rows = fused.select(*keys, F.col("k").alias("cluster"), "x", "y", "w", "h", (F.col("sw") / F.col("n")).alias("_mean"), F.col("top").alias("_max"), "n", "ids", F.size("ms").alias("k"))
+    if conf in ("mean", "max"):
+        rows = rows.withColumn("M", F.lit(1))
+    elif model is None:
+        raise ValueError(f"{conf} needs the column of the model")
+    else:
+        group = list(keys if models_by is None else models_by)
+        rows = rows.join(boxes.groupBy(*group).agg(F.count_distinct(tell).alias("M")), group)
+    return rows.select(*keys, "cluster", "x", "y", "w", "h", fused_score(conf).alias("score"), "n", "ids")
 
 
 def assign_fused(boxes: DataFrame, fused: DataFrame, keys: Sequence[str], id: str, centroid: bool = False) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boxquery.operators.selection import smallest
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -74,7 +76,6 @@ def box_anti_join(dets: DataFrame, taken: DataFrame, floor: float | None = None)
 
 
 def quota(dets: DataFrame, wanted: DataFrame, by: str = "category_id", id: str = "det_id", seed: int | None = None) -> DataFrame:
-    """The best n of each class, or n drawn by a hash of the id; ``wanted``: by, n."""
-    order = [F.desc("score"), F.col(id)] if seed is None else [F.pmod(F.col(id) * 2_654_435_761 + seed, F.lit(2_147_483_647)), F.col(id)]
-    rows = dets.join(F.broadcast(wanted.select(by, F.col("n").alias("_want"))), by)
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(*order))).where("_r <= _want").drop("_r", "_want")
+    """The best n of each class, or n drawn by a hash of the id; ``wanted``: by, n. By a cut that is found from counts; no class is sorted."""
+    value = -F.col("score") if seed is None else F.pmod(F.col(id) * 2_654_435_761 + seed, F.lit(2_147_483_647))
+    return smallest(dets, [by], value, id, wanted)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boxquery.functions.geometry import area, size_bucket
 from boxquery.operators.overlaps import iou_join, overlapped
+from boxquery.operators.selection import nth_values
 
 
 def class_counts(annotations: DataFrame, by: Sequence[str] = ("category_id",)) -> DataFrame:
@@ -60,10 +61,16 @@ def retention(whole: DataFrame, sample: DataFrame, ratio: float) -> DataFrame:
 
 
 def score_stats(dets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """n, mean and exact percentiles (interpolated) of the score."""
+    """n, mean and exact percentiles (interpolated) of the score; by selection, so no task has all scores of a group."""
     points = [0.25, 0.5, 0.75, 0.95]
-    rows = dets.groupBy(*by).agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.percentile("score", points).alias("_p"))
-    return rows.select(*by, "n", "mean", *(F.get("_p", F.lit(k)).alias(f"p{int(p * 100)}") for k, p in enumerate(points)))
+    per = dets.groupBy(*by).agg(F.count("score").alias("n"), F.avg("score").alias("mean"))
+    place = (F.col("n") - 1) * F.col("_point")
+    wanted = per.where("n > 0").withColumn("_point", F.explode(F.array(*map(F.lit, points)))).select(*by, "_point", F.explode(F.array(F.floor(place), F.ceil(place))).alias("rank")).distinct()
+    found = nth_values(dets, by, "score", wanted.select(*by, "rank").distinct()).select(*by, "rank", "value")
+    both = wanted.join(found, [*by, "rank"]).join(per.select(*by, "n"), list(by)).withColumn("_part", place - F.floor(place))
+    value = F.min("value") + (F.max("value") - F.min("value")) * F.first("_part")
+    each = both.groupBy(*by, "_point").agg(value.alias("_v")).groupBy(*by).agg(*(F.max(F.when(F.col("_point") == p, F.col("_v"))).alias(f"p{int(p * 100)}") for p in points))
+    return per.join(each, list(by), "left")
 
 
 def histogram(dets: DataFrame, value: str, low: float, high: float, bins: int, by: Sequence[str] = ()) -> DataFrame:

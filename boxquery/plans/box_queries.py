@@ -207,6 +207,33 @@ def g13_weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.drop("ids"), "x", "y", "w", "h", "score")
 
 
+_CONFS = {
+    "avg": "q.sw / q.n * least(q.n, mm) / mm", "max": "q.top", "box_and_model_avg": "q.sw / q.n * len(q.ms) / mm", "absent_model_aware_avg": "q.sw / (q.n + mm - len(q.ms))",
+}
+
+
+def _modelled_sql() -> str:
+    """The fusion of clamped boxes, whose fused boxes also say their best score and their models; CTE ``wm`` has the models of an image, mm."""
+    text = fusion_sql("image_id, category_id", 0.5).replace("FROM det)", "FROM cd)")
+    text = text.replace("sw DOUBLE, n BIGINT, k BIGINT)", "sw DOUBLE, n BIGINT, k BIGINT, top DOUBLE, ms BIGINT[])").replace("'n': 1::BIGINT, 'k': len(f)", "'n': 1::BIGINT, 'k': len(f), 'top': score, 'ms': [prompt_set]").replace("'n': q.n + 1, 'k': q.k", "'n': q.n + 1, 'k': q.k, 'top': q.top, 'ms': list_distinct(list_append(q.ms, prompt_set))")
+    clamp = "SELECT * REPLACE (least(x, 100) AS x, least(y, 90) AS y, least(x + w, 100) - least(x, 100) AS w, least(y + h, 90) - least(y, 90) AS h) FROM det WHERE x < 100 AND y < 90"
+    return f", cd AS ({clamp}), wm AS (SELECT image_id, count(DISTINCT prompt_set) AS mm FROM cd GROUP BY 1){text}"
+
+
+@query(_modelled_sql() + " SELECT image_id, category_id, q.k::INT AS cluster, round(q.x, 6) AS x, round(q.w, 6) AS w, q.n AS n, " + ", ".join(f"round({v}, 6) AS score_{k}" for k, v in _CONFS.items()) + " FROM wb JOIN wm USING (image_id)")
+def g13_fusion_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes clamped to a frame of 100 x 90, fused by class; the score by each kind of confidence, with the prompt sets as models."""
+    frame = views.images(spark, sf_dir).withColumns({"width": F.lit(100), "height": F.lit(90)})
+    boxes = ensemble.in_frame(views.detections(spark, sf_dir), frame)
+    out, key = None, ["image_id", "category_id", "cluster"]
+    for conf in _CONFS:
+        part = ensemble.wbf(boxes, KEYS, "det_id", 0.5, conf, "prompt_set", ["image_id"])
+        scored = part.select(*key, F.col("score").alias(f"score_{conf}"))
+        out = part.select(*key, "x", "w", "n").join(scored, key) if out is None else out.join(scored, key)
+    assert out is not None
+    return rounded(out, "x", "w", *(f"score_{c}" for c in _CONFS))
+
+
 _HELD = "(d.x + d.w / 2 BETWEEN q.x AND q.x + q.w AND d.y + d.h / 2 BETWEEN q.y AND q.y + q.h)"
 
 
@@ -215,7 +242,7 @@ _HELD = "(d.x + d.w / 2 BETWEEN q.x AND q.x + q.w AND d.y + d.h / 2 BETWEEN q.y
     + f", fb AS (SELECT image_id, category_id, q.k AS k, q.x AS x, q.y AS y, q.w AS w, q.h AS h FROM wb), pr AS (SELECT d.det_id, q.k, {iou_sql('d', 'q')} + CASE WHEN {_HELD} THEN 0.001::DOUBLE ELSE 0 END AS p FROM det d JOIN fb q ON q.image_id = d.image_id AND q.category_id = d.category_id)"
     + " SELECT det.det_id, b.k::INT AS cluster FROM det LEFT JOIN (SELECT det_id, arg_max(k, (round(p, 9), -k)) AS k FROM pr WHERE p > 0 GROUP BY 1) b USING (det_id)"
 )
-def g02_fusedmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g02_fused_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fused box each original box belongs to."""
     d = views.detections(spark, sf_dir)
     return ensemble.assign_fused(d, ensemble.wbf(d, KEYS, "det_id", 0.5), KEYS, "det_id", centroid=True)
@@ -382,7 +409,7 @@ def j06_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, g = views.detections(spark, sf_dir), views.truths(spark, sf_dir).where(views.LABELED)
     free = d.where(f"not ({views.LABELED})")
-    return dataset.merged(g, {"one": free.where("src = 1"), "two": free.where("src = 2")}, 0.4, 0.4, free.where("score between 0.2 and 0.4"))
+    return dataset.merged(g, {"zero": free.where("src = 0"), "one": free.where("src = 1"), "two": free.where("src = 2")}, 0.4, 0.4, free.where("score between 0.2 and 0.4"))
 
 
 @query(_greedy_sql("image_id, category_id", "src, score DESC", 0.4).replace("FROM det)", "FROM det WHERE image_id % 10 <> 0 AND score >= 0.4)", 1).replace("SELECT unnest(list_transform", ", ps AS (SELECT unnest(list_transform", 1) + """),
