@@ -25,10 +25,12 @@ def line_keys(line: Column) -> tuple[Column, Column]:
     """128 bits of hash, equal for lines that are equal once stripped and with A-Z in lower case.
 
     ``lower`` folds other letters too, and is many times as fast as a translation; lines
-    that it makes equal are told apart by their other characters, which count as they are.
+    that it makes equal are told apart by their other characters, which count as they are, in order.
+    One of them becomes an ASCII letter, the Kelvin sign; lines that have it are translated.
     """
+    kelvin = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     others = F.when(F.octet_length(line) == F.char_length(line), F.lit("")).otherwise(F.regexp_replace(line, r"[\x00-\x7F]+", ""))
-    folded = F.lower(line)
+    folded = F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).when(F.contains(line, F.lit("\u212a")), kelvin).otherwise(F.lower(line))
     return F.xxhash64(folded), F.xxhash64(others, folded)
 
 
@@ -38,8 +40,10 @@ def _let(value: Column, body) -> Column:
 
 
 def _whole(docs: DataFrame) -> DataFrame:
+    """_id, _hash and _text of the rows, and in _row their other columns, whose names then clash with none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_text": text, "_hash": F.xxhash64(text)})
+    others = F.struct(F.lit(None).cast("string").alias("text"), *(F.col(c) for c in docs.columns if c != "text"))
+    return docs.select(others.alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
 
 
 def keyed_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
@@ -73,19 +77,17 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int =
 
     A null or empty text is one empty line and comes back as the empty text. Rows of
     one doc_id are one document: a line that only they share isn't repeated. Rows with
-    a null id are one document that comes after all others. Text columns named like
-    the result's are overwritten.
+    a null id are one document that comes after all others. Columns named like
+    the result's are replaced by them, all others come back as they are. Texts of any length are whole.
     """
-    whole = _whole(docs).drop("text")
-    rows = whole.join(repeated_lines(docs, min_chars, min_docs), ["_id", "_hash"], "left")
+    rows = _whole(docs).join(repeated_lines(docs, min_chars, min_docs), ["_id", "_hash"], "left")
     drop = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
     lines = F.split("_text", "\n", -1)
     kept = F.when(F.size(drop) == 0, F.col("_text")).otherwise(
         _let(lines, lambda all_lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), drop), lambda p: F.get(all_lines, p)), "\n"))
     )
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = rows.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.size(drop).cast("long"), "text": kept})
-    return out.select(*names, "n_lines", "n_dropped")
+    return rows.select(*(kept.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in names), F.size(lines).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,15 @@ def test_the_order_of_all_slots_is_a_permutation(spark):
     got = spark.createDataFrame([(n, k) for n in totals for k in range(n)], "n long, k long").select("n", mixing.shuffled("k", "n").alias("p")).collect()
     for n in totals:
         assert sorted(r.p for r in got if r.n == n) == list(range(n))
+    # totals beyond 32 bits, and that of the longest order: no number is out of it or taken twice, and the halves of the order are dealt alike
+    large = [2**32, 2**32 + 1, 2**33, 2**40, 10**15, 2**61]
+    ends = [(n, k) for n in large for k in [*range(3000), *range(n // 3, n // 3 + 3000), *range(n - 3000, n)]]
+    found = collections.defaultdict(set)
+    for r in spark.createDataFrame(ends, "n long, k long").select("n", mixing.shuffled("k", "n").alias("p")).collect():
+        assert 0 <= r.p < r.n
+        found[r.n].add(r.p)
+    assert {n: len(p) for n, p in found.items()} == dict.fromkeys(large, 9000)
+    assert all(0.45 < sum(p < n // 2 for p in places) / 9000 < 0.55 for n, places in found.items())
 
 
 # 3 WARC
@@ -392,10 +401,23 @@ def test_lines(docs, rows, least):
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
 
 
+def test_lines_leave_other_columns_as_they_are(spark):
+    names = ["_id", "_hash", "_text", "_drop", "_row", "_pos", "_line", "_k1", "_first"]
+    rows = [(k, "a line of all documents\nown line %d" % k, *(f"{n} {k}" for n in names)) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = line_dedup.line_dedup(df).orderBy("doc_id")
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    for r, want in zip(got.collect(), rows, strict=True):
+        assert tuple(r[n] for n in names) == want[2:] and r.n_dropped == int(r.doc_id > 0)
+
+
 def test_only_ascii_letters_are_folded(spark):
     lines = ["Äpfel UND Birnen", "Äpfel und BIRNEN", "äpfel und birnen", "İstanbul is far", "i̇stanbul is far", "ΟΔΟΣ and more", "ΟΔΟΣ AND MORE", "οδος and more", "\u212aelvin or kelvin", "kelvin or kelvin", "ẞ and ss, ﬁ and fi", "ß AND ss, ﬁ and fi"]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(df).collect()} == {k: int(k in (1, 6)) for k in range(len(lines))}
+    swapped = ["\u212a and k is a long line", "k and \u212a is a long line", "K AND \u212a is a long line", "\u0130 and i\u0307 is long", "i\u0307 and \u0130 is long", "\u212b and \u00e5 is long", "\u00e5 and \u212b is long"]
+    df = spark.createDataFrame(list(enumerate(swapped)), "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(df).collect()} == {k: int(k == 2) for k in range(len(swapped))}
 
 
 @pytest.mark.parametrize("share", [0, 1])
