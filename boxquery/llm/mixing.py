@@ -33,7 +33,7 @@ RANGE_SLOTS = 4096
 MOST_BLOCKS = 2_000_000_000
 #: A prime that numbers are spread by, and what it is multiplied with.
 PRIME, FACTOR = 2_147_483_647, 48_271
-#: Odd multipliers of the order of all slots, below 2^31; an order holds 2^32 slots at most.
+#: Odd multipliers of the order of all slots, below 2^31; an order holds 2^61 slots at most.
 ROUNDS = (740_179_053, 695_872_825, 1_597_334_677, 1_103_515_245)
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,10 +112,12 @@ def shuffled(number: str, total: str) -> Column:
     """The place of a number below ``total`` in one pseudorandom order of them all.
 
     Rounds of multiplication and shift permute the next power of two; a result beyond
-    ``total`` goes through them again.
+    ``total`` goes through them again. The upper and the lower 31 bits are multiplied apart, so that no product overflows.
     """
     bits = f"greatest(1, length(bin({total} - 1)))"
-    mixed = f"(a * m + 1013904223) & (shiftleft(1L, {bits}) - 1)"
+    mask = f"(shiftleft(1L, {bits}) - 1)"
+    upper = f"shiftleft((shiftright(a, 31) * m) & shiftright({mask}, 31), 31)"
+    mixed = f"({upper} + (a & 2147483647L) * m + 1013904223L) & {mask}"
     once = f"aggregate(array({', '.join(f'{m}L' for m in ROUNDS)}), {{}}, (a, m) -> ({mixed}) ^ shiftright({mixed}, ({bits} + 1) div 2))"
     found = F.expr(f"aggregate(sequence(1, 64), {once.format(number)}, (x, k) -> if(x < {total}, x, {once.format('x')}))")
     return F.when(found < F.col(total), found).otherwise(F.raise_error(F.lit("no place found")).cast("long"))
