@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxquery.functions.params import target_size
 from boxquery.operators.matching import greedy_dedup
 from boxquery.sources.scratch import parked
 from boxquery.sources.writers import coco_document, one_file
@@ -132,70 +130,6 @@ def coverage_seeds(annotations: DataFrame) -> DataFrame:
     return per.groupBy("category_id").agg(F.max_by("image_id", F.struct("n", -F.col("image_id"))).alias("image_id"))
 
 
-Matrix = dict[int, dict[int, int]]
-
-
-def class_matrix(annotations: DataFrame, images: DataFrame) -> Matrix:
-    """Counts per image and class, on the driver: the input of the searches below, small beside the boxes."""
-    out: Matrix = {r["id"]: {} for r in images.select("id").toLocalIterator()}
-    for r in annotations.groupBy("image_id", "category_id").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        if r["image_id"] in out:
-            out[r["image_id"]][r["category_id"]] = r["n"]
-    return out
-
-
-def _totals(matrix: Matrix, ids: Sequence[int] | None = None) -> dict[int, int]:
-    total: dict[int, int] = {}
-    for i in matrix if ids is None else ids:
-        for c, n in matrix[i].items():
-            total[c] = total.get(c, 0) + n
-    return total
-
-
-def mean_deviation(counts: dict[int, int], totals: dict[int, int], ratio: float) -> float:
-    """Mean over classes of how far the class's share is from ``ratio``, in percent points."""
-    if not totals:
-        return 0.0
-    return sum(abs(counts.get(c, 0) / n - ratio) for c, n in totals.items()) / len(totals) * 100
-
-
-def optimized_split(matrix: Matrix, ratios: dict[str, float], seed: int = 0, rounds: int = 2000) -> dict[int, str]:
-    """image -> split: images of the rarest classes first, each to the split that lacks most; then moves that strictly help."""
-    rng = random.Random(seed)
-    totals = _totals(matrix)
-    names = list(ratios)
-    counts: dict[str, dict[int, int]] = {s: {} for s in names}
-    out: dict[int, str] = {}
-    rank = {c: k for k, (c, _) in enumerate(sorted(totals.items(), key=lambda x: (x[1], x[0])))}
-
-    def put(i: int, s: str, sign: int = 1) -> None:
-        for c, n in matrix[i].items():
-            counts[s][c] = counts[s].get(c, 0) + sign * n
-
-    def badness() -> float:
-        return sum(mean_deviation(counts[s], totals, ratios[s]) for s in names)
-
-    full = sorted((i for i in matrix if matrix[i]), key=lambda i: (min(rank[c] for c in matrix[i]), -sum(matrix[i].values()), i))
-    for i in full:
-        rare = min(matrix[i], key=rank.__getitem__)
-        out[i] = max(names, key=lambda s: ratios[s] * totals[rare] - counts[s].get(rare, 0))
-        put(i, out[i])
-    for i in sorted(i for i in matrix if not matrix[i]):
-        out[i] = rng.choices(names, [ratios[s] for s in names])[0]
-    now = badness()
-    for _ in range(rounds if full and len(names) > 1 else 0):
-        i, s = rng.choice(full), rng.choice(names)
-        was = out[i]
-        if s == was:
-            continue
-        put(i, was, -1), put(i, s)
-        if (then := badness()) < now:
-            now, out[i] = then, s
-        else:
-            put(i, s, -1), put(i, was)
-    return out
-
-
 def write_split(images: DataFrame, annotations: DataFrame, categories: DataFrame, split: DataFrame, folder: str, names: Sequence[str]) -> dict[str, str]:
     """A COCO document for each split (image_id, split), with all categories; the files' paths."""
     out = {}
@@ -205,69 +139,3 @@ def write_split(images: DataFrame, annotations: DataFrame, categories: DataFrame
         out[name] = f"{folder}/{name}.json"
         one_file(coco_document(kept, notes, categories), out[name])
     return out
-
-
-def optimized_sample(matrix: Matrix, ratio: float, fixed: Sequence[int] = (), seed: int = 0, rounds: int = 2000) -> set[int]:
-    """So many images that their class shares come near ``ratio``; the fixed ones stay in. Swaps that don't hurt are taken."""
-    size = target_size(len(matrix), ratio)
-    if unknown := set(fixed) - set(matrix):
-        raise ValueError(f"fixed images that aren't there: {sorted(unknown)[:5]}")
-    if len(set(fixed)) > size:
-        raise ValueError("more fixed images than the sample has")
-    rng = random.Random(seed)
-    totals = _totals(matrix)
-    free = sorted(set(matrix) - set(fixed))
-    rng.shuffle(free)
-    inside, outside = free[: size - len(set(fixed))], free[size - len(set(fixed)) :]
-    counts = _totals(matrix, [*set(fixed), *inside])
-    now = mean_deviation(counts, totals, ratio)
-    for _ in range(rounds if inside and outside else 0):
-        a, b = rng.randrange(len(inside)), rng.randrange(len(outside))
-        trial = dict(counts)
-        for c, n in matrix[inside[a]].items():
-            trial[c] -= n
-        for c, n in matrix[outside[b]].items():
-            trial[c] = trial.get(c, 0) + n
-        if (then := mean_deviation(trial, totals, ratio)) <= now:
-            now, counts = then, trial
-            inside[a], outside[b] = outside[b], inside[a]
-    return {*fixed, *inside}
-
-
-def nested_samples(matrix: Matrix, ratios: Sequence[float], seed: int = 0) -> dict[float, set[int]]:
-    """Samples of growing ratios, each holding the one before."""
-    out: dict[float, set[int]] = {}
-    held: set[int] = set()
-    for r in ratios:
-        held = out[r] = optimized_sample(matrix, r, sorted(held), seed)
-    return out
-
-
-def best_of_seeds(matrix: Matrix, ratio: float, seeds: Sequence[int], least_share: float = 0.5) -> tuple[int, set[int], list[dict]]:
-    """The best sample of several seeds: fewest classes missing, fewest short of ``least_share``, then the deviations, then the seed."""
-    totals = _totals(matrix)
-    report = []
-    for s in seeds:
-        ids = optimized_sample(matrix, ratio, seed=s)
-        counts = _totals(matrix, sorted(ids))
-        shares = {c: counts.get(c, 0) / n for c, n in totals.items()}
-        report.append({"seed": s, "ids": ids, "missing": sum(v == 0 for v in shares.values()), "short": sum(v < least_share * ratio for v in shares.values()), "worst": max((abs(v - ratio) for v in shares.values()), default=0.0), "mean": mean_deviation(counts, totals, ratio), "size": len(ids)})
-    report.sort(key=lambda r: (r["missing"], r["short"], r["mean"], r["worst"], -r["size"], r["seed"]))
-    return report[0]["seed"], report[0]["ids"], report
-
-
-def covering_sample(matrix: Matrix, n: int, seed: int = 0) -> list[int]:
-    """n images: first one with a class not yet seen for each class, then at random."""
-    rng = random.Random(seed)
-    chosen: list[int] = []
-    seen: set[int] = set()
-    for c in sorted(_totals(matrix)):
-        if c in seen or len(chosen) >= n:
-            continue
-        pick = rng.choice(sorted(i for i in matrix if c in matrix[i]))
-        if pick not in chosen:
-            chosen.append(pick)
-        seen |= set(matrix[pick])
-    rest = sorted(set(matrix) - set(chosen))
-    rng.shuffle(rest)
-    return chosen + rest[: max(0, n - len(chosen))]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquery.functions import geometry
-from boxquery.operators import dataset, ensemble, matching, policy, stats, tiling
+from boxquery.operators import dataset, ensemble, matching, policy, splits, stats, tiling
 from boxquery.plans import views
 from boxquery.plans.registry import query, rounded
 from boxquery.plans.views import iou_sql
@@ -435,45 +435,45 @@ def m11_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.sample_rows(views.images(spark, sf_dir), "id", 20, 3).select("id")
 
 
-def _matrix(spark: SparkSession, sf_dir: str) -> dataset.Matrix:
-    return dataset.class_matrix(views.truths(spark, sf_dir), views.images(spark, sf_dir))
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.image_counts(views.truths(spark, sf_dir), views.images(spark, sf_dir))
 
 
 _RATIOS = {"train": 0.7, "val": 0.1, "test": 0.2}
 
 
-@query("SELECT count(*) AS images, count(*) AS assigned, 3::BIGINT AS splits, true AS helped FROM img")
+@query()
 def m01_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The split's promises: every image in one split, all splits used, and class shares no further from the ratios than if images were dealt in turn."""
-    matrix = _matrix(spark, sf_dir)
-    out, totals = dataset.optimized_split(matrix, _RATIOS), dataset._totals(matrix)
-    in_turn = {i: ("train" if k % 10 < 7 else "val" if k % 10 == 7 else "test") for k, i in enumerate(sorted(matrix))}
-    off = lambda split: sum(dataset.mean_deviation(dataset._totals(matrix, [i for i, s in split.items() if s == name]), totals, r) for name, r in _RATIOS.items())
-    return spark.createDataFrame([(len(matrix), len(out), len(set(out.values())), off(out) <= off(in_turn))], "images long, assigned long, splits long, helped boolean")
+    """Every image with its split. The search has no SQL; the tests hold it against a plain version."""
+    return splits.optimized_split(_counts(spark, sf_dir), _RATIOS)
 
 
-@query(", n AS (SELECT count(*) AS n FROM img) SELECT r AS ratio, greatest(1, least(n, round_even(n * r, 0)::BIGINT)) AS size, true AS holds_the_last FROM n, (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS r)")
+@query()
 def m03_m04_m05_nested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of samples of growing ratios, and whether each holds the one before."""
-    out = list(dataset.nested_samples(_matrix(spark, sf_dir), [0.1, 0.2, 0.3]).items())
-    held = [set(), *(ids for _, ids in out)]
-    return spark.createDataFrame([(r, len(ids), held[k] <= ids) for k, (r, ids) in enumerate(out)], "ratio double, size long, holds_the_last boolean")
+    """The images of samples of growing ratios, each holding the one before."""
+    return splits.nested_samples(_counts(spark, sf_dir), [0.1, 0.2, 0.3])
 
 
-@query(", n AS (SELECT count(*) AS n FROM img) SELECT k AS place, greatest(1, least(n, round_even(n * 0.2::DOUBLE, 0)::BIGINT)) AS size, true AS in_order FROM n, (SELECT unnest(range(0, 3)) AS k)")
+@query()
 def m06_w14_best_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates of three seeds in the order of the six keys."""
-    _, _, report = dataset.best_of_seeds(_matrix(spark, sf_dir), 0.2, [1, 2, 3])
-    keys = [(r["missing"], r["short"], r["mean"], r["worst"], -r["size"], r["seed"]) for r in report]
-    return spark.createDataFrame([(k, r["size"], keys[k] == min(keys[k:])) for k, r in enumerate(report)], "place long, size long, in_order boolean")
+    """The images of the samples of three seeds, with the six keys that give each its place."""
+    out = None
+    for k, r in enumerate(splits.best_of_seeds(_counts(spark, sf_dir), 0.2, [1, 2, 3])[1]):
+        part = r["sample"].select(*(F.lit(v).alias(n) for n, v in {"place": k, **{x: r[x] for x in ("seed", "missing", "short", "mean", "worst", "size")}}.items()), "image_id")
+        out = part if out is None else out.unionByName(part)
+    assert out is not None
+    return rounded(out, "mean", "worst")
 
 
-@query(" SELECT (SELECT least(20, count(*)) FROM img) AS size, count(DISTINCT category_id) AS classes FROM gt")
+@query(""", pi AS (SELECT DISTINCT image_id, category_id FROM gt), fi AS (SELECT category_id, arg_min(image_id, ((image_id * 2654435761) % 2147483647, image_id)) AS i FROM pi GROUP BY 1),
+od AS (SELECT *, row_number() OVER (ORDER BY category_id) AS k, (SELECT list(category_id) FROM pi WHERE pi.image_id = i) AS seen FROM fi),
+rc AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ch, []::INT[] AS sn UNION ALL SELECT o.k, CASE WHEN list_contains(sn, category_id) OR len(ch) >= 20 THEN ch ELSE list_append(ch, i) END, CASE WHEN list_contains(sn, category_id) OR len(ch) >= 20 THEN sn ELSE list_concat(sn, seen) END FROM rc JOIN od o ON o.k = rc.k + 1),
+ck AS (SELECT unnest(arg_max(ch, k)) AS image_id FROM rc),
+fl AS (SELECT id AS image_id, row_number() OVER (ORDER BY (id * 2654435761) % 2147483647, id) AS r FROM img WHERE id NOT IN (SELECT image_id FROM ck))
+SELECT image_id FROM ck UNION ALL SELECT image_id FROM fl WHERE r <= 20 - (SELECT count(*) FROM ck)""")
 def m08_covering_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of twenty tiles, one for each class not yet seen first: all classes are in it."""
-    matrix = _matrix(spark, sf_dir)
-    chosen = dataset.covering_sample(matrix, 20)
-    return spark.createDataFrame([(len(set(chosen)), len(dataset._totals(matrix, chosen)))], "size long, classes long")
+    """A sample of twenty tiles, for each class not yet seen one that has it first."""
+    return splits.covering_sample(_counts(spark, sf_dir), 20)
 
 
 @query(f""", p AS (SELECT d.prompt_set, d.image_id, avg(EXISTS (SELECT 1 FROM gt WHERE gt.image_id = d.image_id AND {iou_sql('d', 'gt')} >= 0.5)::INT) AS p FROM det d GROUP BY ALL),

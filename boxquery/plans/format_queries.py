@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquery.functions import params
-from boxquery.operators import dataset, stats
+from boxquery.operators import dataset, splits, stats
 from boxquery.plans import views
 from boxquery.plans.registry import query, rounded
 from boxquery.sources import readers, writers
@@ -207,8 +207,8 @@ def k06_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m02_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each split's document written and read again: together they hold every annotation once."""
     folder, images, notes = fresh_path(spark, "splits"), _files(spark, sf_dir), _notes(spark, sf_dir)
-    split = dataset.optimized_split(dataset.class_matrix(notes, images), {"train": 0.7, "val": 0.1, "test": 0.2})
-    paths = dataset.write_split(images, notes, _categories(spark), spark.createDataFrame(sorted(split.items()), "image_id long, split string"), folder, ["train", "val", "test"])
+    split = splits.optimized_split(splits.image_counts(notes, images), {"train": 0.7, "val": 0.1, "test": 0.2})
+    paths = dataset.write_split(images, notes, _categories(spark), split, folder, ["train", "val", "test"])
     out = None
     for path in paths.values():
         part = readers.coco(spark, path)["annotations"]

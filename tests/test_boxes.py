@@ -95,18 +95,6 @@ def test_lrp_of_nothing_is_zero_and_numbers_are_consecutive(spark):
     assert [(r.id, r.n) for r in got.orderBy("id").collect()] == [(k, k + 1) for k in range(100)]
 
 
-def test_split_is_disjoint_and_samples_nest(spark):
-    matrix = {i: {c: 1 + (i * c) % 3 for c in (1, 2) if i % c == 0} for i in range(60)}
-    out = dataset.optimized_split(matrix, {"train": 0.7, "val": 0.1, "test": 0.2})
-    assert set(out) == set(matrix) and set(out.values()) == {"train", "val", "test"}
-    nested = dataset.nested_samples(matrix, [0.1, 0.2, 0.3])
-    assert [len(v) for v in nested.values()] == [6, 12, 18] and nested[0.1] < nested[0.2] < nested[0.3]
-    with pytest.raises(ValueError):
-        dataset.optimized_sample(matrix, 0.1, fixed=[1000])
-    assert dataset.best_of_seeds(matrix, 0.2, [1, 2])[2][0]["size"] == 12
-    assert len(dataset.covering_sample(matrix, 5)) == 5
-
-
 def test_zone_only_on_labelled_images(spark):
     g = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 10.0, 10.0)], GT)
     d = spark.createDataFrame([(5, 2, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (6, 2, 1, 50.0, 0.0, 10.0, 10.0, 0.2), (7, 3, 1, 0.0, 0.0, 10.0, 10.0, 0.2)], DET)
