@@ -1,7 +1,12 @@
-"""Parameters as the command lines give them; small values, parsed on the driver."""
+"""Parameters as the command lines give them, parsed on the driver; and the same as columns, where each row of a table of runs has its own."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from boxquery.functions.geometry import fixed
+
 
 def variant_name(score: float, text: float) -> str:
     return f"s{score:.3f}_t{text:.3f}".replace(".", "p")
@@ -87,3 +92,34 @@ def parse_dtype(name: str) -> str:
     if key not in DTYPES:
         raise ValueError(f"unknown number type: {name!r}")
     return DTYPES[key]
+
+
+def variant_names(score: Column, text: Column) -> Column:
+    """``variant_name`` of two columns; null if one is."""
+    return F.translate(F.concat(F.lit("s"), fixed(score, 3), F.lit("_t"), fixed(text, 3)), ".", "p")
+
+
+def pairs_of(text: Column) -> Column:
+    """The distinct (score, text) pairs of "0.1:0.2,0.3:0.4", in order; null where a part is no pair of numbers in [0, 1], or there is none."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    number = lambda p, k: F.get(F.split(p, ":", 2), F.lit(k)).try_cast("double")
+    pairs = F.array_distinct(F.transform(parts, lambda p: F.struct(number(p, 0).alias("score"), number(p, 1).alias("text"))))
+    good = lambda p: F.coalesce(p["score"].between(0, 1) & p["text"].between(0, 1), F.lit(False))
+    return F.when((F.size(pairs) > 0) & F.forall(pairs, good), pairs)
+
+
+def caps_of(n: Column) -> Column:
+    """``max_dets`` of a column."""
+    most = F.greatest(F.lit(1), n)
+    return F.array(F.least(F.lit(100), most), F.least(F.lit(500), most), most)
+
+
+def anchors_of(base: Column, scales: list[float], ratios: list[float]) -> Column:
+    """The anchors of a base size: every scale, cut to a whole number, with every ratio of the sides."""
+    sizes = F.array(*(F.floor(base * F.lit(float(s))).cast("int") for s in scales))
+    return F.flatten(F.transform(sizes, lambda size: F.transform(F.array(*map(F.lit, ratios)), lambda r: F.struct(size.alias("size"), r.alias("ratio")))))
+
+
+def dtypes_of(name: Column) -> Column:
+    """``parse_dtype`` of a column; null where it is unknown."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in DTYPES.items() for x in pair)), F.lower(F.trim(name)))

@@ -14,6 +14,11 @@ def clean(annotations: DataFrame, wrong_types: list[int], missing_images: list[s
     return kept.join(F.broadcast(mapping), "type_id").where("w > 0 and h > 0")
 
 
+def solid(boxes: DataFrame) -> DataFrame:
+    """Boxes, targets and exclusion zones alike, of a width and a height above 0, with their ``area``; a null side is none."""
+    return boxes.where("w > 0 and h > 0").withColumn("area", F.col("w") * F.col("h"))
+
+
 def validated(annotations: DataFrame, images: DataFrame) -> DataFrame:
     """Annotations clipped to their image's frame, with flags: no_image, bad_size, outside, changed, gone.
 

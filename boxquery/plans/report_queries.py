@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxquery.functions import geometry
+from boxquery.functions import geometry, params
 from boxquery.operators import dataset, policy, stats, tiling
 from boxquery.plans import views
 from boxquery.plans.registry import query, rounded
@@ -202,3 +202,43 @@ def j03_image_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT det_id FROM det WHERE score > 0.5")
 def f02_strict_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.above(views.detections(spark, sf_dir), 0.5).select("det_id")
+
+
+@query("SELECT det_id, replace(printf('s%.3f_t%.3f', score, (det_id * 29 % 1000) / 1000.0::DOUBLE), '.', 'p') AS run FROM det")
+def p26_variant_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.detections(spark, sf_dir)
+    return d.select("det_id", params.variant_names(F.col("score"), (F.col("det_id") * 29 % 1000) / 1000).alias("run"))
+
+
+@query("SELECT det_id, unnest(CASE WHEN score > 1 OR category_id = 5 THEN [] WHEN score = 0.5 THEN [score] ELSE [score, 0.5] END) AS score, 0.5::DOUBLE AS text FROM det")
+def p27_threshold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of thresholds read from the text that a run's row has; a text with a bad part has none."""
+    d = views.detections(spark, sf_dir)
+    said = F.concat(F.lit(" "), F.col("score").cast("string"), F.lit(":0.5, 0.5:0.5,,"), F.col("score").cast("string"), F.when(F.col("category_id") == 5, F.lit(":x")).otherwise(F.lit(":0.5 ")))
+    return d.select("det_id", F.explode(params.pairs_of(said)).alias("p")).select("det_id", "p.score", "p.text")
+
+
+@query(", n AS (SELECT image_id, count(*) AS n FROM det GROUP BY 1) SELECT image_id, least(100, n) AS first_cap, least(500, n) AS second_cap, n AS third_cap FROM n")
+def p32_detection_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = views.detections(spark, sf_dir).groupBy("image_id").agg(params.caps_of(F.count(F.lit(1))).alias("c"))
+    return per.select("image_id", *(F.get("c", F.lit(k)).alias(f"{name}_cap") for k, name in enumerate(("first", "second", "third"))))
+
+
+@query("SELECT p_size AS base, count(*) AS n, floor(p_size * s)::INT AS size, r AS ratio FROM part, (SELECT unnest([0.5, 1.0, 2.25])::DOUBLE AS s), (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS r) GROUP BY base, s, r", views=False)
+def p33_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors of each size of part, three scales by three ratios, and how many parts have them."""
+    base = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_size").alias("base")).agg(F.count(F.lit(1)).alias("n"))
+    return base.select("base", "n", F.inline(params.anchors_of(F.col("base"), [0.5, 1.0, 2.25], [0.5, 1.0, 2.0])))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'float16' WHEN 'view' THEN 'bfloat16' WHEN 'error' THEN 'float32' END AS dtype FROM events", views=False)
+def p35_number_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("event_type") == "click", " Half ").when(F.col("event_type") == "view", "BF16").when(F.col("event_type") == "error", "fp32").otherwise("int8")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", params.dtypes_of(said).alias("dtype"))
+
+
+@query("SELECT det_id, (w - 30) * (h - 27) AS area FROM det WHERE w > 30 AND h > 27")
+def f13_solid_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets whose sides were cut by a border of 30 and 27, those without an area left out."""
+    d = views.detections(spark, sf_dir).withColumns({"w": F.col("w") - 30, "h": F.col("h") - 27})
+    return tiling.solid(d).select("det_id", "area")

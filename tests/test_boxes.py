@@ -151,3 +151,15 @@ def test_stats_of_empty_tables(spark):
     g = spark.createDataFrame([], GT)
     assert stats.dataset_stats(spark.createDataFrame([], "id long"), g).first().objects == 0
     assert stats.class_weights(g, spark.createDataFrame([(1,)], "category_id int")).first().weight == 1.0
+
+
+def test_parameters_of_rows(spark):
+    texts = ["0.1:0.2, 0.1:0.2,3e-1:0.4,", "0.5", "0.1:0.2,x:0.3", "0.1:1.5", "", None, "3.3:0.3", "0.3:0.3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(params.pairs_of(F.col("t")).alias("p")).collect()
+    assert [r.p and [tuple(x) for x in r.p] for r in rows] == [[(0.1, 0.2), (0.3, 0.4)], None, None, None, None, None, None, [(0.3, 0.3)]]
+    one = spark.createDataFrame([(0.08, 0.25, 0, " BF16", 7), (None, 0.5, 800, "int8", 16)], "s double, t double, n int, d string, b int")
+    got = one.select(params.variant_names(F.col("s"), F.col("t")), params.caps_of(F.col("n")), params.dtypes_of(F.col("d")), params.anchors_of(F.col("b"), [0.5, 1.5], [1.0, 2.0])).collect()
+    assert [r[0] for r in got] == ["s0p080_t0p250", None] and [r[1] for r in got] == [[1, 1, 1], [100, 500, 800]] and [r[2] for r in got] == ["bfloat16", None]
+    assert [tuple(x) for x in got[0][3]] == [(3, 1.0), (3, 2.0), (10, 1.0), (10, 2.0)]
+    boxes = spark.createDataFrame([(1, 2.0, 3.0), (2, 0.0, 3.0), (3, -1.0, 3.0), (4, None, 3.0)], "id long, w double, h double")
+    assert [(r.id, r.area) for r in tiling.solid(boxes).collect()] == [(1, 6.0)]
