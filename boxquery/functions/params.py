@@ -96,7 +96,8 @@ def parse_dtype(name: str) -> str:
 
 def variant_names(score: Column, text: Column) -> Column:
     """``variant_name`` of two columns; null if one is."""
-    return F.translate(F.concat(F.lit("s"), fixed(score, 3), F.lit("_t"), fixed(text, 3)), ".", "p")
+    name = F.concat(F.lit("s"), fixed(score, 3), F.lit("_t"), fixed(text, 3))
+    return F.when(score.isNotNull() & text.isNotNull(), F.translate(name, ".", "p"))
 
 
 def pairs_of(text: Column) -> Column:
