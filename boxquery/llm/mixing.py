@@ -114,12 +114,13 @@ def shuffled(number: str, total: str) -> Column:
     Rounds of multiplication and shift permute the next power of two; a result beyond
     ``total`` goes through them again. The upper and the lower 31 bits are multiplied apart, so that no product overflows.
     """
-    bits = f"greatest(1, length(bin({total} - 1)))"
-    mask = f"(shiftleft(1L, {bits}) - 1)"
-    upper = f"shiftleft((shiftright(a, 31) * m) & shiftright({mask}, 31), 31)"
-    mixed = f"({upper} + (a & 2147483647L) * m + 1013904223L) & {mask}"
-    once = f"aggregate(array({', '.join(f'{m}L' for m in ROUNDS)}), {{}}, (a, m) -> ({mixed}) ^ shiftright({mixed}, ({bits} + 1) div 2))"
-    found = F.expr(f"aggregate(sequence(1, 64), {once.format(number)}, (x, k) -> if(x < {total}, x, {once.format('x')}))")
+    # b: the bits of the order, z: a number on its way, y: one that a round has multiplied; each is worked out once
+    upper = "shiftleft((shiftright(a, 31) * m) & shiftright(b.mask, 31), 31)"
+    mixed = f"({upper} + (a & 2147483647L) * m + 1013904223L) & b.mask"
+    once = f"aggregate(array({', '.join(f'{m}L' for m in ROUNDS)}), {{}}, (a, m) -> transform(array({mixed}), y -> y ^ shiftright(y, b.half))[0])"
+    again = f"aggregate(sequence(1, 63), z, (x, k) -> if(x < {total}, x, {once.format('x')}))"
+    bits = f"transform(array(greatest(1, length(bin({total} - 1)))), n -> named_struct('mask', shiftleft(1L, n) - 1, 'half', (n + 1) div 2))"
+    found = F.expr(f"transform({bits}, b -> transform(array({once.format(number)}), z -> if(z < {total}, z, {again}))[0])[0]")
     return F.when(found < F.col(total), found).otherwise(F.raise_error(F.lit("no place found")).cast("long"))
 
 
