@@ -129,3 +129,21 @@ def host_verdicts(docs: DataFrame, host: str = "source", most_rate: float = HOST
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = host_verdicts(table(spark, sf_dir, "documents"))
     return got.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+ORACLE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+wins AS (SELECT rid, unnest(range(1, len(w) - 1)) AS k, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS g FROM docs WHERE len(w) >= 3),
+twins AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, g) AS c FROM wins) WHERE c >= 2),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([k, k + 1, k + 2]) AS p FROM twins) GROUP BY rid),
+counted AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM docs LEFT JOIN cov USING (rid)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM failed WHERE source IS NOT NULL GROUP BY 1),
+tot AS (SELECT sum(n) AS d, sum(f) / sum(n) AS m, count(*) AS h, sum(f * f / n) AS sq FROM hosts),
+spread AS (SELECT m, sq / d - m * m - m * (1 - m) * h / d AS v FROM tot),
+prior AS (SELECT m, CASE WHEN v > 0 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 1000 END AS s FROM spread),
+bad AS (SELECT source FROM hosts, prior WHERE (f + m * s) / (n + s) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), true) AS kept FROM failed
+"""
