@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from boxquery.operators.matching import greedy_dedup
 from boxquery.sources.scratch import parked
-from boxquery.sources.writers import coco_document, one_file
+from boxquery.sources.writers import coco_lines, one_file
 
 ZONE = -1
 
@@ -137,5 +137,5 @@ def write_split(images: DataFrame, annotations: DataFrame, categories: DataFrame
         mine = split.where(F.col("split") == name).select(F.col("image_id").alias("id"))
         kept, notes, _ = select_images(images, annotations, mine)
         out[name] = f"{folder}/{name}.json"
-        one_file(coco_document(kept, notes, categories), out[name])
+        one_file(coco_lines(kept, notes, categories), out[name])
     return out

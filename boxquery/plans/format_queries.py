@@ -35,7 +35,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT gt_id AS id, image_id, category_id, 'img_' || image_id || '.tif' AS file_name, 'c' || category_id AS name, x, y, w, h, w * h AS area FROM gt")
 def s01_s02_k01_coco(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "coco") + ".json"
-    writers.one_file(writers.coco_document(_files(spark, sf_dir), _notes(spark, sf_dir), _categories(spark)), path)
+    writers.one_file(writers.coco_lines(_files(spark, sf_dir), _notes(spark, sf_dir), _categories(spark)), path)
     doc = readers.coco(spark, path)
     names = doc["categories"].select(F.col("id").alias("category_id"), "name")
     files = doc["images"].select(F.col("id").alias("image_id"), "file_name")
@@ -161,10 +161,22 @@ def s12_s13_p36_metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(readers.metric_files(spark, paths, ["ap", "n"]), "ap")
 
 
-@query("SELECT * FROM (VALUES ('r20', 20.0::DOUBLE), ('run_0p35', 35.0), ('sup_7_5', 7.5)) v(name, percent)", views=False)
+@query(""", rn AS (SELECT * FROM (VALUES ('r20', 20.0::DOUBLE, 0), ('run_0p35', 35.0, 1), ('sup_7_5', 7.5, 2)) v(name, percent, k)),
+wh AS (SELECT name, percent, avg(score) AS score, count(*)::DOUBLE AS n FROM det JOIN rn ON k = prompt_set GROUP BY 1, 2)
+SELECT name, percent, 'global' AS scope, unnest(['score', 'n']) AS metric, unnest([round(score, 6), n]) AS value FROM wh
+UNION ALL SELECT name, percent, 'per_class', 'c' || category_id, round(avg(score), 6) FROM det JOIN rn ON k = prompt_set GROUP BY 1, 2, 4""")
 def s14_ratio_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = readers.ratio_runs(["r20", "run_0p35", "sup_7_5", "baseline"])
-    return spark.createDataFrame(sorted(found.items()), "name string, percent double")
+    """Metrics of five runs written as files; one run lacks a file and one has no percentage in its name."""
+    root, d = fresh_path(spark, "ratios"), views.detections(spark, sf_dir)
+    whole = {r.prompt_set: r for r in d.groupBy("prompt_set").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n")).collect()}
+    each: dict = {}
+    for r in d.groupBy("prompt_set", "category_id").agg(F.avg("score").alias("score")).collect():
+        each.setdefault(r.prompt_set, {})[f"c{r.category_id}"] = r.score
+    for k, name in enumerate(["r20", "run_0p35", "sup_7_5", "r50", "baseline"]):
+        put(spark, f"{root}/{name}/inference/metrics.json", json.dumps({"score": whole[k].score, "n": whole[k].n, "note": "text"}).encode())
+        if name != "r50":
+            put(spark, f"{root}/{name}/inference/metrics_per_class.json", json.dumps(each[k]).encode())
+    return rounded(readers.ratio_runs(spark, root), "value")
 
 
 _EPOCHS = ", e AS (SELECT prompt_set + 1 AS epoch, round(avg(w), 2) AS train_loss, round(avg(h), 2) AS val_loss, round(avg(score), 3) AS map FROM det GROUP BY 1)"

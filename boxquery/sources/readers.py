@@ -184,6 +184,27 @@ def metric_files(spark: SparkSession, paths: dict[str, str], metrics: list[str])
     return names.join(out, "name", "left")
 
 
-def ratio_runs(names: list[str]) -> dict[str, float]:
-    """Percentages of the run folders that have one in their name."""
-    return {n: p for n in names if (p := ratio_percent(n)) is not None}
+def ratio_runs(spark: SparkSession, root: str, names: list[str] | None = None, inner: str = "inference") -> DataFrame:
+    """name, percent, scope (global, or per_class), metric and value of the runs under ``root``, in whatever store.
+
+    A run is a folder, of ``names`` if given, whose ``inner`` folder has both metrics.json and
+    metrics_per_class.json; others are left out, and without any there's an error. The percentage is in the folder's name. Entries that are no
+    numbers don't count.
+    """
+    files = {"global": "metrics.json", "per_class": "metrics_per_class.json"}
+    listing = "|".join(files.values())
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    seen: dict[str, set[str]] = {}
+    for status in fs.globStatus(jvm(f"{root}/*/{inner}/{{{listing.replace('|', ',')}}}")) or ():
+        path = status.getPath()
+        seen.setdefault(path.getParent().getParent().getName() if "/" not in inner else path.toString().split("/")[-3 - inner.count("/")], set()).add(path.getName())
+    chosen = sorted(n for n, have in seen.items() if have == set(files.values()) and (names is None or n in names) and ratio_percent(n) is not None)
+    if not chosen:
+        raise ValueError(f"no run under {root} has {inner}/metrics.json and {inner}/metrics_per_class.json")
+    runs = F.broadcast(spark.createDataFrame([(n, ratio_percent(n)) for n in chosen], "name string, percent double"))  # the folders just listed
+    text = spark.read.text([f"{root}/{n}/{inner}/{f}" for n in chosen for f in files.values()], wholetext=True)
+    place = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{inner}/({listing})$", 1)
+    scope = F.when(F.col("_metadata.file_name") == files["global"], "global").otherwise("per_class")
+    rows = text.select(place.alias("name"), scope.alias("scope"), F.explode(F.from_json("value", "map<string,string>")).alias("metric", "_text"))
+    return rows.withColumn("value", F.col("_text").try_cast("double")).where("value is not null").join(runs, "name").select("name", "percent", "scope", "metric", "value")

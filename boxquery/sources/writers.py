@@ -15,12 +15,20 @@ def annotation_struct() -> Column:
     return F.struct("id", "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
 
 
-def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row, ``json``. For hand-over to tools that want one file; large sets stay in Parquet."""
-    i = images.agg(F.sort_array(F.collect_list(F.struct("id", "file_name", "width", "height"))).alias("images"))
-    a = annotations.agg(F.sort_array(F.collect_list(annotation_struct())).alias("annotations"))
-    c = categories.agg(F.sort_array(F.collect_list(F.struct("id", "name"))).alias("categories"))
-    return i.crossJoin(a).crossJoin(c).select(F.to_json(F.struct("images", "annotations", "categories")).alias("json"))
+def coco_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """The lines of one COCO document, in order, column ``value``: a line each image, annotation and category.
+
+    For hand-over to tools that want one file; large sets stay in Parquet. No row holds more than
+    one entry, so a document of any length is sorted by all tasks, and streamed where one task writes it. Ids are unique in the format.
+    """
+    spark = annotations.sparkSession
+    forms = [("images", images, F.struct("id", "file_name", "width", "height")), ("annotations", annotations, annotation_struct()), ("categories", categories, F.struct("id", "name"))]
+    marks = spark.createDataFrame([(2 * k, 0, ("{" if k == 0 else "],") + f'"{name}":[') for k, (name, _, _) in enumerate(forms)] + [(2 * len(forms), 0, "]}")], "_k int, _id long, value string")
+    for k, (_, df, form) in enumerate(forms):
+        first = F.broadcast(df.agg(F.min("id").alias("_first")))  # one row
+        text = F.concat(F.when(F.col("id") == F.col("_first"), "").otherwise(","), F.to_json(form))
+        marks = marks.unionByName(df.join(first).select(F.lit(2 * k + 1).alias("_k"), F.col("id").cast("long").alias("_id"), text.alias("value")))
+    return marks.orderBy("_k", "_id").select("value")
 
 
 def formatted(df: DataFrame, numbers: Sequence[str], places: int = 4, missing: str = "N/A") -> DataFrame:

@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from boxquery.sources import readers, writers
 
 
@@ -15,8 +18,31 @@ def test_coco_round_trip(spark, tmp_path):
     doc = {"images": [{"id": 1, "file_name": "a.tif", "width": 9, "height": 9}], "annotations": [{"id": 0, "image_id": 1, "category_id": 2, "bbox": [1.0, 2.0, 3.0, 4.0], "area": 12.0, "iscrowd": 0}], "categories": [{"id": 2, "name": "b"}]}
     parts = readers.coco(spark, put(tmp_path, "c.json", doc))
     assert parts["annotations"].select("x", "y", "w", "h").first() == (1.0, 2.0, 3.0, 4.0)
-    back = json.loads(writers.coco_document(parts["images"], parts["annotations"], parts["categories"]).first().json)
+    back = json.loads("".join(r.value for r in writers.coco_lines(parts["images"], parts["annotations"], parts["categories"]).collect()))
     assert back == doc
+    none = [parts[k].limit(0) for k in ("images", "annotations", "categories")]
+    writers.one_file(writers.coco_lines(*none), f"file://{tmp_path}/none.json")
+    assert json.loads((tmp_path / "none.json").read_text()) == {"images": [], "annotations": [], "categories": []}
+
+
+def test_a_long_document_is_one_file_in_order(spark, tmp_path):
+    notes = spark.range(3000).repartition(9).select("id", F.lit(1).alias("image_id"), F.lit(2).alias("category_id"), *(F.lit(1.0).alias(c) for c in "xywh"))
+    images = spark.createDataFrame([(1, "a", 9, 9)], "id long, file_name string, width int, height int")
+    writers.one_file(writers.coco_lines(images, notes, spark.createDataFrame([(2, "b")], "id int, name string")), f"file://{tmp_path}/long.json")
+    assert [a["id"] for a in json.loads((tmp_path / "long.json").read_text())["annotations"]] == list(range(3000))
+
+
+def test_ratio_runs_need_both_files(spark, tmp_path):
+    for name, files in {"r20": 2, "r0p5": 2, "r30": 1, "none": 2}.items():
+        (tmp_path / name / "eval").mkdir(parents=True)
+        (tmp_path / name / "eval" / "metrics.json").write_text('{"AP": 0.5, "note": "x", "AR": 1}')
+        if files == 2:
+            (tmp_path / name / "eval" / "metrics_per_class.json").write_text('{"car": 0.25}')
+    got = {tuple(r) for r in readers.ratio_runs(spark, f"file://{tmp_path}", inner="eval").collect()}
+    assert got == {(n, p, *m) for n, p in (("r20", 20.0), ("r0p5", 50.0)) for m in (("global", "AP", 0.5), ("global", "AR", 1.0), ("per_class", "car", 0.25))}
+    assert {r.name for r in readers.ratio_runs(spark, f"file://{tmp_path}", ["r20", "r30"], "eval").collect()} == {"r20"}
+    with pytest.raises(ValueError):
+        readers.ratio_runs(spark, f"file://{tmp_path}", ["r30"], "eval")
 
 
 def test_geojson_strict_and_tolerant(spark, tmp_path):
