@@ -169,11 +169,11 @@ def k05_missing_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.missing_sets(d, d.where("prompt_set in (0, 2)")).select("det_id")
 
 
-@query("SELECT image_id, category_id, x, y, w, h, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT *, 'one' AS source FROM det WHERE src = 1 UNION ALL SELECT *, 'two' FROM det WHERE src = 2) GROUP BY ALL")
+@query("SELECT image_id, category_id, x, y, w, h, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT *, ['zero', 'one', 'two'][src + 1] AS source FROM det) GROUP BY ALL")
 def u01_a21_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every box of the union of sources, with its rows and its sources."""
     d = views.detections(spark, sf_dir)
-    both = dataset.union_sources({"one": d.where("src = 1"), "two": d.where("src = 2")})
+    both = dataset.union_sources({name: d.where(F.col("src") == k) for k, name in enumerate(("zero", "one", "two"))})
     return both.groupBy("image_id", "category_id", "x", "y", "w", "h").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 

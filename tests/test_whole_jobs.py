@@ -70,7 +70,7 @@ def test_all_sources_keep_every_box(spark):
     got = registry.QUERIES["u01_a21_sources"](spark, sf).collect()
     boxes = collections.defaultdict(list)
     for r in views.detections(spark, sf).collect():
-        boxes[r.image_id, r.category_id, r.x, r.y, r.w, r.h].append({1: "one", 2: "two"}[r.src])
+        boxes[r.image_id, r.category_id, r.x, r.y, r.w, r.h].append(("zero", "one", "two")[r.src])
     assert {(r.image_id, r.category_id, r.x, r.y, r.w, r.h): (r.n, r.sources) for r in got} == {b: (len(s), ",".join(sorted(set(s)))) for b, s in boxes.items()}
     assert any(r.n == 1 and r.image_id % 2 for r in got)
 
