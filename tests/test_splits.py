@@ -72,7 +72,7 @@ def badness(m, out):
     return sum(splits.share_deviation(total(m, [i for i in m if out[i] == s]), total(m), r) for s, r in RATIOS.items())
 
 
-@pytest.mark.parametrize("seed, batch", [(0, 512), (3, 1), (5, 7)])
+@pytest.mark.parametrize("seed, batch", [(0, 512), (3, 1)])
 def test_split(spark, seed, batch):
     m = matrix()
     counts = frames(spark, m)
