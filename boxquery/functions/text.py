@@ -54,8 +54,8 @@ FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
 
 def normalize_label(label: Column) -> Column:
     """Lower case without marks; & is "and", / and - are spaces, other signs too; single spaces."""
-    s = F.regexp_replace(F.regexp_replace(fold(label), "&", " and "), "[/-]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    s = F.replace(fold(label), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
 def words_of(norm: Column) -> Column:
