@@ -2,8 +2,9 @@
 
 Each run of training documents is a shard. Its word suffixes that may match (all
 words of their first window occur in some item) are sorted into a suffix array;
-every suffix of every benchmark item is looked up in it by binary search. The
-matches, with places, are the item windows that occur in the document.
+every suffix of every benchmark item is looked up in it by binary search. Item
+windows that follow each other in the item and in the document are one match, as
+long as both agree; of each document and item the longest is kept with its places.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Items:
     vocabulary: np.ndarray
     words: np.ndarray
     starts: np.ndarray  # first word of each suffix that is a window
+    begins: np.ndarray  # the same, counted within the item
     lengths: np.ndarray
     owner: np.ndarray
     ids: list[str]
@@ -49,7 +51,7 @@ def prepare(ids: list[str], texts: list[str | None], window: int = WINDOW) -> It
     counts = np.maximum(sizes - window + 1, np.minimum(sizes, 1))
     owner = np.repeat(np.arange(len(sizes)), counts)
     starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + at[:-1][owner]
-    return Items(vocabulary, numbers.astype(np.int64), starts, np.minimum(sizes, window)[owner], owner, ids)
+    return Items(vocabulary, numbers.astype(np.int64), starts, starts - at[:-1][owner], np.minimum(sizes, window)[owner], owner, ids)
 
 
 class Shard:
@@ -99,9 +101,9 @@ class Shard:
             cache[depth] = np.where((near >= 0) & (far >= 0) & (keys[at] == want if len(keys) else False), at, -1)
         return cache[depth]
 
-    def matches(self, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word positions in the shard, item numbers and lengths of all occurrences of item windows."""
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def matches(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
+        """Word positions in the shard and numbers of the item suffixes, of all occurrences of item windows."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         cache: dict[int, np.ndarray] = {}
         for depth in np.unique(items.lengths):
             depth = int(depth)
@@ -114,73 +116,136 @@ class Shard:
             n = np.where(want >= 0, high - low, 0)
             which = np.repeat(np.arange(len(mine)), n)
             at = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]]
-            found.append((self.place[at], items.owner[mine][which], np.full(len(at), depth)))
+            found.append((self.place[at], mine[which]))
         if not found:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 2
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def find(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Of each text: its words, the merged spans (start, end, ...) of its hit words, the numbers of its items."""
-    hashes, at = _hashed_words(data, offsets)
-    texts = len(offsets) - 1
+@dataclass
+class Found:
+    """What one block of items has in a run of texts; of each text a list."""
+
+    spans: list[np.ndarray]  # the merged spans (start, end, ...) of its hit words
+    longest: list[list[tuple[str, int, int, int]]]  # item, its word, the text's word, length: the longest match with each item
+
+
+def _fresh(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for key in keys:
+        out[1:] |= key[1:] != key[:-1]
+    return out
+
+
+def extended(start: np.ndarray, suffix: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal matches: positions, item numbers, the items' words, lengths.
+
+    Windows on one diagonal, each a word after the other, are one match; it can grow neither way.
+    """
+    item, begin = items.owner[suffix], items.begins[suffix]
+    order = np.lexsort((start, start - begin, item))
+    start, item, begin, length = start[order], item[order], begin[order], items.lengths[suffix][order]
+    first = np.flatnonzero(_fresh(item, start - begin, start - np.arange(len(start))))
+    last = np.append(first[1:], len(start))[: len(first)] - 1
+    return start[first], item[first], begin[first], start[last] - start[first] + length[last]
+
+
+def find(hashes: np.ndarray, at: np.ndarray, items: Items) -> Found:
+    """``hashes``: the texts' words one after the other; ``at``: where each text's begin, and the end."""
+    texts = len(at) - 1
+    out = Found([np.zeros(0, np.int64)] * texts, [[] for _ in range(texts)])
     if not len(items.starts) or not len(hashes):
-        return np.diff(at), [np.zeros(0, np.int64)] * texts, [np.zeros(0, np.int64)] * texts
+        return out
     near = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     numbers = np.where(items.vocabulary[near] == hashes, near, -1)
     owner = np.repeat(np.arange(texts), np.diff(at))
     shard = Shard(numbers, at[1:][owner], int(items.lengths.min()))
-    start, item, length = shard.matches(items)
+    start, item, begin, length = extended(*shard.matches(items), items)
     depth = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(depth, start, 1)
     np.add.at(depth, start + length, -1)
     hit = np.cumsum(depth[:-1]) > 0
-    spans: list[np.ndarray] = [np.zeros(0, np.int64)] * texts
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * texts
-    for k in np.unique(owner[start]):
-        a, z = at[k], at[k + 1]
-        inside = hit[a:z]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-        spans[k] = edge
-        found[k] = np.unique(item[owner[start] == k])
-    return np.diff(at), spans, found
-
-
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The items in blocks of about ``block_words`` words, each small enough to be broadcast."""
+    text = owner[start]
+    for k in np.unique(text):
+        out.spans[k] = np.flatnonzero(np.diff(np.concatenate([[False], hit[at[k] : at[k + 1]], [False]]).astype(np.int8)))
+    order = np.lexsort((begin, start, -length, item, text))
+    for j in order[_fresh(text[order], item[order])]:
+        out.longest[text[j]].append((items.ids[item[j]], int(begin[j]), int(start[j] - at[text[j]]), int(length[j])))
+    return out
+
+
+def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[Items, bool]]:
+    """The items in blocks of about ``block_words`` words, each small enough to be broadcast; and whether more follow."""
     texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     length = texts.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
     count = 1 + length // (block_words * 4)
     for k in range(count):
         rows = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()
-        yield prepare([r["item_id"] or "" for r in rows], [r["text"] for r in rows])
+        yield prepare([r["item_id"] or "" for r in rows], [r["text"] for r in rows]), k < count - 1
+
+
+MATCH = pa.struct([("item", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, ``spans`` of hit words (start, end, start, ...) and ``items`` (ids as text, sorted).
+    """doc_id, n_words, ``spans`` of hit words (start, end, start, ...), ``items`` (ids as text, sorted) and ``matches``.
+
+    ``matches`` has each of the items once: item, item_start, start and length, in words, of the longest
+    verbatim match of the two; of equally long ones the first in the document, then in the item.
 
     Null or empty documents have no words. Items without words match nothing; items of
-    one id count once; a null id is the empty text. Rows that repeat are answered each.
-    A benchmark of several blocks is looked up block by block; the answers travel with
-    the rows, and spans are merged as they come.
+    one id count once; a null id is the empty text. Rows that repeat are answered each. Texts of any
+    length are one document in one task; other columns of the documents, whatever their names, are left out.
+    A benchmark of several blocks is looked up block by block; words are hashed for the first of them, hashes
+    and answers travel with the rows, and spans are merged as they come.
     """
     spark = docs.sparkSession
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = out.schema
-    for items in benchmark_blocks(benchmark, block_words):
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", empty("long").alias("words"), F.lit(0).cast("long").alias("n_words"), empty("long").alias("spans"), empty("struct<item:string,item_start:long,start:long,length:long>").alias("matches"))
+    schema = "doc_id long, text string, words array<long>, n_words long, spans array<long>, matches array<struct<item:string,item_start:long,start:long,length:long>>"
+    for k, (items, more) in enumerate(benchmark_blocks(benchmark, block_words)):
         sent = spark.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0, more=more) -> Iterator[pa.RecordBatch]:
             mine = sent.value
             for batch in blocks(batches):
-                sizes, spans, found = find(*text_bytes(batch.column(1)), mine)
-                had_spans, had_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-                spans = [_merged(a, b) for a, b in zip(had_spans, spans, strict=True)]
-                ids = [sorted({*a, *(mine.ids[i] for i in b)}) for a, b in zip(had_items, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=batch.schema.names)
+                if first:
+                    hashes, at = _hashed_words(*text_bytes(batch.column(1)))
+                else:
+                    at = batch.column(2).offsets.to_numpy().astype(np.int64)
+                    hashes, at = batch.column(2).values.to_numpy()[at[0] : at[-1]].view(np.uint64), at - at[0]
+                found = find(hashes, at, mine)
+                spans = [_merged(a, b) for a, b in zip(batch.column(4).to_pylist(), found.spans, strict=True)]
+                matches = [_longest(a, b) for a, b in zip(batch.column(5).to_pylist(), found.longest, strict=True)]
+                none = pa.nulls(len(batch), pa.string())
+                kept = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))) if more else pa.nulls(len(batch), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), none, kept, pa.array(np.diff(at), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(matches, pa.list_(MATCH))], names=batch.schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out.drop("text")
+    return out.select("doc_id", "n_words", "spans", F.transform("matches", lambda m: m["item"]).alias("items"), "matches")
+
+
+def _longest(had: list[dict], found: list[tuple[str, int, int, int]]) -> list[dict]:
+    """One match an item, the longest, the items in order."""
+    best = {m["item"]: m for m in had}
+    for row in found:
+        new = dict(zip(("item", "item_start", "start", "length"), row, strict=True))
+        old = best.setdefault(row[0], new)
+        best[row[0]] = min(old, new, key=lambda m: (-m["length"], m["start"], m["item_start"]))
+    return [best[i] for i in sorted(best)]
+
+
+def longest_by_item(found: DataFrame) -> DataFrame:
+    """Per item that occurs: item, n_docs (rows), and doc_id, start, item_start and length of its longest match in all documents.
+
+    ``found``: what ``contamination`` gives. Of equally long matches the one of the smallest doc_id (null last) and first place stands.
+    """
+    each = found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    order = F.struct(-F.col("length"), F.col("doc_id").isNull(), "doc_id", "start", "item_start")
+    best = each.groupBy("item").agg(F.count(F.lit(1)).alias("n_docs"), F.min_by(F.struct("doc_id", "start", "item_start", "length"), order).alias("b"))
+    return best.select("item", "n_docs", "b.*")
 
 
 def _merged(a: list[int], b: np.ndarray) -> list[int]:
@@ -199,13 +264,13 @@ def _merged(a: list[int], b: np.ndarray) -> list[int]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns, in which no item window occurs."""
     where = docs.columns.index("text")
-    for items in benchmark_blocks(benchmark, block_words):
+    for items, _ in benchmark_blocks(benchmark, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in blocks(batches):
-                _, spans, _ = find(*text_bytes(batch.column(where)), sent.value)
-                yield batch.filter(pa.array([not len(x) for x in spans], pa.bool_()))
+                found = find(*_hashed_words(*text_bytes(batch.column(where))), sent.value)
+                yield batch.filter(pa.array([not len(x) for x in found.spans], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
@@ -214,20 +279,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return got.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    best = F.array_min(F.transform("matches", lambda m: F.struct((-m["length"]).alias("n"), m["start"].alias("start"), m["item"].alias("item"), m["item_start"].alias("item_start"))))
+    got = got.withColumn("best", best)
+    longest = [F.coalesce(-F.col("best.n"), F.lit(0)).cast("long").alias("longest"), F.col("best.start").alias("longest_start"), F.col("best.item").alias("longest_item"), F.col("best.item_start").alias("longest_item_start")]
+    return got.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), *longest)
 
 
 ORACLE_SQL = r"""
 WITH w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 bl AS (SELECT *, least(len(ws), 10) AS k FROM b WHERE len(ws) > 0),
-bw AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM bl)),
+bw AS (SELECT DISTINCT item_id, k, i AS j, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM bl)),
 ks AS (SELECT DISTINCT k FROM bl),
 dw AS (SELECT id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, ks WHERE len(ws) >= k)),
-hits AS (SELECT id, i, dw.k, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
+hits AS (SELECT id, i, dw.k, item_id, j FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
 pos AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY id),
+runs AS (SELECT id, item_id::VARCHAR AS item, min(i) AS i, min(j) AS j, max(i) - min(i) + k AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY id, item_id, k, i - j ORDER BY i) AS r FROM hits) GROUP BY id, item_id, k, i - j, r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, i, item, j) = 1),
 its AS (SELECT id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined FROM (SELECT DISTINCT id, item_id::VARCHAR AS s FROM hits) GROUP BY id)
 SELECT w.id AS doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN pos ON pos.id = w.id LEFT JOIN its ON its.id = w.id
+  sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(best.n, 0)::BIGINT AS longest, (best.i - 1)::BIGINT AS longest_start, best.item AS longest_item, (best.j - 1)::BIGINT AS longest_item_start
+FROM w LEFT JOIN pos ON pos.id = w.id LEFT JOIN its ON its.id = w.id LEFT JOIN best ON best.id = w.id
 """

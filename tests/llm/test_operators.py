@@ -275,6 +275,21 @@ def brute_hits(texts, items, width=10):
     return out
 
 
+def brute_longest(text, items, width=10):
+    """The most consecutive words that the text shares with each item, where a window of it occurs."""
+    words = lambda t: ALNUM_WORD.findall((t or "").translate(LOW))
+    a, out = words(text), {}
+    for i, t in items:
+        b = words(t)
+        before, most = [0] * (len(b) + 1), 0
+        for x in a if b else ():
+            before = [0] + [before[k] + 1 if x == y else 0 for k, y in enumerate(b)]
+            most = max(most, *before)
+        if b and most >= min(width, len(b)):
+            out[i] = max(out.get(i, 0), most)
+    return out
+
+
 @pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 3])
 def test_decontamination(spark, docs, rows, block):
     items = [("1", " ".join(rows[0][1].split(" ")[3:20])), ("2", "ONE, two!"), ("3", None), ("4", "..."), ("5", "w1"), ("5", rows[5][1][:200]), ("6", "é漢字 " * 12)]
@@ -283,6 +298,22 @@ def test_decontamination(spark, docs, rows, block):
     got = decontam.contamination(docs, bench, block)
     n = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     same(got.withColumn("n_hit", n), want, "doc_id", "n_words", "n_hit", "items")
+    longest = {(i, x): n for i, t, _ in rows for x, n in brute_longest(t, items).items()}
+    found = got.collect()
+    for r in found:
+        assert [m.item for m in r["matches"]] == r["items"]
+    assert sorted((m.length for r in found for m in r["matches"])) == sorted(n for i, t, _ in rows for n in brute_longest(t, items).values())
+    low = lambda t: ALNUM_WORD.findall((t or "").translate(LOW))
+    for r in found:
+        texts = [low(t) for i, t, _ in rows if i == r.doc_id and len(low(t)) == r.n_words]
+        for m in r["matches"]:
+            n = slice(m.start, m.start + m.length), slice(m.item_start, m.item_start + m.length)
+            assert any(w[n[0]] == low(t)[n[1]] != [] for w in texts for i, t in items if i == m.item)
+    by_item = {r.item: r for r in decontam.longest_by_item(got).collect()}
+    assert set(by_item) == {x for _, x in longest}
+    for item, r in by_item.items():
+        assert r.length == max(n for (_, x), n in longest.items() if x == item)
+        assert r.n_docs == sum(x == item for _, t, _ in rows for x in brute_longest(t, items))
     clean = decontam.decontaminate(docs, bench, block)
     assert clean.columns == docs.columns
     same(clean, [(i,) for i, _, h, _ in want if not h], "doc_id")
