@@ -88,7 +88,7 @@ def resolve_labels(labels: DataFrame, aliases: DataFrame, least: float = 0.45) -
     """
     wanted = labels.select("label").distinct().withColumn("norm", normalize_label(F.col("label"))).withColumns({"toks": words_of(F.col("norm")), **_key("label")})
     known = aliases.select("class_name", "pos", normalize_label(F.col("alias")).alias("norm"), tokens(F.col("alias")).alias("set_toks")).distinct()
-    known = known.withColumns({"a": F.xxhash64("class_name", "pos", "norm"), "m": F.size("set_toks")})
+    known = parked(known.withColumns({"a": F.xxhash64("class_name", "pos", "norm"), "m": F.size("set_toks")}), "aliases")
     hint = _hint(known)
     exact = wanted.join(hint(known.groupBy("norm").agg(F.min_by("class_name", "pos").alias("exact"))), "norm", "left")
     exact = parked(exact.select("label", "k1", "k2", "exact", F.size("toks").alias("n"), "toks"), "labels")
