@@ -83,7 +83,8 @@ def metric_sweep(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float], i
     localisation losses and calibration bins are summed by how many thresholds a score passes,
     and the sums are added from the top. Curves keep, for each class and place, the best point of each recall.
     Of a truth box, the mean score of all detections on it changes only at places where it has one: the
-    changes of its error are summed. Where no detection is left the metrics are ``NULL_METRICS``.
+    changes of its error are summed. Where no detection is left the metrics are ``NULL_METRICS``, and so are the
+    calibration errors where all that are left have scores out of [0, 1].
     A null score passes nothing. ``ap50`` is the mean over the classes with truth boxes, at ``iou``.
     """
     spark = dets.sparkSession
@@ -101,7 +102,8 @@ def metric_sweep(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float], i
     per = grid.crossJoin(F.broadcast(every)).join(per, ["p", "bin"], "left").fillna(0, list(sums))
     per = per.withColumns({k: F.sum(k).over(from_the_top("p", "bin")) for k in sums})
     gap = lambda target: F.sum(F.when(F.col("bin") >= 0, F.abs(F.col("conf") - F.col(target)))) / F.sum("n")
-    total = per.groupBy("p", "t").agg(*(F.sum(k).alias(f"_{k}") for k in ("n", "tp", "loss")), F.when(F.sum("n") > 0, gap("tp")).alias("d_ece"), F.when(F.sum("n") > 0, gap("hit_iou")).alias("la_ece0"))
+    binned = F.sum(F.when(F.col("bin") >= 0, F.col("n")))
+    total = per.groupBy("p", "t").agg(*(F.sum(k).alias(f"_{k}") for k in ("n", "tp", "loss")), F.when(binned > 0, gap("tp")).alias("d_ece"), F.when(binned > 0, gap("hit_iou")).alias("la_ece0"))
     # errors of the truth boxes
     on = candidates(placed, gts, keys, iou).select("gt_id", "det_id").join(placed.select("det_id", "score", "p"), "det_id")
     on = on.groupBy("gt_id", "p").agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("_c"))
@@ -124,7 +126,7 @@ def metric_sweep(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float], i
         "ap50": F.col("_ap"),
         "lrp": F.coalesce(F.try_divide(F.col("_loss") + fp + fn, F.col("_tp") + fp + fn), F.lit(0.0)),
         "oce": F.when(F.col("n_gt") > 0, 1 + F.col("_change") / F.col("n_gt")).otherwise(0.0),
-        "d_ece": F.col("d_ece"), "la_ece0": F.col("la_ece0"),
+        **{k: F.coalesce(k, F.lit(NULL_METRICS[k])) for k in ("d_ece", "la_ece0")},
     }
     return out.select("t", F.col("_n").alias("n"), *(F.when(F.col("_n") > 0, v).otherwise(NULL_METRICS[k]).alias(k) for k, v in metrics.items()))
 
