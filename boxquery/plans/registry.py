@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquery.plans.views import WITH_VIEWS
@@ -30,8 +30,15 @@ def query(sql: str | None = None, views: bool = True) -> Callable[[Query], Query
     return add
 
 
+def round_like_sql(name: str, places: int) -> Column:
+    """A double rounded the way the SQL's engine does it: scaled, and the scaled double rounded (F.round takes the decimal that prints the value)."""
+    scale = F.lit(10.0**places)
+    return F.round(F.col(name) * scale) / scale
+
+
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, places) for n in names})
+    doubles = {n for n, kind in df.dtypes if kind == "double"}
+    return df.withColumns({n: round_like_sql(n, places) if n in doubles else F.round(n, places) for n in names})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
