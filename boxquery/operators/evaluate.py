@@ -75,6 +75,17 @@ def average_precision(rows: DataFrame, truths: DataFrame, by: Sequence[str]) ->
     return curve_area(best_points(precision_curve(rows, truths, by), by), truths, by)
 
 
+def ap_of_pairs(dets: DataFrame, pairs: DataFrame, truths: DataFrame, by: Sequence[str], crowd: DataFrame | None = None) -> DataFrame:
+    """by, category_id, ap and recall from pairs that are known already, of detections and truth boxes of one class.
+
+    dets: by, category_id, det_id, score; pairs: by, image_id, category_id, det_id, gt_id, iou, _s, gt_category_id (pairs of two classes go); truths: by, category_id, npos.
+    """
+    same = pairs.where("category_id = gt_category_id").select(*by, "image_id", "category_id", "det_id", "gt_id", "iou", "_s")
+    found = greedy_choice(same, [*by, "image_id", "category_id"], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowd).select(*by, "det_id", F.lit(True).alias("tp"))
+    rows = dets.select(*by, "category_id", "det_id", "score").join(found, [*by, "det_id"], "left").fillna(False, ["tp"])
+    return average_precision(rows, truths, [*by, "category_id"])
+
+
 def ap_by_class(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, most: int | None = None) -> DataFrame:
     """category_id, t, ap, recall; classes without truth boxes are absent."""
     if most is not None:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxquery.operators.overlaps import BOX, by_group, crowded, greedy_choice, iou_join, overlapped, suppressed
+from boxquery.sources.scratch import parked
 
 
 def greedy_dedup(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column], id: str, threshold: float) -> DataFrame:
@@ -98,10 +99,10 @@ def component_sweep(boxes: DataFrame, keys: Sequence[str], id: str, thresholds:
     return boxes.select(id).crossJoin(table).join(labels, ["t", id], "left").select("t", id, F.coalesce("_label", id).alias("cluster"))
 
 
-def candidates_of(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float, also: Sequence[str] = ()) -> DataFrame:
-    """keys, det_id, gt_id, iou and _s (the score turned round; null: last) of all pairs of ``threshold`` or more, with columns ``also`` of the detections."""
-    pairs = iou_join(dets.select(*keys, *also, "det_id", "score", *BOX), gts.select(*keys, "gt_id", *BOX), keys, threshold)
-    return pairs.select(*(F.col(f"a_{k}").alias(k) for k in (*keys, *also)), F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"), "iou", F.coalesce(-F.col("a_score"), F.lit(float("inf"))).alias("_s"))
+def candidates_of(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float, also: Sequence[str] = (), of_gts: Sequence[str] = ()) -> DataFrame:
+    """keys, det_id, gt_id, iou and _s (the score turned round; null: last) of all pairs of ``threshold`` or more, with columns ``also`` of the detections and, as gt_*, ``of_gts`` of the truth boxes."""
+    pairs = iou_join(dets.select(*keys, *also, "det_id", "score", *BOX), gts.select(*keys, *of_gts, "gt_id", *BOX), keys, threshold)
+    return pairs.select(*(F.col(f"a_{k}").alias(k) for k in (*keys, *also)), F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"), "iou", F.coalesce(-F.col("a_score"), F.lit(float("inf"))).alias("_s"), *(F.col(f"b_{c}").alias(f"gt_{c}") for c in of_gts))
 
 
 def candidates(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
@@ -128,6 +129,16 @@ def greedy_match(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold
     return found.select(*keys, *extra, "det_id", "gt_id", "iou")
 
 
+def class_free_match(pairs: DataFrame, by: Sequence[str], relabel_at: float, crowd: DataFrame | None = None) -> DataFrame:
+    """by, det_id and _cat: the class of the truth box that each detection takes at ``relabel_at`` in its image, whatever the classes.
+
+    pairs: by, image_id, det_id, gt_id, iou, _s, gt_category_id; as a table, what is made of them doesn't match again.
+    """
+    near = pairs.where(F.col("iou") >= relabel_at).select(*by, "image_id", "det_id", "gt_id", "iou", "_s", "gt_category_id")
+    found = greedy_choice(near, [*by, "image_id"], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowd)
+    return parked(found.select(*by, "det_id", F.col("gt_category_id").alias("_cat")), "classes")
+
+
 def relabel(dets: DataFrame, matches: DataFrame, gts: DataFrame) -> DataFrame:
     """Detections with the class of the truth box they matched; the others keep theirs."""
     to = matches.select("det_id", "gt_id").join(gts.select("gt_id", F.col("category_id").alias("_cat")), "gt_id").select("det_id", "_cat")

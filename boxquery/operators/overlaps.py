@@ -55,15 +55,25 @@ def _at_centre(df: DataFrame, p: str) -> DataFrame:
     return df.withColumn("_l", F.expr(f"case when {_solid_sql(p)} then {_level_sql(f'greatest({p}w, {p}h)')} end")).withColumns({"_cx": F.expr(f"floor(({p}x + {p}w / 2D) / {size})"), "_cy": F.expr(f"floor(({p}y + {p}h / 2D) / {size})")})
 
 
-def _around(df: DataFrame, p: str, threshold: float) -> DataFrame:
+def _around(df: DataFrame, p: str, threshold: float, centres: DataFrame) -> DataFrame:
     """Each box in all cells that hold the centre of a box which it may overlap by ``threshold``.
 
-    Overlap bounds the ratio of the sides from both ends by the threshold, and so the levels.
+    Overlap bounds the ratio of the sides from both ends by the threshold, and so the levels; of these only the
+    ones that ``centres`` has are filled. On either axis the boxes share the threshold's part of the longer side at least, and
+    so the centre of a side of m at most is no farther out than m / 2 less that part.
     """
     t = min(threshold, 1.0) * (1 - 1e-9)
+    slack = 0.9 * t  # far from rounding
     side, size = f"greatest({p}w, {p}h)", _size_sql("_l")
-    range_of = lambda v, n: F.expr(f"explode(sequence(floor(({p}{v} - {size} / 4D) / {size}), floor(({p}{v} + {p}{n} + {size} / 4D) / {size})))")
+
+    def range_of(v: str, n: str) -> Column:
+        most = f"least({size} / 2D, {p}{n} * {1.0 if slack >= 0.5 else 1 / slack}D)"
+        out = f"({most} / 2D - {slack}D * greatest({most}, {p}{n}))"
+        return F.expr(f"explode(sequence(floor(({p}{v} - {out}) / {size}), floor(({p}{v} + {p}{n} + {out}) / {size})))")
+
     levels = df.where(_solid_sql(p)).withColumn("_l", F.expr(f"explode(sequence({_level_sql(f'{side} * {t}D')}, {_level_sql(f'{side} / {t}D')}))"))
+    held = F.broadcast(centres.select(F.col("_l").alias("_held")).distinct())  # 64 at most
+    levels = levels.join(held, F.col("_l") == F.col("_held"), "left_semi")
     return levels.withColumn("_cx", range_of("x", "w")).withColumn("_cy", range_of("y", "h"))
 
 
@@ -110,7 +120,8 @@ def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float,
         extra = F.expr(f"({inside[0]} or {inside[1]})") if centroid == "or" else F.lit(False)
         return left.join(right, [*on, test | extra]).select(*columns).withColumn("iou", F.expr(near))
     # a size that is guessed before boxes are put into their cells must not make a broadcast of them
-    l, r = _at_centre(left, "a_").hint("merge").alias("_p"), _around(right, "b_", threshold).alias("_q")  # noqa: E741
+    centres = _at_centre(left, "a_")
+    l, r = centres.hint("merge").alias("_p"), _around(right, "b_", threshold, centres).alias("_q")  # noqa: E741
     cell = [F.col(f"_p.{c}") == F.col(f"_q.{c}") for c in ("_l", "_cx", "_cy")]
     out = l.join(r, [*on, *cell, test]).select(*columns)
     if centroid == "or":
@@ -130,7 +141,8 @@ def overlapped(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float
     if threshold > 0:
         on.append(F.expr(f"{_solid_sql('_a_')} and {_solid_sql('b_')}"))
     if threshold >= LEAST_BY_CELLS:
-        left, right = _at_centre(left, "_a_").hint("merge"), _around(right, "b_", threshold)
+        centres = _at_centre(left, "_a_")
+        left, right = centres.hint("merge"), _around(right, "b_", threshold, centres)
         on += [F.col(f"_p.{c}") == F.col(f"_q.{c}") for c in ("_l", "_cx", "_cy")]
     return left.alias("_p").join(right.alias("_q"), on, "left_semi").select(*a.columns)
 
@@ -149,7 +161,7 @@ def new_groups(batch: pa.RecordBatch, keys: Sequence[str], last: pa.RecordBatch
     return new
 
 
-def by_group(rows: DataFrame, keys: Sequence[str], order: Sequence[str], run: Callable[[Iterator[tuple[pa.RecordBatch, np.ndarray]]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def by_group(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], run: Callable[[Iterator[tuple[pa.RecordBatch, np.ndarray]]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``run`` over each task's rows, sorted by keys and order, with the flags of the first rows of groups."""
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -168,37 +180,42 @@ def crowded(boxes: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return None if large.isEmpty() else parked(large, "crowded")
 
 
-def _take_first(pairs: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _take_first(who: str, what: str) -> Callable[[Iterator[tuple[pa.RecordBatch, np.ndarray]]], Iterator[pa.RecordBatch]]:
     """Of each chooser, in order, the first pair whose chosen one is free."""
-    taken: set = set()
-    chooser, free = None, True
-    for batch, new in pairs:
-        keep = np.zeros(batch.num_rows, bool)
-        for k, (who, what, first) in enumerate(zip(batch.column("_who").to_pylist(), batch.column("_what").to_pylist(), new.tolist(), strict=True)):
-            if first:
-                taken = set()
-            if first or who != chooser:
-                chooser, free = who, True
-            if free and what not in taken:
-                taken.add(what)
-                keep[k], free = True, False
-        yield batch.filter(pa.array(keep))
+
+    def run(pairs: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        taken: set = set()
+        chooser, free = None, True
+        for batch, new in pairs:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (one, other, first) in enumerate(zip(batch.column(who).to_pylist(), batch.column(what).to_pylist(), new.tolist(), strict=True)):
+                if first:
+                    taken = set()
+                if first or one != chooser:
+                    chooser, free = one, True
+                if free and other not in taken:
+                    taken.add(other)
+                    keep[k], free = True, False
+            yield batch.filter(pa.array(keep))
+
+    return run
 
 
 def greedy_choice(pairs: DataFrame, keys: Sequence[str], who: str, what: str, rank: Sequence[Column], preference: Sequence[Column], crowd: DataFrame | None = None) -> DataFrame:
     """The pairs that come of choosing in turn: each ``who``, by rank, takes of its pairs the first free ``what`` by preference.
 
     Rank and preference ascend; they end in the two ids, so the result doesn't depend on the
-    partitions. A task reads its groups' pairs once, in order, and holds the taken ids of one group.
+    partitions. A task reads its groups' pairs once, in order, and holds the taken ids of one group; pairs are shuffled
+    as they are, so leave out columns that nothing needs.
     Groups of ``crowd`` (some of the keys) go by rounds: a pair is settled when its ``what`` is the best one left to ``who``
     and ``who`` is the first left of all that have a pair with ``what``; nobody who comes earlier can take it then.
     """
+    scan = lambda df: by_group(df.select(*pairs.columns), keys, [*rank, who, *preference, what], _take_first(who, what), pairs.schema)
+    if crowd is None:
+        return scan(pairs)
+    out = scan(pairs.join(crowd, crowd.columns, "left_anti"))
     ranks, wants = [f"_r{i}" for i in range(len(rank))], [f"_w{i}" for i in range(len(preference))]
     rows = pairs.withColumns({**dict(zip(ranks, rank, strict=True)), **dict(zip(wants, preference, strict=True)), "_who": F.col(who), "_what": F.col(what)})
-    scan = lambda df: by_group(df, keys, [*ranks, "_who", *wants, "_what"], _take_first, rows.schema).select(*pairs.columns)
-    if crowd is None:
-        return scan(rows)
-    out = scan(rows.join(crowd, crowd.columns, "left_anti").select(*rows.columns))
     left = parked(rows.join(crowd, crowd.columns, "left_semi").select(*rows.columns), "pairs")
     for _ in range(MOST_ROUNDS):
         if left.isEmpty():
