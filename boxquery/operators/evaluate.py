@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxquery.operators.matching import candidates, candidates_of, greedy_match, two_phase_match
+from boxquery.operators.matching import candidates_of, class_free_match, greedy_match, two_phase_match
 from boxquery.operators.overlaps import BOX, crowded, greedy_choice, iou_join
 from boxquery.sources.scratch import parked
 
@@ -106,8 +106,8 @@ def ranged_matches(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, range
     both = lambda df: df.crossJoin(F.broadcast(thresholds.select("t"))).crossJoin(table)
     outside = F.expr("w * h < lo or w * h > hi")
     least = min(thresholds.agg(F.min("t")).first()[0], 1 - 1e-10)
-    sized = candidates(dets, gts, keys, least).join(gts.select("gt_id", "w", "h"), "gt_id")
-    pairs = both(sized).where("iou >= least(t, 1D - 1e-10D)").withColumn("ign", outside)
+    sized = candidates_of(dets, gts, keys, least, of_gts=["w", "h"]).withColumnsRenamed({"gt_w": "w", "gt_h": "h"})
+    pairs = both(sized).where("iou >= least(t, 1D - 1e-10D)").select("t", "area", *keys, "det_id", "gt_id", "iou", "_s", outside.alias("ign"))
     found = greedy_choice(pairs, ["t", "area", *keys], "det_id", "gt_id", [F.col("_s")], [F.col("ign"), -F.col("iou")], crowded(dets, keys))
     rows = both(dets.select("category_id", "det_id", "score", "w", "h", *also)).withColumn("_out", outside)
     rows = rows.join(found.select("t", "area", "det_id", "ign"), ["t", "area", "det_id"], "left")
@@ -194,7 +194,7 @@ def method_comparison(methods: dict[str, DataFrame], gts: DataFrame, relabel_at:
     """method, n_dets, ap50 and recall over ten thresholds (ar), class-aware and class-agnostic, of the results of several methods.
 
     ``methods``: detections by name, with ids unique within each. The method is a
-    column, so all of them share the joins, the matching and the ranking. Class-agnostic: a detection first takes the class of the
+    column, so all of them share the matching and the ranking; boxes are joined once for both. Class-agnostic: a detection first takes the class of the
     truth box that it matches at ``relabel_at``. Methods without detections have no row.
     """
     spark = gts.sparkSession
@@ -204,16 +204,18 @@ def method_comparison(methods: dict[str, DataFrame], gts: DataFrame, relabel_at:
         dets = part if dets is None else dets.unionByName(part)
     assert dets is not None, "no methods"
     dets = parked(dets, "methods")
-    pairs = candidates_of(dets, gts, ["image_id"], relabel_at, ["method"])
-    near = greedy_choice(pairs, ["method", "image_id"], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowded(dets, ["image_id"])).join(gts.select("gt_id", F.col("category_id").alias("_cat")), "gt_id").select("method", "det_id", "_cat")
+    pairs = parked(candidates_of(dets, gts, ["image_id"], min(relabel_at, *COCO_THRESHOLDS), ["method"], ["category_id"]), "pairs")
+    crowd = crowded(dets, ["image_id"])
+    near = class_free_match(pairs, ["method"], relabel_at, crowd)
     free = dets.join(near, ["method", "det_id"], "left").withColumn("category_id", F.coalesce("_cat", "category_id")).drop("_cat")
     both = dets.withColumn("mode", F.lit("aware")).unionByName(free.withColumn("mode", F.lit("agnostic")))
     rank = F.row_number().over(W.partitionBy("mode", "method", *keys).orderBy(F.desc("score"), "det_id"))
     both = parked(both.withColumn("_place", rank).where(F.col("_place") <= cap).drop("_place"), "ranked-methods")
     table = F.broadcast(threshold_table(spark, COCO_THRESHOLDS))
     by = ["mode", "method", "category_id", "t"]
-    pairs = candidates_of(both, gts, keys, min(COCO_THRESHOLDS), ["mode", "method"]).crossJoin(table).where("iou >= t")
-    found = greedy_choice(pairs, ["mode", "method", "t", *keys], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowded(both, keys)).select("mode", "method", "t", "det_id", F.lit(True).alias("tp"))
+    known = pairs.where(F.col("iou") >= min(COCO_THRESHOLDS)).join(both.select("mode", "method", "det_id", "category_id"), ["method", "det_id"]).where("category_id = gt_category_id")
+    pairs = known.crossJoin(table).where("iou >= t").select("mode", "method", "t", *keys, "det_id", "gt_id", "iou", "_s")
+    found = greedy_choice(pairs, ["mode", "method", "t", *keys], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowd).select("mode", "method", "t", "det_id", F.lit(True).alias("tp"))
     rows = both.select("mode", "method", "category_id", "det_id", "score").crossJoin(table).join(found, ["mode", "method", "t", "det_id"], "left").fillna(False, ["tp"])
     runs = F.broadcast(both.select("mode", "method").distinct())  # two rows a method
     truths = gts.groupBy("category_id").agg(F.count(F.lit(1)).alias("npos")).crossJoin(runs).crossJoin(table)
