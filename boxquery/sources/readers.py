@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxquery.functions.params import ratio_percent
+from boxquery.sources.writers import COCO_PARTS
 
 IMAGE = "struct<id:bigint,file_name:string,width:int,height:int>"
 ANNOTATION = "struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int>"
@@ -30,10 +31,19 @@ def with_box(df: DataFrame, column: str = "bbox") -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], *(F.get(column, F.lit(k)).alias(n) for k, n in enumerate("xywh")))
 
 
-def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """images, annotations (x, y, w, h) and categories of a COCO document."""
-    doc = json_document(spark, path, COCO)
-    part = lambda name: doc.select(F.inline(name))
+def coco(spark: SparkSession, path: str, parts: bool = False) -> dict[str, DataFrame]:
+    """images, annotations (x, y, w, h) and categories of a COCO document.
+
+    A file is one row of one task. parts: a folder of ``writers.coco_parts``, whose entries are parsed line by line by all tasks; an ill-formed one is an error too.
+    """
+    if parts:
+        lines = spark.read.schema("value string, part string").text(path)
+        entry = F.regexp_replace("value", "^,", "")
+        forms = {"images": IMAGE, "annotations": ANNOTATION, "categories": CATEGORY}
+        part = lambda name: lines.where(F.col("part") == COCO_PARTS[name]).select(F.from_json(entry, forms[name], {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    else:
+        doc = json_document(spark, path, COCO)
+        part = lambda name: doc.select(F.inline(name))
     return {"images": part("images"), "annotations": with_box(part("annotations")), "categories": part("categories")}
 
 

@@ -15,20 +15,37 @@ def annotation_struct() -> Column:
     return F.struct("id", "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
 
 
+#: The parts of a COCO document, in order: marks, and between them the entries. Names of folders, so that those in order of name are the document.
+COCO_PARTS = {"images": "1-images", "annotations": "3-annotations", "categories": "5-categories"}
+
+
+def _coco_rows(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """The lines of one COCO document with their part and place in it: part, _id, value."""
+    spark = annotations.sparkSession
+    forms = [("images", images, F.struct("id", "file_name", "width", "height")), ("annotations", annotations, annotation_struct()), ("categories", categories, F.struct("id", "name"))]
+    rows = spark.createDataFrame([(str(2 * k), 0, ("{" if k == 0 else "],") + f'"{name}":[') for k, (name, _, _) in enumerate(forms)] + [(str(2 * len(forms)), 0, "]}")], "part string, _id long, value string")
+    for name, df, form in forms:
+        first = F.broadcast(df.agg(F.min("id").alias("_first")))  # one row
+        text = F.concat(F.when(F.col("id") == F.col("_first"), "").otherwise(","), F.to_json(form))
+        rows = rows.unionByName(df.join(first).select(F.lit(COCO_PARTS[name]).alias("part"), F.col("id").cast("long").alias("_id"), text.alias("value")))
+    return rows
+
+
 def coco_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """The lines of one COCO document, in order, column ``value``: a line each image, annotation and category.
 
     For hand-over to tools that want one file; large sets stay in Parquet. No row holds more than
     one entry, so a document of any length is sorted by all tasks, and streamed where one task writes it. Ids are unique in the format.
     """
-    spark = annotations.sparkSession
-    forms = [("images", images, F.struct("id", "file_name", "width", "height")), ("annotations", annotations, annotation_struct()), ("categories", categories, F.struct("id", "name"))]
-    marks = spark.createDataFrame([(2 * k, 0, ("{" if k == 0 else "],") + f'"{name}":[') for k, (name, _, _) in enumerate(forms)] + [(2 * len(forms), 0, "]}")], "_k int, _id long, value string")
-    for k, (_, df, form) in enumerate(forms):
-        first = F.broadcast(df.agg(F.min("id").alias("_first")))  # one row
-        text = F.concat(F.when(F.col("id") == F.col("_first"), "").otherwise(","), F.to_json(form))
-        marks = marks.unionByName(df.join(first).select(F.lit(2 * k + 1).alias("_k"), F.col("id").cast("long").alias("_id"), text.alias("value")))
-    return marks.orderBy("_k", "_id").select("value")
+    return _coco_rows(images, annotations, categories).orderBy("part", "_id").select("value")
+
+
+def coco_parts(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
+    """The same document as a folder that all tasks write: its text files, laid end to end in order of their paths, are the document.
+
+    The entries of a kind have a folder of their own, so ``readers.coco`` reads a document by its lines, with as many tasks as its length asks for.
+    """
+    _coco_rows(images, annotations, categories).orderBy("part", "_id").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
 
 
 def formatted(df: DataFrame, numbers: Sequence[str], places: int = 4, missing: str = "N/A") -> DataFrame:

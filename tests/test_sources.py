@@ -32,6 +32,33 @@ def test_a_long_document_is_one_file_in_order(spark, tmp_path):
     assert [a["id"] for a in json.loads((tmp_path / "long.json").read_text())["annotations"]] == list(range(3000))
 
 
+def test_a_document_of_parts_is_written_and_read_by_all_tasks(spark, tmp_path):
+    notes = spark.range(3000).select("id", F.lit(1).alias("image_id"), F.lit(2).alias("category_id"), *(F.lit(1.0).alias(c) for c in "xywh"))
+    images = spark.createDataFrame([(1, 'a ",\n[{', 9, 9), (2, None, 8, 8)], "id long, file_name string, width int, height int")
+    categories = spark.createDataFrame([(2, "b"), (3, None)], "id int, name string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.coco_parts(images, notes, categories, f"file://{tmp_path}/doc")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "doc").glob("part=*/part-*.txt"))
+    doc = json.loads("".join(f.read_text() for f in files))
+    assert [a["id"] for a in doc["annotations"]] == list(range(3000)) and len(doc["images"]) == len(doc["categories"]) == 2
+    got = readers.coco(spark, f"file://{tmp_path}/doc", parts=True)
+    assert {k: sorted(map(tuple, df.collect())) for k, df in got.items()} == {"images": sorted(map(tuple, images.collect())), "annotations": [(k, 1, 2, 1.0, 0, 1.0, 1.0, 1.0, 1.0) for k in range(3000)], "categories": [(2, "b"), (3, None)]}
+    assert max(f.stat().st_size for f in files) < 0.7 * sum(f.stat().st_size for f in files) and len(got["annotations"].inputFiles()) > 1
+
+
+def test_an_empty_document_of_parts_and_a_broken_one(spark, tmp_path):
+    none = [spark.createDataFrame([], s) for s in ("id long, file_name string, width int, height int", "id long, image_id long, category_id int, x double, y double, w double, h double", "id int, name string")]
+    writers.coco_parts(*none, f"file://{tmp_path}/none")
+    assert [df.count() for df in readers.coco(spark, f"file://{tmp_path}/none", parts=True).values()] == [0, 0, 0]
+    (tmp_path / "broken" / "part=5-categories").mkdir(parents=True)
+    (tmp_path / "broken" / "part=5-categories" / "part-0.txt").write_text('{"id":1,"name":"a"}\n,{"id":2,"na\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.coco(spark, f"file://{tmp_path}/broken", parts=True)["categories"].collect()
+
+
 def test_ratio_runs_need_both_files(spark, tmp_path):
     for name, files in {"r20": 2, "r0p5": 2, "r30": 1, "none": 2}.items():
         (tmp_path / name / "eval").mkdir(parents=True)
