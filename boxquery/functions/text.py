@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -148,37 +149,45 @@ SCORE_KEYS = ("score", "confidence", "conf", "probability", "prob")
 CONTAINER_KEYS = ("detections", "predictions", "objects", "instances", "items", "results", "outputs")
 
 
-def _corners(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), F.array(a, b, c, d))
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is worked out once, however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def _sized(x: Column, y: Column, w: Column, h: Column) -> Column:
-    zero = F.lit(0.0)
-    return _corners(x, y, F.when(w.isNotNull(), x + F.greatest(zero, w)), F.when(h.isNotNull(), y + F.greatest(zero, h)))
+def _corners(numbers: Column, sized: bool = False) -> Column:
+    """x1, y1, x2, y2 of a list of just four numbers; ``sized``: they are x, y, w, h."""
+
+    def of(b: Column) -> Column:
+        x, y, w, h = (F.get(b, F.lit(i)) for i in range(4))
+        box = F.array(x, y, x + F.greatest(F.lit(0.0), w), y + F.greatest(F.lit(0.0), h)) if sized else b
+        return F.when((F.size(b) == 4) & ~F.exists(b, lambda n: n.isNull()), box)
+
+    return _once(numbers, of)
 
 
 def _number(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "double")
 
 
-def _listed(v: Column, path: str) -> list[Column]:
-    """The numbers of a list of exactly four."""
-    four = F.size(F.try_variant_get(v, path, "array<variant>")) == 4
-    return [F.when(four, _number(v, f"{path}[{i}]")) for i in range(4)]
+def _listed(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "array<double>")
 
 
 def _variant_box(v: Column, nested: bool = True) -> Column:
-    tries = [_corners(*(_number(v, f"$.{k}") for k in names)) for names in CORNER_KEYS]
-    tries += [_sized(*(_number(v, f"$.{k}") for k in names)) for names in SIZE_KEYS]
-    tries += [_corners(*_listed(v, f"$.{k}")) for k in XYXY_KEYS]
-    tries += [_sized(*_listed(v, f"$.{k}")) for k in XYWH_KEYS]
-    kind = F.lower(F.trim(F.coalesce(*(F.try_variant_get(v, f"$.{k}", "string") for k in FORMAT_KEYS))))
-    for k in BOX_KEYS:
-        if nested:
-            tries.append(_variant_box(F.try_variant_get(v, f"$.{k}", "variant"), nested=False))
-        four = _listed(v, f"$.{k}")
-        tries.append(F.when(kind.isin(*XYWH_FORMATS), _sized(*four)).otherwise(_corners(*four)))
-    return F.coalesce(*tries)
+    """An entry's fields are parted once; only those that are asked for become numbers, which costs far more than to find them."""
+
+    def of(fields: Column) -> Column:
+        there = lambda k, box: F.when(fields[k].isNotNull(), box)
+        kind = F.lower(F.trim(F.coalesce(*(F.try_variant_get(fields[k], "$", "string") for k in FORMAT_KEYS))))
+        tries = [there(names[0], _corners(F.array(*(_number(fields[k], "$") for k in names)), sized)) for keys, sized in ((CORNER_KEYS, False), (SIZE_KEYS, True)) for names in keys]
+        tries += [there(k, _corners(_listed(fields[k]), sized)) for keys, sized in ((XYXY_KEYS, False), (XYWH_KEYS, True)) for k in keys]
+        for k in BOX_KEYS:
+            if nested:
+                tries.append(there(k, _variant_box(fields[k], nested=False)))
+            tries.append(there(k, F.when(kind.isin(*XYWH_FORMATS), _corners(_listed(fields[k]), sized=True)).otherwise(_corners(_listed(fields[k])))))
+        return F.when(fields.isNotNull(), F.coalesce(*tries))
+
+    return _once(F.try_variant_get(v, "$", "map<string,variant>"), of)
 
 
 def _variant_label(v: Column) -> Column:
@@ -200,22 +209,27 @@ def _variant_entries(v: Column) -> Column:
 
 def payload_box(payload: Column) -> Column:
     """x1, y1, x2, y2 of a JSON entry, by the first names that are all numbers; null if none are."""
-    return _variant_box(F.try_parse_json(payload))
+    return _once(F.try_parse_json(payload), lambda v: _variant_box(v))
 
 
 def payload_label(payload: Column) -> Column:
     """The first label field that isn't blank; of a list the first element."""
-    return _variant_label(F.try_parse_json(payload))
+    return _once(F.try_parse_json(payload), _variant_label)
 
 
 def payload_score(payload: Column) -> Column:
     """The first score field that is a number, else 1."""
-    return _variant_score(F.try_parse_json(payload))
+    return _once(F.try_parse_json(payload), _variant_score)
 
 
 def payload_entries(payload: Column) -> Column:
     """The entries of a payload as JSON texts; none of what isn't a payload."""
-    return F.transform(_variant_entries(F.try_parse_json(payload)), lambda e: F.to_json(e))
+    return F.transform(_once(F.try_parse_json(payload), _variant_entries), lambda e: F.to_json(e))
+
+
+def payload_found(payload: Column) -> Column:
+    """box, label and score of each entry of a payload, which is parsed once; what ``payload_entries`` and the three above give."""
+    return F.transform(_once(F.try_parse_json(payload), _variant_entries), lambda e: F.struct(_variant_box(e).alias("box"), _variant_label(e).alias("label"), _variant_score(e).alias("score")))
 
 
 def category_map_entries(payload: Column) -> Column:
@@ -227,7 +241,7 @@ def category_map_entries(payload: Column) -> Column:
         entries = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
         def entry(e: Column) -> Column:
             typed = F.lower(F.trim(F.try_variant_get(e, "$.type", "string"))) == "box"
-            box = F.coalesce(F.when(typed, _corners(*_listed(e, "$.coords"))), _variant_box(e), _corners(*_listed(e, "$")))
+            box = F.coalesce(F.when(typed, _corners(_listed(e, "$.coords"))), _variant_box(e), _corners(_listed(e)))
             return F.struct(label.alias("label"), _variant_score(e).alias("score"), box.alias("box"))
 
         return F.filter(F.transform(entries, entry), lambda d: (d["label"] != "") & d["box"].isNotNull())

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from boxquery.functions import text
 from boxquery.operators import matching, overlaps
+from boxquery.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +47,21 @@ def test_pairs_are_shuffled_without_copies_of_their_columns(boxes):
     found = overlaps.greedy_choice(pairs, ["image_id"], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")])
     (sent,) = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line][:1]
     assert found.columns == pairs.columns and "_who" not in found._jdf.queryExecution().optimizedPlan().toString(), sent
+
+
+def test_a_payload_is_parsed_once_and_by_all_tasks(spark):
+    plan = registry.QUERIES["p21_p23_payload"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1  # once for every entry, box, label and score when each began with the text
+    assert plan.count("VariantType") < 200 and "RepartitionByExpression" in plan
+
+
+def test_entries_found_at_once_are_those_found_one_by_one(spark):
+    box, odd = '"label":"a","score":"0.5"', ['{"bbox":[1,2,3,4],"box_format":" COCO "}', '{"bbox":{"xyxy":[1,2,3,4]},"class":["",1]}', '{"x1":1,"y1":"2","x2":3,"y2":null,"box":[1,2,3,"x"],"xywh":[5,6,-7,8]}', '{"x":1,"y":2,"w":-3,"height":9,"h":"4"}', '{"coordinates":[1,2,3]}', '"text"', "[1,2,3,4]", "null"]
+    payloads = [None, "no json", "[]", "{}", "7", "[1,2,3,4]", "[" + ",".join(odd) + "]", '{"objects":[' + ",".join(odd) + "]}", '{"items":5,"outputs":[{' + box + '}]}', "{" + box + ',"left":1,"top":2,"right":3,"bottom":4}']
+    df = spark.createDataFrame(list(enumerate(payloads)), "id int, p string")
+    found = df.select("id", F.posexplode(text.payload_found(F.col("p"))).alias("k", "f")).select("id", "k", "f.*")
+    alone = df.select("id", F.posexplode(text.payload_entries(F.col("p"))).alias("k", "e")).select("id", "k", *(f(F.col("e")) for f in (text.payload_box, text.payload_label, text.payload_score)))
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == sorted(map(tuple, alone.collect()), key=repr) and len(got) == 2 * len(odd) + 6
+    assert [r[2] for r in got if r[0] == 7] == [[1.0, 2.0, 4.0, 6.0], [1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 5.0, 14.0], [1.0, 2.0, 1.0, 6.0], *[None] * 4]
+    assert got[-1][2:] == ([1.0, 2.0, 3.0, 4.0], "a", 0.5)
