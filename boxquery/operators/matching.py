@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxquery.operators.overlaps import BOX, by_group, crowded, greedy_choice, iou_join, overlapped, suppressed
+from boxquery.operators import overlaps
+from boxquery.operators.overlaps import BOX, busy, by_group, choice_of_few, crowded, greedy_choice, iou_join, overlapped, suppressed
 from boxquery.sources.scratch import parked
 
 
@@ -99,9 +100,9 @@ def component_sweep(boxes: DataFrame, keys: Sequence[str], id: str, thresholds:
     return boxes.select(id).crossJoin(table).join(labels, ["t", id], "left").select("t", id, F.coalesce("_label", id).alias("cluster"))
 
 
-def candidates_of(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float, also: Sequence[str] = (), of_gts: Sequence[str] = ()) -> DataFrame:
+def candidates_of(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float, also: Sequence[str] = (), of_gts: Sequence[str] = (), cells: bool = True) -> DataFrame:
     """keys, det_id, gt_id, iou and _s (the score turned round; null: last) of all pairs of ``threshold`` or more, with columns ``also`` of the detections and, as gt_*, ``of_gts`` of the truth boxes."""
-    pairs = iou_join(dets.select(*keys, *also, "det_id", "score", *BOX), gts.select(*dict.fromkeys([*keys, *of_gts, "gt_id", *BOX])), keys, threshold)
+    pairs = iou_join(dets.select(*keys, *also, "det_id", "score", *BOX), gts.select(*dict.fromkeys([*keys, *of_gts, "gt_id", *BOX])), keys, threshold, cells=cells)
     return pairs.select(*(F.col(f"a_{k}").alias(k) for k in (*keys, *also)), F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"), "iou", F.coalesce(-F.col("a_score"), F.lit(float("inf"))).alias("_s"), *(F.col(f"b_{c}").alias(f"gt_{c}") for c in of_gts))
 
 
@@ -110,23 +111,32 @@ def candidates(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold:
     return candidates_of(dets, gts, keys, threshold)
 
 
-def greedy_match(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float | None = None, thresholds: DataFrame | None = None) -> DataFrame:
+def greedy_match(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float | None = None, thresholds: DataFrame | None = None, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Each detection by falling score takes the best free truth box of its group, at ``threshold`` or more.
 
     dets: keys, det_id, x, y, w, h, score; gts: keys, gt_id, x, y, w, h. Returns keys,
     det_id, gt_id, iou of the matches. With ``thresholds`` (column t) it is done for each
     of them at once, from one join at the lowest, and t is returned too. Ties go by id; a
-    null score comes last.
+    null score comes last. Groups of a few boxes meet by keys and are matched where they meet, others go by cells;
+    ``counted``: tables that hold all of dets and gts and are cheaper to count.
     """
-    extra = []
-    if thresholds is None:
-        pairs = candidates(dets, gts, keys, threshold)
-    else:
-        extra = ["t"]
-        least = thresholds.agg(F.min("t")).first()[0]
-        pairs = candidates(dets, gts, keys, least).crossJoin(F.broadcast(thresholds.select("t"))).where("iou >= t")
-    found = greedy_choice(pairs, [*keys, *extra], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowded(dets, keys))
-    return found.select(*keys, *extra, "det_id", "gt_id", "iou")
+    extra, least = [], threshold
+    if thresholds is not None:
+        extra, least = ["t"], thresholds.agg(F.min("t")).first()[0]
+
+    def pairs(how: str | None, cells: bool) -> DataFrame:
+        d, g = (df if how is None else df.join(many.select(*keys), list(keys), how) for df in (dets, gts))
+        found = candidates_of(d, g, keys, least, cells=cells)
+        return found if thresholds is None else found.crossJoin(F.broadcast(thresholds.select("t"))).where("iou >= t")
+
+    rank, preference, columns = [F.col("_s")], [-F.col("iou")], [*keys, *extra, "det_id", "gt_id", "iou"]
+    many = busy(*(counted or (dets, gts)), keys)
+    found = choice_of_few(pairs(None if many is None else "left_anti", False), keys, extra, "det_id", "gt_id", rank, preference).select(*columns)
+    if many is None:
+        return found
+    crowd = many.where(F.col("_a") > overlaps.CROWD).select(*keys)
+    rest = greedy_choice(pairs("left_semi", True), [*keys, *extra], "det_id", "gt_id", rank, preference, None if crowd.isEmpty() else crowd)
+    return found.unionByName(rest.select(*columns))
 
 
 def class_free_match(pairs: DataFrame, by: Sequence[str], relabel_at: float, crowd: DataFrame | None = None) -> DataFrame:
@@ -150,7 +160,7 @@ def two_phase_match(dets: DataFrame, gts: DataFrame, image: str, threshold: floa
     first = greedy_match(dets, gts, [image, "category_id"], threshold).select(image, "det_id", "gt_id", "iou", F.lit(1).alias("phase"))
     rest_d = dets.join(first.select("det_id"), "det_id", "left_anti")
     rest_g = gts.join(first.select("gt_id"), "gt_id", "left_anti")
-    second = greedy_match(rest_d, rest_g, [image], threshold).select(image, "det_id", "gt_id", "iou", F.lit(2).alias("phase"))
+    second = greedy_match(rest_d, rest_g, [image], threshold, counted=(dets, gts)).select(image, "det_id", "gt_id", "iou", F.lit(2).alias("phase"))
     return first.unionByName(second)
 
 

@@ -4,6 +4,8 @@ A box is looked for in cells of its own size: of a pair, one box stands in the c
 its centre, the other in all cells where such a centre may lie, so a pair is met once, and a
 crowded image is as many groups as it has cells. Sequential operators read the
 pairs, sorted, in one pass; groups too large for one task are worked off in rounds.
+Matching needs no cells in groups of a few boxes: they meet by their keys alone, and the task that
+joins them chooses among the pairs too, so pairs aren't shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxquery.functions.geometry import centroid_in_sql, iou_sql
@@ -24,6 +26,8 @@ BOX = ("x", "y", "w", "h")
 FINE = 20
 #: Below this overlap a box may meet others of any size, and cells would be smaller than what they hold.
 LEAST_BY_CELLS = 0.02
+#: Groups of at most so many boxes on either side meet without cells when matched: copies for cells would cost more than the tests they save.
+FEW = 256
 #: Groups of more boxes than this are worked off in rounds of all tasks; others are read by one task each.
 CROWD = 100_000
 #: Rounds before what is left goes to one task a group after all.
@@ -92,12 +96,12 @@ def _centre_join(left: DataFrame, right: DataFrame, on: list[Column], of: str, w
     return met.select(*left.columns, *right.columns)
 
 
-def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float, ordered: str | Sequence[str] | None = None, centroid: str | None = None) -> DataFrame:
+def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float, ordered: str | Sequence[str] | None = None, centroid: str | None = None, cells: bool = True) -> DataFrame:
     """Pairs (columns a_*, b_*) of equal keys that overlap by ``threshold`` or more, with ``iou``.
 
     ``ordered``: columns by which a comes before b (self-joins take each pair once).
     ``centroid``: "or" also takes pairs where a centre lies in the other box, "and" takes
-    only those. The join hashes on the keys and a cell. Boxes without an area, a null or not finite
+    only those. The join hashes on the keys and a cell; without ``cells``, for groups of a few boxes, on the keys alone. Boxes without an area, a null or not finite
     side or place overlap nothing; repeated rows are pairs each. A threshold of 0 or less takes all pairs of a key.
     """
     if centroid not in (None, "or", "and"):
@@ -114,9 +118,11 @@ def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float,
     if centroid == "and":
         test = test & F.expr(f"({inside[0]} or {inside[1]})")
     columns = [*left.columns, *right.columns]
-    if threshold < LEAST_BY_CELLS:
+    if threshold < LEAST_BY_CELLS or not cells:
         if threshold > 0:
             test = test & F.expr(f"{_solid_sql('a_')} and {_solid_sql('b_')}")
+        if not cells:
+            left = left.hint("merge")
         extra = F.expr(f"({inside[0]} or {inside[1]})") if centroid == "or" else F.lit(False)
         return left.join(right, [*on, test | extra]).select(*columns).withColumn("iou", F.expr(near))
     # a size that is guessed before boxes are put into their cells must not make a broadcast of them
@@ -180,6 +186,14 @@ def crowded(boxes: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return None if large.isEmpty() else parked(large, "crowded")
 
 
+def busy(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """keys, _a and _b, the boxes of either side, of the groups that have more than ``FEW`` on one; None if there are none."""
+    side = lambda df, p, q: df.select(*keys, F.lit(p).alias("_a"), F.lit(q).alias("_b"))
+    counts = side(a, 1, 0).union(side(b, 0, 1)).groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    many = counts.where(F.greatest("_a", "_b") > min(FEW, CROWD))
+    return None if many.isEmpty() else parked(many, "busy")
+
+
 def _take_first(who: str, what: str) -> Callable[[Iterator[tuple[pa.RecordBatch, np.ndarray]]], Iterator[pa.RecordBatch]]:
     """Of each chooser, in order, the first pair whose chosen one is free."""
 
@@ -228,6 +242,48 @@ def greedy_choice(pairs: DataFrame, keys: Sequence[str], who: str, what: str, ra
     return out.unionByName(scan(left))
 
 
+def _whole_sorted(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]], keys: Sequence[str], order: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole groups, sorted within each by ``order``, ascending, nulls first and NaN last as Spark sorts."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
+            by = {"group": pa.array(np.cumsum(new_groups(batch, keys, None)))}
+            for k, column in enumerate(batch.column(c) for c in order):
+                if column.null_count:
+                    by[f"valid{k}"] = column.is_valid().cast(pa.int8())
+                by[f"order{k}"] = column
+            yield batch.take(pc.sort_indices(pa.RecordBatch.from_pydict(by), sort_keys=[(c, "ascending") for c in by]))
+
+    for batch, new in batches:
+        starts = np.flatnonzero(new)
+        if len(starts):  # all groups before the last one that begins here are whole
+            held.append(batch.slice(0, starts[-1]))
+            yield from done()
+            held, batch = [], batch.slice(starts[-1])
+        held.append(batch)
+    if held:
+        yield from done()
+
+
+def choice_of_few(pairs: DataFrame, keys: Sequence[str], within: Sequence[str], who: str, what: str, rank: Sequence[Column], preference: Sequence[Column]) -> DataFrame:
+    """``greedy_choice`` by keys and ``within``, of pairs whose ``keys`` have few boxes; a task holds the pairs of one of their groups.
+
+    Pairs that come of a join on the keys are chosen from where they are: neither shuffled nor sorted by Spark.
+    """
+    ranks, wants = [f"_r{i}" for i in range(len(rank))], [f"_w{i}" for i in range(len(preference))]
+    rows = pairs.withColumns({**dict(zip(ranks, rank, strict=True)), **dict(zip(wants, preference, strict=True))})
+    # the window's count keeps a group in one task also where a skewed join would be split
+    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    names, order = pairs.columns, [*within, *ranks, who, *wants, what]
+
+    def run(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        flagged = ((b, new_groups(b, [*keys, *within], None)) for b in _whole_sorted(batches, keys, order) if b.num_rows)
+        return (b.select(names) for b in _take_first(who, what)(flagged))
+
+    return by_group(rows, keys, [], run, pairs.schema)
+
+
 def _drop_later(pairs: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Of pairs (earlier, later), sorted by the later one: those later ones that a kept earlier one drops, once each."""
     dropped: set = set()

@@ -49,6 +49,12 @@ def test_pairs_are_shuffled_without_copies_of_their_columns(boxes):
     assert found.columns == pairs.columns and "_who" not in found._jdf.queryExecution().optimizedPlan().toString(), sent
 
 
+def test_pairs_of_groups_of_a_few_boxes_are_matched_where_they_meet(boxes):
+    gts = boxes.withColumnRenamed("det_id", "gt_id").drop("score")
+    plan = matching.greedy_match(boxes, gts, ["image_id"], 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Generate" not in plan, plan  # the boxes of either side, and neither copies for cells nor pairs
+
+
 def test_a_payload_is_parsed_once_and_by_all_tasks(spark):
     plan = registry.QUERIES["p21_p23_payload"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1  # once for every entry, box, label and score when each began with the text

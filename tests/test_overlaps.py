@@ -90,6 +90,36 @@ def test_matching_in_one_pass_and_in_rounds(spark, monkeypatch, crowd, rounds):
         assert sorted((r.det_id, r.gt_id) for r in each if r.t == t) == sequential(dets, gts, t)
 
 
+@pytest.mark.parametrize("few, batch, split", [(256, 7, False), (40, 10_000, False), (0, 10_000, False), (256, 50, True)])
+def test_groups_of_few_and_of_many_boxes_match_alike(spark, monkeypatch, few, batch, split):
+    """Of four images one is full; batches end within groups; joins of skewed keys would be split."""
+    monkeypatch.setattr(overlaps, "FEW", few)
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    if split:
+        conf |= {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    rng = random.Random(12)
+    dets = [(k, min(i, 3), *rest) for k, i, *rest in boxes(rng, 160, images=9)]
+    gts = jittered(rng, dets)[::2]
+    odd = [(950, 0, 0, *dets[0][3:7], None), (951, 0, 0, *dets[0][3:7], float("nan")), (None, 0, 0, *dets[0][3:7], 0.5)]
+    d, g = spark.createDataFrame(dets + ODD + odd[:1], DET).repartition(5), spark.createDataFrame(gts, GT).repartition(3)
+    strange, again = d.unionByName(spark.createDataFrame(odd[1:], DET)), g.unionByName(g.limit(9))
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        got = matching.greedy_match(d, g, KEYS, 0.2).collect()
+        each = matching.greedy_match(d, g, KEYS, thresholds=evaluate.threshold_table(spark, [0.2, 0.6])).collect()
+        both = [matching.greedy_match(strange, again, KEYS, 0.2).collect()]
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    monkeypatch.setattr(overlaps, "FEW", 0)
+    both.append(matching.greedy_match(strange, again, KEYS, 0.2).collect())
+    want = sequential(dets + [(*r[:7], -1.0) for r in odd[:1]], gts, 0.2)
+    assert sorted((r.det_id, r.gt_id) for r in got) == want
+    assert sorted((r.det_id, r.gt_id) for r in each if r.t == 0.2) == want
+    assert sorted(both[0], key=repr) == sorted(both[1], key=repr) and both[0]
+
+
 @pytest.mark.parametrize("crowd, rounds", [(100_000, 40), (0, 40), (0, 1)])
 def test_suppression_in_one_pass_and_in_rounds(spark, monkeypatch, crowd, rounds):
     monkeypatch.setattr(overlaps, "CROWD", crowd)
