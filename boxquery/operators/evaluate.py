@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxquery.operators.matching import candidates_of, class_free_match, greedy_match, two_phase_match
+from boxquery.operators.matching import candidates_of, greedy_match, two_phase_match
 from boxquery.operators.overlaps import BOX, crowded, greedy_choice, iou_join
+from boxquery.operators.sweeps import best_points_of_bits, score_range, two_mode_bits
 from boxquery.sources.scratch import parked
 
 #: Area ranges of the protocol, closed at both ends.
 AREA_RANGES = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
-#: Ranges of the score that an average precision is counted in.
-RANGES = 1024
 COCO_THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 
 
@@ -41,7 +40,7 @@ def precision_curve(rows: DataFrame, truths: DataFrame, by: Sequence[str]) -> Da
     rows: by, score, det_id, tp (boolean; null: ignored); truths: by, npos.
     """
     # running counts within ranges of the score and over the ranges, so that no task has all rows of a class
-    rows = rows.where("tp is not null").withColumn("_range", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor((1 - F.col("score")) * RANGES))), F.lit(RANGES)).cast("int"))
+    rows = rows.where("tp is not null").withColumn("_range", score_range())
     per = rows.groupBy(*by, "_range").agg(F.sum(F.col("tp").cast("long")).alias("_tps"), F.count(F.lit(1)).alias("_rows"))
     ahead = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumns({"_tps": F.coalesce(F.sum("_tps").over(ahead), F.lit(0)), "_rows": F.coalesce(F.sum("_rows").over(ahead), F.lit(0))})
@@ -115,6 +114,22 @@ def ranged_matches(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, range
     return rows.select("t", "area", "category_id", "det_id", "score", tp.alias("tp"), *also)
 
 
+def ap_of_bits(rows: DataFrame, truths: DataFrame, by: Sequence[str], thresholds: Sequence[float], ranges: Sequence[str]) -> DataFrame:
+    """by, t, area, ap and recall from detections that tell all thresholds and ranges by bits.
+
+    rows, as a table: by, score, det_id, hit, skip (bits; null: none); truths: by, area, npos.
+    """
+    table = F.broadcast(bit_table(rows.sparkSession, thresholds, ranges))
+    truths, whole = truths.join(table, "area"), [*by, "t", "area"]
+    points = best_points_of_bits(rows, truths, by, len(thresholds) * len(ranges)).join(table, "_c")
+    return curve_area(best_points(points, whole), truths, whole)
+
+
+def bit_table(spark: SparkSession, thresholds: Sequence[float], ranges: Sequence[str]) -> DataFrame:
+    """_c, t and area: what the bits stand for."""
+    return spark.createDataFrame([(k * len(thresholds) + m, t, a) for k, a in enumerate(ranges) for m, t in enumerate(sorted(thresholds))], "_c int, t double, area string")
+
+
 def ap_by_class_and_size(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """category_id, t, area, ap, recall."""
     ranges = ranges or AREA_RANGES
@@ -194,32 +209,20 @@ def method_comparison(methods: dict[str, DataFrame], gts: DataFrame, relabel_at:
     """method, n_dets, ap50 and recall over ten thresholds (ar), class-aware and class-agnostic, of the results of several methods.
 
     ``methods``: detections by name, with ids unique within each. The method is a
-    column, so all of them share the matching and the ranking; boxes are joined once for both. Class-agnostic: a detection first takes the class of the
+    column, so all of them share the matching and the ranking; boxes are joined once for both and a detection stays one row for all thresholds. Class-agnostic: a detection first takes the class of the
     truth box that it matches at ``relabel_at``. Methods without detections have no row.
     """
-    spark = gts.sparkSession
     keys, dets = ["image_id", "category_id"], None
     for name, df in methods.items():
         part = df.select(F.lit(name).alias("method"), F.col("det_id").cast("long"), *keys, "score", *(F.col(c).cast("double") for c in BOX))
         dets = part if dets is None else dets.unionByName(part)
     assert dets is not None, "no methods"
     dets = parked(dets, "methods")
-    pairs = parked(candidates_of(dets, gts, ["image_id"], min(relabel_at, *COCO_THRESHOLDS), ["method"], ["category_id"]), "pairs")
-    crowd = crowded(dets, ["image_id"])
-    near = class_free_match(pairs, ["method"], relabel_at, crowd)
-    free = dets.join(near, ["method", "det_id"], "left").withColumn("category_id", F.coalesce("_cat", "category_id")).drop("_cat")
-    both = dets.withColumn("mode", F.lit("aware")).unionByName(free.withColumn("mode", F.lit("agnostic")))
-    rank = F.row_number().over(W.partitionBy("mode", "method", *keys).orderBy(F.desc("score"), "det_id"))
-    both = parked(both.withColumn("_place", rank).where(F.col("_place") <= cap).drop("_place"), "ranked-methods")
-    table = F.broadcast(threshold_table(spark, COCO_THRESHOLDS))
-    by = ["mode", "method", "category_id", "t"]
-    known = pairs.where(F.col("iou") >= min(COCO_THRESHOLDS)).join(both.select("mode", "method", "det_id", "category_id"), ["method", "det_id"]).where("category_id = gt_category_id")
-    pairs = known.crossJoin(table).where("iou >= t").select("mode", "method", "t", *keys, "det_id", "gt_id", "iou", "_s")
-    found = greedy_choice(pairs, ["mode", "method", "t", *keys], "det_id", "gt_id", [F.col("_s")], [-F.col("iou")], crowd).select("mode", "method", "t", "det_id", F.lit(True).alias("tp"))
-    rows = both.select("mode", "method", "category_id", "det_id", "score").crossJoin(table).join(found, ["mode", "method", "t", "det_id"], "left").fillna(False, ["tp"])
-    runs = F.broadcast(both.select("mode", "method").distinct())  # two rows a method
-    truths = gts.groupBy("category_id").agg(F.count(F.lit(1)).alias("npos")).crossJoin(runs).crossJoin(table)
-    ap = average_precision(rows, truths, by).groupBy("method").pivot("mode", ["aware", "agnostic"]).agg(F.avg(F.when(F.abs(F.col("t") - 0.5) < 1e-9, F.col("ap"))).alias("ap50"), F.avg("recall").alias("ar"))
+    rows = parked(two_mode_bits(dets, gts, COCO_THRESHOLDS, "method", relabel_at, cap), "ranked-methods").withColumn("skip", F.lit(None).cast("binary"))
+    runs = F.broadcast(rows.select("mode", "method").distinct())  # two rows a method
+    truths = gts.groupBy("category_id").agg(F.count(F.lit(1)).alias("npos")).crossJoin(runs).withColumn("area", F.lit("all"))
+    ap = ap_of_bits(rows, truths, ["mode", "method", "category_id"], COCO_THRESHOLDS, ["all"])
+    ap = ap.groupBy("method").pivot("mode", ["aware", "agnostic"]).agg(F.avg(F.when(F.abs(F.col("t") - 0.5) < 1e-9, F.col("ap"))).alias("ap50"), F.avg("recall").alias("ar"))
     sizes = dets.groupBy("method").agg(F.count(F.lit(1)).alias("n_dets"))
     return sizes.join(ap, "method").select("method", "n_dets", F.col("aware_ap50").alias("ap50_aware"), F.col("aware_ar").alias("ar_aware"), F.col("agnostic_ap50").alias("ap50_agnostic"), F.col("agnostic_ar").alias("ar_agnostic"))
 

@@ -100,9 +100,9 @@ def component_sweep(boxes: DataFrame, keys: Sequence[str], id: str, thresholds:
     return boxes.select(id).crossJoin(table).join(labels, ["t", id], "left").select("t", id, F.coalesce("_label", id).alias("cluster"))
 
 
-def candidates_of(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float, also: Sequence[str] = (), of_gts: Sequence[str] = (), cells: bool = True) -> DataFrame:
-    """keys, det_id, gt_id, iou and _s (the score turned round; null: last) of all pairs of ``threshold`` or more, with columns ``also`` of the detections and, as gt_*, ``of_gts`` of the truth boxes."""
-    pairs = iou_join(dets.select(*keys, *also, "det_id", "score", *BOX), gts.select(*dict.fromkeys([*keys, *of_gts, "gt_id", *BOX])), keys, threshold, cells=cells)
+def candidates_of(dets: DataFrame, gts: DataFrame, keys: Sequence[str], threshold: float, also: Sequence[str] = (), of_gts: Sequence[str] = (), cells: bool = True, outer: bool = False) -> DataFrame:
+    """keys, det_id, gt_id, iou and _s (the score turned round; null: last) of all pairs of ``threshold`` or more, with columns ``also`` of the detections and, as gt_*, ``of_gts`` of the truth boxes; ``outer``: see ``iou_join``."""
+    pairs = iou_join(dets.select(*dict.fromkeys([*keys, *also, "det_id", "score", *BOX])), gts.select(*dict.fromkeys([*keys, *of_gts, "gt_id", *BOX])), keys, threshold, cells=cells, outer=outer)
     return pairs.select(*(F.col(f"a_{k}").alias(k) for k in (*keys, *also)), F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"), "iou", F.coalesce(-F.col("a_score"), F.lit(float("inf"))).alias("_s"), *(F.col(f"b_{c}").alias(f"gt_{c}") for c in of_gts))
 
 

@@ -96,12 +96,13 @@ def _centre_join(left: DataFrame, right: DataFrame, on: list[Column], of: str, w
     return met.select(*left.columns, *right.columns)
 
 
-def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float, ordered: str | Sequence[str] | None = None, centroid: str | None = None, cells: bool = True) -> DataFrame:
+def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float, ordered: str | Sequence[str] | None = None, centroid: str | None = None, cells: bool = True, outer: bool = False) -> DataFrame:
     """Pairs (columns a_*, b_*) of equal keys that overlap by ``threshold`` or more, with ``iou``.
 
     ``ordered``: columns by which a comes before b (self-joins take each pair once).
     ``centroid``: "or" also takes pairs where a centre lies in the other box, "and" takes
-    only those. The join hashes on the keys and a cell; without ``cells``, for groups of a few boxes, on the keys alone. Boxes without an area, a null or not finite
+    only those. The join hashes on the keys and a cell; without ``cells``, for groups of a few boxes, on the keys alone; ``outer`` then
+    returns boxes of a that meet none too, with nulls. Boxes without an area, a null or not finite
     side or place overlap nothing; repeated rows are pairs each. A threshold of 0 or less takes all pairs of a key.
     """
     if centroid not in (None, "or", "and"):
@@ -124,7 +125,7 @@ def iou_join(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float,
         if not cells:
             left = left.hint("merge")
         extra = F.expr(f"({inside[0]} or {inside[1]})") if centroid == "or" else F.lit(False)
-        return left.join(right, [*on, test | extra]).select(*columns).withColumn("iou", F.expr(near))
+        return left.join(right, [*on, test | extra], "left" if outer else "inner").select(*columns).withColumn("iou", F.expr(near))
     # a size that is guessed before boxes are put into their cells must not make a broadcast of them
     centres = _at_centre(left, "a_")
     l, r = centres.hint("merge").alias("_p"), _around(right, "b_", threshold, centres).alias("_q")  # noqa: E741
@@ -242,28 +243,36 @@ def greedy_choice(pairs: DataFrame, keys: Sequence[str], who: str, what: str, ra
     return out.unionByName(scan(left))
 
 
-def _whole_sorted(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]], keys: Sequence[str], order: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of whole groups, sorted within each by ``order``, ascending, nulls first and NaN last as Spark sorts."""
+def whole_groups(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The rows, cut where groups begin."""
     held: list[pa.RecordBatch] = []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
-            by = {"group": pa.array(np.cumsum(new_groups(batch, keys, None)))}
-            for k, column in enumerate(batch.column(c) for c in order):
-                if column.null_count:
-                    by[f"valid{k}"] = column.is_valid().cast(pa.int8())
-                by[f"order{k}"] = column
-            yield batch.take(pc.sort_indices(pa.RecordBatch.from_pydict(by), sort_keys=[(c, "ascending") for c in by]))
-
     for batch, new in batches:
         starts = np.flatnonzero(new)
         if len(starts):  # all groups before the last one that begins here are whole
             held.append(batch.slice(0, starts[-1]))
-            yield from done()
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, batch = [], batch.slice(starts[-1])
         held.append(batch)
     if held:
-        yield from done()
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _whole_sorted(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]], keys: Sequence[str], order: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole groups, sorted within each by ``order``, ascending, nulls first and NaN last as Spark sorts."""
+    for batch in whole_groups(batches):
+        by = {"group": pa.array(np.cumsum(new_groups(batch, keys, None)))}
+        for k, column in enumerate(batch.column(c) for c in order):
+            if column.null_count:
+                by[f"valid{k}"] = column.is_valid().cast(pa.int8())
+            by[f"order{k}"] = column
+        yield batch.take(pc.sort_indices(pa.RecordBatch.from_pydict(by), sort_keys=[(c, "ascending") for c in by]))
+
+
+def few_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``run`` over rows whose ``keys`` have few boxes, whole groups in a batch, sorted within each by ``order``; rows that come of a join on the keys are neither shuffled nor sorted by Spark."""
+    # the window's count keeps a group in one task also where a skewed join would be split
+    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return by_group(rows, keys, [], lambda batches: run(_whole_sorted(batches, keys, order)), schema)
 
 
 def choice_of_few(pairs: DataFrame, keys: Sequence[str], within: Sequence[str], who: str, what: str, rank: Sequence[Column], preference: Sequence[Column]) -> DataFrame:
@@ -273,15 +282,13 @@ def choice_of_few(pairs: DataFrame, keys: Sequence[str], within: Sequence[str],
     """
     ranks, wants = [f"_r{i}" for i in range(len(rank))], [f"_w{i}" for i in range(len(preference))]
     rows = pairs.withColumns({**dict(zip(ranks, rank, strict=True)), **dict(zip(wants, preference, strict=True))})
-    # the window's count keeps a group in one task also where a skewed join would be split
-    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     names, order = pairs.columns, [*within, *ranks, who, *wants, what]
 
-    def run(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        flagged = ((b, new_groups(b, [*keys, *within], None)) for b in _whole_sorted(batches, keys, order) if b.num_rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flagged = ((b, new_groups(b, [*keys, *within], None)) for b in batches if b.num_rows)
         return (b.select(names) for b in _take_first(who, what)(flagged))
 
-    return by_group(rows, keys, [], run, pairs.schema)
+    return few_in_order(rows, keys, order, run, pairs.schema)
 
 
 def _drop_later(pairs: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
