@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxquery.operators.matching import candidates_of, greedy_match, two_phase_match
+from boxquery.operators.matching import greedy_match, two_phase_match
 from boxquery.operators.overlaps import BOX, crowded, greedy_choice, iou_join
-from boxquery.operators.sweeps import best_points_of_bits, score_range, two_mode_bits
+from boxquery.operators.sweeps import best_points_of_bits, bit_counts, ranged_bits, score_range, two_mode_bits
 from boxquery.sources.scratch import parked
 
 #: Area ranges of the protocol, closed at both ends.
@@ -94,30 +94,10 @@ def ap_by_class(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, most: in
     return average_precision(rows, truths, ["category_id", "t"])
 
 
-def ranged_matches(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, ranges: dict[str, tuple[float, float]], also: Sequence[str] = ()) -> DataFrame:
-    """Matches with truth boxes out of an area range ignored: t, area, category_id, det_id, score, tp (null: ignored), and columns ``also`` of the detections.
-
-    A detection prefers truth boxes that count; one that takes an ignored box is ignored,
-    and so is an unmatched one whose own area is out of range.
-    """
-    keys = ["image_id", "category_id"]
-    table = F.broadcast(dets.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in ranges.items()], "area string, lo double, hi double"))
-    both = lambda df: df.crossJoin(F.broadcast(thresholds.select("t"))).crossJoin(table)
-    outside = F.expr("w * h < lo or w * h > hi")
-    least = min(thresholds.agg(F.min("t")).first()[0], 1 - 1e-10)
-    sized = candidates_of(dets, gts, keys, least, of_gts=["w", "h"]).withColumnsRenamed({"gt_w": "w", "gt_h": "h"})
-    pairs = both(sized).where("iou >= least(t, 1D - 1e-10D)").select("t", "area", *keys, "det_id", "gt_id", "iou", "_s", outside.alias("ign"))
-    found = greedy_choice(pairs, ["t", "area", *keys], "det_id", "gt_id", [F.col("_s")], [F.col("ign"), -F.col("iou")], crowded(dets, keys))
-    rows = both(dets.select("category_id", "det_id", "score", "w", "h", *also)).withColumn("_out", outside)
-    rows = rows.join(found.select("t", "area", "det_id", "ign"), ["t", "area", "det_id"], "left")
-    tp = F.when(F.col("ign").isNotNull(), F.when(~F.col("ign"), F.lit(True))).when(~F.col("_out"), F.lit(False))
-    return rows.select("t", "area", "category_id", "det_id", "score", tp.alias("tp"), *also)
-
-
 def ap_of_bits(rows: DataFrame, truths: DataFrame, by: Sequence[str], thresholds: Sequence[float], ranges: Sequence[str]) -> DataFrame:
     """by, t, area, ap and recall from detections that tell all thresholds and ranges by bits.
 
-    rows, as a table: by, score, det_id, hit, skip (bits; null: none); truths: by, area, npos.
+    rows, as a table: by, score, det_id, hit, skip as ``sweeps.ranged_bits`` returns them; truths: by, area, npos.
     """
     table = F.broadcast(bit_table(rows.sparkSession, thresholds, ranges))
     truths, whole = truths.join(table, "area"), [*by, "t", "area"]
@@ -130,14 +110,18 @@ def bit_table(spark: SparkSession, thresholds: Sequence[float], ranges: Sequence
     return spark.createDataFrame([(k * len(thresholds) + m, t, a) for k, a in enumerate(ranges) for m, t in enumerate(sorted(thresholds))], "_c int, t double, area string")
 
 
+def truths_by_size(gts: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """category_id, area, npos."""
+    table = F.broadcast(gts.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in ranges.items()], "area string, lo double, hi double"))
+    return gts.crossJoin(table).where("w * h >= lo and w * h <= hi").groupBy("category_id", "area").agg(F.count(F.lit(1)).alias("npos"))
+
+
 def ap_by_class_and_size(dets: DataFrame, gts: DataFrame, thresholds: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """category_id, t, area, ap, recall."""
     ranges = ranges or AREA_RANGES
-    rows = ranged_matches(dets, gts, thresholds, ranges)
-    table = F.broadcast(dets.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in ranges.items()], "area string, lo double, hi double"))
-    sized = gts.crossJoin(table).where("w * h >= lo and w * h <= hi")
-    truths = sized.groupBy("category_id", "area").agg(F.count(F.lit(1)).alias("npos")).crossJoin(F.broadcast(thresholds))
-    return average_precision(rows, truths, ["category_id", "t", "area"])
+    ts = [r.t for r in thresholds.select("t").distinct().collect()]
+    rows = parked(ranged_bits(dets, gts, ts, ranges), "ranked")
+    return ap_of_bits(rows, truths_by_size(gts, ranges), ["category_id"], ts, list(ranges)).select("category_id", "t", "area", "ap", "recall")
 
 
 def coco_metrics(dets: DataFrame, gts: DataFrame, caps: Sequence[int] = (1, 10, 100), thresholds: Sequence[float] = COCO_THRESHOLDS, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -151,18 +135,18 @@ def coco_metrics(dets: DataFrame, gts: DataFrame, caps: Sequence[int] = (1, 10,
     """
     ranges = ranges or AREA_RANGES
     caps = sorted(set(caps))
-    spark = dets.sparkSession
     rank = F.row_number().over(W.partitionBy("image_id", "category_id").orderBy(F.desc("score"), "det_id"))
     ranked = dets.withColumn("place", rank).where(F.col("place") <= caps[-1])
-    table = threshold_table(spark, thresholds)
-    rows = ranged_matches(ranked, gts, table, ranges, ["place"])
-    sizes = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in ranges.items()], "area string, lo double, hi double"))
-    npos = gts.crossJoin(sizes).where("w * h >= lo and w * h <= hi").groupBy("category_id", "area").agg(F.count(F.lit(1)).alias("npos"))
+    rows = parked(ranged_bits(ranked, gts, thresholds, ranges, ["place"], dets), "ranked")
+    npos = truths_by_size(gts, ranges)
     by = ["category_id", "t", "area"]
-    per = average_precision(rows, npos.crossJoin(F.broadcast(table)), by)
-    within = [F.count_if(F.col("tp") & (F.col("place") <= c)).alias(f"_within_{c}") for c in caps[:-1]]
-    if within:
-        per = per.join(rows.where("area = 'all'").groupBy(*by).agg(*within), by, "left").join(npos, ["category_id", "area"])
+    per = ap_of_bits(rows, npos, ["category_id"], thresholds, list(ranges))
+    if caps[:-1]:
+        least_cap = F.array_min(F.filter(F.array(*map(F.lit, caps[:-1])), lambda c: F.col("place") <= c))
+        counts = bit_counts(rows.withColumn("_cap", least_cap).where("_cap is not null"), ["category_id", "_cap"], len(thresholds) * len(ranges))
+        counts = counts.select("category_id", "_cap", F.posexplode("_hits").alias("_c", "_n")).join(F.broadcast(bit_table(dets.sparkSession, thresholds, list(ranges))), "_c")
+        within = [F.sum(F.when(F.col("_cap") <= c, F.col("_n"))).alias(f"_within_{c}") for c in caps[:-1]]
+        per = per.join(counts.where("area = 'all'").groupBy(*by).agg(*within), by, "left").join(npos, ["category_id", "area"])
     whole = F.col("area") == "all"
     at = lambda t: F.avg(F.when(whole & (F.abs(F.col("t") - t) < 1e-9), F.col("ap")))
     parts = [k for k in ranges if k != "all"]

@@ -109,6 +109,76 @@ def _passed(batch: pa.RecordBatch, thresholds: Sequence[float]) -> list[int]:
     return np.searchsorted(np.array(thresholds), iou, "right").tolist()
 
 
+def ranged_bits(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float], ranges: dict[str, tuple[float, float]], also: Sequence[str] = (), counted: DataFrame | None = None) -> DataFrame:
+    """category_id, det_id, score, columns ``also``, hit and skip: every detection, with a bit for each range and (sorted) threshold.
+
+    hit: takes a truth box that counts; skip: is ignored. Truth boxes out of the range are ignored; a detection prefers those that
+    count, one that takes an ignored box is ignored, and so is an unmatched one whose own area is out of range. ``counted``: a table
+    that holds all of dets and is cheaper to count.
+    """
+    keys, ts = ["image_id", "category_id"], sorted(min(t, 1 - 1e-10) for t in thresholds)
+    assert len(ranges) < 63, "too many ranges"
+    area = F.col("w") * F.col("h")
+    out_of = [F.when(F.coalesce((area >= a) & (area <= b), F.lit(False)), F.lit(0)).otherwise(F.lit(1 << k)).cast("long") for k, (a, b) in enumerate(ranges.values())]
+    off = out_of[0]
+    for more in out_of[1:]:
+        off = off + more
+    dets, gts = dets.withColumn("_off", off), gts.withColumn("_off", off)
+    n, size, columns = len(ts) * len(ranges), _bytes(len(ts) * len(ranges)), ["category_id", "det_id", "score", *also]
+    schema = _schema(dets, columns, "hit binary, skip binary")
+    every = lambda mask: sum(((1 << len(ts)) - 1) << k * len(ts) for k in range(len(ranges)) if mask >> k & 1)
+    whole = every(-1)
+    fits = [sum(((1 << m) - 1) << k * len(ts) for k in range(len(ranges))) for m in range(len(ts) + 1)]
+
+    def run(batches: Batches) -> Batches:
+        spread: dict[int, int] = {}
+        taken: dict[int, int] = {}
+        for batch, cuts, fresh in _detections(batches, keys):
+            passed, gt = _passed(batch, ts), batch.column("gt_id").to_pylist()
+            out = [spread.get(m) or spread.setdefault(m, every(m)) for m in batch.column("_off").to_pylist()]
+            outs = [m and (spread.get(m) or spread.setdefault(m, every(m))) for m in batch.column("gt__off").to_pylist()]
+            hits, skips, starts = [], [], cuts.tolist()
+            for k, first in enumerate(fresh):
+                if first:
+                    taken = {}
+                a, b, free, hit, ignored = starts[k], starts[k + 1], whole, 0, 0
+                for counts in (True, False):
+                    for i in range(a, b):
+                        if passed[i]:
+                            g = gt[i]
+                            held = taken.get(g, 0)
+                            can = fits[passed[i]] & (~outs[i] if counts else outs[i]) & free & ~held
+                            if can:
+                                taken[g], free = held | can, free ^ can
+                                if counts:
+                                    hit |= can
+                                else:
+                                    ignored |= can
+                hits.append(hit.to_bytes(size, "little"))
+                skips.append((ignored | out[a] & free).to_bytes(size, "little"))
+            rows = batch.take(pa.array(cuts[:-1]))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(hits, pa.binary()), pa.array(skips, pa.binary())], names=schema.names)
+
+    found, crowd = _in_turn(dets, gts, keys, ts[0], ["score", "_off", *also], ["_off"], [], run, schema, (dets if counted is None else counted, gts))
+    if crowd is None:
+        return found
+    table = F.broadcast(dets.sparkSession.createDataFrame([(k * len(ts) + m, k, t) for k in range(len(ranges)) for m, t in enumerate(ts)], "_c int, _a int, _t double"))
+    big = dets.join(crowd, keys, "left_semi")
+    pairs = candidates_of(big, gts.join(crowd, keys, "left_semi"), keys, ts[0], of_gts=["_off"]).crossJoin(table).where("iou >= _t")
+    pairs = pairs.select("_c", *keys, "det_id", "gt_id", "iou", "_s", F.expr("(gt__off & shiftleft(1L, _a)) <> 0").alias("ign"))
+    chosen = greedy_choice(pairs, ["_c", *keys], "det_id", "gt_id", [F.col("_s")], [F.col("ign"), -F.col("iou")], crowd)
+    lists = chosen.groupBy("det_id").agg(F.collect_list(F.when(~F.col("ign"), F.col("_c"))).alias("_hits"), F.collect_list(F.when(F.col("ign"), F.col("_c"))).alias("_ignored"))
+
+    def told(batches: Batches) -> Batches:
+        for batch in batches:
+            hits, ignored = ([sum(1 << c for c in v or ()) for v in batch.column(name).to_pylist()] for name in ("_hits", "_ignored"))
+            skips = [i | every(o) & ~(h | i) for h, i, o in zip(hits, ignored, batch.column("_off").to_pylist(), strict=True)]
+            bits = [pa.array([v.to_bytes(size, "little") for v in values], pa.binary()) for values in (hits, skips)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *bits], names=schema.names)
+
+    return found.unionByName(big.join(lists, "det_id", "left").select(*columns, "_off", "_hits", "_ignored").mapInArrow(told, schema))
+
+
 def two_mode_bits(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float], by: str, relabel_at: float, cap: int) -> DataFrame:
     """mode, ``by``, category_id, det_id, score and hit: every detection, class-aware and class-agnostic, with a bit for each (sorted) threshold.
 

@@ -9,6 +9,7 @@ from boxquery.operators import evaluate, overlaps, sweeps
 
 DET = "det_id long, image_id long, category_id int, x double, y double, w double, h double, score double"
 GT = "gt_id long, image_id long, category_id int, x double, y double, w double, h double"
+RANGES = {"all": (0.0, 1e10), "small": (0.0, 700.0), "large": (700.0, 1e10)}
 TS = [0.75, 0.3, 0.5]
 
 
@@ -48,6 +49,20 @@ def plain(dets, gts, t, lo, hi):
     return told
 
 
+@pytest.mark.parametrize("few, crowd", [(256, 100_000), (10, 100_000), (10, 25), (0, 0)])
+def test_bits_of_all_ranges_are_those_of_one_match_after_another(spark, monkeypatch, few, crowd):
+    monkeypatch.setattr(overlaps, "FEW", few)
+    monkeypatch.setattr(overlaps, "CROWD", crowd)
+    dets, gts = made(150, 4, 1)
+    got = sweeps.ranged_bits(spark.createDataFrame(dets, DET), spark.createDataFrame(gts, GT), TS, RANGES).collect()
+    assert sorted(r.det_id for r in got) == sorted(d[0] for d in dets)
+    bit = lambda v, c: bool(v[c // 8] >> c % 8 & 1)
+    for k, (lo, hi) in enumerate(RANGES.values()):
+        for m, t in enumerate(sorted(TS)):
+            c = k * len(TS) + m
+            assert {r.det_id: None if bit(r.skip, c) else bit(r.hit, c) for r in got} == plain(dets, gts, t, lo, hi)
+
+
 @pytest.mark.parametrize("few, crowd", [(256, 100_000), (10, 100_000), (10, 50)])
 def test_two_modes_by_bits(spark, monkeypatch, few, crowd):
     monkeypatch.setattr(overlaps, "FEW", few)
@@ -71,6 +86,18 @@ def test_two_modes_by_bits(spark, monkeypatch, few, crowd):
     assert len(got) == len(want) and {(r.mode, r.method, r.det_id): (r.category_id, int.from_bytes(r.hit, "little")) for r in got} == want
 
 
+def test_precision_of_all_bits_is_that_of_one_after_another(spark):
+    dets, gts = made(150, 4, 3)
+    dets += [(900, 1, 0, 1.0, 1.0, 20.0, 20.0, 1.5), (901, 1, 0, 1.0, 1.0, 20.0, 20.0, -2.0)]
+    d, g = spark.createDataFrame(dets, DET), spark.createDataFrame(gts, GT)
+    got = {(r.category_id, r.t, r.area): (r.ap, r.recall) for r in evaluate.ap_by_class_and_size(d, g, evaluate.threshold_table(spark, TS), RANGES).collect()}
+    rows = [(x[2], t, a, x[7], x[0], told[x[0]]) for a, (lo, hi) in RANGES.items() for t in TS for told in [plain(dets, gts, t, lo, hi)] for x in dets]
+    truths = [(c, t, a, sum(lo <= b[5] * b[6] <= hi for b in gts if b[2] == c)) for c in (0, 1) for t in TS for a, (lo, hi) in RANGES.items()]
+    plainly = evaluate.average_precision(spark.createDataFrame(rows, "category_id int, t double, area string, score double, det_id long, tp boolean"), spark.createDataFrame(truths, "category_id int, t double, area string, npos long"), ["category_id", "t", "area"])
+    want = {(r.category_id, r.t, r.area): (r.ap, r.recall) for r in plainly.collect()}
+    assert got.keys() == want.keys() and len(want) == 18 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
 def _shuffled(spark, run):
     """How many rows ``run`` shuffles."""
     sc = spark.sparkContext
@@ -86,6 +113,13 @@ def _shuffled(spark, run):
     return sum(v for k, v in records().items() if k not in before)
 
 
+def test_a_detection_is_not_shuffled_for_each_threshold_and_range(spark):
+    dets, gts = made(2000, 40, 4, odd=False)
+    d, g = spark.createDataFrame(dets, DET), spark.createDataFrame(gts, GT)
+    sent = _shuffled(spark, lambda: evaluate.coco_metrics(d, g, (1, 10, 100), ranges=RANGES).collect())
+    assert 0 < sent < 15 * len(dets), sent
+
+
 def test_methods_are_compared_without_sending_their_pairs(spark):
     dets, gts = made(2000, 20, 5, odd=False)
     d, g = spark.createDataFrame(dets, DET), spark.createDataFrame(gts, GT)
